@@ -126,3 +126,126 @@ def q_transfer_precheck(spark, sf):
 @query("account_running_balance")
 def q_account_running_balance(spark, sf):
     return ledger.account_running_balance(V.transactions(spark, sf))
+
+
+# --- audit log ---------------------------------------------------------------
+
+from ..operators import audit as A  # noqa: E402
+from ..sources import audit_log as L  # noqa: E402
+from ..sources import sinks as K  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+AUDIT_USER = "u7"
+AUDIT_ACTION = "balance"
+AUDIT_EVENT = "account_access"
+AUDIT_DATE = "2024-01-15"
+LOG_CALLER = "u1"       # a staff member (holds view_logs)
+RECENT_LIMIT = 50
+TAIL_PER_USER = 5
+
+
+@query("audit_filter_user")
+def q_audit_filter_user(spark, sf):
+    return A.filter_user(V.audit(spark, sf), AUDIT_USER)
+
+
+@query("audit_filter_action")
+def q_audit_filter_action(spark, sf):
+    return A.filter_action(V.audit(spark, sf), AUDIT_ACTION)
+
+
+@query("audit_filter_event")
+def q_audit_filter_event(spark, sf):
+    return A.filter_event(V.audit(spark, sf), AUDIT_EVENT)
+
+
+@query("audit_filter_combined")
+def q_audit_filter_combined(spark, sf):
+    return A.filter_combined(V.audit(spark, sf), action=AUDIT_ACTION, event_type=AUDIT_EVENT,
+                             date=AUDIT_DATE)
+
+
+@query("audit_failures")
+def q_audit_failures(spark, sf):
+    return A.failures(V.audit(spark, sf))
+
+
+@query("audit_summary")
+def q_audit_summary(spark, sf):
+    return A.summary(V.audit(spark, sf))
+
+
+@query("audit_by_event_type")
+def q_audit_by_event_type(spark, sf):
+    return A.counts_by(V.audit(spark, sf), "event_type")
+
+
+@query("audit_by_user")
+def q_audit_by_user(spark, sf):
+    return A.counts_by(V.audit(spark, sf), "user_id")
+
+
+@query("audit_tail")
+def q_audit_tail(spark, sf):
+    return A.tail_per_user(V.audit(spark, sf), TAIL_PER_USER)
+
+
+@query("recent_audit")
+def q_recent_audit(spark, sf):
+    return A.recent_audit(V.audit(spark, sf), _roles(spark, sf), LOG_CALLER, RECENT_LIMIT)
+
+
+@query("top_users")
+def q_top_users(spark, sf):
+    return A.top_counts(V.audit(spark, sf), "user_id", 10)
+
+
+@query("top_tools")
+def q_top_tools(spark, sf):
+    """Most used tools: the action of every tool-call event."""
+    ev = V.audit(spark, sf).filter(F.col("event_type") == "tool_call")
+    return A.top_counts(ev, "action", 10, alias="tool")
+
+
+@query("audit_compact")
+def q_audit_compact(spark, sf):
+    return A.compact(V.audit(spark, sf))
+
+
+@query("audit_by_date")
+def q_audit_by_date(spark, sf):
+    return L.by_date(V.audit(spark, sf))
+
+
+@query("field_truncation")
+def q_field_truncation(spark, sf):
+    return A.field_truncation(read_table(spark, sf, "conversations",
+                                         ["conv_id", "turn", "text"]))
+
+
+def _audit_jsonl(spark, sf) -> str:
+    """Write the audit events as JSON lines by day into a fresh folder under
+    the checkpoint folder; return the folder."""
+    path = scratch_path(spark, "audit-jsonl")
+    K.write_audit(V.audit(spark, sf), path + "/log", fmt="json")
+    return path + "/log"
+
+
+@query("audit_jsonl_scan")
+def q_audit_jsonl_scan(spark, sf):
+    ev = L.read_audit(spark, _audit_jsonl(spark, sf))
+    return ev.select("timestamp", "event_type", "user_id", "action", "success",
+                     F.to_json("details").alias("details"), "event_date")
+
+
+@query("audit_sink")
+def q_audit_sink(spark, sf):
+    """SNK-1 round trip: write Parquet by day, read back."""
+    path = scratch_path(spark, "audit-parquet") + "/log"
+    K.write_audit(V.audit(spark, sf), path, fmt="parquet")
+    return spark.read.parquet(path)
+
+
+@query("audit_verbose")
+def q_audit_verbose(spark, sf):
+    return A.verbose(L.read_audit(spark, _audit_jsonl(spark, sf)))

@@ -126,5 +126,52 @@ EXTRA = {
 }
 
 
+
+# --- audit log ---------------------------------------------------------------
+
+SQL["audit_filter_user"] = "SELECT * FROM audit WHERE user_id = 'u7'"
+SQL["audit_filter_action"] = "SELECT * FROM audit WHERE contains(COALESCE(action, ''), 'balance')"
+SQL["audit_filter_event"] = "SELECT * FROM audit WHERE event_type = 'account_access'"
+SQL["audit_filter_combined"] = """
+SELECT * FROM audit WHERE CAST(timestamp AS DATE) = DATE '2024-01-15'
+  AND contains(COALESCE(action, ''), 'balance') AND event_type = 'account_access'"""
+SQL["audit_failures"] = """
+SELECT * FROM audit WHERE NOT COALESCE(success, true)
+   OR contains(COALESCE(action, ''), 'failed') OR contains(COALESCE(action, ''), 'error')"""
+SQL["audit_summary"] = """
+SELECT count(*) AS total, count(*) FILTER (WHERE COALESCE(success, true)) AS success,
+       count(*) FILTER (WHERE NOT COALESCE(success, true)) AS failure FROM audit"""
+SQL["audit_by_event_type"] = """
+SELECT COALESCE(event_type, 'unknown') AS event_type, count(*) AS n FROM audit GROUP BY 1"""
+SQL["audit_by_user"] = """
+SELECT COALESCE(user_id, 'unknown') AS user_id, count(*) AS n FROM audit GROUP BY 1"""
+SQL["audit_tail"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+                 ORDER BY timestamp DESC, event_id DESC) AS pos FROM audit) WHERE pos <= 5"""
+SQL["recent_audit"] = """
+SELECT * FROM audit
+WHERE EXISTS (SELECT 1 FROM roles WHERE user_id = 'u1' AND role IN ('staff', 'admin', 'system'))
+ORDER BY timestamp DESC, event_id DESC LIMIT 50"""
+SQL["top_users"] = """
+SELECT user_id, count(*) AS n FROM audit GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10"""
+SQL["top_tools"] = """
+SELECT action AS tool, count(*) AS n FROM audit WHERE event_type = 'tool_call'
+GROUP BY action ORDER BY n DESC, tool LIMIT 10"""
+SQL["audit_compact"] = """
+SELECT event_id, strftime(timestamp, '%H:%M:%S') AS time,
+       CASE WHEN COALESCE(success, true) THEN '✓' ELSE '✗' END AS mark,
+       COALESCE(event_type, 'unknown') AS event_type, COALESCE(user_id, 'unknown') AS user_id,
+       COALESCE(action, 'unknown') AS action FROM audit"""
+SQL["audit_by_date"] = """
+SELECT * FROM audit WHERE CAST(timestamp AS DATE) = (SELECT max(CAST(timestamp AS DATE)) FROM audit)"""
+SQL["field_truncation"] = """
+SELECT conv_id, turn, left(text, 200) AS query, left(text, 100) AS blocked_text,
+       left(text, 200) AS fraud_text, left(text, 200) AS summary,
+       left(text, 2000) AS full_response, left(text, 200) AS layer_input,
+       left(text, 500) AS callback_input, left(text, 200) AS resolution_note
+FROM conversations"""
+EXTRA["recent_audit"] = [ROLES]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
