@@ -249,3 +249,190 @@ def q_audit_sink(spark, sf):
 @query("audit_verbose")
 def q_audit_verbose(spark, sf):
     return A.verbose(L.read_audit(spark, _audit_jsonl(spark, sf)))
+
+
+# --- IAM ---------------------------------------------------------------------
+
+from ..operators import escalations as E  # noqa: E402
+from ..operators import tables as TB  # noqa: E402
+
+
+def _lit_map(d: dict):
+    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+
+
+@query("acl_decisions")
+def q_acl_decisions(spark, sf):
+    """Every audit event checked against the permission its type exercises."""
+    req = V.audit(spark, sf).select(
+        F.col("event_id").alias("request_id"), "user_id",
+        _lit_map(S.EVENT_PERMISSION)[F.col("event_type")].alias("permission"))
+    return iam.acl_decisions(req, _roles(spark, sf))
+
+
+def _ticket_view_requests(spark, sf):
+    """Who asks to see whose tickets: each owner their own, each resolver the
+    owner's, and every user the whole list (no target)."""
+    t = V.escalations(spark, sf)
+    own = t.select(F.concat(F.col("id"), F.lit("-own")).alias("request_id"), "user_id",
+                   F.col("user_id").alias("target_user_id"))
+    res = t.filter(F.col("resolved_by").isNotNull()).select(
+        F.concat(F.col("id"), F.lit("-resolver")).alias("request_id"),
+        F.col("resolved_by").alias("user_id"), F.col("user_id").alias("target_user_id"))
+    lst = V.users(spark, sf).select(F.concat(F.lit("list-"), F.col("user_id")).alias("request_id"),
+                                    "user_id", F.lit(None).cast("string").alias("target_user_id"))
+    return own.unionByName(res).unionByName(lst)
+
+
+@query("escalation_view_acl")
+def q_escalation_view_acl(spark, sf):
+    return iam.escalation_view_acl(_ticket_view_requests(spark, sf), _roles(spark, sf))
+
+
+def _tool_calls(spark, sf):
+    a = V.audit(spark, sf)
+    return a.select(F.col("event_id").alias("call_id"), "user_id",
+                    _lit_map(S.ACTION_TOOL)[F.col("action")].alias("tool")) \
+        .filter(F.col("tool").isNotNull())
+
+
+@query("tool_call_entitlement")
+def q_tool_call_entitlement(spark, sf):
+    return iam.tool_call_entitlement(_tool_calls(spark, sf), _roles(spark, sf))
+
+
+# --- tickets -----------------------------------------------------------------
+
+def _tickets(spark, sf):
+    """The ticket table with every ticket column (resolution fields null)."""
+    t = V.escalations(spark, sf)
+    return t.select(*[c for c in t.columns],
+                    F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
+                    F.lit(None).cast("string").alias("resolution"),
+                    F.lit(None).cast("string").alias("metadata"))
+
+
+@query("fraud_tickets")
+def q_fraud_tickets(spark, sf):
+    rep = V.audit(spark, sf).filter(F.col("action") == "fraud_report").select(
+        "event_id", "user_id", "account_id", F.lit(None).cast("string").alias("description"),
+        "timestamp")
+    return E.fraud_tickets(rep)
+
+
+def asof_last(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """For each left row, the ``value`` of the newest right row with the same
+    key at or before its time (as-of join as one sort per key, no pairs)."""
+    lft = left.withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast("string"))
+    rgt = right.select(key, ts, value).withColumn("_side", F.lit(0))
+    u = lft.unionByName(rgt, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(ts, "_side", value) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return u.withColumn(value, F.last(value, ignorenulls=True).over(w)) \
+        .filter(F.col("_side") == 1).drop("_side")
+
+
+def _resolutions(spark, sf):
+    ev = V.audit(spark, sf).filter(F.col("event_type") == "escalation_resolved") \
+        .select("event_id", "user_id", "timestamp")
+    tk = V.escalations(spark, sf).select("user_id", F.col("created_at").alias("timestamp"),
+                                         F.col("id").alias("ticket_id"))
+    r = asof_last(ev, tk, "user_id", "timestamp", "ticket_id")
+    return r.select(F.col("event_id").alias("resolution_id"), F.col("user_id").alias("caller_id"),
+                    "ticket_id", F.concat(F.lit("Resolved via audit event "),
+                                          F.col("event_id").cast("string")).alias("note"),
+                    F.col("timestamp").alias("resolved_at"))
+
+
+from pyspark.sql import Window  # noqa: E402
+
+
+@query("resolve_tickets")
+def q_resolve_tickets(spark, sf):
+    after, _ = E.resolve_tickets(_tickets(spark, sf), _resolutions(spark, sf), _roles(spark, sf))
+    return after
+
+
+@query("resolve_denials")
+def q_resolve_denials(spark, sf):
+    _, attempts = E.resolve_tickets(_tickets(spark, sf), _resolutions(spark, sf),
+                                    _roles(spark, sf))
+    return E.resolve_denials(attempts)
+
+
+@query("queue_stats")
+def q_queue_stats(spark, sf):
+    return E.queue_stats(access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf),
+                                                CALLERS))
+
+
+@query("ticket_list")
+def q_ticket_list(spark, sf):
+    return E.ticket_list(access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf),
+                                                CALLERS))
+
+
+# --- table maintenance -------------------------------------------------------
+
+RESEND_DAYS = 30
+
+
+def _ok_transfers(spark, sf):
+    return ledger.transfer_precheck(V.transfer_requests(spark, sf), _roles(spark, sf),
+                                    V.accounts(spark, sf)).filter(F.col("outcome") == "ok")
+
+
+@query("transfer_legs")
+def q_transfer_legs(spark, sf):
+    return ledger.transfer_legs(_ok_transfers(spark, sf))
+
+
+@query("bulk_append")
+def q_bulk_append(spark, sf):
+    """New transfer legs plus a re-sent batch (the last 30 days) appended to
+    the transactions table."""
+    tx = V.transactions(spark, sf)
+    legs = ledger.transfer_legs(_ok_transfers(spark, sf)).drop("from_account_id", "to_account_id")
+    batch = legs.unionByName(access.txn_lookback(tx, AS_OF_ORDERS, RESEND_DAYS))
+    return TB.bulk_append(tx, batch, "transaction_id", ["timestamp", "account_id", "amount"],
+                          [("account_id", V.accounts(spark, sf), "account_id")])
+
+
+@query("constraint_audit")
+def q_constraint_audit(spark, sf):
+    return TB.constraint_audit(V.users(spark, sf), V.accounts(spark, sf),
+                               V.transactions(spark, sf), V.escalations(spark, sf))
+
+
+def _account_updates(spark, sf):
+    """Every transaction read as a balance and status update of its account."""
+    return V.transactions(spark, sf).select(
+        "account_id", F.col("timestamp").alias("updated_at"),
+        F.col("transaction_id").alias("update_id"), F.col("amount").alias("balance"),
+        F.when(F.col("status") == "failed", "frozen").otherwise("active").alias("status"))
+
+
+@query("latest_account_state")
+def q_latest_account_state(spark, sf):
+    return TB.latest_state(_account_updates(spark, sf), "account_id",
+                           ["updated_at", "update_id"], ["balance", "status"])
+
+
+@query("account_update")
+def q_account_update(spark, sf):
+    return TB.account_update(V.accounts(spark, sf), _account_updates(spark, sf))
+
+
+def _retention_frames(spark, sf):
+    return {"audit": (V.audit(spark, sf), "timestamp", AS_OF_EVENTS),
+            "transaction": (V.transactions(spark, sf), "timestamp", AS_OF_ORDERS)}
+
+
+@query("retention_tiers")
+def q_retention_tiers(spark, sf):
+    return TB.retention_tiers(_retention_frames(spark, sf))
+
+
+@query("retention_events")
+def q_retention_events(spark, sf):
+    return TB.retention_events(TB.retention_tiers(_retention_frames(spark, sf)))

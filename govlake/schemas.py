@@ -148,6 +148,33 @@ INDUSTRY_CONFIDENCE = [("default", 0.6), ("clothing_brand", 0.6),
 # ---------------------------------------------------------------------------
 
 SEVERITY_WEIGHT = {"critical": 1.0, "high": 0.7, "medium": 0.4}
+
+# Tool behind each logged action (action names of the reference's events).
+ACTION_TOOL = {
+    "safety_layer1_check": "safety_layer1",
+    "safety_layer2_analysis": "safety_layer2",
+    "safety_decision_made": "safety_decision",
+    "account_view_balance": "account_balance",
+    "view_balance_failed": "account_balance",
+    "query_transactions": "transaction_history",
+    "ticket_resolved": "resolve_escalation",
+    "tool_call_get_account_balance": "account_balance",
+    "fraud_report": "report_fraud",
+}
+
+# Permission an event of each type exercises.
+EVENT_PERMISSION = {
+    "user_query": "use_agent",
+    "account_access": "view_accounts",
+    "transaction_query": "view_transactions",
+    "tool_call": "use_agent",
+    "safety_block": "use_agent",
+    "compliance_violation": "use_agent",
+    "escalation_created": "use_agent",
+    "escalation_resolved": "resolve_escalations",
+    "auth_success": "use_agent",
+    "auth_failure": "use_agent",
+}
 SESSION_GAP_MINUTES = 60
 AS_OF_EVENTS = _dt.datetime(2024, 1, 31)
 AS_OF_ORDERS = _dt.datetime(2001, 8, 1)

@@ -173,5 +173,277 @@ FROM conversations"""
 EXTRA["recent_audit"] = [ROLES]
 
 
+
+# --- IAM ---------------------------------------------------------------------
+
+# The reference's role -> permission sets and tool -> permission sets.
+ROLE_PERM = """role_perm(role, permission) AS (VALUES
+  ('user', 'use_agent'), ('user', 'view_own_escalations'), ('user', 'view_accounts'),
+  ('user', 'view_transactions'),
+  ('staff', 'use_agent'), ('staff', 'view_own_escalations'), ('staff', 'view_all_escalations'),
+  ('staff', 'resolve_escalations'), ('staff', 'view_accounts'), ('staff', 'view_transactions'),
+  ('staff', 'view_config'), ('staff', 'view_logs'),
+  ('admin', 'use_agent'), ('admin', 'view_own_escalations'), ('admin', 'view_all_escalations'),
+  ('admin', 'resolve_escalations'), ('admin', 'view_accounts'), ('admin', 'view_transactions'),
+  ('admin', 'view_config'), ('admin', 'modify_config'), ('admin', 'modify_compliance_rules'),
+  ('admin', 'view_logs'), ('admin', 'manage_users'),
+  ('system', 'view_own_escalations'), ('system', 'view_all_escalations'),
+  ('system', 'resolve_escalations'), ('system', 'use_agent'), ('system', 'bypass_safety_checks'),
+  ('system', 'view_accounts'), ('system', 'view_transactions'), ('system', 'view_config'),
+  ('system', 'modify_config'), ('system', 'modify_compliance_rules'), ('system', 'view_logs'),
+  ('system', 'manage_users'))"""
+TOOL_PERM = """tool_perm(tool, permission) AS (VALUES
+  ('account_balance', 'view_accounts'), ('transaction_history', 'view_transactions'),
+  ('list_accounts', 'view_accounts'), ('report_fraud', 'use_agent'),
+  ('transfer_money', 'use_agent'), ('safety_layer1', 'use_agent'),
+  ('safety_layer2', 'use_agent'), ('safety_decision', 'use_agent'),
+  ('create_escalation', 'use_agent'), ('log_response', 'use_agent'),
+  ('list_escalations', 'view_own_escalations'), ('list_escalations', 'view_all_escalations'),
+  ('view_audit_logs', 'view_logs'), ('resolve_escalation', 'resolve_escalations'))"""
+EVENT_PERM = """event_perm(event_type, permission) AS (VALUES
+  ('user_query', 'use_agent'), ('account_access', 'view_accounts'),
+  ('transaction_query', 'view_transactions'), ('tool_call', 'use_agent'),
+  ('safety_block', 'use_agent'), ('compliance_violation', 'use_agent'),
+  ('escalation_created', 'use_agent'), ('escalation_resolved', 'resolve_escalations'),
+  ('auth_success', 'use_agent'), ('auth_failure', 'use_agent'))"""
+ACTION_TOOL = """CASE action WHEN 'safety_layer1_check' THEN 'safety_layer1'
+  WHEN 'safety_layer2_analysis' THEN 'safety_layer2' WHEN 'safety_decision_made' THEN 'safety_decision'
+  WHEN 'account_view_balance' THEN 'account_balance' WHEN 'view_balance_failed' THEN 'account_balance'
+  WHEN 'query_transactions' THEN 'transaction_history' WHEN 'ticket_resolved' THEN 'resolve_escalation'
+  WHEN 'tool_call_get_account_balance' THEN 'account_balance' WHEN 'fraud_report' THEN 'report_fraud'
+  END"""
+
+SQL["acl_decisions"] = """
+SELECT a.event_id AS request_id, a.user_id, COALESCE(r.role, 'user') AS role, p.permission,
+       rp.role IS NOT NULL AS granted,
+       CASE WHEN rp.role IS NOT NULL THEN 'granted'
+            ELSE concat('User ', a.user_id, ' (role: ', COALESCE(r.role, 'user'),
+                        ') does not have permission: ', p.permission) END AS reason
+FROM audit a JOIN event_perm p ON p.event_type = a.event_type
+LEFT JOIN roles r ON r.user_id = a.user_id
+LEFT JOIN role_perm rp ON rp.role = COALESCE(r.role, 'user') AND rp.permission = p.permission"""
+EXTRA["acl_decisions"] = [ROLES, ROLE_PERM, EVENT_PERM]
+
+SQL["escalation_view_acl"] = """
+SELECT q.request_id, q.user_id, COALESCE(r.role, 'user') AS role, q.target_user_id,
+       COALESCE(CASE WHEN q.target_user_id IS NOT NULL AND q.target_user_id = q.user_id THEN f.vo
+                     WHEN q.target_user_id IS NOT NULL THEN f.va
+                     ELSE f.vo OR f.va END, false) AS allowed
+FROM reqs q LEFT JOIN roles r ON r.user_id = q.user_id
+LEFT JOIN flags f ON f.role = COALESCE(r.role, 'user')"""
+EXTRA["escalation_view_acl"] = [ROLES, ROLE_PERM, """reqs AS (
+  SELECT concat(id, '-own') AS request_id, user_id, user_id AS target_user_id FROM escalations
+  UNION ALL SELECT concat(id, '-resolver'), resolved_by, user_id FROM escalations
+            WHERE resolved_by IS NOT NULL
+  UNION ALL SELECT concat('list-', user_id), user_id, NULL FROM users)""",
+    """flags AS (SELECT role, bool_or(permission = 'view_own_escalations') AS vo,
+                        bool_or(permission = 'view_all_escalations') AS va
+                 FROM role_perm GROUP BY role)"""]
+
+SQL["tool_call_entitlement"] = """
+SELECT c.call_id, c.user_id, COALESCE(r.role, 'user') AS role, c.tool,
+       rt.tool IS NOT NULL AS entitled
+FROM calls c LEFT JOIN roles r ON r.user_id = c.user_id
+LEFT JOIN role_tool rt ON rt.role = COALESCE(r.role, 'user') AND rt.tool = c.tool
+WHERE c.tool IS NOT NULL"""
+EXTRA["tool_call_entitlement"] = [ROLES, ROLE_PERM, TOOL_PERM,
+    f"calls AS (SELECT event_id AS call_id, user_id, {ACTION_TOOL} AS tool FROM audit)",
+    """role_tool AS (SELECT DISTINCT rp.role, tp.tool FROM role_perm rp
+                     JOIN tool_perm tp ON rp.permission = tp.permission)"""]
+
+# --- tickets -----------------------------------------------------------------
+
+
+def uuid_of(expr: str) -> str:
+    h = f"sha256({expr})"
+    return (f"concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), "
+            f"substr({h}, 17, 4), substr({h}, 21, 12))")
+
+
+SQL["fraud_tickets"] = f"""
+SELECT {uuid_of('CAST(event_id AS VARCHAR)')} AS id, user_id,
+       concat('Fraud report for account ', account_id, ': ', '') AS input_text,
+       'Fraud report - requires immediate human review' AS agent_reasoning,
+       CAST(1.0 AS DOUBLE) AS confidence, timestamp AS created_at, 'pending' AS status,
+       CAST(NULL AS TIMESTAMP) AS resolved_at, CAST(NULL AS VARCHAR) AS resolved_by,
+       CAST(NULL AS VARCHAR) AS resolution,
+       concat('{{"account_id":"', account_id, '","type":"fraud_report"}}') AS metadata
+FROM audit WHERE action = 'fraud_report'"""
+
+RESOLUTION_CTES = [ROLES, """tickets AS (SELECT *, CAST(NULL AS TIMESTAMP) AS resolved_at,
+        CAST(NULL AS VARCHAR) AS resolution, CAST(NULL AS VARCHAR) AS metadata FROM escalations)""",
+    """u AS (SELECT user_id, timestamp, 1 AS side, CAST(NULL AS VARCHAR) AS ticket_id, event_id
+         FROM audit WHERE event_type = 'escalation_resolved'
+         UNION ALL SELECT user_id, created_at, 0, id, NULL FROM escalations)""",
+    """asof_t AS (SELECT event_id, user_id, timestamp, side,
+         last_value(ticket_id IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY timestamp, side, ticket_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ticket_id FROM u)""",
+    """res AS (SELECT event_id AS resolution_id, user_id AS caller_id, ticket_id,
+         concat('Resolved via audit event ', CAST(event_id AS VARCHAR)) AS note,
+         timestamp AS resolved_at FROM asof_t WHERE side = 1)""",
+    """att AS (SELECT res.*, COALESCE(r.role, 'user') AS caller_role,
+         CASE WHEN COALESCE(r.role, 'user') NOT IN ('staff', 'admin', 'system') THEN 'denied'
+              WHEN t.id IS NULL THEN 'unknown_ticket' ELSE 'resolved' END AS outcome
+         FROM res LEFT JOIN roles r ON r.user_id = res.caller_id
+         LEFT JOIN escalations t ON t.id = res.ticket_id)""",
+    """lastres AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id
+           ORDER BY resolved_at DESC, resolution_id DESC) AS rn FROM att WHERE outcome = 'resolved')
+         WHERE rn = 1)"""]
+
+SQL["resolve_tickets"] = """
+SELECT t.id, t.user_id, t.input_text, t.agent_reasoning, t.confidence, t.created_at,
+       CASE WHEN l.ticket_id IS NOT NULL THEN 'resolved' ELSE t.status END AS status,
+       CASE WHEN l.ticket_id IS NOT NULL THEN l.caller_id ELSE t.resolved_by END AS resolved_by,
+       CASE WHEN l.ticket_id IS NOT NULL THEN l.resolved_at ELSE t.resolved_at END AS resolved_at,
+       CASE WHEN l.ticket_id IS NOT NULL THEN left(l.note, 200) ELSE t.resolution END AS resolution,
+       t.metadata
+FROM tickets t LEFT JOIN lastres l ON l.ticket_id = t.id"""
+EXTRA["resolve_tickets"] = RESOLUTION_CTES
+
+SQL["resolve_denials"] = """
+SELECT resolved_at AS timestamp, 'safety_block' AS event_type, caller_id AS user_id,
+       'resolve_ticket_unauthorized' AS action, false AS success, ticket_id, caller_role AS role
+FROM att WHERE outcome = 'denied'"""
+EXTRA["resolve_denials"] = RESOLUTION_CTES
+
+SQL["queue_stats"] = """
+SELECT c.caller_id, count(*) AS total, count(*) FILTER (WHERE e.status = 'pending') AS pending,
+       count(*) FILTER (WHERE e.status = 'resolved') AS resolved,
+       round(COALESCE(avg(CAST(e.confidence AS DOUBLE)), 0.0), 6) AS avg_confidence
+FROM escalations e JOIN callers c ON c.caller_role <> 'user' OR e.user_id = c.caller_id
+GROUP BY c.caller_id"""
+EXTRA["queue_stats"] = [ROLES, CALLER_CTE]
+
+SQL["ticket_list"] = """
+SELECT c.caller_id,
+       row_number() OVER (PARTITION BY c.caller_id ORDER BY e.created_at DESC, e.id DESC) AS n,
+       e.id, e.user_id, strftime(e.created_at, '%Y-%m-%d %H:%M') AS created,
+       upper(e.status) AS status_label, e.input_text,
+       CASE WHEN length(e.agent_reasoning) > 200 THEN concat(left(e.agent_reasoning, 200), '...')
+            ELSE e.agent_reasoning END AS reasoning,
+       CASE WHEN e.status = 'resolved' THEN e.resolved_by END AS resolved_by,
+       CAST(NULL AS VARCHAR) AS resolution_note,
+       CASE WHEN e.status <> 'resolved' THEN e.confidence END AS confidence
+FROM escalations e JOIN callers c ON c.caller_role <> 'user' OR e.user_id = c.caller_id"""
+EXTRA["ticket_list"] = [ROLES, CALLER_CTE]
+
+# --- table maintenance -------------------------------------------------------
+
+PRECHECK_CTE = "pre AS (" + SQL["transfer_precheck"].strip() + ")"
+TID = "substr(sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 32)"
+LEGS_CTE = f"""legs AS (
+  SELECT {TID} || '_from' AS transaction_id, from_account_id AS account_id,
+         'transfer' AS transaction_type, CAST(-amount AS DECIMAL(18, 2)) AS amount, 'USD' AS currency,
+         concat('Transfer to ', to_account_id, ': Transfer from ', from_account_id, ' to ', to_account_id)
+           AS description, requested_at AS timestamp, 'completed' AS status,
+         from_account_id, to_account_id
+  FROM pre JOIN transfer_requests USING (l_orderkey, l_linenumber, requester_id, from_account_id,
+                                         to_account_id, amount) WHERE outcome = 'ok'
+  UNION ALL
+  SELECT {TID} || '_to', to_account_id, 'transfer', CAST(amount AS DECIMAL(18, 2)), 'USD',
+         concat('Transfer from ', from_account_id, ': Transfer from ', from_account_id, ' to ', to_account_id),
+         requested_at, 'completed', from_account_id, to_account_id
+  FROM pre JOIN transfer_requests USING (l_orderkey, l_linenumber, requester_id, from_account_id,
+                                         to_account_id, amount) WHERE outcome = 'ok')"""
+
+SQL["transfer_legs"] = "SELECT * FROM legs"
+EXTRA["transfer_legs"] = [ROLES, PRECHECK_CTE, LEGS_CTE]
+
+SQL["bulk_append"] = f"""
+SELECT b.transaction_id, b.account_id, b.transaction_type, b.amount, b.currency, b.description,
+       b.timestamp, b.status,
+       CASE WHEN t.transaction_id IS NOT NULL THEN 'duplicate_key'
+            WHEN b.rn > 1 THEN 'duplicate_in_batch'
+            WHEN a.account_id IS NULL THEN 'missing_account_id'
+            ELSE 'accepted' END AS append_status
+FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id
+                                   ORDER BY timestamp, account_id, amount) AS rn
+      FROM (SELECT transaction_id, account_id, transaction_type, amount, currency, description,
+                   timestamp, status FROM legs
+            UNION ALL
+            SELECT * FROM transactions WHERE timestamp >= {AS_OF_ORDERS} - INTERVAL 30 DAY) x) b
+LEFT JOIN transactions t ON t.transaction_id = b.transaction_id
+LEFT JOIN accounts a ON a.account_id = b.account_id"""
+EXTRA["bulk_append"] = [ROLES, PRECHECK_CTE, LEGS_CTE]
+
+
+def _nn(table, cols):
+    return [f"SELECT '{table}' AS table_name, 'not_null_{c}' AS check_name, "
+            f"count(*) FILTER (WHERE {c} IS NULL) AS n FROM {table}" for c in cols]
+
+
+def _dom(table, col, values):
+    vals = ", ".join(f"'{v}'" for v in values)
+    return [f"SELECT '{table}', 'domain_{col}', count(*) FILTER (WHERE {col} IS NOT NULL "
+            f"AND {col} NOT IN ({vals})) FROM {table}"]
+
+
+def _dup(table, col, name):
+    return [f"SELECT '{table}', '{name}', CAST(COALESCE(sum(c - 1), 0) AS BIGINT) FROM "
+            f"(SELECT {col}, count(*) AS c FROM {table} WHERE {col} IS NOT NULL "
+            f"GROUP BY {col} HAVING count(*) > 1)"]
+
+
+def _fk(table, col, parent, pcol):
+    return [f"SELECT '{table}', 'fk_{col}', count(*) FROM {table} x WHERE x.{col} IS NOT NULL "
+            f"AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = x.{col})"]
+
+
+SQL["constraint_audit"] = "\nUNION ALL\n".join(
+    _nn("users", ["user_id", "name", "email"])
+    + _dom("users", "role_raw", ["user", "staff", "admin", "system"])
+    + _nn("accounts", ["account_id", "user_id", "account_type", "balance"])
+    + _dom("accounts", "account_type", ["checking", "savings", "credit"])
+    + _nn("transactions", ["transaction_id", "account_id", "transaction_type", "amount", "timestamp"])
+    + _dom("transactions", "transaction_type", ["deposit", "withdrawal", "transfer", "payment"])
+    + _nn("escalations", ["id", "user_id", "input_text", "status"])
+    + _dom("escalations", "status", ["pending", "resolved"])
+    + _dup("users", "user_id", "pk_user_id") + _dup("users", "email", "unique_email")
+    + _dup("accounts", "account_id", "pk_account_id")
+    + _dup("transactions", "transaction_id", "pk_transaction_id")
+    + _dup("escalations", "id", "pk_id")
+    + _fk("accounts", "user_id", "users", "user_id")
+    + _fk("transactions", "account_id", "accounts", "account_id")
+    + _fk("escalations", "user_id", "users", "user_id"))
+
+UPDATES = """updates AS (SELECT account_id, timestamp AS updated_at, transaction_id AS update_id,
+    amount AS balance, CASE WHEN status = 'failed' THEN 'frozen' ELSE 'active' END AS status
+    FROM transactions)"""
+LATEST = """latest AS (SELECT account_id, balance, status, updated_at, update_id FROM
+    (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY updated_at DESC, update_id DESC) AS rn
+     FROM updates) WHERE rn = 1)"""
+
+SQL["latest_account_state"] = "SELECT * FROM latest"
+EXTRA["latest_account_state"] = [UPDATES, LATEST]
+
+SQL["account_update"] = """
+SELECT COALESCE(a.account_id, l.account_id) AS account_id, a.user_id, a.account_type,
+       CASE WHEN l.account_id IS NOT NULL THEN l.balance ELSE a.balance END AS balance, a.currency,
+       CASE WHEN l.account_id IS NOT NULL THEN l.status ELSE a.status END AS status,
+       CASE WHEN a.user_id IS NOT NULL THEN l.account_id IS NOT NULL END AS updated,
+       a.user_id IS NOT NULL AS matched
+FROM accounts a FULL JOIN latest l ON a.account_id = l.account_id"""
+EXTRA["account_update"] = [UPDATES, LATEST]
+
+
+def _tier(as_of):
+    return (f"CASE WHEN timestamp >= {as_of} - INTERVAL 7 DAY THEN 'hot' "
+            f"WHEN timestamp >= {as_of} - INTERVAL 30 DAY THEN 'warm' "
+            f"WHEN timestamp >= {as_of} - INTERVAL 2555 DAY THEN 'cold' ELSE 'expired' END")
+
+
+TIERS = f"""tiers AS (
+  SELECT 'audit' AS data_type, {_tier(AS_OF_EVENTS)} AS tier, count(*) AS record_count FROM audit GROUP BY 2
+  UNION ALL
+  SELECT 'transaction', {_tier(AS_OF_ORDERS)}, count(*) FROM transactions GROUP BY 2)"""
+SQL["retention_tiers"] = "SELECT * FROM tiers"
+EXTRA["retention_tiers"] = [TIERS]
+SQL["retention_events"] = """
+SELECT 'data_retention' AS event_type, 'system' AS user_id, data_type,
+       CASE tier WHEN 'hot' THEN 'retain' WHEN 'warm' THEN 'compress' WHEN 'cold' THEN 'archive'
+                 ELSE 'delete' END AS action, record_count FROM tiers"""
+EXTRA["retention_events"] = [TIERS]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
