@@ -26,8 +26,7 @@ def acl_decisions(requests: DataFrame, roles: DataFrame) -> DataFrame:
     j = r.join(rp, ["role", "permission"], "left")
     granted = F.coalesce(F.col("held"), F.lit(False))
     return j.select(
-        "request_id", "user_id", "role", "permission",
-        granted.alias("granted"),
+        *requests.columns, "role", granted.alias("granted"),
         F.when(granted, F.lit("granted"))
          .otherwise(F.concat(F.lit("User "), F.col("user_id"), F.lit(" (role: "),
                              F.col("role"), F.lit(") does not have permission: "),

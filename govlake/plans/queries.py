@@ -436,3 +436,209 @@ def q_retention_tiers(spark, sf):
 @query("retention_events")
 def q_retention_events(spark, sf):
     return TB.retention_events(TB.retention_tiers(_retention_frames(spark, sf)))
+
+
+# --- text safety, rules, decisions -------------------------------------------
+
+from ..operators import compliance as C  # noqa: E402
+from ..operators import decisions as DEC  # noqa: E402
+from ..operators import rules as R  # noqa: E402
+from ..operators import textsafety as TS  # noqa: E402
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents", ["doc_id", "text"])
+
+
+def _lexicon(spark, sf):
+    return TS.toxicity_lexicon(_docs(spark, sf), read_table(spark, sf, "labels"))
+
+
+@query("toxicity_lexicon")
+def q_toxicity_lexicon(spark, sf):
+    return _lexicon(spark, sf)
+
+
+@query("layer1_check")
+def q_layer1_check(spark, sf):
+    return TS.layer1_scores(_docs(spark, sf), ["doc_id"], "text", _lexicon(spark, sf))
+
+
+@query("safety_gate")
+def q_safety_gate(spark, sf):
+    """Layer 1 over every user request of the conversations, then the gate."""
+    l1 = TS.layer1_scores(V.user_requests(spark, sf), ["conv_id", "turn"], "input_text",
+                          _lexicon(spark, sf))
+    return DEC.safety_gate(l1)
+
+
+@query("toxicity_model")
+def q_toxicity_model(spark, sf):
+    """Predictions of the fitted model on the held-out labelled documents."""
+    from pyspark.ml.functions import vector_to_array
+    model, _, test = TS.toxicity_model(_docs(spark, sf), read_table(spark, sf, "labels"))
+    return model.transform(test).select(
+        "doc_id", F.col("label").cast("int").alias("toxic"),
+        F.col("prediction").cast("int").alias("predicted"),
+        F.round(vector_to_array("probability")[1], 6).alias("p_toxic"))
+
+
+@query("text_safety_check")
+def q_text_safety_check(spark, sf):
+    """SAF-3 on every document with the model of SAF-4."""
+    model, _, _ = TS.toxicity_model(_docs(spark, sf), read_table(spark, sf, "labels"))
+    return TS.text_safety_check(model.transform(_docs(spark, sf)))
+
+
+@query("mask_account_numbers")
+def q_mask_account_numbers(spark, sf):
+    return TS.mask_account_numbers(read_table(spark, sf, "documents"), ["text"])
+
+
+@query("sensitive_text_scan")
+def q_sensitive_text_scan(spark, sf):
+    return TS.sensitive_text_scan(_docs(spark, sf), ["doc_id"], "text")
+
+
+@query("rule_matches")
+def q_rule_matches(spark, sf):
+    return R.rule_matches(_docs(spark, sf), ["doc_id"], "text")
+
+
+@query("layer2_analysis")
+def q_layer2_analysis(spark, sf):
+    a = R.layer2_analysis(_docs(spark, sf), ["doc_id"], "text")
+    return a.withColumn("violated_rules", F.array_join("violated_rules", ",")) \
+        .withColumn("risk_factors", F.array_join("risk_factors", ","))
+
+
+def _analysis_with_role(spark, sf):
+    a = V.analysis(spark, sf)
+    roles = _roles(spark, sf).select("user_id", "role")
+    return a.join(roles, "user_id", "left").select(
+        "request_id", "user_id", normalise_role_col("role").alias("role"), "safety_score",
+        "compliance_score", "confidence", "violated_rule", "banking_intent",
+        F.when(F.col("violated_rule").isNull(), F.array().cast("array<string>"))
+         .otherwise(F.array("violated_rule")).alias("violated_rules"),
+        F.array().cast("array<string>").alias("risk_factors"))
+
+
+from ..functions.text import normalise_role as normalise_role_col  # noqa: E402
+
+
+@query("decision_matrix")
+def q_decision_matrix(spark, sf):
+    return DEC.decision_matrix(_analysis_with_role(spark, sf)) \
+        .drop("violated_rules", "risk_factors")
+
+
+@query("decision_counts")
+def q_decision_counts(spark, sf):
+    return DEC.decision_counts(DEC.decision_matrix(_analysis_with_role(spark, sf)))
+
+
+@query("rule_rewrite")
+def q_rule_rewrite(spark, sf):
+    return DEC.rule_rewrite(_docs(spark, sf), ["doc_id"], "text")
+
+
+@query("escalate_low_confidence")
+def q_escalate_low_confidence(spark, sf):
+    return DEC.escalate_low_confidence(V.analysis(spark, sf))
+
+
+@query("tickets_from_decisions")
+def q_tickets_from_decisions(spark, sf):
+    d = DEC.decision_matrix(_analysis_with_role(spark, sf))
+    ts = V.audit(spark, sf).select(F.col("event_id").alias("request_id"),
+                                   F.col("timestamp").alias("requested_at"))
+    d = d.join(ts, "request_id").withColumn(
+        "input_text", F.concat(F.lit("Request "), F.col("request_id").cast("string")))
+    return E.tickets_from_decisions(d)
+
+
+# --- compliance --------------------------------------------------------------
+
+def _acl_for_records(spark, sf):
+    a = V.audit(spark, sf)
+    req = a.select(F.col("event_id").alias("request_id"), "user_id", "timestamp",
+                   F.col("event_type").alias("resource"),
+                   _lit_map(S.EVENT_PERMISSION)[F.col("event_type")].alias("permission"))
+    return iam.acl_decisions(req, _roles(spark, sf))
+
+
+def _records(spark, sf):
+    a = V.audit(spark, sf)
+    return [C.pci_data_access(a), C.pci_authentication(a),
+            C.pci_privileged_action(a, _roles(spark, sf)),
+            C.soc2_access_control(_acl_for_records(spark, sf)), C.soc2_data_processing(a),
+            C.soc2_incidents(a)]
+
+
+@query("pci_data_access")
+def q_pci_data_access(spark, sf):
+    return C.pci_data_access(V.audit(spark, sf))
+
+
+@query("pci_authentication")
+def q_pci_authentication(spark, sf):
+    return C.pci_authentication(V.audit(spark, sf))
+
+
+@query("pci_privileged_action")
+def q_pci_privileged_action(spark, sf):
+    return C.pci_privileged_action(V.audit(spark, sf), _roles(spark, sf))
+
+
+@query("soc2_access_control")
+def q_soc2_access_control(spark, sf):
+    return C.soc2_access_control(_acl_for_records(spark, sf))
+
+
+@query("soc2_data_processing")
+def q_soc2_data_processing(spark, sf):
+    return C.soc2_data_processing(V.audit(spark, sf))
+
+
+@query("soc2_incidents")
+def q_soc2_incidents(spark, sf):
+    return C.soc2_incidents(V.audit(spark, sf))
+
+
+@query("unlogged_access")
+def q_unlogged_access(spark, sf):
+    a = V.audit(spark, sf)
+    return C.unlogged_access(a, C.pci_data_access(a))
+
+
+@query("unified_event_log")
+def q_unified_event_log(spark, sf):
+    u = C.unified_event_log(V.audit(spark, sf), _records(spark, sf))
+    return u.select("source", F.coalesce("framework", F.lit("audit")).alias("framework"),
+                    "event_id", "timestamp", "event_type", "user_id")
+
+
+def _compliance_jsonl(spark, sf) -> str:
+    path = scratch_path(spark, "compliance-jsonl") + "/log"
+    recs = _records(spark, sf)
+    for r in recs:
+        detail = [c for c in r.columns if c not in ("framework", "timestamp", "event_type",
+                                                    "user_id")]
+        K.write_compliance(r.select("framework", "timestamp", "event_type", "user_id",
+                                    F.struct(*detail).alias("details")), path)
+    return path
+
+
+@query("compliance_sink")
+def q_compliance_sink(spark, sf):
+    """SNK-2 then SRC-2: records routed by framework and day, read back."""
+    ev = L.read_compliance(spark, _compliance_jsonl(spark, sf))
+    return ev.select("framework", "timestamp", "event_type", "user_id",
+                     F.to_json("details").alias("details"), "event_date")
+
+
+@query("compliance_jsonl_scan")
+def q_compliance_jsonl_scan(spark, sf):
+    """SRC-2 counts per framework and record type after the round trip."""
+    ev = L.read_compliance(spark, _compliance_jsonl(spark, sf))
+    return ev.groupBy("framework", "event_type").agg(F.count("*").alias("n"))

@@ -149,6 +149,35 @@ INDUSTRY_CONFIDENCE = [("default", 0.6), ("clothing_brand", 0.6),
 
 SEVERITY_WEIGHT = {"critical": 1.0, "high": 0.7, "medium": 0.4}
 
+# Evidence patterns per rule, matched against lower-case text.  Phrases come
+# from the rules' own examples; COMP-001 also takes any run of 13 or more
+# digits (a full account or card number), SAFETY-004 a secret token, and
+# COMP-004 a dollar amount of 10,000 or more.
+RULE_PATTERNS = {
+    "SAFETY-001": ["hack into", "malware", "blackmail"],
+    "SAFETY-002": ["profanity", "hate speech", "discriminatory language"],
+    "SAFETY-003": ["ignore previous instructions", "you are now a different assistant",
+                   "disregard your safety guidelines"],
+    "SAFETY-004": ["user passwords", "social security numbers", "credit card numbers",
+                   'token *= *"[0-9a-f]+"'],
+    "SAFETY-005": ["transfer all money", "delete all transaction records",
+                   "change account ownership"],
+    "COMP-001": ["account number", "card number", "[0-9]{13,}"],
+    "COMP-004": ["[$][1-9][0-9]{1,2},[0-9]{3}"],
+    "COMP-005": ["invest in stocks", "stock should i buy", "investment advice"],
+    "COMP-006": ["create a new account", "open a savings account"],
+    "COMP-007": ["pay bill to external account", "send money to another person"],
+}
+
+# Patterns of sensitive data (PRJ-6).
+SENSITIVE_PATTERNS = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
+    "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",
+    "phone": "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
+    "ipv4": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
+    "token": 'token *= *"[0-9a-fA-F]+"',
+}
+
 # Tool behind each logged action (action names of the reference's events).
 ACTION_TOOL = {
     "safety_layer1_check": "safety_layer1",

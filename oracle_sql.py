@@ -445,5 +445,215 @@ SELECT 'data_retention' AS event_type, 'system' AS user_id, data_type,
 EXTRA["retention_events"] = [TIERS]
 
 
+
+# --- text safety, rules, decisions -------------------------------------------
+
+from govlake import schemas as _S  # noqa: E402  (fixed values only: rules, patterns)
+
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}]+'), lambda x: x <> ''))"
+
+LEXICON_CTES = [
+    "lab AS (SELECT d.doc_id, d.text, l.toxic FROM documents d JOIN labels l USING (doc_id))",
+    """tot AS (SELECT count(*) FILTER (WHERE toxic = 1) AS n_toxic,
+                      count(*) FILTER (WHERE toxic = 0) AS n_clean FROM lab)""",
+    f"w AS (SELECT toxic, unnest({WORDS.format(t='text')}) AS word FROM lab)",
+    """pw AS (SELECT word, count(*) FILTER (WHERE toxic = 1) AS toxic_docs,
+                     count(*) FILTER (WHERE toxic = 0) AS clean_docs FROM w GROUP BY word)""",
+    """lex AS (SELECT word, toxic_docs, clean_docs,
+       round(ln((CAST(toxic_docs AS DOUBLE) + 0.5) / (CAST(n_toxic AS DOUBLE) + 1.0))
+           - ln((CAST(clean_docs AS DOUBLE) + 0.5) / (CAST(n_clean AS DOUBLE) + 1.0)), 6) AS log_odds
+     FROM pw, tot)""",
+    """lexicon AS (SELECT * FROM lex WHERE toxic_docs >= 2 AND log_odds >= 2.0
+                   ORDER BY log_odds DESC, word LIMIT 500)"""]
+
+SQL["toxicity_lexicon"] = "SELECT * FROM lexicon"
+EXTRA["toxicity_lexicon"] = LEXICON_CTES
+
+
+def _layer1(src: str, keys: str, text: str) -> list[str]:
+    return [f"toks AS (SELECT {keys}, unnest({WORDS.format(t=text)}) AS word FROM {src})",
+            f"hits AS (SELECT {keys}, count(*) AS hits FROM toks JOIN lexicon USING (word) GROUP BY ALL)",
+            f"""l1 AS (SELECT s.*, CAST(COALESCE(h.hits, 0) AS BIGINT) AS hits2 FROM
+                    (SELECT {keys} FROM {src}) s LEFT JOIN hits h USING ({keys}))""",
+            f"""scored AS (SELECT {keys}, hits2 AS hits,
+                    round(1 - pow(0.5, hits2), 6) AS toxicity,
+                    round(CASE WHEN hits2 > 0 THEN 1 - pow(0.5, hits2 - 1) ELSE 0.0 END, 6)
+                      AS severe_toxicity FROM l1)"""]
+
+
+LAYER1_SELECT = """SELECT *, NOT (toxicity > 0.7 OR severe_toxicity > 0.5) AS passed,
+  concat(CASE WHEN toxicity > 0.7 OR severe_toxicity > 0.5
+              THEN 'Layer 1 (ML) Safety Check FAILED. Toxicity: '
+              ELSE 'Layer 1 (ML) Safety Check PASSED. Toxicity: ' END,
+         printf('%.2f', toxicity),
+         CASE WHEN toxicity > 0.7 OR severe_toxicity > 0.5 THEN '. Request blocked.'
+              ELSE '. Proceeding to Layer 2.' END) AS message FROM scored"""
+
+SQL["layer1_check"] = LAYER1_SELECT
+EXTRA["layer1_check"] = LEXICON_CTES + _layer1("documents", "doc_id", "text")
+
+SQL["safety_gate"] = f"""SELECT *, CASE WHEN passed THEN 'continue' ELSE 'blocked' END AS gate
+FROM ({LAYER1_SELECT}) g"""
+EXTRA["safety_gate"] = LEXICON_CTES + _layer1("user_requests", "conv_id, turn", "input_text")
+
+MASK = ("regexp_replace(regexp_replace({t}, '[0-9]{{9,}}([0-9]{{4}})', '****\\1', 'g'), "
+        "'[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}[ -]([0-9]{{4}})', '****\\1', 'g')")
+SQL["mask_account_numbers"] = f"""
+SELECT doc_id, {MASK.format(t='text')} AS text, lang, source, n_chars FROM documents"""
+
+SQL["sensitive_text_scan"] = "SELECT doc_id, " + ", ".join(
+    f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{k}"
+    for k, p in _S.SENSITIVE_PATTERNS.items()) + ", (" + " OR ".join(
+    f"len(regexp_extract_all(text, '{p}')) > 0" for p in _S.SENSITIVE_PATTERNS.values()) \
+    + ") AS has_sensitive FROM documents"
+
+_RULES = {r[0]: r for r in _S.RULES}
+_WEIGHT = {"critical": "1.0", "high": "0.7", "medium": "0.4"}
+
+
+def _rule_rx(rid):
+    return "(" + "|".join(_S.RULE_PATTERNS[rid]) + ")"
+
+
+MATCHES = "m AS (" + "\nUNION ALL\n".join(
+    f"SELECT doc_id, '{rid}' AS rule_id, '{_RULES[rid][1]}' AS kind, '{_RULES[rid][2]}' AS category, "
+    f"'{_RULES[rid][3]}' AS severity, '{_RULES[rid][4]}' AS action, "
+    f"CAST({_WEIGHT[_RULES[rid][3]]} AS DOUBLE) AS weight, "
+    f"regexp_extract(lower(text), '{_rule_rx(rid)}', 0) AS evidence "
+    f"FROM documents WHERE regexp_matches(lower(text), '{_rule_rx(rid)}')"
+    for rid in _S.RULE_PATTERNS) + ")"
+
+SQL["rule_matches"] = "SELECT doc_id, rule_id, category, severity, action, evidence FROM m"
+EXTRA["rule_matches"] = [MATCHES]
+
+SQL["layer2_analysis"] = """
+SELECT d.doc_id,
+  round(1 - COALESCE(max(m.weight) FILTER (WHERE m.kind = 'safety'), 0.0), 2) AS safety_score,
+  round(1 - COALESCE(max(m.weight) FILTER (WHERE m.kind = 'compliance'), 0.0), 2) AS compliance_score,
+  CAST(CASE count(m.rule_id) WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 ELSE 0.6 END AS DOUBLE) AS confidence,
+  COALESCE(string_agg(m.rule_id, ',' ORDER BY m.rule_id), '') AS violated_rules,
+  COALESCE(string_agg(DISTINCT m.category, ',' ORDER BY m.category), '') AS risk_factors,
+  CASE WHEN count(m.rule_id) = 0 THEN 'No rule matched'
+       ELSE concat('Matched: ', string_agg(m.rule_id, ', ' ORDER BY m.rule_id)) END AS analysis
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"""
+EXTRA["layer2_analysis"] = [MATCHES]
+
+DECISION_CTE = """dec AS (
+SELECT a.request_id, a.user_id, COALESCE(r.role, 'user') AS role, a.safety_score, a.compliance_score,
+       a.confidence, a.violated_rule, a.banking_intent,
+       CASE WHEN a.safety_score IS NULL OR a.compliance_score IS NULL OR a.confidence IS NULL THEN 1
+            WHEN a.violated_rule = 'COMP-001' THEN 2
+            WHEN COALESCE(r.role, 'user') IN ('staff', 'admin', 'system') AND a.banking_intent THEN 3
+            WHEN a.violated_rule IN ('SAFETY-001', 'SAFETY-002', 'SAFETY-003', 'SAFETY-004')
+                 OR a.safety_score < 0.3 THEN 4
+            WHEN a.confidence < 0.7 THEN 5
+            WHEN a.safety_score >= 0.8 AND a.compliance_score >= 0.8 THEN 6
+            WHEN a.banking_intent AND a.safety_score >= 0.6 AND a.compliance_score >= 0.6 THEN 7
+            ELSE 8 END AS decision_rule
+FROM analysis a LEFT JOIN roles r ON r.user_id = a.user_id)"""
+DECISION_SELECT = """SELECT *, CASE decision_rule WHEN 1 THEN 'escalate' WHEN 2 THEN 'rewrite'
+  WHEN 3 THEN 'approve' WHEN 4 THEN 'reject' WHEN 5 THEN 'escalate' WHEN 6 THEN 'approve'
+  WHEN 7 THEN 'rewrite' ELSE 'escalate' END AS action,
+  CASE decision_rule
+    WHEN 1 THEN 'Analysis missing or failed; escalating for human review.'
+    WHEN 2 THEN 'COMP-001: ask for the last 4 digits only.'
+    WHEN 3 THEN 'Privileged role with a legitimate banking request.'
+    WHEN 4 THEN 'Clear violation or very low safety score.'
+    WHEN 5 THEN 'Low confidence; escalating for human review.'
+    WHEN 6 THEN 'Safety and compliance scores are high with no blocking violation.'
+    WHEN 7 THEN 'Valid banking intent with phrasing concerns; rewriting.'
+    ELSE 'Ambiguous request or moderate safety concern.' END AS reasoning FROM dec"""
+
+SQL["decision_matrix"] = DECISION_SELECT
+EXTRA["decision_matrix"] = [ROLES, DECISION_CTE]
+
+SQL["decision_counts"] = f"""
+SELECT role, action, count(*) AS n, CAST(GROUPING(role, action) AS BIGINT) AS grouping_level
+FROM ({DECISION_SELECT}) d GROUP BY CUBE (role, action)"""
+EXTRA["decision_counts"] = [ROLES, DECISION_CTE]
+
+SQL["tickets_from_decisions"] = f"""
+SELECT {uuid_of('CAST(d.request_id AS VARCHAR)')} AS id, d.user_id,
+       concat('Request ', CAST(d.request_id AS VARCHAR)) AS input_text,
+       d.reasoning AS agent_reasoning, CAST(0.0 AS DOUBLE) AS confidence,
+       a.timestamp AS created_at, 'pending' AS status, CAST(NULL AS TIMESTAMP) AS resolved_at,
+       CAST(NULL AS VARCHAR) AS resolved_by, CAST(NULL AS VARCHAR) AS resolution,
+       CAST(NULL AS VARCHAR) AS metadata
+FROM ({DECISION_SELECT}) d JOIN audit a ON a.event_id = d.request_id WHERE d.action = 'escalate'"""
+EXTRA["tickets_from_decisions"] = [ROLES, DECISION_CTE]
+
+SQL["rule_rewrite"] = f"""
+SELECT doc_id, concat('Please show only the last 4 digits. ',
+                      regexp_replace(text, '[0-9]{{9,}}([0-9]{{4}})', '****\\1', 'g')) AS rewritten_text
+FROM documents WHERE regexp_matches(lower(text), '{_rule_rx("COMP-001")}')"""
+
+SQL["escalate_low_confidence"] = """
+SELECT a.*, t.industry, t.threshold FROM analysis a
+JOIN (VALUES ('default', CAST(0.6 AS DOUBLE)), ('clothing_brand', CAST(0.6 AS DOUBLE)),
+             ('healthcare', CAST(0.5 AS DOUBLE)), ('financial_services', CAST(0.7 AS DOUBLE)))
+     t(industry, threshold) ON CAST(a.confidence AS DOUBLE) < t.threshold"""
+
+# --- compliance --------------------------------------------------------------
+
+PCI_ACCESS = """SELECT event_id, timestamp, 'pci_dss' AS framework, 'pci_data_access' AS event_type,
+  user_id, CASE WHEN event_type = 'account_access' THEN 'account' ELSE 'transaction' END AS data_type,
+  account_id, CASE WHEN contains(action, 'transfer') THEN 'transfer' ELSE 'read' END AS operation,
+  'PCI-DSS 10.2' AS requirement
+FROM audit WHERE event_type IN ('account_access', 'transaction_query') AND success"""
+SQL["pci_data_access"] = PCI_ACCESS
+SQL["pci_authentication"] = """
+SELECT event_id, timestamp, 'pci_dss' AS framework, 'pci_authentication' AS event_type, user_id,
+  success, action AS method, CAST(NULL AS VARCHAR) AS ip_address, 'PCI-DSS 10.2.4' AS requirement
+FROM audit WHERE event_type IN ('auth_success', 'auth_failure')"""
+SQL["pci_privileged_action"] = """
+SELECT event_id, timestamp, 'pci_dss' AS framework, 'pci_privileged_action' AS event_type, user_id,
+  action, account_id AS target, CASE WHEN success THEN 'success' ELSE 'failure' END AS result,
+  'PCI-DSS 10.2.2' AS requirement
+FROM audit WHERE user_id IN (SELECT user_id FROM roles WHERE role IN ('staff', 'admin', 'system'))"""
+EXTRA["pci_privileged_action"] = [ROLES]
+SQL["soc2_access_control"] = """
+SELECT a.event_id, a.timestamp, 'soc2' AS framework, 'soc2_access_control' AS event_type, a.user_id,
+  a.event_type AS resource, p.permission, rp.role IS NOT NULL AS granted, 'SOC2 CC6.1' AS control
+FROM audit a JOIN event_perm p ON p.event_type = a.event_type
+LEFT JOIN roles r ON r.user_id = a.user_id
+LEFT JOIN role_perm rp ON rp.role = COALESCE(r.role, 'user') AND rp.permission = p.permission"""
+EXTRA["soc2_access_control"] = [ROLES, ROLE_PERM, EVENT_PERM]
+SQL["soc2_data_processing"] = """
+SELECT event_id, timestamp, 'soc2' AS framework, 'soc2_data_processing' AS event_type, user_id,
+  CASE WHEN event_type = 'account_access' THEN 'account' ELSE 'transaction' END AS data_type,
+  CASE WHEN contains(action, 'transfer') THEN 'transfer' ELSE 'read' END AS operation,
+  'customer_service' AS purpose, 'SOC2 CC6.7' AS control
+FROM audit WHERE event_type IN ('account_access', 'transaction_query')"""
+SQL["soc2_incidents"] = """
+SELECT event_id, timestamp, 'soc2' AS framework, 'soc2_incident' AS event_type, user_id,
+  'fraud_report' AS incident_type, 'high' AS severity, concat('Account ', account_id, ': ') AS description,
+  'SOC2 CC7.3' AS control
+FROM audit WHERE action = 'fraud_report'"""
+SQL["unlogged_access"] = f"""
+SELECT * FROM audit a WHERE event_type IN ('account_access', 'transaction_query')
+  AND NOT EXISTS (SELECT 1 FROM ({PCI_ACCESS}) p WHERE p.event_id = a.event_id)"""
+UNIFIED_PARTS = [
+    "SELECT 'audit' AS source, 'audit' AS framework, event_id, timestamp, event_type, user_id FROM audit",
+    "SELECT 'compliance', 'pci_dss', event_id, timestamp, 'pci_data_access', user_id FROM audit "
+    "WHERE event_type IN ('account_access', 'transaction_query') AND success",
+    "SELECT 'compliance', 'pci_dss', event_id, timestamp, 'pci_authentication', user_id FROM audit "
+    "WHERE event_type IN ('auth_success', 'auth_failure')",
+    "SELECT 'compliance', 'pci_dss', event_id, timestamp, 'pci_privileged_action', user_id FROM audit "
+    "WHERE user_id IN (SELECT user_id FROM roles WHERE role IN ('staff', 'admin', 'system'))",
+    "SELECT 'compliance', 'soc2', event_id, timestamp, 'soc2_access_control', user_id FROM audit",
+    "SELECT 'compliance', 'soc2', event_id, timestamp, 'soc2_data_processing', user_id FROM audit "
+    "WHERE event_type IN ('account_access', 'transaction_query')",
+    "SELECT 'compliance', 'soc2', event_id, timestamp, 'soc2_incident', user_id FROM audit "
+    "WHERE action = 'fraud_report'",
+]
+SQL["unified_event_log"] = "\nUNION ALL\n".join(UNIFIED_PARTS)
+EXTRA["unified_event_log"] = [ROLES]
+SQL["compliance_jsonl_scan"] = ("SELECT framework, event_type, count(*) AS n FROM ("
+                                + "\nUNION ALL\n".join(UNIFIED_PARTS[1:])
+                                + ") x(source, framework, event_id, timestamp, event_type, user_id) "
+                                "GROUP BY ALL")
+EXTRA["compliance_jsonl_scan"] = [ROLES]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
