@@ -642,3 +642,105 @@ def q_compliance_jsonl_scan(spark, sf):
     """SRC-2 counts per framework and record type after the round trip."""
     ev = L.read_compliance(spark, _compliance_jsonl(spark, sf))
     return ev.groupBy("framework", "event_type").agg(F.count("*").alias("n"))
+
+
+# --- metrics, security, windows ----------------------------------------------
+
+from ..operators import metrics as M  # noqa: E402
+from ..operators import security as SEC  # noqa: E402
+
+
+@query("latency_percentiles")
+def q_latency_percentiles(spark, sf):
+    return M.latency_percentiles(V.audit(spark, sf))
+
+
+@query("request_volume")
+def q_request_volume(spark, sf):
+    return M.request_volume(V.audit(spark, sf))
+
+
+@query("daily_event_volume")
+def q_daily_event_volume(spark, sf):
+    return M.daily_event_volume(V.audit(spark, sf))
+
+
+@query("error_breakdown")
+def q_error_breakdown(spark, sf):
+    return M.error_breakdown(V.audit(spark, sf))
+
+
+@query("accounts_accessed_daily")
+def q_accounts_accessed_daily(spark, sf):
+    return M.accounts_accessed_daily(V.audit(spark, sf))
+
+
+@query("accounts_accessed_daily_approx")
+def q_accounts_accessed_daily_approx(spark, sf):
+    return M.accounts_accessed_daily_approx(V.audit(spark, sf))
+
+
+@query("cost_rollup")
+def q_cost_rollup(spark, sf):
+    return M.cost_rollup(V.audit(spark, sf))
+
+
+@query("sessions")
+def q_sessions(spark, sf):
+    return M.sessions(V.audit(spark, sf))
+
+
+@query("daily_report")
+def q_daily_report(spark, sf):
+    return M.daily_report(V.audit(spark, sf), V.escalations(spark, sf))
+
+
+@query("system_health")
+def q_system_health(spark, sf):
+    return M.system_health(V.audit(spark, sf), V.escalations(spark, sf), AS_OF_EVENTS)
+
+
+@query("latency_trace_rollup")
+def q_latency_trace_rollup(spark, sf):
+    return M.latency_trace_rollup(V.audit(spark, sf))
+
+
+@query("weekly_trends")
+def q_weekly_trends(spark, sf):
+    return M.weekly_trends(V.audit(spark, sf))
+
+
+@query("cost_spike_days")
+def q_cost_spike_days(spark, sf):
+    return M.cost_spike_days(V.audit(spark, sf))
+
+
+@query("volume_anomalies")
+def q_volume_anomalies(spark, sf):
+    return M.volume_anomalies(V.audit(spark, sf))
+
+
+@query("brute_force")
+def q_brute_force(spark, sf):
+    return SEC.brute_force(V.audit(spark, sf))
+
+
+@query("unusual_access")
+def q_unusual_access(spark, sf):
+    return SEC.unusual_access(V.audit(spark, sf))
+
+
+@query("exfiltration")
+def q_exfiltration(spark, sf):
+    return SEC.exfiltration(V.audit(spark, sf))
+
+
+@query("privilege_escalation")
+def q_privilege_escalation(spark, sf):
+    return SEC.privilege_escalation(q_acl_decisions(spark, sf))
+
+
+@query("blocked_transfers")
+def q_blocked_transfers(spark, sf):
+    return SEC.blocked_transfers(ledger.transfer_precheck(
+        V.transfer_requests(spark, sf), _roles(spark, sf), V.accounts(spark, sf)))

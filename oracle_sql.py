@@ -655,5 +655,197 @@ SQL["compliance_jsonl_scan"] = ("SELECT framework, event_type, count(*) AS n FRO
 EXTRA["compliance_jsonl_scan"] = [ROLES]
 
 
+
+# --- metrics, security, windows ----------------------------------------------
+
+STAGE = """CASE WHEN action IN ('safety_layer1_check') THEN 'safety_check'
+  WHEN action IN ('safety_layer2_analysis', 'safety_decision_made') THEN 'llm_call'
+  WHEN event_type IN ('tool_call', 'account_access', 'transaction_query') THEN 'tool_call'
+  ELSE 'other' END"""
+COSTX = """CAST(CASE WHEN action IN ('safety_layer2_analysis', 'safety_decision_made')
+    THEN tokens * CAST('0.000002' AS DECIMAL(18, 8))
+  WHEN action IN ('safety_layer1_check') THEN CAST('0.0001' AS DECIMAL(18, 8))
+  ELSE CAST(0 AS DECIMAL(18, 8)) END AS DECIMAL(18, 8))"""
+TOOLX = f"COALESCE({ACTION_TOOL}, 'none')"
+MODELX = """CASE WHEN action IN ('safety_layer2_analysis', 'safety_decision_made') THEN 'llm'
+  WHEN action IN ('safety_layer1_check') THEN 'ml' ELSE 'none' END"""
+
+SQL["latency_percentiles"] = f"""
+SELECT stage, count(v) AS n, round(quantile_cont(v, 0.5), 4) AS p50,
+       round(quantile_cont(v, 0.95), 4) AS p95, round(quantile_cont(v, 0.99), 4) AS p99
+FROM (SELECT {STAGE} AS stage, CAST(latency_ms AS DOUBLE) AS v FROM audit
+      UNION ALL SELECT 'end_to_end', CAST(latency_ms AS DOUBLE) FROM audit) x
+WHERE v IS NOT NULL GROUP BY stage"""
+
+SQL["request_volume"] = "\nUNION ALL\n".join(
+    f"SELECT '{g}' AS grain, CAST(date_trunc('{g}', timestamp) AS TIMESTAMP) AS bucket, "
+    f"count(*) AS n FROM audit GROUP BY 2" for g in ("minute", "hour", "day"))
+
+SQL["daily_event_volume"] = """
+SELECT CAST(timestamp AS DATE) AS day,
+       count(*) FILTER (WHERE event_type = 'safety_block') AS safety_block,
+       count(*) FILTER (WHERE event_type = 'escalation_created') AS escalation_created,
+       count(*) FILTER (WHERE event_type = 'tool_call') AS tool_call
+FROM audit WHERE event_type IN ('safety_block', 'escalation_created', 'tool_call') GROUP BY 1"""
+
+SQL["error_breakdown"] = """
+SELECT CAST(timestamp AS DATE) AS day,
+  count(*) FILTER (WHERE event_type = 'safety_block'
+                   OR (starts_with(COALESCE(action, ''), 'safety_') AND NOT COALESCE(success, true)))
+    AS failed_safety_checks,
+  count(*) FILTER (WHERE event_type IN ('tool_call', 'account_access', 'transaction_query')
+                   AND NOT COALESCE(success, true)) AS failed_tool_calls,
+  count(*) FILTER (WHERE COALESCE(action, '') IN ('safety_layer2_analysis', 'safety_decision_made')
+                   AND NOT COALESCE(success, true)) AS model_errors,
+  count(*) FILTER (WHERE contains(COALESCE(action, ''), 'failed')) AS database_errors,
+  count(*) FILTER (WHERE event_type = 'auth_failure') AS access_denials,
+  count(*) AS events
+FROM audit GROUP BY 1"""
+
+SQL["accounts_accessed_daily"] = """
+SELECT CAST(timestamp AS DATE) AS day,
+       count(DISTINCT CASE WHEN event_type = 'account_access' THEN account_id END) AS accounts_accessed,
+       count(*) FILTER (WHERE action = 'fraud_report') AS fraud_reports
+FROM audit GROUP BY 1"""
+
+SQL["cost_rollup"] = f"""
+SELECT user_id, day, month, tool, model, sum(cost) AS total_cost, count(*) AS n_events,
+       CAST(GROUPING(user_id, day, month, tool, model) AS BIGINT) AS grouping_level
+FROM (SELECT user_id, CAST(timestamp AS DATE) AS day, strftime(timestamp, '%Y-%m') AS month,
+             {TOOLX} AS tool, {MODELX} AS model, {COSTX} AS cost FROM audit) c
+GROUP BY GROUPING SETS ((user_id), (day), (month), (tool), (model), ())"""
+
+SESSION_CTES = [
+    f"""e AS (SELECT event_id, user_id, timestamp, event_type, action, latency_ms,
+                  {TOOLX} AS tool, {COSTX} AS cost FROM audit)""",
+    """s AS (SELECT *, CASE WHEN lag(timestamp) OVER w IS NULL
+                           OR timestamp > lag(timestamp) OVER w + INTERVAL 60 MINUTE THEN 1 ELSE 0 END
+                      AS new_session
+           FROM e WINDOW w AS (PARTITION BY user_id ORDER BY timestamp, event_id))""",
+    """g AS (SELECT *, sum(new_session) OVER (PARTITION BY user_id ORDER BY timestamp, event_id
+                                              ROWS UNBOUNDED PRECEDING) AS sid FROM s)"""]
+
+SQL["sessions"] = """
+SELECT concat(user_id, '-', strftime(min(timestamp), '%Y%m%d%H%M%S')) AS session_id, user_id,
+       min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS interactions,
+       COALESCE(string_agg(DISTINCT tool, ',' ORDER BY tool) FILTER (WHERE tool <> 'none'), '')
+         AS tools_used,
+       count(*) FILTER (WHERE event_type = 'safety_block') AS safety_blocks,
+       count(*) FILTER (WHERE event_type = 'escalation_created') AS escalations,
+       sum(cost) AS total_cost
+FROM g GROUP BY user_id, sid"""
+EXTRA["sessions"] = SESSION_CTES
+
+SQL["latency_trace_rollup"] = """
+SELECT request_id, step, child_step, child_ms, step_ms, total_ms,
+       round(CASE WHEN total_ms = 0 THEN NULL ELSE CAST(step_ms AS DOUBLE) / CAST(total_ms AS DOUBLE) END, 6)
+         AS step_share,
+       round(CASE WHEN total_ms = 0 THEN NULL ELSE CAST(child_ms AS DOUBLE) / CAST(total_ms AS DOUBLE) END, 6)
+         AS child_share
+FROM (SELECT concat(user_id, '-', strftime(session_start, '%Y%m%d%H%M%S')) AS request_id, step,
+             child_step, child_ms,
+             sum(child_ms) OVER (PARTITION BY user_id, session_start, step) AS step_ms,
+             sum(child_ms) OVER (PARTITION BY user_id, session_start) AS total_ms
+      FROM (SELECT user_id, session_start, step, child_step, sum(latency_ms) AS child_ms
+            FROM (SELECT *, min(timestamp) OVER (PARTITION BY user_id, sid) AS session_start,
+                         {STAGE} AS step, COALESCE(action, 'unknown') AS child_step FROM g) x
+            GROUP BY ALL) y) z""".replace("{STAGE}", STAGE)
+EXTRA["latency_trace_rollup"] = SESSION_CTES
+
+
+def _counted(src, item, section, top=False):
+    g = (f"SELECT CAST(timestamp AS DATE) AS day, {item} AS item, count(*) AS value "
+         f"FROM {src} GROUP BY ALL")
+    if top:
+        g = (f"SELECT day, item, value FROM (SELECT *, row_number() OVER (PARTITION BY day "
+             f"ORDER BY value DESC, item) AS r FROM ({g}) q) q2 WHERE r <= 3")
+    return f"SELECT day, '{section}' AS section, item, value FROM ({g}) t"
+
+
+SQL["daily_report"] = "\nUNION ALL\n".join([
+    _counted("audit", "'all'", "total_requests"),
+    _counted("audit", "user_id", "top_users", top=True),
+    _counted("(SELECT * FROM audit WHERE event_type IN ('tool_call', 'account_access', "
+             "'transaction_query'))", TOOLX, "top_tools", top=True),
+    _counted("(SELECT * FROM audit WHERE event_type = 'safety_block')", "risk_category",
+             "blocks_by_category"),
+    _counted("(SELECT * FROM audit WHERE event_type = 'compliance_violation')", "violated_rule",
+             "violations_by_rule"),
+    _counted("(SELECT *, created_at AS timestamp FROM escalations)", "agent_reasoning",
+             "escalations_by_reason")])
+
+SQL["system_health"] = f"""
+SELECT requests, errors, error_rate, avg_latency_ms, safety_blocks, queue_size,
+       CASE WHEN error_rate > 0.10 THEN 'red'
+            WHEN error_rate > 0.05 OR block_rate > 0.20 THEN 'yellow' ELSE 'green' END AS health
+FROM (SELECT count(*) AS requests, count(*) FILTER (WHERE NOT COALESCE(success, true)) AS errors,
+             count(*) FILTER (WHERE event_type = 'safety_block') AS safety_blocks,
+             round(avg(CAST(latency_ms AS DOUBLE)), 4) AS avg_latency_ms,
+             round(CASE WHEN count(*) = 0 THEN NULL ELSE
+                   CAST(count(*) FILTER (WHERE NOT COALESCE(success, true)) AS DOUBLE) / count(*) END, 6)
+               AS error_rate,
+             round(CASE WHEN count(*) = 0 THEN NULL ELSE
+                   CAST(count(*) FILTER (WHERE event_type = 'safety_block') AS DOUBLE) / count(*) END, 6)
+               AS block_rate
+      FROM audit WHERE timestamp >= {AS_OF_EVENTS} - INTERVAL 60 MINUTE AND timestamp < {AS_OF_EVENTS}) m,
+     (SELECT count(*) AS queue_size FROM escalations
+      WHERE status = 'pending' AND created_at < {AS_OF_EVENTS}) q"""
+
+SQL["weekly_trends"] = """
+SELECT week, event_type, n, prev_n, n - prev_n AS change,
+       round(CASE WHEN prev_n = 0 THEN NULL ELSE CAST((n - prev_n) * 100 AS DOUBLE) / prev_n END, 4)
+         AS change_pct
+FROM (SELECT week, event_type, n, lag(n) OVER (PARTITION BY event_type ORDER BY week) AS prev_n
+      FROM (SELECT CAST(date_trunc('week', timestamp) AS TIMESTAMP) AS week, event_type, count(*) AS n
+            FROM audit GROUP BY ALL) a) b"""
+
+SQL["cost_spike_days"] = f"""
+SELECT day, cost, avg_before, CAST(cost AS DOUBLE) > 2.0 * avg_before AS spike
+FROM (SELECT day, cost, round(avg(CAST(cost AS DOUBLE)) OVER (ORDER BY day
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 8) AS avg_before
+      FROM (SELECT CAST(timestamp AS DATE) AS day, sum({COSTX}) AS cost FROM audit GROUP BY 1) d) x"""
+
+SQL["volume_anomalies"] = """
+SELECT day, event_type, n, mean_prev, sd_prev,
+       COALESCE(n > mean_prev + 3.0 * sd_prev OR n < mean_prev - 3.0 * sd_prev, false) AS anomaly
+FROM (SELECT day, event_type, n,
+        round(avg(n) OVER w, 6) AS mean_prev, round(stddev_samp(n) OVER w, 6) AS sd_prev
+      FROM (SELECT CAST(timestamp AS DATE) AS day, event_type, count(*) AS n FROM audit GROUP BY ALL) d
+      WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) x"""
+
+SQL["brute_force"] = """
+SELECT event_id, user_id, timestamp, failures_in_window FROM
+  (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY timestamp
+          RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS failures_in_window
+   FROM audit WHERE event_type = 'auth_failure') f
+WHERE failures_in_window >= 3"""
+
+SQL["unusual_access"] = """
+SELECT user_id, CAST(timestamp AS DATE) AS day, count(DISTINCT account_id) AS accounts
+FROM audit WHERE event_type = 'account_access' GROUP BY ALL HAVING count(DISTINCT account_id) >= 2"""
+
+SQL["exfiltration"] = """
+SELECT v.user_id, v.reads, q.bound FROM
+  (SELECT user_id, count(*) AS reads FROM audit
+   WHERE event_type IN ('account_access', 'transaction_query') GROUP BY user_id) v,
+  (SELECT round(quantile_cont(CAST(reads AS DOUBLE), 0.99), 6) AS bound FROM
+     (SELECT user_id, count(*) AS reads FROM audit
+      WHERE event_type IN ('account_access', 'transaction_query') GROUP BY user_id) w) q
+WHERE v.reads > q.bound"""
+
+SQL["privilege_escalation"] = f"SELECT * FROM ({SQL['acl_decisions']}) d WHERE NOT granted"
+EXTRA["privilege_escalation"] = EXTRA["acl_decisions"]
+
+SQL["blocked_transfers"] = """
+SELECT requester_id, count(*) AS blocked,
+       count(*) FILTER (WHERE outcome = 'access_denied_source') AS access_denied_source,
+       count(*) FILTER (WHERE outcome = 'access_denied_target') AS access_denied_target,
+       count(*) FILTER (WHERE outcome = 'not_own_source') AS not_own_source,
+       count(*) FILTER (WHERE outcome = 'not_own_target') AS not_own_target
+FROM pre WHERE outcome IN ('access_denied_source', 'access_denied_target', 'not_own_source',
+                           'not_own_target') GROUP BY requester_id"""
+EXTRA["blocked_transfers"] = [ROLES, PRECHECK_CTE]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
