@@ -744,3 +744,142 @@ def q_privilege_escalation(spark, sf):
 def q_blocked_transfers(spark, sf):
     return SEC.blocked_transfers(ledger.transfer_precheck(
         V.transfer_requests(spark, sf), _roles(spark, sf), V.accounts(spark, sf)))
+
+
+# --- transfers applied in order (LED-4) ---------------------------------------
+
+@query("transfer_apply")
+def q_transfer_apply(spark, sf):
+    pre = ledger.transfer_precheck(V.transfer_requests(spark, sf), _roles(spark, sf),
+                                   V.accounts(spark, sf))
+    return ledger.transfer_apply(pre)
+
+
+@query("final_balances")
+def q_final_balances(spark, sf):
+    return ledger.final_balances(q_transfer_apply(spark, sf), V.accounts(spark, sf))
+
+
+# --- alerts (batch twins of the stream alerts) --------------------------------
+
+from ..operators import alerts as AL  # noqa: E402
+from ..streaming import streams as ST  # noqa: E402
+
+
+@query("alert_fraud_spike")
+def q_alert_fraud_spike(spark, sf):
+    return AL.fraud_spike_counts(V.audit(spark, sf))
+
+
+@query("alert_error_rate")
+def q_alert_error_rate(spark, sf):
+    return AL.error_rate_levels(V.audit(spark, sf))
+
+
+@query("alert_block_rate")
+def q_alert_block_rate(spark, sf):
+    return AL.block_rate_levels(V.audit(spark, sf))
+
+
+@query("alert_latency")
+def q_alert_latency(spark, sf):
+    return AL.latency_levels(V.audit(spark, sf))
+
+
+def _resolved_tickets(spark, sf):
+    after, _ = E.resolve_tickets(_tickets(spark, sf), _resolutions(spark, sf), _roles(spark, sf))
+    return after
+
+
+@query("alert_backlog")
+def q_alert_backlog(spark, sf):
+    """Backlog from ticket creation and resolution times (resolutions of ESC-3)."""
+    return AL.backlog(_resolved_tickets(spark, sf))
+
+
+# --- streams (driven to completion with an availableNow trigger) -------------
+
+def _stream_run(spark, name, df, output_mode="append"):
+    base = scratch_path(spark, name)
+    return spark.read.parquet(ST.run_available_now(df, base + "/out", base + "/checkpoint",
+                                                   output_mode=output_mode))
+
+
+@query("stream_follow")
+def q_stream_follow(spark, sf):
+    ev = ST.follow(spark, _audit_jsonl(spark, sf))
+    return _stream_run(spark, "follow", ev.withColumn("details", F.to_json("details")))
+
+
+@query("stream_rate")
+def q_stream_rate(spark, sf):
+    return _stream_run(spark, "rate", ST.rate(ST.follow(spark, _audit_jsonl(spark, sf))))
+
+
+@query("stream_sessions")
+def q_stream_sessions(spark, sf):
+    return _stream_run(spark, "sessions", ST.sessions(ST.follow(spark, _audit_jsonl(spark, sf))))
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf):
+    return _stream_run(spark, "alerts",
+                       ST.alert_windows(ST.follow(spark, _audit_jsonl(spark, sf))))
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf):
+    """The audit log written twice (a replayed log): every line arrives twice
+    and is kept once."""
+    path = _audit_jsonl(spark, sf)
+    K.write_audit(V.audit(spark, sf), path, fmt="json")
+    lines = spark.readStream.option("recursiveFileLookup", "true").text(path) \
+        .withColumn("line_hash", F.xxhash64("value"))
+    ev = L.parse_lines(lines).withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    return _stream_run(spark, "dedup", ST.dedup(ev).withColumn("details", F.to_json("details")))
+
+
+@query("stream_transfers")
+def q_stream_transfers(spark, sf):
+    """LED-4 as a stateful stream: the candidates of LED-3 arrive as files."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    pre = ledger.transfer_precheck(V.transfer_requests(spark, sf), _roles(spark, sf),
+                                   V.accounts(spark, sf)) \
+        .filter(F.col("outcome").isin("ok", "insufficient_funds")) \
+        .select("l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
+                "to_account_id", "amount", "src_balance", "dst_balance")
+    src = scratch_path(spark, "transfer-requests")
+    pre.write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(pre.schema).parquet(src)
+    return _stream_run(spark, "transfers", ST.transfers(stream))
+
+
+@query("stream_tickets")
+def q_stream_tickets(spark, sf):
+    """Ticket table kept current by a stream of create and resolve events."""
+    t = V.escalations(spark, sf)
+    creates = t.select(F.lit("create").alias("kind"), "id", "user_id", "input_text",
+                       "agent_reasoning", F.col("confidence").cast("double").alias("confidence"),
+                       "created_at", F.col("created_at").alias("event_time_ntz"),
+                       F.lit(None).cast("string").alias("actor"))
+    _, attempts = E.resolve_tickets(_tickets(spark, sf), _resolutions(spark, sf), _roles(spark, sf))
+    res = attempts.filter(F.col("outcome") == "resolved").select(
+        F.lit("resolve").alias("kind"), F.col("ticket_id").alias("id"),
+        F.lit(None).cast("string").alias("user_id"), F.lit(None).cast("string").alias("input_text"),
+        F.lit(None).cast("string").alias("agent_reasoning"),
+        F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        F.col("resolved_at").alias("event_time_ntz"), F.col("caller_id").alias("actor"))
+    base = scratch_path(spark, "ticket-events")
+    ev = creates.unionByName(res)
+    ev.write.mode("overwrite").parquet(base + "/events")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", "4") \
+        .parquet(base + "/events")
+    table = base + "/tickets"
+    q = (stream.writeStream.foreachBatch(ST.merge_ticket_batch(table))
+         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination(900)
+    if q.exception():
+        raise q.exception()
+    return spark.read.parquet(table)

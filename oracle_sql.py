@@ -847,5 +847,58 @@ FROM pre WHERE outcome IN ('access_denied_source', 'access_denied_target', 'not_
 EXTRA["blocked_transfers"] = [ROLES, PRECHECK_CTE]
 
 
+
+# --- alerts --------------------------------------------------------------------
+
+SQL["alert_fraud_spike"] = """
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS fraud_reports,
+       count(*) > 10 AS alert
+FROM (SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) - to_minutes(CAST(k * 5 AS BIGINT)) AS window_start
+      FROM audit, range(0, 12) t(k) WHERE action = 'fraud_report') w
+GROUP BY window_start"""
+
+SQL["alert_error_rate"] = """
+SELECT window_start, requests, errors, error_rate,
+       CASE WHEN error_rate > 0.10 THEN 'critical' WHEN error_rate > 0.05 THEN 'warning'
+            ELSE 'ok' END AS level
+FROM (SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS window_start, count(*) AS requests,
+             count(*) FILTER (WHERE NOT COALESCE(success, true)) AS errors,
+             round(CAST(count(*) FILTER (WHERE NOT COALESCE(success, true)) AS DOUBLE) / count(*), 6)
+               AS error_rate
+      FROM audit GROUP BY 1) x"""
+
+SQL["alert_block_rate"] = """
+SELECT window_start, requests, blocks, block_rate,
+       CASE WHEN block_rate > 0.20 THEN 'warning' ELSE 'ok' END AS level
+FROM (SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS window_start, count(*) AS requests,
+             count(*) FILTER (WHERE event_type = 'safety_block') AS blocks,
+             round(CAST(count(*) FILTER (WHERE event_type = 'safety_block') AS DOUBLE) / count(*), 6)
+               AS block_rate
+      FROM audit GROUP BY 1) x"""
+
+SQL["alert_latency"] = """
+SELECT window_start, requests, p95_ms, CASE WHEN p95_ms > 5000 THEN 'warning' ELSE 'ok' END AS level
+FROM (SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS window_start,
+             count(latency_ms) AS requests,
+             round(quantile_cont(CAST(latency_ms AS DOUBLE), 0.95), 4) AS p95_ms
+      FROM audit WHERE latency_ms IS NOT NULL GROUP BY 1) x"""
+
+SQL["alert_backlog"] = """
+SELECT b.bucket AS window_start, CAST(b.before + b.max_local AS BIGINT) AS max_pending,
+       CAST(b.before + b.net AS BIGINT) AS pending_at_end, b.before + b.max_local > 100 AS alert
+FROM (SELECT bucket, max_local, net,
+             COALESCE(sum(net) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               AS before
+      FROM (SELECT bucket, max(local) AS max_local, sum(delta) AS net FROM
+              (SELECT *, sum(delta) OVER (PARTITION BY bucket ORDER BY ts, delta DESC, id
+                                          ROWS UNBOUNDED PRECEDING) AS local
+               FROM (SELECT *, date_trunc('hour', ts) AS bucket FROM tev) e) r
+            GROUP BY bucket) p) b"""
+EXTRA["alert_backlog"] = RESOLUTION_CTES + [
+    "rt AS (" + SQL["resolve_tickets"].strip() + ")",
+    """tev AS (SELECT created_at AS ts, id, 1 AS delta FROM rt
+              UNION ALL SELECT resolved_at, id, -1 FROM rt WHERE resolved_at IS NOT NULL)"""]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
