@@ -129,7 +129,8 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
     to Python.  Both accounts of such a request belong to the requester, so
     the fold is exact per owner and runs in parallel across owners: hash
     partition by owner, sort by (owner, requested_at, l_orderkey,
-    l_linenumber) and fold each partition's stream with mapInPandas.  Rows
+    l_linenumber, then the other fields as tie-breakers) and fold each
+    partition's stream with mapInPandas.  Rows
     rejected by the stateless tests are returned with their outcome.
     One owner's requests are folded by one task (the fold is sequential by
     nature); memory stays bounded by that owner's accounts."""
@@ -144,7 +145,7 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
                           "from_account_id", "to_account_id", "amount", "src_balance",
                           "dst_balance") \
         .repartition(n, "requester_id") \
-        .sortWithinPartitions("requester_id", "requested_at", "l_orderkey", "l_linenumber")
+        .sortWithinPartitions("requester_id", *REQUEST_ORDER)
     folded = ordered.mapInPandas(_fold_partition, _fold_schema())
     return folded.unionByName(rejected)
 
@@ -168,7 +169,16 @@ def transfer_id(*cols: str):
                        1, 32)
 
 
-def transfer_legs(accepted: DataFrame, key_cols=("l_orderkey", "l_linenumber"),
+# A transfer request's natural key: all of its fields (line keys repeat in
+# the input, so they alone do not identify a request).
+REQUEST_KEY = ("l_orderkey", "l_linenumber", "requested_at", "from_account_id",
+               "to_account_id", "amount")
+# Total order in which requests are applied.
+REQUEST_ORDER = ("requested_at", "l_orderkey", "l_linenumber", "from_account_id",
+                 "to_account_id", "amount")
+
+
+def transfer_legs(accepted: DataFrame, key_cols=REQUEST_KEY,
                   description_col: str | None = None) -> DataFrame:
     """LED-5: each accepted transfer becomes two signed rows ``<id>_from`` and
     ``<id>_to``."""
@@ -191,18 +201,22 @@ def transfer_legs(accepted: DataFrame, key_cols=("l_orderkey", "l_linenumber"),
         F.lit("completed").alias("status"), "from_account_id", "to_account_id")
 
 
-def high_value_transfers(requests: DataFrame, threshold=S.HIGH_VALUE_AMOUNT) -> DataFrame:
-    """LED-6: transfers above the COMP-004 amount become review tickets."""
-    t = requests.filter(F.col("amount") > F.lit(threshold))
+def high_value_transfers(transfers: DataFrame, accounts: DataFrame,
+                         threshold=S.HIGH_VALUE_AMOUNT) -> DataFrame:
+    """LED-6: transfers whose amount exceeds the COMP-004 bound (in either
+    direction) become pending review tickets for the account owner.
+
+    ``transfers``: transaction_id, account_id, amount, timestamp."""
+    t = transfers.filter(F.abs(F.col("amount")) > F.lit(threshold)) \
+        .join(accounts.select("account_id", F.col("user_id").alias("owner_id")), "account_id")
     return t.select(
-        F.concat(F.lit("hv-"), transfer_id("l_orderkey", "l_linenumber")).alias("ticket_id"),
-        F.col("requester_id").alias("user_id"),
-        F.concat(F.lit("Transfer $"), F.col("amount").cast("string"), F.lit(" from "),
-                 F.col("from_account_id"), F.lit(" to "), F.col("to_account_id"))
-        .alias("input_text"),
+        F.concat(F.lit("hv-"), F.col("transaction_id")).alias("ticket_id"),
+        F.col("owner_id").alias("user_id"), "transaction_id", "account_id", "amount",
+        F.concat(F.lit("Transfer of $"), F.abs(F.col("amount")).cast("string"),
+                 F.lit(" on account "), F.col("account_id")).alias("input_text"),
         F.lit("COMP-004: transfer over $10,000 requires human review").alias("agent_reasoning"),
-        F.lit(1.0).alias("confidence"), F.col("requested_at").alias("created_at"),
-        F.lit("pending").alias("status"), "amount")
+        F.lit(1.0).alias("confidence"), F.col("timestamp").alias("created_at"),
+        F.lit("pending").alias("status"))
 
 
 def account_running_balance(transactions: DataFrame, bucket: str = "month") -> DataFrame:

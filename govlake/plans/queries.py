@@ -883,3 +883,39 @@ def q_stream_tickets(spark, sf):
     if q.exception():
         raise q.exception()
     return spark.read.parquet(table)
+
+
+# --- lookups and reconciliation ----------------------------------------------
+
+from ..operators import users as U  # noqa: E402
+
+
+@query("user_lookup")
+def q_user_lookup(spark, sf):
+    u = U.user_lookup(V.users(spark, sf), V.accounts(spark, sf))
+    return u.select("user_id", "name", "email", F.size("account_ids").alias("n_accounts"),
+                    F.array_join("account_ids", ",").alias("account_ids"))
+
+
+@query("high_value_transfers")
+def q_high_value_transfers(spark, sf):
+    t = V.transactions(spark, sf).filter(F.col("transaction_type") == "transfer")
+    return ledger.high_value_transfers(t, V.accounts(spark, sf))
+
+
+@query("transfer_leg_match")
+def q_transfer_leg_match(spark, sf):
+    return access.transfer_leg_match(ledger.transfer_legs(_ok_transfers(spark, sf)))
+
+
+@query("audit_ticket_match")
+def q_audit_ticket_match(spark, sf):
+    """Ticket events of the audit log linked to the user's newest ticket at
+    the event's time (as-of), then reconciled with the ticket table."""
+    ev = V.audit(spark, sf).filter(F.col("event_type").isin("escalation_created",
+                                                             "escalation_resolved")) \
+        .select("event_id", "user_id", "timestamp", "event_type")
+    tk = V.escalations(spark, sf).select("user_id", F.col("created_at").alias("timestamp"),
+                                         F.col("id").alias("ticket_id"))
+    linked = asof_last(ev, tk, "user_id", "timestamp", "ticket_id")
+    return access.audit_ticket_match(linked, V.escalations(spark, sf))

@@ -125,7 +125,8 @@ class TransferFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(["requested_at", "l_orderkey", "l_linenumber"], kind="stable")
+        pdf = pdf.sort_values(["requested_at", "l_orderkey", "l_linenumber", "from_account_id",
+                               "to_account_id", "amount"], kind="stable")
         out = []
         for r in pdf.itertuples(index=False):
             s = self._get(r.from_account_id, r.src_balance)

@@ -330,7 +330,8 @@ EXTRA["ticket_list"] = [ROLES, CALLER_CTE]
 # --- table maintenance -------------------------------------------------------
 
 PRECHECK_CTE = "pre AS (" + SQL["transfer_precheck"].strip() + ")"
-TID = "substr(sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))), 1, 32)"
+TID = ("substr(sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
+       "CAST(requested_at AS VARCHAR), from_account_id, to_account_id, CAST(amount AS VARCHAR))), 1, 32)")
 LEGS_CTE = f"""legs AS (
   SELECT {TID} || '_from' AS transaction_id, from_account_id AS account_id,
          'transfer' AS transaction_type, CAST(-amount AS DECIMAL(18, 2)) AS amount, 'USD' AS currency,
@@ -900,5 +901,57 @@ EXTRA["alert_backlog"] = RESOLUTION_CTES + [
               UNION ALL SELECT resolved_at, id, -1 FROM rt WHERE resolved_at IS NOT NULL)"""]
 
 
+
+# --- lookups and reconciliation ----------------------------------------------
+
+SQL["user_lookup"] = """
+SELECT u.user_id, u.name, u.email, CAST(COALESCE(a.n, 0) AS BIGINT) AS n_accounts,
+       COALESCE(a.ids, '') AS account_ids
+FROM users u LEFT JOIN (SELECT user_id, count(*) AS n,
+                               string_agg(account_id, ',' ORDER BY account_id) AS ids
+                        FROM accounts GROUP BY user_id) a ON a.user_id = u.user_id"""
+
+SQL["high_value_transfers"] = """
+SELECT concat('hv-', t.transaction_id) AS ticket_id, a.user_id, t.transaction_id, t.account_id,
+       t.amount, concat('Transfer of $', CAST(abs(t.amount) AS VARCHAR), ' on account ', t.account_id)
+         AS input_text,
+       'COMP-004: transfer over $10,000 requires human review' AS agent_reasoning,
+       CAST(1.0 AS DOUBLE) AS confidence, t.timestamp AS created_at, 'pending' AS status
+FROM transactions t JOIN accounts a ON a.account_id = t.account_id
+WHERE t.transaction_type = 'transfer' AND abs(t.amount) > 10000"""
+
+SQL["transfer_leg_match"] = """
+SELECT transfer_id, n_from, n_to, net_amount,
+       CASE WHEN n_from = 1 AND n_to = 1 AND net_amount = 0 THEN 'ok'
+            WHEN n_from = 0 OR n_to = 0 THEN 'missing_leg'
+            WHEN n_from > 1 OR n_to > 1 THEN 'duplicate_leg' ELSE 'unbalanced' END AS status
+FROM (SELECT regexp_replace(transaction_id, '_(from|to)$', '') AS transfer_id,
+             count(*) FILTER (WHERE ends_with(transaction_id, '_from')) AS n_from,
+             count(*) FILTER (WHERE ends_with(transaction_id, '_to')) AS n_to,
+             sum(amount) AS net_amount
+      FROM legs WHERE regexp_matches(transaction_id, '_(from|to)$') GROUP BY 1) g"""
+EXTRA["transfer_leg_match"] = [ROLES, PRECHECK_CTE, LEGS_CTE]
+
+SQL["audit_ticket_match"] = """
+SELECT COALESCE(e.ticket_id, t.id) AS ticket_id, COALESCE(e.n_created, 0) > 0 AS has_create_event,
+       COALESCE(e.n_resolved, 0) > 0 AS has_resolve_event, t.status IS NOT NULL AS has_ticket,
+       CASE WHEN t.status IS NULL THEN 'event_without_ticket'
+            WHEN NOT COALESCE(e.n_created, 0) > 0 THEN 'ticket_without_create_event'
+            WHEN t.status = 'resolved' AND NOT COALESCE(e.n_resolved, 0) > 0 THEN 'resolved_without_event'
+            WHEN t.status <> 'resolved' AND COALESCE(e.n_resolved, 0) > 0 THEN 'event_without_resolution'
+            ELSE 'ok' END AS issue
+FROM (SELECT ticket_id, count(*) FILTER (WHERE event_type = 'escalation_created') AS n_created,
+             count(*) FILTER (WHERE event_type = 'escalation_resolved') AS n_resolved
+      FROM linked WHERE ticket_id IS NOT NULL GROUP BY ticket_id) e
+FULL JOIN escalations t ON t.id = e.ticket_id"""
+EXTRA["audit_ticket_match"] = [
+    """tu AS (SELECT user_id, timestamp, 1 AS side, CAST(NULL AS VARCHAR) AS ticket_id, event_id, event_type
+         FROM audit WHERE event_type IN ('escalation_created', 'escalation_resolved')
+         UNION ALL SELECT user_id, created_at, 0, id, NULL, NULL FROM escalations)""",
+    """linked AS (SELECT * FROM (SELECT event_id, user_id, timestamp, event_type, side,
+         last_value(ticket_id IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY timestamp, side, ticket_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ticket_id FROM tu) x WHERE side = 1)"""]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
