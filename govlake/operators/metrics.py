@@ -176,9 +176,9 @@ def system_health(events: DataFrame, tickets: DataFrame, as_of,
     m = last.agg(F.count("*").alias("requests"), F.count_if(~ok).alias("errors"),
                  F.count_if(F.col("event_type") == "safety_block").alias("safety_blocks"),
                  F.round(F.avg(F.col("latency_ms").cast("double")), 4).alias("avg_latency_ms"))
-    q = tickets.filter((F.col("status") == "pending") & (F.col("created_at") < now)) \
-        .agg(F.count("*").alias("queue_size"))
-    j = m.withColumn("_k", F.lit(1)).join(F.broadcast(q.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    queue = tickets.filter((F.col("status") == "pending") & (F.col("created_at") < now)) \
+        .agg(F.count("*")).scalar()
+    j = m.withColumn("queue_size", queue)
     err = F.round(F.try_divide(F.col("errors"), F.col("requests")), 6)
     blk = F.round(F.try_divide(F.col("safety_blocks"), F.col("requests")), 6)
     return j.select("requests", "errors", err.alias("error_rate"), "avg_latency_ms",

@@ -37,8 +37,8 @@ def exfiltration(events: DataFrame, p: float = 0.99) -> DataFrame:
     vol = events.filter(F.col("event_type").isin(*READS)).groupBy("user_id") \
         .agg(F.count("*").alias("reads"))
     q = exact_percentiles(vol.withColumn("_g", F.lit(1)), ["_g"], "reads", [p], ["bound"])
-    return vol.withColumn("_g", F.lit(1)).join(F.broadcast(q.select("_g", "bound")), "_g") \
-        .filter(F.col("reads") > F.col("bound")).select("user_id", "reads", "bound")
+    bound = q.select("bound").scalar()
+    return vol.filter(F.col("reads") > bound).select("user_id", "reads", bound.alias("bound"))
 
 
 def privilege_escalation(decisions: DataFrame) -> DataFrame:

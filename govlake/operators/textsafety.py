@@ -40,17 +40,16 @@ def toxicity_lexicon(docs: DataFrame, labels: DataFrame, max_words: int = LEXICO
     ``max_words`` words (by log-odds, then word) are kept: the output has a
     known bound and may be broadcast."""
     lab = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-    totals = lab.agg(F.count_if(F.col("toxic") == 1).alias("n_toxic"),
-                     F.count_if(F.col("toxic") == 0).alias("n_clean"))
+    n_toxic = lab.agg(F.count_if(F.col("toxic") == 1)).scalar()
+    n_clean = lab.agg(F.count_if(F.col("toxic") == 0)).scalar()
     per_word = lab.select("toxic", F.explode(words("text")).alias("word")) \
         .groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("toxic_docs"),
                              F.count_if(F.col("toxic") == 0).alias("clean_docs"))
     a = SMOOTHING
-    lo = (F.log((F.col("toxic_docs") + a) / (F.col("n_toxic") + 2 * a))
-          - F.log((F.col("clean_docs") + a) / (F.col("n_clean") + 2 * a)))
-    # attach the two totals (a one-row frame) through a constant key
-    scored = per_word.withColumn("_k", F.lit(1)).join(
-        F.broadcast(totals.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    # the two totals are scalar subqueries, computed once
+    lo = (F.log((F.col("toxic_docs") + a) / (n_toxic + 2 * a))
+          - F.log((F.col("clean_docs") + a) / (n_clean + 2 * a)))
+    scored = per_word
     return scored.withColumn("log_odds", F.round(lo, 6)) \
         .filter((F.col("toxic_docs") >= min_toxic_docs) & (F.col("log_odds") >= min_log_odds)) \
         .orderBy(F.col("log_odds").desc(), F.col("word")).limit(max_words) \
