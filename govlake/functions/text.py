@@ -44,3 +44,10 @@ LONG_DIGITS_MASK = "****$1"
 
 def mask_long_digits(c: str | Column) -> Column:
     return F.regexp_replace(col(c), LONG_DIGITS, LONG_DIGITS_MASK)
+
+
+def ts_ntz(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a datetime or text, independent of the
+    Python process's and the session's time zones."""
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")

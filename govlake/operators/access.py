@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ts_ntz
+
 from ..functions.text import normalise_role
 from ..plans import dimensions as D
 
@@ -60,7 +62,7 @@ def txn_lookback(transactions: DataFrame, as_of, days: int) -> DataFrame:
     """FLT-6: transactions with ``timestamp >= as_of - days`` (no upper bound).
 
     ``as_of`` is a literal, so the bound is pushed into the Parquet scan."""
-    lo = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
+    lo = ts_ntz(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return transactions.filter(F.col("timestamp") >= lo)
 
 

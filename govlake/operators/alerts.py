@@ -75,7 +75,7 @@ def backlog(tickets: DataFrame, bucket: str = "hour") -> DataFrame:
         .unionByName(tickets.filter(F.col("resolved_at").isNotNull())
                      .select(F.col("resolved_at").alias("ts"), F.col("id"),
                              F.lit(-1).alias("delta")))
-    ev = ev.withColumn("bucket", F.date_trunc(bucket, "ts"))
+    ev = ev.withColumn("bucket", F.date_trunc(bucket, "ts").cast("timestamp_ntz"))
     w_in = Window.partitionBy("bucket").orderBy("ts", F.col("delta").desc(), "id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ev.withColumn("local", F.sum("delta").over(w_in))

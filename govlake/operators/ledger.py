@@ -230,7 +230,7 @@ def account_running_balance(transactions: DataFrame, bucket: str = "month") -> D
     t = transactions.select("account_id", "transaction_id", "timestamp", "transaction_type",
                             "amount", "status",
                             signed_amount("transaction_type", "amount").alias("effect"),
-                            F.date_trunc(bucket, "timestamp").alias("_bucket"))
+                            F.date_trunc(bucket, "timestamp").cast("timestamp_ntz").alias("_bucket"))
     w_in = Window.partitionBy("account_id", "_bucket").orderBy("timestamp", "transaction_id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = t.withColumn("_local", F.sum("effect").over(w_in))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ts_ntz
+
 from .. import schemas as S
 from ..functions.quantiles import exact_percentiles
 from ..functions.sessions import sessionize
@@ -49,7 +51,7 @@ def latency_percentiles(events: DataFrame) -> DataFrame:
 def request_volume(events: DataFrame) -> DataFrame:
     """MET-2: requests per minute, hour and day in one pass (each event is
     expanded into its three buckets before one aggregation)."""
-    b = F.array(*[F.struct(F.lit(g).alias("grain"), F.date_trunc(g, "timestamp").alias("bucket"))
+    b = F.array(*[F.struct(F.lit(g).alias("grain"), F.date_trunc(g, "timestamp").cast("timestamp_ntz").alias("bucket"))
                   for g in ("minute", "hour", "day")])
     return events.select(F.explode(b).alias("b")).groupBy("b.grain", "b.bucket") \
         .agg(F.count("*").alias("n"))
@@ -169,7 +171,7 @@ def system_health(events: DataFrame, tickets: DataFrame, as_of,
     """MET-9: error rate, average latency, safety blocks, request count over
     the last window before ``as_of``, pending queue size, and a colour (red:
     error rate over 10 %; yellow: over 5 % or block rate over 20 %)."""
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ts_ntz(as_of)
     lo = now - F.expr(f"INTERVAL {window_minutes} MINUTES")
     last = events.filter((F.col("timestamp") >= lo) & (F.col("timestamp") < now))
     ok = F.coalesce(F.col("success"), F.lit(True))
@@ -210,7 +212,7 @@ def latency_trace_rollup(events: DataFrame, gap_minutes: int = S.SESSION_GAP_MIN
 
 def weekly_trends(events: DataFrame) -> DataFrame:
     """WIN-3: events per week and type, with the change on the week before."""
-    g = events.groupBy(F.date_trunc("week", "timestamp").alias("week"), "event_type") \
+    g = events.groupBy(F.date_trunc("week", "timestamp").cast("timestamp_ntz").alias("week"), "event_type") \
         .agg(F.count("*").alias("n"))
     w = Window.partitionBy("event_type").orderBy("week")
     prev = F.lag("n").over(w)

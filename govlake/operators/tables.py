@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ts_ntz
+
 from .. import schemas as S
 
 
@@ -142,7 +144,7 @@ RETENTION_ACTIONS = {"hot": "retain", "warm": "compress", "cold": "archive",
 
 
 def retention_tier(ts_col: str, as_of):
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ts_ntz(as_of)
     tier = None
     for name, days in S.RETENTION_DAYS:
         cond = F.col(ts_col) >= now - F.expr(f"INTERVAL {days} DAYS")
