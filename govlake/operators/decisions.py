@@ -72,9 +72,8 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
 def rule_rewrite(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """DEC-4: texts that touch COMP-001 are rewritten to ask for the last
     four digits only; digit runs in them are masked."""
-    from .rules import rule_regex
-    low = F.lower(F.col(text_col))
-    hit = texts.filter(low.rlike(rule_regex("COMP-001")))
+    from .rules import rule_hit
+    hit = texts.filter(rule_hit(F.lower(F.col(text_col)), "COMP-001"))
     return hit.select(*keys, F.concat(
         F.lit("Please show only the last 4 digits. "),
         mask_long_digits(text_col)).alias("rewritten_text"))

@@ -84,41 +84,48 @@ def transfer_precheck(requests: DataFrame, roles: DataFrame, accounts: DataFrame
 def _fold_schema():
     return ("l_orderkey long, l_linenumber int, requested_at timestamp_ntz, "
             "requester_id string, from_account_id string, to_account_id string, "
-            "amount decimal(18,2), status string, src_balance_after decimal(18,2), "
-            "dst_balance_after decimal(18,2)")
+            "amount decimal(18,2), status string, src_cents_after long, dst_cents_after long")
 
 
 def _fold_partition(batches):
     """Sequential transfer fold over rows sorted by (owner, time).
 
-    State is the balance of each account of the current owner; it is reset
-    when the owner changes, so memory is bounded by one owner's accounts, and
-    batches are streamed, so a busy owner is never held whole."""
-    import decimal
-
+    State is the balance (in cents) of each account of the current owner; it
+    is reset when the owner changes, so memory is bounded by one owner's
+    accounts, and batches are streamed, so a busy owner is never held whole."""
+    import numpy as np
     import pandas as pd
     owner, bal = None, {}
     for pdf in batches:
-        status, src_after, dst_after = [], [], []
-        for row in pdf.itertuples(index=False):
-            if row.requester_id != owner:
-                owner, bal = row.requester_id, {}
-            s = bal.get(row.from_account_id, row.src_balance)
-            d = bal.get(row.to_account_id, row.dst_balance)
-            amt = row.amount
+        n = len(pdf)
+        status = np.empty(n, dtype=object)
+        src_after = np.empty(n, dtype=np.int64)
+        dst_after = np.empty(n, dtype=np.int64)
+        rows = zip(pdf["requester_id"].tolist(), pdf["from_account_id"].tolist(),
+                   pdf["to_account_id"].tolist(), pdf["src_cents"].tolist(),
+                   pdf["dst_cents"].tolist(), pdf["amount_cents"].tolist())
+        for i, (who, frm, to, s0, d0, amt) in enumerate(rows):
+            if who != owner:
+                owner, bal = who, {}
+            s = bal.get(frm, s0)
+            d = bal.get(to, d0)
             if s >= amt:
                 s, d = s - amt, d + amt
-                status.append("accepted")
+                status[i] = "accepted"
             else:
-                status.append("insufficient_funds")
-            bal[row.from_account_id], bal[row.to_account_id] = s, d
-            src_after.append(decimal.Decimal(s)), dst_after.append(decimal.Decimal(d))
+                status[i] = "insufficient_funds"
+            bal[frm], bal[to] = s, d
+            src_after[i], dst_after[i] = s, d
         yield pd.DataFrame({
             "l_orderkey": pdf["l_orderkey"], "l_linenumber": pdf["l_linenumber"],
             "requested_at": pdf["requested_at"], "requester_id": pdf["requester_id"],
             "from_account_id": pdf["from_account_id"], "to_account_id": pdf["to_account_id"],
             "amount": pdf["amount"], "status": status,
-            "src_balance_after": src_after, "dst_balance_after": dst_after})
+            "src_cents_after": src_after, "dst_cents_after": dst_after})
+
+
+def _cents(c: str):
+    return (F.col(c) * 100).cast("bigint")
 
 
 def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -142,11 +149,19 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
         F.lit(None).cast(S.MONEY).alias("dst_balance_after"))
     n = num_partitions or int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = cand.select("l_orderkey", "l_linenumber", "requested_at", "requester_id",
-                          "from_account_id", "to_account_id", "amount", "src_balance",
-                          "dst_balance") \
+                          "from_account_id", "to_account_id", "amount",
+                          _cents("src_balance").alias("src_cents"),
+                          _cents("dst_balance").alias("dst_cents"),
+                          _cents("amount").alias("amount_cents")) \
         .repartition(n, "requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
-    folded = ordered.mapInPandas(_fold_partition, _fold_schema())
+    folded = ordered.mapInPandas(_fold_partition, _fold_schema()).select(
+        "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
+        "to_account_id", "amount", "status",
+        (F.col("src_cents_after").cast("decimal(20,0)") / 100).cast(S.MONEY)
+        .alias("src_balance_after"),
+        (F.col("dst_cents_after").cast("decimal(20,0)") / 100).cast(S.MONEY)
+        .alias("dst_balance_after"))
     return folded.unionByName(rejected)
 
 

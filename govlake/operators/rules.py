@@ -19,32 +19,67 @@ def rule_regex(rule_id: str) -> str:
     return "(" + "|".join(S.RULE_PATTERNS[rule_id]) + ")"
 
 
-def matched_rules(text: str | Column) -> Column:
-    """Array of structs (rule_id, kind, category, severity, action, weight,
-    evidence) for every rule the text touches, in rule order."""
-    low = F.lower(F.col(text) if isinstance(text, str) else text)
-    items = []
-    for rid in S.RULE_PATTERNS:
-        _, kind, category, severity, action, _, _ = _RULE[rid]
-        rx = rule_regex(rid)
-        items.append(F.when(low.rlike(rx), F.struct(
-            F.lit(rid).alias("rule_id"), F.lit(kind).alias("kind"),
-            F.lit(category).alias("category"), F.lit(severity).alias("severity"),
-            F.lit(action).alias("action"), F.lit(S.SEVERITY_WEIGHT[severity]).alias("weight"),
-            F.regexp_extract(low, rx, 0).alias("evidence"))))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+_META = set("[](){}*+?.\\|^$")
+
+
+def _is_literal(p: str) -> bool:
+    return not any(ch in _META for ch in p)
+
+
+def rule_hit(low: Column, rule_id: str) -> Column:
+    """Does the lower-case text touch the rule?  Literal phrases are byte
+    searches (``contains``); only real patterns run the regex engine.  Same
+    answer as ``rlike`` of the rule's alternation."""
+    tests = [low.contains(p) if _is_literal(p) else low.rlike(p)
+             for p in S.RULE_PATTERNS[rule_id]]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+RULE_IDS = list(S.RULE_PATTERNS)
+
+
+def rule_flags(texts: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``_h<i>`` (does the text touch rule i) and ``_e<i>`` (its
+    evidence: the leftmost match of the rule's alternation, only on a hit).
+
+    Plain column expressions only (no lambdas), so the projection is code
+    generated and ``lower(text)`` is computed once per row by common
+    subexpression elimination."""
+    low = F.lower(F.col(text_col))
+    cols = []
+    for i, rid in enumerate(RULE_IDS):
+        hit = rule_hit(low, rid)
+        cols += [hit.alias(f"_h{i}"),
+                 F.when(hit, F.regexp_extract(low, rule_regex(rid), 0)).alias(f"_e{i}")]
+    return texts.select(*texts.columns, *cols)
 
 
 def rule_matches(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """SAF-6: one row per (text, rule) the text touches, with the evidence
     phrase (the leftmost match)."""
-    return texts.select(*keys, F.explode(matched_rules(text_col)).alias("m")) \
+    f = rule_flags(texts.select(*keys, text_col), text_col)
+    items = []
+    for i, rid in enumerate(RULE_IDS):
+        _, _, category, severity, action, _, _ = _RULE[rid]
+        items.append(F.when(F.col(f"_h{i}"), F.struct(
+            F.lit(rid).alias("rule_id"), F.lit(category).alias("category"),
+            F.lit(severity).alias("severity"), F.lit(action).alias("action"),
+            F.col(f"_e{i}").alias("evidence"))))
+    return f.select(*keys, F.explode(F.array(*items)).alias("m")) \
+        .filter(F.col("m").isNotNull()) \
         .select(*keys, "m.rule_id", "m.category", "m.severity", "m.action", "m.evidence")
 
 
-def _worst(m: Column, kind: str) -> Column:
-    w = F.array_max(F.transform(F.filter(m, lambda x: x["kind"] == kind), lambda x: x["weight"]))
-    return F.round(1 - F.coalesce(w, F.lit(0.0)), 2)
+def _csv(pairs: list[tuple[str, str]]) -> Column:
+    """Comma list of the labels whose flag is set, in the given order."""
+    return F.concat_ws(",", *[F.when(F.col(flag), F.lit(label)) for flag, label in pairs])
+
+
+def _as_array(c: Column) -> Column:
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
 
 
 def layer2_analysis(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -52,15 +87,24 @@ def layer2_analysis(texts: DataFrame, keys: list[str], text_col: str) -> DataFra
     weight of the worst matched rule of that kind (critical 1.0, high 0.7,
     medium 0.4), confidence (0.9 with no match, 0.8 with one rule, 0.6 with
     more), sorted violated rules and risk factors, and a one-line analysis."""
-    m = F.col("_m")
-    rules = F.array_sort(F.transform(m, lambda x: x["rule_id"]))
-    n = F.size(m)
-    return texts.select(*keys, matched_rules(text_col).alias("_m")).select(
-        *keys, _worst(m, "safety").alias("safety_score"),
-        _worst(m, "compliance").alias("compliance_score"),
+    f = rule_flags(texts.select(*keys, text_col), text_col)
+
+    def worst(kind: str) -> Column:
+        ws = [F.when(F.col(f"_h{i}"), F.lit(S.SEVERITY_WEIGHT[_RULE[rid][3]]))
+              for i, rid in enumerate(RULE_IDS) if _RULE[rid][1] == kind]
+        return F.round(1 - F.coalesce(F.greatest(*ws, F.lit(None).cast("double")),
+                                      F.lit(0.0)), 2)
+
+    by_id = sorted((f"_h{i}", rid) for i, rid in enumerate(RULE_IDS))
+    by_id = sorted(by_id, key=lambda x: x[1])
+    by_cat = sorted(((f"_h{i}", _RULE[rid][2]) for i, rid in enumerate(RULE_IDS)),
+                    key=lambda x: x[1])
+    n = sum(F.col(f"_h{i}").cast("int") for i in range(len(RULE_IDS)))
+    rules_csv = _csv(by_id)
+    return f.select(
+        *keys, worst("safety").alias("safety_score"), worst("compliance").alias("compliance_score"),
         F.when(n == 0, 0.9).when(n == 1, 0.8).otherwise(0.6).alias("confidence"),
-        rules.alias("violated_rules"),
-        F.array_sort(F.array_distinct(F.transform(m, lambda x: x["category"])))
-        .alias("risk_factors"),
+        _as_array(rules_csv).alias("violated_rules"), _as_array(_csv(by_cat)).alias("risk_factors"),
         F.when(n == 0, F.lit("No rule matched"))
-         .otherwise(F.concat(F.lit("Matched: "), F.array_join(rules, ", "))).alias("analysis"))
+         .otherwise(F.concat(F.lit("Matched: "), F.regexp_replace(rules_csv, ",", ", ")))
+        .alias("analysis"))

@@ -25,7 +25,7 @@ SMOOTHING = 0.5
 def words(text: str | Column) -> Column:
     """Distinct lower-case words of a text (letters only, any script)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.array_distinct(F.filter(F.split(F.lower(t), WORD_SPLIT), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(t), WORD_SPLIT), ""))
 
 
 def toxicity_lexicon(docs: DataFrame, labels: DataFrame, max_words: int = LEXICON_MAX_WORDS,
@@ -62,19 +62,20 @@ def layer1_scores(texts: DataFrame, keys: list[str], text_col: str, lexicon: Dat
 
     hits -> toxicity = 1 - 0.5^hits and severe = 1 - 0.5^(hits-1) (0 for no
     hit), so one word gives 0.5 / 0.0, two 0.75 / 0.5, three 0.875 / 0.75.
-    Fails as the reference does: toxicity > 0.7 or severe > 0.5.  The lexicon
-    has a known bound and is broadcast; the aggregation moves one row per text
-    and partition."""
-    lex = D.bounded_broadcast(lexicon.select("word"), lexicon_rows)
-    hits = texts.select(*keys, F.explode(words(text_col)).alias("word")) \
-        .join(lex, "word").groupBy(*keys).agg(F.count("*").alias("hits"))
-    j = texts.select(*keys).join(hits, keys, "left")
-    h = F.coalesce(F.col("hits"), F.lit(0))
+    Fails as the reference does: toxicity > 0.7 or severe > 0.5.
+
+    The lexicon has a known bound (``lexicon_rows`` words); it enters the plan
+    once as a scalar subquery (an array), and each text is scored by an array
+    intersection in a projection: one pass over the texts, no shuffle."""
+    lex = lexicon.select("word").limit(lexicon_rows) \
+        .agg(F.coalesce(F.collect_list("word"), F.array().cast("array<string>"))).scalar()
+    hits = F.size(F.array_intersect(words(text_col), lex)).cast("bigint")
+    h = F.col("hits")
     tox = F.round(1 - F.pow(F.lit(0.5), h), 6)
     sev = F.round(F.when(h > 0, 1 - F.pow(F.lit(0.5), h - 1)).otherwise(F.lit(0.0)), 6)
     failed = (tox > S.TOXICITY_MAX) | (sev > S.SEVERE_TOXICITY_MAX)
-    return j.select(
-        *keys, h.cast("bigint").alias("hits"), tox.alias("toxicity"), sev.alias("severe_toxicity"),
+    return texts.select(*keys, hits.alias("hits")).select(
+        *keys, "hits", tox.alias("toxicity"), sev.alias("severe_toxicity"),
         (~failed).alias("passed"),
         F.concat(F.when(failed, F.lit("Layer 1 (ML) Safety Check FAILED. Toxicity: "))
                  .otherwise(F.lit("Layer 1 (ML) Safety Check PASSED. Toxicity: ")),
@@ -141,7 +142,10 @@ def sensitive_text_scan(texts: DataFrame, keys: list[str], text_col: str) -> Dat
     """PRJ-6: counts of e-mail addresses, card numbers, phone numbers, IPv4
     addresses and secret tokens in every text (SAFETY-004)."""
     t = F.col(text_col)
-    counts = [F.regexp_count(t, F.lit(p)).cast("bigint").alias(f"n_{k}")
+    # a byte search first where a pattern needs a fixed character
+    guard = {"email": "@", "phone": "(", "token": "token"}
+    counts = [(F.when(t.contains(guard[k]), F.regexp_count(t, F.lit(p))).otherwise(F.lit(0))
+               if k in guard else F.regexp_count(t, F.lit(p))).cast("bigint").alias(f"n_{k}")
               for k, p in S.SENSITIVE_PATTERNS.items()]
     out = texts.select(*keys, *counts)
     any_hit = None
