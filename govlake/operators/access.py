@@ -164,7 +164,7 @@ def transfer_leg_match(legs: DataFrame) -> DataFrame:
     g = t.groupBy(leg_stem("transaction_id").alias("transfer_id")).agg(
         F.count_if(F.col("transaction_id").endswith("_from")).alias("n_from"),
         F.count_if(F.col("transaction_id").endswith("_to")).alias("n_to"),
-        F.sum("amount").alias("net_amount"))
+        F.sum("amount").cast("decimal(38,2)").alias("net_amount"))
     status = (F.when((F.col("n_from") == 1) & (F.col("n_to") == 1) & (F.col("net_amount") == 0), "ok")
               .when((F.col("n_from") == 0) | (F.col("n_to") == 0), "missing_leg")
               .when((F.col("n_from") > 1) | (F.col("n_to") > 1), "duplicate_leg")

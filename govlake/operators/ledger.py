@@ -18,7 +18,8 @@ from .access import txn_lookback
 def user_total_balance(accounts: DataFrame) -> DataFrame:
     """LED-1: number of accounts and total balance per user."""
     return accounts.groupBy("user_id").agg(
-        F.count("*").alias("n_accounts"), F.sum("balance").alias("total_balance"))
+        F.count("*").alias("n_accounts"),
+        F.sum("balance").cast("decimal(38,2)").alias("total_balance"))
 
 
 def recent_transactions(transactions: DataFrame, as_of, days: int = S.HISTORY_DAYS,
@@ -36,7 +37,7 @@ def recent_transactions(transactions: DataFrame, as_of, days: int = S.HISTORY_DA
     top = t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     counts = t.groupBy("account_id").agg(F.count("*").alias("n_in_window"))
     return top.join(counts, "account_id").select(
-        "account_id", "rank", "transaction_id", "timestamp",
+        "account_id", F.col("rank").cast("bigint").alias("rank"), "transaction_id", "timestamp",
         F.upper("transaction_type").alias("type_label"), "amount", "description",
         F.greatest(F.col("n_in_window") - n, F.lit(0)).alias("remaining"))
 
@@ -256,5 +257,5 @@ def account_running_balance(transactions: DataFrame, bucket: str = "month") -> D
     return local.join(offsets.select("account_id", "_bucket", "_offset"),
                       ["account_id", "_bucket"]) \
         .select("account_id", "transaction_id", "timestamp", "transaction_type", "amount",
-                "effect", (F.col("_local") + F.col("_offset")).cast("decimal(28,2)")
+                "effect", (F.col("_local") + F.col("_offset")).cast("decimal(38,2)")
                 .alias("running_balance"))

@@ -113,7 +113,7 @@ def cost_rollup(events: DataFrame) -> DataFrame:
     keys = ["user_id", "day", "month", "tool", "model"]
     sets = [[F.col(k)] for k in keys] + [[]]
     return c.groupingSets(sets, *keys).agg(
-        F.sum("cost").alias("total_cost"), F.count("*").alias("n_events"),
+        F.sum("cost").cast("decimal(38,8)").alias("total_cost"), F.count("*").alias("n_events"),
         F.grouping_id().cast("bigint").alias("grouping_level"))
 
 
@@ -129,7 +129,7 @@ def sessions(events: DataFrame, gap_minutes: int = S.SESSION_GAP_MINUTES) -> Dat
                  F.when(F.col("tool") != "none", F.col("tool")))), ",").alias("tools_used"),
              F.count_if(F.col("event_type") == "safety_block").alias("safety_blocks"),
              F.count_if(F.col("event_type") == "escalation_created").alias("escalations"),
-             F.sum("cost").alias("total_cost"))
+             F.sum("cost").cast("decimal(38,8)").alias("total_cost"))
     return s.select(F.concat(F.col("user_id"), F.lit("-"),
                              F.date_format("start_time", "yyyyMMddHHmmss")).alias("session_id"),
                     "user_id", "start_time", "end_time", "interactions", "tools_used",
@@ -196,7 +196,7 @@ def latency_trace_rollup(events: DataFrame, gap_minutes: int = S.SESSION_GAP_MIN
                                  "latency_ms"), gap_minutes)
     g = s.groupBy("user_id", "session_start", stage().alias("step"),
                   F.coalesce("action", F.lit("unknown")).alias("child_step")) \
-        .agg(F.sum("latency_ms").alias("child_ms"))
+        .agg(F.sum("latency_ms").cast("decimal(38,2)").alias("child_ms"))
     w_req = Window.partitionBy("user_id", "session_start")
     w_step = Window.partitionBy("user_id", "session_start", "step")
     return g.select(
@@ -222,7 +222,7 @@ def weekly_trends(events: DataFrame) -> DataFrame:
 
 
 def daily_cost(events: DataFrame) -> DataFrame:
-    return events.groupBy(F.to_date("timestamp").alias("day")).agg(F.sum(cost()).alias("cost"))
+    return events.groupBy(F.to_date("timestamp").alias("day")).agg(F.sum(cost()).cast("decimal(38,8)").alias("cost"))
 
 
 def cost_spike_days(events: DataFrame, factor: float = 2.0) -> DataFrame:

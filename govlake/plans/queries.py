@@ -893,7 +893,7 @@ from ..operators import users as U  # noqa: E402
 @query("user_lookup")
 def q_user_lookup(spark, sf):
     u = U.user_lookup(V.users(spark, sf), V.accounts(spark, sf))
-    return u.select("user_id", "name", "email", F.size("account_ids").alias("n_accounts"),
+    return u.select("user_id", "name", "email", F.size("account_ids").cast("bigint").alias("n_accounts"),
                     F.array_join("account_ids", ",").alias("account_ids"))
 
 

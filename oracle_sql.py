@@ -550,12 +550,13 @@ SELECT a.request_id, a.user_id, COALESCE(r.role, 'user') AS role, a.safety_score
             WHEN a.confidence < 0.7 THEN 5
             WHEN a.safety_score >= 0.8 AND a.compliance_score >= 0.8 THEN 6
             WHEN a.banking_intent AND a.safety_score >= 0.6 AND a.compliance_score >= 0.6 THEN 7
-            ELSE 8 END AS decision_rule
+            ELSE 8 END AS decision_rule0
 FROM analysis a LEFT JOIN roles r ON r.user_id = a.user_id)"""
-DECISION_SELECT = """SELECT *, CASE decision_rule WHEN 1 THEN 'escalate' WHEN 2 THEN 'rewrite'
+DECISION_SELECT = """SELECT * EXCLUDE (decision_rule0), CAST(decision_rule0 AS BIGINT) AS decision_rule,
+  CASE decision_rule0 WHEN 1 THEN 'escalate' WHEN 2 THEN 'rewrite'
   WHEN 3 THEN 'approve' WHEN 4 THEN 'reject' WHEN 5 THEN 'escalate' WHEN 6 THEN 'approve'
   WHEN 7 THEN 'rewrite' ELSE 'escalate' END AS action,
-  CASE decision_rule
+  CASE decision_rule0
     WHEN 1 THEN 'Analysis missing or failed; escalating for human review.'
     WHEN 2 THEN 'COMP-001: ask for the last 4 digits only.'
     WHEN 3 THEN 'Privileged role with a legitimate banking request.'
