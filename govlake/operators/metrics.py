@@ -139,31 +139,31 @@ def sessions(events: DataFrame, gap_minutes: int = S.SESSION_GAP_MINUTES) -> Dat
 def daily_report(events: DataFrame, tickets: DataFrame, top_n: int = 3) -> DataFrame:
     """MET-8: one long table (day, section, item, value): total requests, top
     users, top tools, safety blocks by category, compliance violations by
-    rule, escalations by reason."""
-    day = F.to_date("timestamp").alias("day")
-
-    def counted(df, item: Column, section: str, top: bool = False) -> DataFrame:
-        g = df.groupBy(day if "timestamp" in df.columns else F.col("day"), item.alias("item")) \
-            .agg(F.count("*").alias("value"))
-        if top:
-            w = Window.partitionBy("day").orderBy(F.col("value").desc(), F.col("item"))
-            g = g.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_n).drop("_r")
-        return g.select("day", F.lit(section).alias("section"), "item", "value")
-
-    total = counted(events, F.lit("all"), "total_requests")
-    users = counted(events, F.col("user_id"), "top_users", top=True)
-    tools = counted(events.filter(F.col("event_type").isin(*TOOL_EVENTS)), _tool(), "top_tools",
-                    top=True)
-    blocks = counted(events.filter(F.col("event_type") == "safety_block"),
-                     F.col("risk_category"), "blocks_by_category")
-    viol = counted(events.filter(F.col("event_type") == "compliance_violation"),
-                   F.col("violated_rule"), "violations_by_rule")
-    esc = counted(tickets.withColumn("timestamp", F.col("created_at")),
-                  F.col("agent_reasoning"), "escalations_by_reason")
-    out = total
-    for p in (users, tools, blocks, viol, esc):
-        out = out.unionByName(p)
-    return out
+    rule, escalations by reason.
+
+    One pass over the events: each event is expanded into the (section,
+    item) pairs it counts for, and one aggregation (partial before the
+    shuffle) counts them all; the top-n cut runs on the small aggregate."""
+    e = F.col("event_type")
+    pairs = F.array(
+        F.struct(F.lit("total_requests").alias("section"), F.lit("all").alias("item")),
+        F.struct(F.lit("top_users").alias("section"), F.col("user_id").alias("item")),
+        F.when(e.isin(*TOOL_EVENTS), F.struct(F.lit("top_tools").alias("section"),
+                                              _tool().alias("item"))),
+        F.when(e == "safety_block", F.struct(F.lit("blocks_by_category").alias("section"),
+                                             F.col("risk_category").alias("item"))),
+        F.when(e == "compliance_violation", F.struct(
+            F.lit("violations_by_rule").alias("section"), F.col("violated_rule").alias("item"))))
+    ev = events.select(F.to_date("timestamp").alias("day"), F.explode(pairs).alias("p")) \
+        .filter(F.col("p").isNotNull()).select("day", "p.section", "p.item")
+    tk = tickets.select(F.to_date("created_at").alias("day"),
+                        F.lit("escalations_by_reason").alias("section"),
+                        F.col("agent_reasoning").alias("item"))
+    g = ev.unionByName(tk).groupBy("day", "section", "item").agg(F.count("*").alias("value"))
+    w = Window.partitionBy("day", "section").orderBy(F.col("value").desc(), F.col("item"))
+    ranked = g.withColumn("_r", F.when(F.col("section").isin("top_users", "top_tools"),
+                                       F.row_number().over(w)))
+    return ranked.filter(F.col("_r").isNull() | (F.col("_r") <= top_n)).drop("_r")
 
 
 def system_health(events: DataFrame, tickets: DataFrame, as_of,

@@ -613,9 +613,8 @@ def q_unlogged_access(spark, sf):
 
 @query("unified_event_log")
 def q_unified_event_log(spark, sf):
-    u = C.unified_event_log(V.audit(spark, sf), _records(spark, sf))
-    return u.select("source", F.coalesce("framework", F.lit("audit")).alias("framework"),
-                    "event_id", "timestamp", "event_type", "user_id")
+    return C.unified_event_log_one_pass(V.audit(spark, sf), _roles(spark, sf),
+                                        S.EVENT_PERMISSION)
 
 
 def _compliance_jsonl(spark, sf) -> str:
@@ -799,10 +798,11 @@ def q_alert_backlog(spark, sf):
 
 # --- streams (driven to completion with an availableNow trigger) -------------
 
-def _stream_run(spark, name, df, output_mode="append"):
+def _stream_run(spark, name, df, output_mode="append", state_store=None):
     base = scratch_path(spark, name)
     return spark.read.parquet(ST.run_available_now(df, base + "/out", base + "/checkpoint",
-                                                   output_mode=output_mode))
+                                                   output_mode=output_mode,
+                                                   state_store=state_store))
 
 
 @query("stream_follow")
@@ -842,8 +842,6 @@ def q_stream_dedup(spark, sf):
 @query("stream_transfers")
 def q_stream_transfers(spark, sf):
     """LED-4 as a stateful stream: the candidates of LED-3 arrive as files."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     pre = ledger.transfer_precheck(V.transfer_requests(spark, sf), _roles(spark, sf),
                                    V.accounts(spark, sf)) \
         .filter(F.col("outcome").isin("ok", "insufficient_funds")) \
@@ -852,7 +850,26 @@ def q_stream_transfers(spark, sf):
     src = scratch_path(spark, "transfer-requests")
     pre.write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(pre.schema).parquet(src)
-    return _stream_run(spark, "transfers", ST.transfers(stream))
+    return _stream_run(spark, "transfers", ST.transfers(stream), state_store=ST.ROCKSDB)
+
+
+@query("stream_backlog")
+def q_stream_backlog(spark, sf):
+    """STR-8 on a stream: ticket creations (+1) and resolutions (-1, from
+    ESC-3) arrive as files; the pending count is a running aggregate; the
+    newest snapshot is returned."""
+    t = _resolved_tickets(spark, sf)
+    ev = t.select(F.col("created_at").alias("ts"), F.lit(1).alias("delta")).unionByName(
+        t.filter(F.col("resolved_at").isNotNull())
+        .select(F.col("resolved_at").alias("ts"), F.lit(-1).alias("delta")))
+    base = scratch_path(spark, "backlog")
+    ev.write.mode("overwrite").parquet(base + "/events")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", "2") \
+        .parquet(base + "/events")
+    out = ST.run_snapshots(ST.backlog_stream(stream), base + "/out", base + "/checkpoint")
+    snaps = spark.read.parquet(out)
+    return snaps.filter(F.col("batch_id") == snaps.agg(F.max("batch_id")).scalar()) \
+        .drop("batch_id")
 
 
 @query("stream_tickets")

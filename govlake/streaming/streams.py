@@ -34,12 +34,32 @@ def follow(spark: SparkSession, path: str, max_files_per_trigger: int | None = N
     return parse_lines(lines).withColumn("event_time", F.col("timestamp").cast("timestamp"))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
-                      output_mode: str = "append", timeout_s: int = 600) -> str:
-    """Process everything available, then stop; the sink is a folder."""
-    q = (df.writeStream.format(fmt).outputMode(output_mode)
-         .option("checkpointLocation", checkpoint).option("path", out_path)
-         .trigger(availableNow=True).start())
+                      output_mode: str = "append", timeout_s: int = 600,
+                      state_store: str | None = None) -> str:
+    """Process everything available, then stop; the sink is a folder.
+
+    ``state_store`` names a state store provider for this query only (the
+    session setting is restored once the query has started; the provider is
+    recorded in the query's checkpoint)."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark = df.sparkSession
+    before = spark.conf.get(key, None)
+    if state_store:
+        spark.conf.set(key, state_store)
+    try:
+        q = (df.writeStream.format(fmt).outputMode(output_mode)
+             .option("checkpointLocation", checkpoint).option("path", out_path)
+             .trigger(availableNow=True).start())
+    finally:
+        if state_store:
+            if before is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -98,6 +118,23 @@ def backlog_stream(ticket_events: DataFrame) -> DataFrame:
         .withColumn("alert", F.col("pending") > AL.BACKLOG_MAX)
 
 
+def run_snapshots(df: DataFrame, out_path: str, checkpoint: str, timeout_s: int = 600) -> str:
+    """Drive an update-mode aggregate over what is available; every
+    micro-batch appends its changed rows with the batch id, so the newest
+    value of a key is the row of the largest batch id."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+    q = (df.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("stream did not finish")
+    if q.exception():
+        raise q.exception()
+    return out_path
+
+
 def dedup(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """STR-9: drop repeated lines (same text) within the watermark delay."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["line_hash"])
@@ -163,7 +200,6 @@ def merge_ticket_batch(table_path: str):
     batch gives the same table."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         creates = batch.filter(F.col("kind") == "create").select(
             "id", "user_id", "input_text", "agent_reasoning", "confidence", "created_at",
             F.lit("pending").alias("status"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
@@ -189,6 +225,7 @@ def merge_ticket_batch(table_path: str):
         # this batch, so they are only replaced after the result is written.
         stage = f"{table_path.rstrip('/')}_staging/batch={batch_id}"
         merged.write.mode("overwrite").parquet(stage)
-        spark.read.parquet(stage).write.mode("overwrite").partitionBy("created_day") \
+        spark.read.parquet(stage).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("created_day") \
             .parquet(table_path)
     return apply

@@ -137,3 +137,11 @@ def test_stream_alerts_match_batch_levels(spark):
     st = {r.window_start.replace(tzinfo=None): r for r in qs["stream_alerts"](spark, SF_SMALL).collect()}
     b = {r.window_start: r for r in qs["alert_error_rate"](spark, SF_SMALL).collect()}
     assert st and all(st[w].errors == b[w].errors and st[w].error_level == b[w].level for w in st)
+
+
+def test_stream_backlog_equals_batch(spark):
+    qs = E.queries()
+    snap = qs["stream_backlog"](spark, SF_SMALL).collect()
+    assert len(snap) == 1
+    batch = qs["alert_backlog"](spark, SF_SMALL).orderBy(F.col("window_start").desc()).first()
+    assert snap[0].pending == batch.pending_at_end
