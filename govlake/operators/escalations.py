@@ -72,12 +72,14 @@ def resolve_tickets(tickets: DataFrame, resolutions: DataFrame, roles: DataFrame
                .when(F.col("_known").isNull(), "unknown_ticket").otherwise("resolved"))
     attempts = r.withColumn("outcome", outcome).drop("_may", "_known")
     ok = attempts.filter(F.col("outcome") == "resolved")
-    w = Window.partitionBy("ticket_id").orderBy(F.col("resolved_at").desc(),
-                                                F.col("resolution_id").desc())
-    last = ok.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(
-        F.col("ticket_id").alias("id"), F.col("resolved_at").alias("_at"),
-        F.col("caller_id").alias("_by"), truncate("note", S.TRUNCATE["resolution_note"])
-        .alias("_note"))
+    # the latest attempt per ticket: an aggregation (partial before the
+    # shuffle), so a ticket with very many attempts is not sorted in one task
+    last = ok.groupBy("ticket_id").agg(F.max_by(
+        F.struct("resolved_at", "caller_id", "note"),
+        F.struct("resolved_at", "resolution_id")).alias("_l")).select(
+        F.col("ticket_id").alias("id"), F.col("_l.resolved_at").alias("_at"),
+        F.col("_l.caller_id").alias("_by"),
+        truncate(F.col("_l.note"), S.TRUNCATE["resolution_note"]).alias("_note"))
     t = tickets.join(last, "id", "left")
     hit = F.col("_at").isNotNull()
     after = t.select(
@@ -111,14 +113,19 @@ def queue_stats(visible: DataFrame) -> DataFrame:
 
 def ticket_list(visible: DataFrame) -> DataFrame:
     """ESC-6: each caller's tickets numbered newest first; reasoning cut at
-    200 with "..."; resolver and note for resolved tickets, else confidence."""
-    w = Window.partitionBy("caller_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    200 with "..."; resolver and note for resolved tickets, else confidence.
+
+    A privileged caller sees every ticket, so the numbering is a distributed
+    ranking (range partitions plus offsets), not a window over one caller."""
+    from ..functions.ranking import range_row_numbers
+    visible = range_row_numbers(visible, ["caller_id"],
+                                [F.col("created_at").desc(), F.col("id").desc()], "_n")
     reason = F.col("agent_reasoning")
     resolved = F.col("status") == "resolved"
     has_note = "resolution" in visible.columns
     note = F.col("resolution") if has_note else F.lit(None).cast("string")
     return visible.select(
-        "caller_id", F.row_number().over(w).cast("bigint").alias("n"), "id", "user_id",
+        "caller_id", F.col("_n").alias("n"), "id", "user_id",
         F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created"),
         F.upper("status").alias("status_label"), "input_text",
         F.when(F.char_length(reason) > 200, F.concat(F.left(reason, F.lit(200)), F.lit("...")))

@@ -303,6 +303,8 @@ def q_tool_call_entitlement(spark, sf):
 
 # --- tickets -----------------------------------------------------------------
 
+from ..functions.scan import asof_last  # noqa: E402
+
 def _tickets(spark, sf):
     """The ticket table with every ticket column (resolution fields null)."""
     t = V.escalations(spark, sf)
@@ -320,18 +322,6 @@ def q_fraud_tickets(spark, sf):
     return E.fraud_tickets(rep)
 
 
-def asof_last(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """For each left row, the ``value`` of the newest right row with the same
-    key at or before its time (as-of join as one sort per key, no pairs)."""
-    lft = left.withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast("string"))
-    rgt = right.select(key, ts, value).withColumn("_side", F.lit(0))
-    u = lft.unionByName(rgt, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(ts, "_side", value) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return u.withColumn(value, F.last(value, ignorenulls=True).over(w)) \
-        .filter(F.col("_side") == 1).drop("_side")
-
-
 def _resolutions(spark, sf):
     ev = V.audit(spark, sf).filter(F.col("event_type") == "escalation_resolved") \
         .select("event_id", "user_id", "timestamp")

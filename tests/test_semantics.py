@@ -369,3 +369,55 @@ def test_session_gap_boundary(spark):
         "action string, success boolean, latency_ms decimal(18,2), tokens long")
     s = sorted((r.start_time, r.interactions) for r in metrics.sessions(ev).collect())
     assert s == [(T0, 2), (T0 + dt.timedelta(minutes=121), 1)]
+
+
+# --- bucketed scans equal plain windows ----------------------------------------
+
+def _random_events(spark, n=400, seed=3):
+    import random
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        user = "hot" if rnd.random() < 0.6 else f"u{rnd.randint(1, 4)}"
+        ts = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randint(0, 6 * 24 * 60))
+        rows.append((i, user, ts))
+    return spark.createDataFrame(rows, "event_id long, user_id string, timestamp timestamp_ntz")
+
+
+def test_sessionize_equals_plain_window(spark):
+    from pyspark.sql import Window
+    from govlake.functions.sessions import sessionize
+    ev = _random_events(spark)
+    got = {r.event_id: r.session_start for r in sessionize(ev, 90).collect()}
+    w = Window.partitionBy("user_id").orderBy("timestamp", "event_id")
+    prev = F.lag("timestamp").over(w)
+    plain = ev.withColumn("_new", F.when(prev.isNull() | (F.col("timestamp") > prev
+                                                          + F.expr("INTERVAL 90 MINUTES")),
+                                         F.col("timestamp"))) \
+        .withColumn("s", F.last("_new", ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert got == {r.event_id: r.s for r in plain.collect()}
+
+
+def test_asof_last_equals_brute_force(spark):
+    from govlake.functions.scan import asof_last
+    ev = _random_events(spark, n=300, seed=5)
+    left = ev.filter(F.col("event_id") % 3 != 0)
+    right = ev.filter(F.col("event_id") % 3 == 0).select(
+        "user_id", "timestamp", F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("v"))
+    got = {r.event_id: r.v for r in asof_last(left, right, "user_id", "timestamp", "v").collect()}
+    rs = [(r.user_id, r.timestamp, r.v) for r in right.collect()]
+    for r in left.collect():
+        cand = [(t, v) for u, t, v in rs if u == r.user_id and t <= r.timestamp]
+        assert got[r.event_id] == (max(cand)[1] if cand else None)
+
+
+def test_range_row_numbers_equals_window(spark):
+    from pyspark.sql import Window
+    from govlake.functions.ranking import range_row_numbers
+    ev = _random_events(spark, n=500, seed=9)
+    got = {r.event_id: r.rn for r in range_row_numbers(
+        ev, ["user_id"], [F.col("timestamp").desc(), F.col("event_id").desc()], "rn",
+        num_partitions=5).collect()}
+    w = Window.partitionBy("user_id").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
+    assert got == {r.event_id: r.rn for r in ev.withColumn("rn", F.row_number().over(w)).collect()}
