@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
@@ -28,10 +28,9 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
         .sortWithinPartitions(*group_cols, "_v") \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
-    # Materialise the ranks' inputs once, in the shared checkpoint folder, so
-    # both uses below see the same partition ids (and survive executor loss).
-    checkpoint_dir(spark)
-    s = s.checkpoint(eager=True)
+    # Write the ranks' inputs once as a table in the shared checkpoint folder,
+    # so both uses below see the same partition ids (and survive executor loss).
+    s = materialize(s, "quantile-input")
     blocks = s.groupBy("_pid", *group_cols).agg(F.count("*").alias("_c"),
                                                  F.min("_mid").alias("_first"))
     wg = Window.partitionBy(*group_cols).orderBy("_pid")

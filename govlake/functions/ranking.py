@@ -3,8 +3,9 @@
 Rows are range-partitioned and sorted by (group, order), so a large group
 spreads over many tasks; a row's number is its offset inside its partition
 plus the rows of the same group in earlier partitions (a small table).  The
-ranked frame is checkpointed into the session's checkpoint folder, so every
-later use sees the same partition ids and the step survives executor loss.
+ranked frame is written once as a table in the session's checkpoint folder,
+so every later use sees the same partition ids and the step survives
+executor loss.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import materialize
 
 
 def range_row_numbers(df: DataFrame, group_cols: list[str], order: list[Column],
@@ -24,8 +25,7 @@ def range_row_numbers(df: DataFrame, group_cols: list[str], order: list[Column],
     s = df.repartitionByRange(n_part, *keys).sortWithinPartitions(*keys) \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
-    checkpoint_dir(spark)
-    s = s.checkpoint(eager=True)
+    s = materialize(s, "ranked")
     blocks = s.groupBy("_pid", *group_cols).agg(F.count("*").alias("_c"),
                                                  F.min("_mid").alias("_first"))
     wg = Window.partitionBy(*group_cols).orderBy("_pid") \

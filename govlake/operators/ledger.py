@@ -104,8 +104,13 @@ def _fold_partition(batches):
         dst_after = np.empty(n, dtype=np.int64)
         rows = zip(pdf["requester_id"].tolist(), pdf["from_account_id"].tolist(),
                    pdf["to_account_id"].tolist(), pdf["src_cents"].tolist(),
-                   pdf["dst_cents"].tolist(), pdf["amount_cents"].tolist())
-        for i, (who, frm, to, s0, d0, amt) in enumerate(rows):
+                   pdf["dst_cents"].tolist(), pdf["amount_cents"].tolist(),
+                   pdf["outcome"].tolist())
+        for i, (who, frm, to, s0, d0, amt, outcome) in enumerate(rows):
+            if outcome not in ("ok", "insufficient_funds"):
+                # refused by a stateless test: passes through, no balance change
+                status[i], src_after[i], dst_after[i] = outcome, -1, -1
+                continue
             if who != owner:
                 owner, bal = who, {}
             s = bal.get(frm, s0)
@@ -122,7 +127,8 @@ def _fold_partition(batches):
             "requested_at": pdf["requested_at"], "requester_id": pdf["requester_id"],
             "from_account_id": pdf["from_account_id"], "to_account_id": pdf["to_account_id"],
             "amount": pdf["amount"], "status": status,
-            "src_cents_after": src_after, "dst_cents_after": dst_after})
+            "src_cents_after": pd.Series(src_after).where(src_after >= 0),
+            "dst_cents_after": pd.Series(dst_after).where(dst_after >= 0)})
 
 
 def _cents(c: str):
@@ -133,37 +139,31 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
     """LED-4: apply transfers in request order; later requests see earlier
     balances.
 
-    Only requests that pass every stateless test of LED-3 (all but funds) go
-    to Python.  Both accounts of such a request belong to the requester, so
-    the fold is exact per owner and runs in parallel across owners: hash
-    partition by owner, sort by (owner, requested_at, l_orderkey,
-    l_linenumber, then the other fields as tie-breakers) and fold each
-    partition's stream with mapInPandas.  Rows
-    rejected by the stateless tests are returned with their outcome.
-    One owner's requests are folded by one task (the fold is sequential by
-    nature); memory stays bounded by that owner's accounts."""
-    cand = prechecked.filter(F.col("outcome").isin("ok", "insufficient_funds"))
-    rejected = prechecked.filter(~F.col("outcome").isin("ok", "insufficient_funds")).select(
+    Both accounts of a request that passes the stateless tests of LED-3
+    belong to the requester, so the fold is exact per owner and runs in
+    parallel across owners: hash partition by owner, sort by (owner,
+    requested_at, l_orderkey, l_linenumber, then the other fields as
+    tie-breakers) and fold each partition's stream with mapInPandas.  Rows
+    refused by a stateless test pass through with their outcome, so the
+    precheck is computed once.  One owner's requests are folded by one task
+    (the fold is sequential by nature); memory stays bounded by that owner's
+    accounts."""
+    n = num_partitions or int(prechecked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = prechecked.select(
         "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
-        "to_account_id", "amount", F.col("outcome").alias("status"),
-        F.lit(None).cast(S.MONEY).alias("src_balance_after"),
-        F.lit(None).cast(S.MONEY).alias("dst_balance_after"))
-    n = num_partitions or int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cand.select("l_orderkey", "l_linenumber", "requested_at", "requester_id",
-                          "from_account_id", "to_account_id", "amount",
-                          _cents("src_balance").alias("src_cents"),
-                          _cents("dst_balance").alias("dst_cents"),
-                          _cents("amount").alias("amount_cents")) \
+        "to_account_id", "amount", "outcome",
+        F.coalesce(_cents("src_balance"), F.lit(0)).alias("src_cents"),
+        F.coalesce(_cents("dst_balance"), F.lit(0)).alias("dst_cents"),
+        F.coalesce(_cents("amount"), F.lit(0)).alias("amount_cents")) \
         .repartition(n, "requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
-    folded = ordered.mapInPandas(_fold_partition, _fold_schema()).select(
+    return ordered.mapInPandas(_fold_partition, _fold_schema()).select(
         "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
         "to_account_id", "amount", "status",
         (F.col("src_cents_after").cast("decimal(20,0)") / 100).cast(S.MONEY)
         .alias("src_balance_after"),
         (F.col("dst_cents_after").cast("decimal(20,0)") / 100).cast(S.MONEY)
         .alias("dst_balance_after"))
-    return folded.unionByName(rejected)
 
 
 def final_balances(applied: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -15,32 +15,60 @@ from ..functions.text import ts_ntz
 from .. import schemas as S
 
 
+REPEAT_CHUNK = 1024
+
+
+def repeat_rows(df: DataFrame, count_col: str) -> DataFrame:
+    """Each row ``count_col`` times, in chunks of at most 1024 copies per
+    generated array, so a very large count never builds one huge array."""
+    c = F.col(count_col)
+    chunks = df.filter(c > 0).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                       F.floor((c - 1) / REPEAT_CHUNK).cast("bigint"))))
+    k = F.least(F.lit(REPEAT_CHUNK).cast("bigint"), c - F.col("_chunk") * REPEAT_CHUNK)
+    return chunks.withColumn("_x", F.explode(F.array_repeat(F.lit(0), k.cast("int")))) \
+        .drop("_chunk", "_x")
+
+
 def bulk_append(existing: DataFrame, batch: DataFrame, key: str, order_cols: list[str],
                 foreign_keys: list[tuple[str, DataFrame, str]] = ()) -> DataFrame:
     """SNK-3: status of every batch row: accepted, duplicate_key (key already
     in the table), duplicate_in_batch (a later copy of a key in the batch) or
     missing_<col> (foreign key without a parent).
 
-    Keys seen more than once in the batch are found with an aggregation; only
-    those rows are ranked with a window, so a batch of unique keys is never
-    sorted per key."""
-    counts = batch.groupBy(key).agg(F.count("*").alias("_n"))
-    b = batch.join(counts, key)
-    single = b.filter(F.col("_n") == 1).withColumn("_rn", F.lit(1))
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    multi = b.filter(F.col("_n") > 1).withColumn("_rn", F.row_number().over(w))
-    b = single.unionByName(multi)
-    b = b.join(existing.select(key).withColumn("_dup", F.lit(True)), key, "left")
-    status = F.when(F.col("_dup").isNotNull(), "duplicate_key") \
-        .when(F.col("_rn") > 1, "duplicate_in_batch")
-    drops = ["_n", "_rn", "_dup"]
+    The batch is read once and reduced to distinct rows with their
+    multiplicity (partial aggregation folds copies before the shuffle).  The
+    first copy of each key is the minimum of (order_cols, other columns)
+    over those rows, found by a second aggregation and joined back one row
+    per key; the key and parent checks run on distinct rows; multiplicities
+    are expanded at the end in bounded chunks.  No key is sorted or buffered
+    in one task."""
+    cols = batch.columns
+    g = batch.groupBy(*cols).agg(F.count("*").alias("_c"))
+    order = F.struct(*[F.col(c) for c in order_cols],
+                     *[F.col(c) for c in cols if c not in order_cols])
+    first = g.groupBy(key).agg(F.min(order).alias("_first"))
+    g = g.join(first, key).withColumn("_is_first", order == F.col("_first"))
+    g = g.join(existing.select(key).withColumn("_dup", F.lit(True)), key, "left")
+    lead = F.when(F.col("_dup").isNotNull(), "duplicate_key") \
+        .when(~F.col("_is_first"), "duplicate_in_batch")
+    drops = ["_first", "_is_first", "_dup"]
     for i, (col, parent, parent_col) in enumerate(foreign_keys):
         flag = f"_fk{i}"
-        b = b.join(parent.select(F.col(parent_col).alias(col)).distinct()
+        g = g.join(parent.select(F.col(parent_col).alias(col)).distinct()
                    .withColumn(flag, F.lit(True)), col, "left")
-        status = status.when(F.col(flag).isNull(), f"missing_{col}")
+        lead = lead.when(F.col(flag).isNull(), f"missing_{col}")
         drops.append(flag)
-    return b.withColumn("append_status", status.otherwise("accepted")).drop(*drops)
+    g = g.withColumn("_lead", lead.otherwise("accepted"))
+    # the first copy of a first row carries the lead status, its other
+    # copies are duplicates within the batch
+    parts = F.when(F.col("_is_first") & F.col("_dup").isNull(), F.array(
+        F.struct(F.col("_lead").alias("s"), F.lit(1).cast("bigint").alias("n")),
+        F.struct(F.lit("duplicate_in_batch").alias("s"), (F.col("_c") - 1).alias("n")))) \
+        .otherwise(F.array(F.struct(F.col("_lead").alias("s"), F.col("_c").alias("n"))))
+    e = g.withColumn("_p", F.explode(parts)).drop(*drops)
+    e = e.select(*cols, F.col("_p.s").alias("append_status"), F.col("_p.n").alias("_n"))
+    return repeat_rows(e, "_n").drop("_n")
 
 
 def _stack(df: DataFrame, table: str, names: list[str]) -> DataFrame:

@@ -63,3 +63,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("/") or base.startswith("file:"):
         return tempfile.mkdtemp(prefix=f"{name}-", dir=base.removeprefix("file:"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet into a fresh folder under the checkpoint
+    folder and return the frame read back: cuts the lineage (an executor loss
+    later does not recompute the input) and computes the input only once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

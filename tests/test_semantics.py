@@ -421,3 +421,13 @@ def test_range_row_numbers_equals_window(spark):
         num_partitions=5).collect()}
     w = Window.partitionBy("user_id").orderBy(F.col("timestamp").desc(), F.col("event_id").desc())
     assert got == {r.event_id: r.rn for r in ev.withColumn("rn", F.row_number().over(w)).collect()}
+
+
+def test_bulk_append_exact_copies(spark):
+    existing = spark.createDataFrame([("k0", 0)], "id string, v int")
+    batch = spark.createDataFrame([("k1", 1)] * 2500 + [("k2", 1), ("k2", 0)], "id string, v int")
+    out = tables.bulk_append(existing, batch, "id", ["v"])
+    got = {(r.id, r.v, r.append_status): r["count"] for r in
+           out.groupBy("id", "v", "append_status").count().collect()}
+    assert got == {("k1", 1, "accepted"): 1, ("k1", 1, "duplicate_in_batch"): 2499,
+                   ("k2", 0, "accepted"): 1, ("k2", 1, "duplicate_in_batch"): 1}
