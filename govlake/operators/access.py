@@ -41,15 +41,19 @@ def visible_rows(data: DataFrame, owner_col: str, roles: DataFrame,
     """Rows of ``data`` each caller may see, with caller_id and caller_role.
 
     Callers of role ``user`` join on the owner column (an equi-join that scales
-    to any number of rows).  Privileged callers see all rows; their ids are a
-    short literal list exploded over the scan and kept by an equi-join, so the
-    plan has no nested-loop or cartesian join.
+    to any number of rows).  Privileged callers see all rows: the (at most
+    ``MAX_CALLERS``) privileged callers enter the plan once as a scalar
+    subquery (an array) that is exploded over the scan, so the plan has no
+    nested-loop or cartesian join and no row is copied for a user caller.
     """
     callers = _callers(roles, caller_ids, permission)
     own = data.join(callers.filter(F.col("caller_role") == "user"),
                     F.col(owner_col) == F.col("caller_id"))
-    every = data.withColumn("caller_id", F.explode(F.array(*[F.lit(c) for c in caller_ids]))) \
-        .join(callers.filter(F.col("caller_role") != "user"), "caller_id")
+    priv = callers.filter(F.col("caller_role") != "user").agg(F.coalesce(
+        F.collect_list(F.struct("caller_id", "caller_role")),
+        F.array().cast("array<struct<caller_id:string,caller_role:string>>"))).scalar()
+    every = data.select(*data.columns, F.explode(priv).alias("_c")) \
+        .select(*data.columns, "_c.caller_id", "_c.caller_role")
     return own.unionByName(every)
 
 

@@ -100,15 +100,20 @@ def resolve_denials(attempts: DataFrame) -> DataFrame:
         F.lit(False).alias("success"), "ticket_id", F.col("caller_role").alias("role"))
 
 
-def queue_stats(visible: DataFrame) -> DataFrame:
+def queue_stats(visible: DataFrame, callers: DataFrame | None = None) -> DataFrame:
     """ESC-5: per caller: total, pending, resolved and average confidence of
-    the tickets the caller may see (0.0 when none)."""
-    return visible.groupBy("caller_id").agg(
+    the tickets the caller may see.  With ``callers`` (caller_id), callers
+    who see no ticket get zeros and an average of 0.0, as the reference."""
+    s = visible.groupBy("caller_id").agg(
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "pending").alias("pending"),
         F.count_if(F.col("status") == "resolved").alias("resolved"),
-        F.round(F.coalesce(F.avg(F.col("confidence").cast("double")), F.lit(0.0)), 6)
-        .alias("avg_confidence"))
+        F.avg(F.col("confidence").cast("double")).alias("_avg"))
+    if callers is not None:
+        s = callers.select("caller_id").distinct().join(s, "caller_id", "left")
+    return s.select("caller_id", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                                   for c in ("total", "pending", "resolved")],
+                    F.round(F.coalesce(F.col("_avg"), F.lit(0.0)), 6).alias("avg_confidence"))
 
 
 def ticket_list(visible: DataFrame) -> DataFrame:

@@ -352,8 +352,12 @@ def q_resolve_denials(spark, sf):
 
 @query("queue_stats")
 def q_queue_stats(spark, sf):
-    return E.queue_stats(access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf),
-                                                CALLERS))
+    """Queue statistics for each caller, zeros for a caller who sees none."""
+    roles = _roles(spark, sf)
+    callers = roles.filter(F.col("user_id").isin(*CALLERS)) \
+        .select(F.col("user_id").alias("caller_id"))
+    return E.queue_stats(access.visible_tickets(V.escalations(spark, sf), roles, CALLERS),
+                         callers)
 
 
 @query("ticket_list")

@@ -307,10 +307,10 @@ FROM att WHERE outcome = 'denied'"""
 EXTRA["resolve_denials"] = RESOLUTION_CTES
 
 SQL["queue_stats"] = """
-SELECT c.caller_id, count(*) AS total, count(*) FILTER (WHERE e.status = 'pending') AS pending,
-       count(*) FILTER (WHERE e.status = 'resolved') AS resolved,
+SELECT c.caller_id, count(e.id) AS total, count(e.id) FILTER (WHERE e.status = 'pending') AS pending,
+       count(e.id) FILTER (WHERE e.status = 'resolved') AS resolved,
        round(COALESCE(avg(CAST(e.confidence AS DOUBLE)), 0.0), 6) AS avg_confidence
-FROM escalations e JOIN callers c ON c.caller_role <> 'user' OR e.user_id = c.caller_id
+FROM callers c LEFT JOIN escalations e ON c.caller_role <> 'user' OR e.user_id = c.caller_id
 GROUP BY c.caller_id"""
 EXTRA["queue_stats"] = [ROLES, CALLER_CTE]
 

@@ -320,6 +320,10 @@ def test_queue_stats_k32(spark):
                               "caller_id string, status string, confidence double")
     r = escalations.queue_stats(v).first()
     assert (r.total, r.pending, r.resolved, r.avg_confidence) == (2, 1, 1, 0.5)
+    callers = spark.createDataFrame([("c",), ("nobody",)], "caller_id string")
+    got = {r.caller_id: (r.total, r.avg_confidence)
+           for r in escalations.queue_stats(v, callers).collect()}
+    assert got == {"c": (2, 0.5), "nobody": (0, 0.0)}
 
 
 def test_bulk_append_statuses(spark):
