@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions.text import normalise_role
 from ..plans import dimensions as D
 
@@ -38,7 +39,7 @@ def _role_flags(spark, *perms: str) -> DataFrame:
     """One row per role with a boolean column per permission (pivot of 35 rows)."""
     rp = D.role_permission(spark)
     aggs = [F.max(F.col("permission") == p).alias(p) for p in perms]
-    return F.broadcast(rp.groupBy("role").agg(*aggs))
+    return D.bounded_broadcast(rp.groupBy("role").agg(*aggs), len(S.ROLES))
 
 
 def escalation_view_acl(requests: DataFrame, roles: DataFrame) -> DataFrame:
@@ -71,8 +72,9 @@ def tool_call_entitlement(calls: DataFrame, roles: DataFrame) -> DataFrame:
     permission the tool needs.  ``calls``: call_id, user_id, tool."""
     spark = calls.sparkSession
     rp, tp = D.role_permission(spark), D.tool_permission(spark)
-    role_tool = F.broadcast(rp.join(tp, "permission").select("role", "tool").distinct()
-                            .withColumn("entitled", F.lit(True)))
+    role_tool = D.bounded_broadcast(
+        rp.join(tp, "permission").select("role", "tool").distinct()
+        .withColumn("entitled", F.lit(True)), len(S.ROLES) * len(S.TOOL_PERMISSIONS))
     c = calls.join(roles.select("user_id", "role"), "user_id", "left") \
         .withColumn("role", normalise_role("role"))
     return c.join(role_tool, ["role", "tool"], "left") \

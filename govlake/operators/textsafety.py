@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import LONG_DIGITS, LONG_DIGITS_MASK
-from ..plans import dimensions as D
 
 WORD_SPLIT = "[^\\p{L}]+"
 LEXICON_MAX_WORDS = 500      # the lexicon is a model; its size is a parameter

@@ -334,9 +334,6 @@ def _resolutions(spark, sf):
                     F.col("timestamp").alias("resolved_at"))
 
 
-from pyspark.sql import Window  # noqa: E402
-
-
 @query("resolve_tickets")
 def q_resolve_tickets(spark, sf):
     after, _ = E.resolve_tickets(_tickets(spark, sf), _resolutions(spark, sf), _roles(spark, sf))

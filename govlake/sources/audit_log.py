@@ -78,10 +78,10 @@ def read_compliance(spark: SparkSession, path: str) -> DataFrame:
 def by_date(events: DataFrame, date=None) -> DataFrame:
     """SRC-3: events of one day; by default the newest day present.
 
-    With a literal date the filter prunes partitions; the default is a scalar
-    subquery on max(event_date)."""
+    With a literal date the filter prunes partitions; the default compares
+    with a scalar subquery on max(event_date) (on a partitioned table its
+    value also prunes partitions at run time)."""
     d = F.to_date("timestamp") if "event_date" not in events.columns else F.col("event_date")
     if date is not None:
         return events.filter(d == F.lit(date).cast("date"))
-    newest = events.select(F.max(d).alias("_d"))
-    return events.join(F.broadcast(newest), d == F.col("_d"), "left_semi")
+    return events.filter(d == events.select(F.max(d)).scalar())

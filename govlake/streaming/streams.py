@@ -212,7 +212,7 @@ def merge_ticket_batch(table_path: str):
             current = creates.limit(0).withColumn("created_day", F.to_date("created_at"))
         days = creates.select(F.to_date("created_at").alias("created_day")).unionByName(
             current.join(resolves.select("id"), "id", "left_semi").select("created_day")).distinct()
-        touched = current.join(F.broadcast(days), "created_day", "left_semi").drop("created_day") \
+        touched = current.join(days, "created_day", "left_semi").drop("created_day") \
             .unionByName(creates).dropDuplicates(["id"])
         last = resolves.groupBy("id").agg(F.max_by(F.struct("r_at", "r_by"), "r_at").alias("r"))
         merged = touched.join(last, "id", "left").select(

@@ -6,7 +6,6 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from govlake import schemas as S
 from govlake.functions.text import normalise_role, shorten, truncate
 from govlake.operators import access, audit, decisions, escalations, iam, ledger, rules, security
 from govlake.operators import tables, textsafety
