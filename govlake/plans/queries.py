@@ -231,24 +231,56 @@ def _audit_jsonl(spark, sf) -> str:
     return path + "/log"
 
 
+def _scanned(ev):
+    """Typed columns of scanned audit events, detail fields extracted."""
+    d = F.col("details")
+    return ev.select(
+        "timestamp", "event_type", "user_id", "action", "success",
+        F.try_variant_get(d, "$.event_id", "bigint").alias("event_id"),
+        F.try_variant_get(d, "$.account_id", "string").alias("account_id"),
+        F.try_variant_get(d, "$.latency_ms", "decimal(18,2)").alias("latency_ms"),
+        F.try_variant_get(d, "$.tokens", "bigint").alias("tokens"), "event_date")
+
+
 @query("audit_jsonl_scan")
 def q_audit_jsonl_scan(spark, sf):
-    ev = L.read_audit(spark, _audit_jsonl(spark, sf))
-    return ev.select("timestamp", "event_type", "user_id", "action", "success",
-                     F.to_json("details").alias("details"), "event_date")
+    return _scanned(L.read_audit(spark, _audit_jsonl(spark, sf)))
 
 
 @query("audit_sink")
 def q_audit_sink(spark, sf):
-    """SNK-1 round trip: write Parquet by day, read back."""
+    """SNK-1 round trip: write Parquet by day, read back (all columns plus
+    the partition column)."""
     path = scratch_path(spark, "audit-parquet") + "/log"
     K.write_audit(V.audit(spark, sf), path, fmt="parquet")
     return spark.read.parquet(path)
 
 
+def _audit_with_details(spark, sf):
+    """Audit events whose details carry the request text, the layer-2
+    analysis and the decision of the request, as the reference logs them."""
+    a = V.audit(spark, sf)
+    d = DEC.decision_matrix(_analysis_with_role(spark, sf)).select(
+        F.col("request_id").alias("event_id"),
+        F.struct(F.col("safety_score").cast("double").alias("safety_score"),
+                 F.col("compliance_score").cast("double").alias("compliance_score"),
+                 F.col("confidence").cast("double").alias("confidence"),
+                 F.col("violated_rules"), F.col("risk_factors"),
+                 F.concat(F.lit("Scores for request "), F.col("request_id").cast("string"))
+                 .alias("analysis")).alias("analysis"),
+        F.struct("action", "reasoning").alias("decision"))
+    return a.join(d, "event_id", "left").select(
+        "timestamp", "event_type", "user_id", "action", "success",
+        F.concat(F.lit("Request "), F.col("event_id").cast("string")).alias("input"),
+        "analysis", "decision",
+        F.when(~F.col("success"), F.concat(F.lit("failed: "), F.col("action"))).alias("error"))
+
+
 @query("audit_verbose")
 def q_audit_verbose(spark, sf):
-    return A.verbose(L.read_audit(spark, _audit_jsonl(spark, sf)))
+    path = scratch_path(spark, "audit-verbose") + "/log"
+    K.write_audit(_audit_with_details(spark, sf), path, fmt="json")
+    return A.verbose(L.read_audit(spark, path))
 
 
 # --- IAM ---------------------------------------------------------------------
@@ -799,7 +831,8 @@ def _stream_run(spark, name, df, output_mode="append", state_store=None):
 @query("stream_follow")
 def q_stream_follow(spark, sf):
     ev = ST.follow(spark, _audit_jsonl(spark, sf))
-    return _stream_run(spark, "follow", ev.withColumn("details", F.to_json("details")))
+    return _scanned(_stream_run(spark, "follow", ev.withColumn("details", F.to_json("details")))
+                    .withColumn("details", F.parse_json("details")))
 
 
 @query("stream_rate")
@@ -826,8 +859,10 @@ def q_stream_dedup(spark, sf):
     K.write_audit(V.audit(spark, sf), path, fmt="json")
     lines = spark.readStream.option("recursiveFileLookup", "true").text(path) \
         .withColumn("line_hash", F.xxhash64("value"))
-    ev = L.parse_lines(lines).withColumn("event_time", F.col("timestamp").cast("timestamp"))
-    return _stream_run(spark, "dedup", ST.dedup(ev).withColumn("details", F.to_json("details")))
+    ev = L.parse_lines(lines).withColumn("event_time", F.col("timestamp").cast("timestamp")) \
+        .withColumn("event_date", F.to_date("timestamp"))
+    out = _stream_run(spark, "dedup", ST.dedup(ev).withColumn("details", F.to_json("details")))
+    return _scanned(out.withColumn("details", F.parse_json("details")))
 
 
 @query("stream_transfers")

@@ -15,11 +15,13 @@ def audit_line(events: DataFrame, top_level=("timestamp", "event_type", "user_id
                                              "success")) -> DataFrame:
     """One JSON object per event: the top-level fields and a ``details`` object
     made of the remaining columns."""
-    rest = [c for c in events.columns if c not in top_level and c != "event_date"]
+    rest = [c for c in events.columns
+            if c not in top_level and c not in ("event_date", "error", "session_id")]
+    extra = [F.col(c) for c in ("session_id", "error") if c in events.columns]
     obj = F.struct(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         *[F.col(c) for c in top_level if c != "timestamp"],
-        F.struct(*[F.col(c) for c in rest]).alias("details"))
+        F.struct(*[F.col(c) for c in rest]).alias("details"), *extra)
     return events.select(F.to_date("timestamp").alias("event_date"),
                          F.to_json(obj).alias("value"))
 

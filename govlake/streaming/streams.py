@@ -31,7 +31,8 @@ def follow(spark: SparkSession, path: str, max_files_per_trigger: int | None = N
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = r.text(path)
-    return parse_lines(lines).withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    return parse_lines(lines).withColumn("event_time", F.col("timestamp").cast("timestamp")) \
+        .withColumn("event_date", F.to_date("timestamp"))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,15 +75,17 @@ def rate(events: DataFrame, duration: str = "1 minute", slide: str | None = None
     w = F.window("event_time", duration, slide) if slide else F.window("event_time", duration)
     return events.withWatermark("event_time", WATERMARK).groupBy(w.alias("w")) \
         .agg(F.count("*").alias("n")) \
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
+        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n")
 
 
 def sessions(events: DataFrame, gap_minutes: int = 60) -> DataFrame:
     """STR-3: closed gap sessions per user."""
     return events.withWatermark("event_time", WATERMARK) \
         .groupBy("user_id", F.session_window("event_time", f"{gap_minutes} minutes").alias("s")) \
-        .agg(F.count("*").alias("interactions"), F.min("event_time").alias("start_time"),
-             F.max("event_time").alias("end_time"),
+        .agg(F.count("*").alias("interactions"),
+             F.min("event_time").cast("timestamp_ntz").alias("start_time"),
+             F.max("event_time").cast("timestamp_ntz").alias("end_time"),
              F.count_if(F.col("event_type") == "safety_block").alias("safety_blocks")) \
         .drop("s")
 
@@ -101,7 +104,8 @@ def alert_windows(events: DataFrame, duration: str = "1 hour") -> DataFrame:
     err = F.round(F.try_divide(F.col("errors").cast("double"), F.col("requests")), 6)
     blk = F.round(F.try_divide(F.col("blocks").cast("double"), F.col("requests")), 6)
     return g.select(
-        F.col("w.start").alias("window_start"), "requests", "errors", err.alias("error_rate"),
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "requests", "errors",
+        err.alias("error_rate"),
         F.when(err > AL.ERROR_CRIT, "critical").when(err > AL.ERROR_WARN, "warning")
         .otherwise("ok").alias("error_level"),
         "blocks", blk.alias("block_rate"),

@@ -954,5 +954,53 @@ EXTRA["audit_ticket_match"] = [
            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ticket_id FROM tu) x WHERE side = 1)"""]
 
 
+
+# --- log round trips -----------------------------------------------------------
+
+SCANNED = """SELECT timestamp, event_type, user_id, action, success, event_id, account_id,
+       latency_ms, tokens, CAST(timestamp AS DATE) AS event_date FROM audit"""
+SQL["audit_jsonl_scan"] = SCANNED
+SQL["stream_follow"] = SCANNED
+SQL["stream_dedup"] = SCANNED
+SQL["audit_sink"] = "SELECT *, CAST(timestamp AS DATE) AS event_date FROM audit"
+
+SQL["audit_verbose"] = """
+SELECT a.timestamp, a.event_type, a.user_id, a.action,
+       concat('Request ', CAST(a.event_id AS VARCHAR)) AS input,
+       CAST(d.safety_score AS DOUBLE) AS safety_score,
+       CASE WHEN d.safety_score >= 0.8 THEN 'green' WHEN d.safety_score >= 0.5 THEN 'yellow'
+            WHEN d.safety_score IS NOT NULL THEN 'red' END AS safety_band,
+       d.violated_rule AS violated,
+       concat('Scores for request ', CAST(a.event_id AS VARCHAR)) AS analysis,
+       d.action AS decision,
+       CASE WHEN length(d.reasoning) <= 120 THEN d.reasoning
+            ELSE concat(left(d.reasoning, 117), '...') END AS reasoning,
+       CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS transaction_id,
+       CAST(NULL AS DECIMAL(18, 2)) AS amount, CAST(NULL AS VARCHAR) AS from_account,
+       CAST(NULL AS VARCHAR) AS to_account,
+       CASE WHEN NOT a.success THEN concat('failed: ', a.action) END AS error
+FROM audit a LEFT JOIN (""" + DECISION_SELECT + """) d ON d.request_id = a.event_id"""
+EXTRA["audit_verbose"] = [ROLES, DECISION_CTE]
+
+
+
+# Streams in append mode emit a window once the watermark (largest event time
+# seen minus 10 minutes) has passed its end.
+WATERMARK_AT = "(SELECT max(timestamp) FROM audit) - INTERVAL 10 MINUTE"
+
+SQL["stream_rate"] = f"""
+SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, n
+FROM (SELECT CAST(date_trunc('minute', timestamp) AS TIMESTAMP) AS window_start, count(*) AS n
+      FROM audit GROUP BY 1) w
+WHERE window_start + INTERVAL 1 MINUTE <= {WATERMARK_AT}"""
+
+SQL["stream_sessions"] = f"""
+SELECT user_id, count(*) AS interactions, min(timestamp) AS start_time, max(timestamp) AS end_time,
+       count(*) FILTER (WHERE event_type = 'safety_block') AS safety_blocks
+FROM g GROUP BY user_id, sid
+HAVING max(timestamp) + INTERVAL 60 MINUTE <= {WATERMARK_AT}"""
+EXTRA["stream_sessions"] = SESSION_CTES
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
