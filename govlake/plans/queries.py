@@ -642,12 +642,18 @@ def q_unified_event_log(spark, sf):
 
 def _compliance_jsonl(spark, sf) -> str:
     path = scratch_path(spark, "compliance-jsonl") + "/log"
-    recs = _records(spark, sf)
-    for r in recs:
+    frames = []
+    for r in _records(spark, sf):
         detail = [c for c in r.columns if c not in ("framework", "timestamp", "event_type",
                                                     "user_id")]
-        K.write_compliance(r.select("framework", "timestamp", "event_type", "user_id",
-                                    F.struct(*detail).alias("details")), path)
+        # each kind has its own detail fields: carry them as VARIANT so all
+        # kinds are written by one job
+        frames.append(r.select("framework", "timestamp", "event_type", "user_id",
+                               F.parse_json(F.to_json(F.struct(*detail))).alias("details")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    K.write_compliance(out, path)
     return path
 
 
@@ -656,7 +662,8 @@ def q_compliance_sink(spark, sf):
     """SNK-2 then SRC-2: records routed by framework and day, read back."""
     ev = L.read_compliance(spark, _compliance_jsonl(spark, sf))
     return ev.select("framework", "timestamp", "event_type", "user_id",
-                     F.to_json("details").alias("details"), "event_date")
+                     F.try_variant_get("details", "$.event_id", "bigint").alias("event_id"),
+                     "event_date")
 
 
 @query("compliance_jsonl_scan")

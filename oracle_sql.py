@@ -1002,5 +1002,17 @@ HAVING max(timestamp) + INTERVAL 60 MINUTE <= {WATERMARK_AT}"""
 EXTRA["stream_sessions"] = SESSION_CTES
 
 
+
+SQL["compliance_sink"] = ("SELECT framework, timestamp, event_type, user_id, event_id, "
+                          "CAST(timestamp AS DATE) AS event_date FROM ("
+                          + "\nUNION ALL\n".join(UNIFIED_PARTS[1:])
+                          + ") x(source, framework, event_id, timestamp, event_type, user_id)")
+EXTRA["compliance_sink"] = [ROLES]
+
+SQL["stream_backlog"] = """
+SELECT CAST(sum(delta) AS BIGINT) AS pending, max(ts) AS as_of, sum(delta) > 100 AS alert FROM tev"""
+EXTRA["stream_backlog"] = EXTRA["alert_backlog"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
