@@ -912,7 +912,8 @@ def q_stream_tickets(spark, sf):
     creates = t.select(F.lit("create").alias("kind"), "id", "user_id", "input_text",
                        "agent_reasoning", F.col("confidence").cast("double").alias("confidence"),
                        "created_at", F.col("created_at").alias("event_time_ntz"),
-                       F.lit(None).cast("string").alias("actor"))
+                       F.lit(None).cast("string").alias("actor"),
+                       F.lit(None).cast("bigint").alias("seq"))
     _, attempts = E.resolve_tickets(_tickets(spark, sf), _resolutions(spark, sf), _roles(spark, sf))
     res = attempts.filter(F.col("outcome") == "resolved").select(
         F.lit("resolve").alias("kind"), F.col("ticket_id").alias("id"),
@@ -920,7 +921,8 @@ def q_stream_tickets(spark, sf):
         F.lit(None).cast("string").alias("agent_reasoning"),
         F.lit(None).cast("double").alias("confidence"),
         F.lit(None).cast("timestamp_ntz").alias("created_at"),
-        F.col("resolved_at").alias("event_time_ntz"), F.col("caller_id").alias("actor"))
+        F.col("resolved_at").alias("event_time_ntz"), F.col("caller_id").alias("actor"),
+        F.col("resolution_id").cast("bigint").alias("seq"))
     base = scratch_path(spark, "ticket-events")
     ev = creates.unionByName(res)
     ev.write.mode("overwrite").parquet(base + "/events")

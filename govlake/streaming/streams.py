@@ -209,7 +209,8 @@ def merge_ticket_batch(table_path: str):
             F.lit("pending").alias("status"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
             F.lit(None).cast("string").alias("resolved_by"))
         resolves = batch.filter(F.col("kind") == "resolve").select(
-            "id", F.col("event_time_ntz").alias("r_at"), F.col("actor").alias("r_by"))
+            "id", F.col("event_time_ntz").alias("r_at"), F.col("actor").alias("r_by"),
+            F.col("seq").alias("r_seq"))
         try:
             current = spark.read.parquet(table_path)
         except Exception:  # first batch: no table yet
@@ -218,7 +219,9 @@ def merge_ticket_batch(table_path: str):
             current.join(resolves.select("id"), "id", "left_semi").select("created_day")).distinct()
         touched = current.join(days, "created_day", "left_semi").drop("created_day") \
             .unionByName(creates).dropDuplicates(["id"])
-        last = resolves.groupBy("id").agg(F.max_by(F.struct("r_at", "r_by"), "r_at").alias("r"))
+        # the latest resolution wins (time, then event order), as in ESC-3
+        last = resolves.groupBy("id").agg(
+            F.max_by(F.struct("r_at", "r_by"), F.struct("r_at", "r_seq")).alias("r"))
         merged = touched.join(last, "id", "left").select(
             "id", "user_id", "input_text", "agent_reasoning", "confidence", "created_at",
             F.when(F.col("r").isNotNull(), "resolved").otherwise(F.col("status")).alias("status"),

@@ -1014,5 +1014,16 @@ SELECT CAST(sum(delta) AS BIGINT) AS pending, max(ts) AS as_of, sum(delta) > 100
 EXTRA["stream_backlog"] = EXTRA["alert_backlog"]
 
 
+
+# The stream starts from the created tickets (pending) and applies every
+# allowed resolution event; the latest per ticket wins.
+SQL["stream_tickets"] = """
+SELECT t.id, t.user_id, t.input_text, t.agent_reasoning, CAST(t.confidence AS DOUBLE) AS confidence,
+       t.created_at, CASE WHEN l.ticket_id IS NOT NULL THEN 'resolved' ELSE 'pending' END AS status,
+       l.resolved_at, l.caller_id AS resolved_by, CAST(t.created_at AS DATE) AS created_day
+FROM escalations t LEFT JOIN lastres l ON l.ticket_id = t.id"""
+EXTRA["stream_tickets"] = RESOLUTION_CTES
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
