@@ -515,7 +515,13 @@ def q_text_safety_check(spark, sf):
 
 @query("mask_account_numbers")
 def q_mask_account_numbers(spark, sf):
-    return TS.mask_account_numbers(read_table(spark, sf, "documents"), ["text"])
+    """Masked documents and web pages (whole texts)."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"]) \
+        .select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("id"), "text")
+    pages = read_table(spark, sf, "pages", ["page_id", "html"]) \
+        .select(F.lit("pages").alias("source_table"), F.col("page_id").alias("id"),
+                F.col("html").alias("text"))
+    return TS.mask_account_numbers(docs.unionByName(pages), ["text"])
 
 
 @query("sensitive_text_scan")

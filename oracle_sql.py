@@ -500,7 +500,9 @@ EXTRA["safety_gate"] = LEXICON_CTES + _layer1("user_requests", "conv_id, turn",
 MASK = ("regexp_replace(regexp_replace({t}, '[0-9]{{9,}}([0-9]{{4}})', '****\\1', 'g'), "
         "'[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}[ -]([0-9]{{4}})', '****\\1', 'g')")
 SQL["mask_account_numbers"] = f"""
-SELECT doc_id, {MASK.format(t='text')} AS text, lang, source, n_chars FROM documents"""
+SELECT 'documents' AS source_table, doc_id AS id, {MASK.format(t='text')} AS text FROM documents
+UNION ALL
+SELECT 'pages', page_id, {MASK.format(t='html')} FROM pages"""
 
 SQL["sensitive_text_scan"] = "SELECT doc_id, " + ", ".join(
     f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{k}"

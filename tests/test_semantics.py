@@ -434,3 +434,36 @@ def test_bulk_append_exact_copies(spark):
            out.groupBy("id", "v", "append_status").count().collect()}
     assert got == {("k1", 1, "accepted"): 1, ("k1", 1, "duplicate_in_batch"): 2499,
                    ("k2", 0, "accepted"): 1, ("k2", 1, "duplicate_in_batch"): 1}
+
+
+# --- stated deviations ---------------------------------------------------------
+
+def test_k11_nan_amount_is_refused(spark):
+    roles = roles_df(spark, [("user1", "user")])
+    reqs = spark.createDataFrame([(1, 1, T0, "user1", "acc1", "acc2", float("nan"))],
+                                 "l_orderkey long, l_linenumber int, requested_at timestamp_ntz, "
+                                 "requester_id string, from_account_id string, "
+                                 "to_account_id string, amount double") \
+        .withColumn("amount", F.col("amount").try_cast("decimal(18,2)"))
+    out = ledger.transfer_precheck(reqs, roles, accounts_df(spark)).first()
+    assert out.amount is None and out.outcome == "invalid_amount"
+
+
+def test_k26_day_from_event_time(spark, tmp_path):
+    from govlake.sources import sinks
+    ev = events_df(spark, [(1, dt.datetime(2024, 1, 1, 23, 59, 59), "user_query", "u", "a", True),
+                           (2, dt.datetime(2024, 1, 2, 0, 0, 1), "user_query", "u", "a", True)])
+    sinks.write_audit(ev, str(tmp_path / "log"), fmt="parquet")
+    back = {r.event_id: r.event_date for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert back == {1: dt.date(2024, 1, 1), 2: dt.date(2024, 1, 2)}
+
+
+def test_k29_fraud_ticket_keeps_metadata_k30_no_read_time(spark):
+    import json
+    rep = spark.createDataFrame([(7, "u", "acc1", "card stolen", T0)],
+                                "event_id long, user_id string, account_id string, "
+                                "description string, timestamp timestamp_ntz")
+    t = escalations.fraud_tickets(rep).first()
+    assert json.loads(t.metadata) == {"account_id": "acc1", "type": "fraud_report"}
+    assert t.confidence == 1.0 and t.input_text == "Fraud report for account acc1: card stolen"
+    assert "timestamp" not in escalations.fraud_tickets(rep).columns
