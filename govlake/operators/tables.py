@@ -36,14 +36,17 @@ def bulk_append(existing: DataFrame, batch: DataFrame, key: str, order_cols: lis
     in the table), duplicate_in_batch (a later copy of a key in the batch) or
     missing_<col> (foreign key without a parent).
 
-    The batch is read once and reduced to distinct rows with their
-    multiplicity (partial aggregation folds copies before the shuffle).  The
+    The batch is written once to the checkpoint folder (it is read twice
+    below, and its lineage may be long) and reduced to distinct rows with
+    their multiplicity (partial aggregation folds copies before the shuffle).  The
     first copy of each key is the minimum of (order_cols, other columns)
     over those rows, found by a second aggregation and joined back one row
     per key; the key and parent checks run on distinct rows; multiplicities
     are expanded at the end in bounded chunks.  No key is sorted or buffered
     in one task."""
+    from ..session import materialize
     cols = batch.columns
+    batch = materialize(batch, "append-batch")
     g = batch.groupBy(*cols).agg(F.count("*").alias("_c"))
     order = F.struct(*[F.col(c) for c in order_cols],
                      *[F.col(c) for c in cols if c not in order_cols])

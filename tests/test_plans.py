@@ -9,7 +9,8 @@ from conftest import SF_SMALL
 # These queries run jobs (write, stream, fit, checkpoint) when called.
 ACTIVE = {"audit_jsonl_scan", "audit_sink", "audit_verbose", "compliance_sink",
           "compliance_jsonl_scan", "toxicity_model", "text_safety_check",
-          "latency_percentiles", "exfiltration", "alert_latency", "ticket_list"}
+          "latency_percentiles", "exfiltration", "alert_latency", "ticket_list",
+          "bulk_append"}
 PYTHON_OK = {"transfer_apply", "final_balances"}
 KEYS = sorted(k for k in E.queries() if k not in ACTIVE and not k.startswith("stream_"))
 
