@@ -15,6 +15,11 @@ from .. import schemas as S
 from ..functions.text import LONG_DIGITS, LONG_DIGITS_MASK
 
 WORD_SPLIT = "[^\\p{L}]+"
+
+# The layer-1 result messages (the score is printed with two
+# decimals between the two parts).
+L1_FAILED = "\u26a0\ufe0f Layer 1 (ML) Safety Check FAILED. Toxicity: "
+L1_PASSED = "\u2705 Layer 1 (ML) Safety Check PASSED. Toxicity: "
 LEXICON_MAX_WORDS = 500      # the lexicon is a model; its size is a parameter
 LEXICON_MIN_TOXIC_DOCS = 2
 LEXICON_MIN_LOG_ODDS = 2.0
@@ -76,8 +81,7 @@ def layer1_scores(texts: DataFrame, keys: list[str], text_col: str, lexicon: Dat
     return texts.select(*keys, hits.alias("hits")).select(
         *keys, "hits", tox.alias("toxicity"), sev.alias("severe_toxicity"),
         (~failed).alias("passed"),
-        F.concat(F.when(failed, F.lit("Layer 1 (ML) Safety Check FAILED. Toxicity: "))
-                 .otherwise(F.lit("Layer 1 (ML) Safety Check PASSED. Toxicity: ")),
+        F.concat(F.when(failed, F.lit(L1_FAILED)).otherwise(F.lit(L1_PASSED)),
                  F.format_number(tox, 2),
                  F.when(failed, F.lit(". Request blocked."))
                  .otherwise(F.lit(". Proceeding to Layer 2."))).alias("message"))

@@ -484,8 +484,8 @@ def _layer1(src: str, keys: str, text: str) -> list[str]:
 
 LAYER1_SELECT = """SELECT *, NOT (toxicity > 0.7 OR severe_toxicity > 0.5) AS passed,
   concat(CASE WHEN toxicity > 0.7 OR severe_toxicity > 0.5
-              THEN 'Layer 1 (ML) Safety Check FAILED. Toxicity: '
-              ELSE 'Layer 1 (ML) Safety Check PASSED. Toxicity: ' END,
+              THEN '\u26a0\ufe0f Layer 1 (ML) Safety Check FAILED. Toxicity: '
+              ELSE '\u2705 Layer 1 (ML) Safety Check PASSED. Toxicity: ' END,
          printf('%.2f', toxicity),
          CASE WHEN toxicity > 0.7 OR severe_toxicity > 0.5 THEN '. Request blocked.'
               ELSE '. Proceeding to Layer 2.' END) AS message FROM scored"""
