@@ -1,8 +1,10 @@
 """Rule matching and layer-2 analysis (SAF-6, SAF-7).
 
-The rule patterns are fixed values, so each rule becomes one ``rlike`` with a
-literal pattern (compiled once per task) inside a projection: no join against
-a rule table, no shuffle, and whole-stage code generation over the texts.
+The rule patterns are fixed values, so each rule becomes a column expression
+over the lower-case text: ``contains`` for literal phrases, ``rlike`` with a
+literal pattern (compiled once per task) for real patterns.  All rules are
+tested in one code-generated projection: no join against a rule table, no
+shuffle, no lambdas.
 """
 
 from __future__ import annotations

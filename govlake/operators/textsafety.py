@@ -41,8 +41,8 @@ def toxicity_lexicon(docs: DataFrame, labels: DataFrame, max_words: int = LEXICO
     Each document's words are made distinct before the explode, so the
     shuffle carries one row per (document, word); word counts use partial
     aggregation, so a very common word is not one task's burden.  At most
-    ``max_words`` words (by log-odds, then word) are kept: the output has a
-    known bound and may be broadcast."""
+    ``max_words`` words (by log-odds, then word) are kept, so the model has a
+    known size bound."""
     lab = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
     n_toxic = lab.agg(F.count_if(F.col("toxic") == 1)).scalar()
     n_clean = lab.agg(F.count_if(F.col("toxic") == 0)).scalar()

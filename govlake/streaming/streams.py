@@ -217,8 +217,11 @@ def merge_ticket_batch(table_path: str):
             current = creates.limit(0).withColumn("created_day", F.to_date("created_at"))
         days = creates.select(F.to_date("created_at").alias("created_day")).unionByName(
             current.join(resolves.select("id"), "id", "left_semi").select("created_day")).distinct()
+        # a create for a ticket already in the table is a replayed batch: keep
+        # the table's row
+        fresh = creates.join(current.select("id"), "id", "left_anti")
         touched = current.join(days, "created_day", "left_semi").drop("created_day") \
-            .unionByName(creates).dropDuplicates(["id"])
+            .unionByName(fresh)
         # the latest resolution wins (time, then event order), as in ESC-3
         last = resolves.groupBy("id").agg(
             F.max_by(F.struct("r_at", "r_by"), F.struct("r_at", "r_seq")).alias("r"))
