@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
@@ -12,12 +12,36 @@ READS = ["account_access", "transaction_query"]
 
 def brute_force(events: DataFrame, min_failures: int = 3, window_seconds: int = 3600) -> DataFrame:
     """SEC-1: failed logins that are the ``min_failures``-th or later within
-    the hour before them, per user (range frame on epoch seconds; only the
-    failures are sorted)."""
-    f = events.filter(F.col("event_type") == "auth_failure")
-    n = F.expr(f"count(*) OVER (PARTITION BY user_id ORDER BY timestamp RANGE BETWEEN "
-               f"INTERVAL {int(window_seconds)} SECONDS PRECEDING AND CURRENT ROW)")
-    return f.withColumn("failures_in_window", n) \
+    the ``window_seconds`` before them (inclusive), per user.
+
+    Two-level, so a user with very many failures is not one window task:
+    failures fall into aligned buckets of the window's length; the count in
+    [t - W, t] is the running count inside t's bucket plus the failures of
+    the previous bucket at or after t - W, read off a "probe" row placed at
+    t - W in that bucket.  Every window runs per (user, bucket)."""
+    w = int(window_seconds)
+    sec = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', timestamp)")
+    f = events.filter(F.col("event_type") == "auth_failure") \
+        .select("event_id", "user_id", "timestamp", sec.alias("_s")) \
+        .withColumn("_b", F.floor(F.col("_s") / w))
+    # failures in t's bucket at or before t (peers with the same time count)
+    w_in = Window.partitionBy("user_id", "_b").orderBy("_s") \
+        .rangeBetween(Window.unboundedPreceding, 0)
+    here = f.withColumn("_here", F.count("*").over(w_in))
+    # probes at t - W in the previous bucket: failures there before the probe
+    evs = f.select("user_id", "_b", "_s", F.lit(None).cast("long").alias("_probe_of"),
+                   F.lit(1).alias("_is_event"))
+    probes = f.select("user_id", (F.col("_b") - 1).alias("_b"), (F.col("_s") - w).alias("_s"),
+                      F.col("event_id").alias("_probe_of"), F.lit(0).alias("_is_event"))
+    w_run = Window.partitionBy("user_id", "_b").orderBy("_s", "_is_event") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = evs.unionByName(probes).withColumn("_before", F.sum("_is_event").over(w_run))
+    totals = evs.groupBy("user_id", "_b").agg(F.count("*").alias("_total"))
+    prev = runs.filter(F.col("_is_event") == 0).join(totals, ["user_id", "_b"], "left") \
+        .select(F.col("_probe_of").alias("event_id"),
+                (F.coalesce(F.col("_total"), F.lit(0)) - F.col("_before")).alias("_prev"))
+    return here.join(prev, "event_id") \
+        .withColumn("failures_in_window", F.col("_here") + F.col("_prev")) \
         .filter(F.col("failures_in_window") >= min_failures) \
         .select("event_id", "user_id", "timestamp", "failures_in_window")
 

@@ -467,3 +467,24 @@ def test_k29_fraud_ticket_keeps_metadata_k30_no_read_time(spark):
     assert json.loads(t.metadata) == {"account_id": "acc1", "type": "fraud_report"}
     assert t.confidence == 1.0 and t.input_text == "Fraud report for account acc1: card stolen"
     assert "timestamp" not in escalations.fraud_tickets(rep).columns
+
+
+def test_brute_force_two_level_equals_brute_force(spark):
+    import random
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(400):
+        user = "hot" if rnd.random() < 0.7 else f"u{rnd.randint(1, 3)}"
+        # whole minutes, so equal times and exact one-hour distances occur
+        rows.append((i, base + dt.timedelta(minutes=rnd.randint(0, 600)), "auth_failure", user,
+                     "login", False))
+    ev = events_df(spark, rows)
+    got = {r.event_id: r.failures_in_window for r in security.brute_force(ev).collect()}
+    want = {}
+    for i, t, _, u, _, _ in rows:
+        n = sum(1 for _, t2, _, u2, _, _ in rows
+                if u2 == u and t - dt.timedelta(hours=1) <= t2 <= t)
+        if n >= 3:
+            want[i] = n
+    assert got == want
