@@ -13,14 +13,32 @@ from conftest import SF_SMALL
 KEYS = sorted(E.oracle_sql())
 
 
+def _spark_kind(t) -> str:
+    s = t.simpleString()
+    return {"int": "int32", "smallint": "int32", "tinyint": "int32", "bigint": "int64",
+            "timestamp_ntz": "timestamp", "timestamp": "timestamp"}.get(s, s)
+
+
+def _duck_kind(t) -> str:
+    s = str(t)
+    if s.startswith("DECIMAL"):
+        return "decimal" + s[7:].replace(" ", "").lower()
+    return {"INTEGER": "int32", "SMALLINT": "int32", "TINYINT": "int32", "BIGINT": "int64",
+            "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "BOOLEAN": "boolean",
+            "DATE": "date"}.get(s, "timestamp" if s.startswith("TIMESTAMP") else s)
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF_SMALL)
     s_cols, s_rows = sdf.columns, [tuple(r) for r in sdf.collect()]
-    res = duck.execute(E.oracle_sql()[key])
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = duck.sql(E.oracle_sql()[key])
+    d_cols, d_types = rel.columns, rel.types
+    d_rows = rel.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    s_kinds = {f.name: _spark_kind(f.dataType) for f in sdf.schema.fields}
+    d_kinds = {c: _duck_kind(t) for c, t in zip(d_cols, d_types)}
+    assert s_kinds == d_kinds
     assert len(s_rows) == len(d_rows)
     si = sorted(range(len(s_cols)), key=lambda i: s_cols[i])
     di = sorted(range(len(d_cols)), key=lambda i: d_cols[i])
