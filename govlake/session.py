@@ -58,11 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    if base.startswith("/") or base.startswith("file:"):
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=base.removeprefix("file:"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh sub-folder name under the shared checkpoint folder.
+
+    Only a path is built: the file system it names (local, HDFS, an object
+    store) creates it when Spark writes, so the driver's disk is never used
+    in its place.
+    """
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str):
@@ -71,4 +73,14 @@ def materialize(df, name: str):
     later does not recompute the input) and computes the input only once."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(df) -> None:
+    """Delete the folders a materialised frame was read from, once nothing
+    lazy depends on it any more."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ the design says so, filters and column pruning reach the Parquet scan."""
 import pytest
 
 import __spark_entry__ as E
+from govlake.plans.queries import REGISTRY
 from conftest import SF_SMALL
 
 # These queries run jobs (write, stream, fit, checkpoint) when called.
@@ -12,7 +13,7 @@ ACTIVE = {"audit_jsonl_scan", "audit_sink", "audit_verbose", "compliance_sink",
           "latency_percentiles", "exfiltration", "alert_latency", "ticket_list",
           "bulk_append"}
 PYTHON_OK = {"transfer_apply", "final_balances"}
-KEYS = sorted(k for k in E.queries() if k not in ACTIVE and not k.startswith("stream_"))
+KEYS = sorted(k for k in REGISTRY if k not in ACTIVE and not k.startswith("stream_"))
 
 
 def plan(df):
