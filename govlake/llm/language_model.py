@@ -15,12 +15,13 @@ Nothing of the model is broadcast or collected.  Documents are dealt into
 blocks by a hash of their id.  Each block asks for the counts of its own
 distinct words and bigrams; counts are summed per hash in buckets and sent back
 to the blocks that asked.  A bigram known to one block only needs no answer, as
-its count is the block's own.  Counts travel as packed columns, so what is
+its count is the block's own.  Counts travel as packed, sorted columns, so what is
 gathered from the corpus grows with its distinct n-grams.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from govlake.llm.textkit import U64, chunks, mix64, seeds, words
 from govlake.session import materialize
 
 GAMMA, KAPPA = 0.6, 2.0
+#: Words are told apart by 64-bit hashes, bigrams by this many bits.
+PAIR_BITS = 52
 _END, _START = seeds(2, 401)
 _PAIR = seeds(2, 409)
 
@@ -43,18 +46,17 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(False))
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return zstandard.compress(len(columns[0]).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns), 1)
+def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, and counts, byte plane by byte plane."""
+    steps = np.diff(keys, prepend=U64(0)).astype("<u8").view("u1").reshape(-1, 8)
+    planes = np.concatenate([steps, counts.astype("<u8").view("u1").reshape(-1, 8)], axis=1)
+    return zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
 
 
-def _unpack(blob: bytes, *types: str) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for t in types:
-        size = n * np.dtype(t).itemsize
-        out.append(np.frombuffer(raw, t, n, at))
-        at += size
-    return out
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob), "u1").reshape(16, -1)
+    steps, counts = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in (planes[:8], planes[8:]))
+    return np.cumsum(steps, dtype=U64), counts.astype(np.int64)
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,7 +78,7 @@ def _bigrams(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[first[:-1]] = _START
-    return mix64(before * _PAIR[0] + tokens * _PAIR[1])
+    return mix64(before * _PAIR[0] + tokens * _PAIR[1]) >> U64(64 - PAIR_BITS)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +126,19 @@ def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
         for order, parts in ((1, one), (2, two)):
             keys, counts = _merge(parts)
             # keys are sorted and a bucket is a range of hashes: each bucket is a slice
-            cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
+            cuts = np.searchsorted(_bucket(keys, order, buckets), np.arange(buckets + 1))
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
                 if hi > lo:
-                    rows.append((b, order, block, _pack(keys[lo:hi], counts[lo:hi].astype("<u4"))))
+                    rows.append((b, order, block, _pack(keys[lo:hi], counts[lo:hi])))
         return pd.DataFrame(rows, columns=["bucket", "ord", "block", "data"])
 
     return blocks.groupBy("block").applyInPandas(run, _REQUEST)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+def _bucket(keys: np.ndarray, order: int, buckets: int) -> np.ndarray:
+    top = keys >> U64(32 if order == 1 else PAIR_BITS - 32)
+    return (top * U64(buckets) >> U64(32)).astype(np.int64)
 
 
 def _answers(requests: DataFrame) -> DataFrame:
@@ -144,9 +147,9 @@ def _answers(requests: DataFrame) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         order = int(g["ord"].iloc[0])
-        parts = [_unpack(d, "<u8", "<u4") for d in g["data"]]
+        parts = [_unpack(d) for d in g["data"]]
         keys = np.concatenate([p[0] for p in parts])
-        local = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        local = np.concatenate([p[1] for p in parts])
         uniq, inverse = np.unique(keys, return_inverse=True)
         total = np.zeros(len(uniq), dtype=np.int64)
         np.add.at(total, inverse, local)
@@ -156,10 +159,10 @@ def _answers(requests: DataFrame) -> DataFrame:
             n = len(p[0])
             other = np.flatnonzero(here[at:at + n] != p[1])    # else the block's own count is the answer
             if len(other):
-                rows.append((order, int(block), _pack(p[0][other], here[at:at + n][other].astype("<u8"))))
+                rows.append((order, int(block), _pack(p[0][other], here[at:at + n][other])))
             at += n
         if order == 1:
-            rows.append((0, -1, _pack(np.array([total.sum(), (total > 0).sum()], dtype="<i8"))))
+            rows.append((0, -1, struct.pack("<qq", total.sum(), (total > 0).sum())))
         return pd.DataFrame(rows, columns=["ord", "block", "data"])
 
     return requests.groupBy("ord", "bucket").applyInPandas(run, "ord int, block int, data binary")
@@ -193,7 +196,7 @@ class Automaton:
 def _replace(keys: np.ndarray, counts: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     counts = counts.astype(np.int64)
     for blob in blobs:
-        k, c = _unpack(blob, "<u8", "<u8")
+        k, c = _unpack(blob)
         counts[np.searchsorted(keys, k)] = c
     return keys, counts
 
@@ -210,7 +213,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks, buckets = 2 * parts, 2 * parts
+    n_blocks, buckets = 2 * parts, parts
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(
         F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(n_blocks)).cast("int").alias("block"),
@@ -218,7 +221,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = dealt.repartition(parts, "block")
     answers = _answers(_requests(blocks, buckets))
     answers = materialize(answers, "counts")
-    stats = [np.frombuffer(zstandard.decompress(r["data"])[8:], "<i8")
+    stats = [struct.unpack("<qq", r["data"])
              for r in answers.filter("ord = 0").select("data").collect()]   # two numbers per bucket
     n_tokens, n_words = (int(sum(s[i] for s in stats)) for i in (0, 1))
     n_docs = dealt.filter("not held").count()
