@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from govlake.llm.textkit import NON_ALNUM, U64, chunks, distinct_pairs, mix64, words
 
 #: Bounds of the fitting sample: documents of each class, and UTF-8 bytes in all.
-FIT_DOCS = 2000
-FIT_BYTES = 24_000_000
+FIT_DOCS = 1000
+FIT_BYTES = 8_000_000
 #: A feature is evidence if toxic documents hold it more often, with a
 #: log-likelihood ratio (G squared) of at least this against equal rates.
 MIN_G2 = 24.0
@@ -139,7 +139,7 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Crf:
     n1, n0 = max(1.0, y[tagger].sum()), max(1.0, (1 - y[tagger]).sum())
     per_doc = []
     hashes, docs_of, first = [], [], [0]
-    for lo, hi, data, off in chunks(pa.array(texts, pa.large_string())):
+    for lo, hi, data, off in chunks(pa.array(texts, pa.large_string()), 1 << 18):
         w = words(data, off, NON_ALNUM)
         hs = _feature_hashes(w)
         hashes.append(np.stack(hs, 1))
