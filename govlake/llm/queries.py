@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.llm import decontam, embeddings, language_model, lines, mixing, neardup, suffixes, toxicity
+from govlake.llm import (decontam, embeddings, html_text, language_model, lines, mixing, neardup, private_data,
+                         suffixes, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -17,6 +18,17 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private_data.find_private_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                      sha256(F.col("base")).alias("base_sha256"), "spans")
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,6 +71,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_private_data": op2_private_data,
     "op3_suffix_array": op3_suffix_array,
     "op4_language_model": op4_language_model,
     "op5_minhash": op5_minhash,
