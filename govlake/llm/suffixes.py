@@ -3,17 +3,18 @@
 A byte goes if a LENGTH-byte string that covers it also starts in a document of
 a smaller id.  Sorting every suffix would move LENGTH bytes per byte of text, so
 only anchored suffixes are sorted: the anchor of a LENGTH-byte window is the
-position in it whose GRAM bytes have the smallest hash (leftmost on ties).
-Equal windows have their anchors at equal offsets, and one anchor serves about
+position in it whose GRAM bytes come first in a fixed order (by hash, frequent
+ones last; leftmost on ties).  Equal windows have their anchors at equal offsets, and one anchor serves about
 20 windows that start next to each other.  An anchor's context, the bytes its
 windows cover, holds all that must be compared.
 
 1. Map: find anchors and their contexts.  Equal contexts of a chunk are one
    row, that of the smallest id; the others are covered by it already.
 2. Contexts go to buckets by the hash of their GRAM bytes.  GRAM bytes that a
-   scan of one document in 64 finds to be frequent have their contexts cut into
-   single windows, which go by the hash of the whole window: a line that a
-   third of all documents hold is no single group.
+   scan of one document in SAMPLE finds to be frequent come last in the order:
+   they are anchors only of windows that hold no rarer ones, and those, like a
+   line that a third of all documents hold, are few distinct contexts.  So no
+   bucket collects the many texts that merely share a frequent string.
 3. Bucket: contexts are sorted to the right and to the left of the anchor by
    deep-shallow sorting: by machine words to a shallow depth (the vectorised
    form of multikey quicksort), then every group that is still equal goes
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlake.llm.textkit import U64, chunks, mix64, seeds
+from govlake.session import drop_scratch, materialize
 
 LENGTH = 50
 GRAM = 8
@@ -47,23 +49,34 @@ WIDTH = LEFT + LENGTH             # and most bytes in all
 ROW = -(-WIDTH // 8) * 8          # stored width, whole machine words
 SHALLOW = 16
 CHUNK = 4 << 20
-#: GRAM bytes are frequent from this share of the sampled anchors on (so there
-#: are at most 1 / FREQUENT of them).
-FREQUENT = 1e-4
+#: GRAM bytes are frequent from this share of all positions on, 1 / (SHARE *
+#: shuffle partitions) but LEAST_SHARE at least, so there are at most
+#: 1 / LEAST_SHARE of them.
+SHARE = 400
+LEAST_SHARE = 1e-6
 SAMPLE = 64
 
-_COLUMNS = np.arange(ROW)
+_COLUMNS = np.arange(ROW, dtype=np.uint8)
 
 
-def _anchors(data: np.ndarray, off: np.ndarray):
+def _gram_view(data: np.ndarray) -> np.ndarray:
+    return np.ndarray((len(data) - GRAM + 1,), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def _anchors(data: np.ndarray, off: np.ndarray, late: np.ndarray):
     """(anchor, first window, last window, document) of all runs of windows
-    that share an anchor; windows never cross documents."""
+    that share an anchor; windows never cross documents.  ``late`` is a table
+    over the top bits of the hash: its marked ones come last in the order."""
     n = len(data) - LENGTH + 1
     none = np.zeros(0, dtype=np.int64)
     if n <= 0:
         return none, none, none, none
-    grams = np.ndarray((len(data) - GRAM + 1,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-    low = (mix64(grams) & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=U64)
+    low = mix64(_gram_view(data))
+    last_ones = late[(low >> U64(64 - len(late).bit_length() + 1)).astype(np.int64)]
+    low >>= U64(1)
+    low &= U64(0x7FFFFFFF00000000)
+    low |= np.arange(len(low), dtype=U64)
+    low[last_ones] |= U64(1 << 63)
     width = 1
     while 2 * width <= LEFT + 1:                       # sliding minimum by doubling
         low = np.minimum(low[:-width], low[width:])
@@ -83,11 +96,15 @@ def _anchors(data: np.ndarray, off: np.ndarray):
     return at[first], first, last, doc[first]
 
 
+def _inside(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (_COLUMNS >= lo.astype(np.uint8)[:, None]) & (_COLUMNS < hi.astype(np.uint8)[:, None])
+
+
 def _contexts(data: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Context bytes, the anchor at column LEFT; zero outside [lo, hi)."""
-    where = np.clip(at[:, None] + (_COLUMNS - LEFT), 0, len(data) - 1)
-    out = data[where]
-    out[(_COLUMNS < lo[:, None]) | (_COLUMNS >= hi[:, None])] = 0
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(ROW, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, ROW)[at]
+    out *= _inside(lo, hi)
     return out
 
 
@@ -118,23 +135,45 @@ def _pack(n: int, *columns: np.ndarray) -> bytes:
     return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
 
 
-_RECORD = (("<i8", 1), ("<u4", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", ROW))   # id, tag, anchor, lo, hi, bytes
-_RANGE = (("<i8", 1), ("<u4", 1), ("<i8", 1), ("<i8", 1))                           # id, tag, start, end
+def _open(blob: bytes, *types: str) -> tuple[list[np.ndarray], bytes]:
+    """The columns of a packed blob, and what follows them."""
+    raw = zstandard.decompress(blob)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for t in types:
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out, raw[at:]
 
 
-def _unpack(blobs, layout) -> list[np.ndarray]:
-    parts: list[list[np.ndarray]] = [[] for _ in layout]
+def _pack_contexts(ids, tags, pos, lo, hi, rows) -> bytes:
+    """Only the bytes inside [lo, hi) travel."""
+    return _pack(len(ids), ids.astype("<i8"), tags.astype("<u4"), pos.astype("<i8"), lo.astype("u1"),
+                 hi.astype("u1"), rows[_inside(lo, hi)])
+
+
+def _open_contexts(blobs) -> list[np.ndarray]:
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for blob in blobs:
-        raw = zstandard.decompress(blob)
-        n, at = int.from_bytes(raw[:8], "little"), 8
-        for part, (t, width) in zip(parts, layout):
-            part.append(np.frombuffer(raw, t, n * width, at).reshape((n, width) if width > 1 else n))
-            at += n * width * np.dtype(t).itemsize
+        columns, raw = _open(blob, "<i8", "<u4", "<i8", "u1", "u1")
+        rows = np.zeros((len(columns[0]), ROW), dtype=np.uint8)
+        rows[_inside(columns[3], columns[4])] = np.frombuffer(raw, np.uint8)
+        for part, x in zip(parts, [*columns, rows]):
+            part.append(x)
     return [np.concatenate(p) for p in parts]
 
 
+def _open_ranges(blobs) -> list[np.ndarray]:
+    """id, tag, start, end"""
+    parts = [_open(blob, "<i8", "<u4", "<i8", "<i8")[0] for blob in blobs]
+    return [np.concatenate(p) for p in zip(*parts)]
+
+
+def _block_of(ids: np.ndarray, n_blocks: int) -> np.ndarray:
+    return (mix64(ids.astype(U64)) % U64(n_blocks)).astype(np.int64)
+
+
 def _ranges_by_block(ids, tags, start, end, n_blocks: int) -> list[tuple[int, bytes]]:
-    block = (mix64(ids.astype(U64)) % U64(n_blocks)).astype(np.int64)
+    block = _block_of(ids, n_blocks)
     order = np.argsort(block, kind="stable")
     cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
     out = []
@@ -145,54 +184,48 @@ def _ranges_by_block(ids, tags, start, end, n_blocks: int) -> list[tuple[int, by
     return out
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    """GRAM bytes that many anchors share, from one document in SAMPLE.  They
-    only choose the route of a context, never the result."""
+def _late(docs: DataFrame, parts: int) -> np.ndarray:
+    """Table of the frequent GRAM bytes, by the top bits of their hash, from
+    one document in SAMPLE.  It only sets the order of anchors, which any
+    choice leaves right; its size is bounded by LEAST_SHARE."""
+    share = max(LEAST_SHARE, 1 / (SHARE * parts))
     sample = docs.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _lo, _hi, data, off in chunks(b.column("text"), CHUNK):
-                at, *_ = _anchors(data, off)
-                if len(at):
-                    raw = np.ndarray((len(data) - GRAM + 1,), "<u8", np.ascontiguousarray(data), strides=(1,))
-                    gram, n = np.unique(raw[at], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))],
-                                                     names=["gram", "n"])
-
-    counts = sample.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    rows = counts.filter(F.col("n") >= max(16, total * FREQUENT)).select("gram").collect()   # at most 1 / FREQUENT
-    return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(U64))
-
-
-def _map(docs: DataFrame, frequent: np.ndarray, buckets: int, n_blocks: int) -> DataFrame:
+            for _lo, _hi, data, _off in chunks(b.column("text"), CHUNK):
+                if len(data) < GRAM:
+                    continue
+                gram, n = np.unique(_gram_view(data), return_counts=True)
+                often = n >= max(2, share * len(data) / 2)          # at most 2 / share of them
+                rows = [np.append(gram[often].view(np.int64), 0), np.append(n[often], 0),
+                        np.append(np.zeros(often.sum(), dtype=np.int64), len(data))]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows],
+                                                 names=["gram", "n", "total"])
+
+    counts = materialize(sample.select("text").mapInArrow(run, "gram bigint, n bigint, total bigint")
+                         .groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "grams")
+    total = counts.agg(F.sum("total").alias("n")).first()["n"] or 0
+    rows = counts.filter(F.col("n") >= max(16, total * share)).select("gram").collect()    # at most 1 / share
+    drop_scratch(counts)
+    size = min(26, max(16, (64 * len(rows)).bit_length()))
+    late = np.zeros(1 << size, dtype=bool)
+    grams = np.array([r["gram"] for r in rows], dtype=np.int64).view(U64)
+    late[(mix64(grams) >> U64(64 - size)).astype(np.int64)] = True
+    return late
+
+
+def _map(docs: DataFrame, table, buckets: int, n_blocks: int) -> DataFrame:
     """(bucket, kind, block, data): packed contexts (kind 0), and ranges that a
     chunk's own documents cover already (kind 1)."""
 
     def chunk_rows(ids, tags, data, off):
-        at, first, last, doc = _anchors(data, off)
+        at, first, last, doc = _anchors(data, off, table.value)
         if not len(at):
             return
         lo, hi = first - at + LEFT, last + LENGTH - at + LEFT
         rows = _contexts(data, at, lo, hi)
-        gram = _grams(rows)
-        route = mix64(gram * seeds(1, 61)[0])
-        if len(frequent):
-            where = np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)
-            hot = np.flatnonzero(frequent[where] == gram)
-            if len(hot):
-                n = hi[hot] - lo[hot] - LENGTH + 1     # windows of each frequent context
-                owner = np.repeat(hot, n)
-                step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                wlo = lo[owner] + step
-                cold = np.ones(len(at), dtype=bool)
-                cold[hot] = False
-                single = _contexts(data, at[owner], wlo, wlo + LENGTH)
-                route = np.concatenate([route[cold], mix64(_row_hash(single, wlo, wlo + LENGTH))])
-                rows = np.concatenate([rows[cold], single])
-                at, doc = np.concatenate([at[cold], at[owner]]), np.concatenate([doc[cold], doc[owner]])
-                lo, hi = np.concatenate([lo[cold], wlo]), np.concatenate([hi[cold], wlo + LENGTH])
+        route = mix64(_grams(rows) * seeds(1, 61)[0])
         pos = at - off[:-1][doc]
         # equal contexts of this chunk: the smallest id stands for them
         order, new = _classes(rows, lo, hi)
@@ -211,8 +244,7 @@ def _map(docs: DataFrame, frequent: np.ndarray, buckets: int, n_blocks: int) ->
         cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             r = ship[cuts[b]:cuts[b + 1]]
-            yield int(b), 0, -1, _pack(len(r), ids[doc[r]].astype("<i8"), tags[doc[r]].astype("<u4"),
-                                       pos[r].astype("<i8"), lo[r].astype("u1"), hi[r].astype("u1"), rows[r])
+            yield int(b), 0, -1, _pack_contexts(ids[doc[r]], tags[doc[r]], pos[r], lo[r], hi[r], rows[r])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,7 +377,7 @@ def _covered(contexts: DataFrame, n_blocks: int) -> DataFrame:
         out = list(zip(g.loc[own, "block"].astype(int), g.loc[own, "data"]))
         blobs = list(g.loc[~own, "data"])
         if blobs:
-            ids, tags, pos, lo, hi, rows = _unpack(blobs, _RECORD)
+            ids, tags, pos, lo, hi, rows = _open_contexts(blobs)
             lo, hi = lo.astype(np.int64), hi.astype(np.int64)
             # contexts whose GRAM bytes occur in one document only share nothing
             order = np.argsort(_grams(rows), kind="stable")
@@ -412,33 +444,52 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 32)) if repeated else F.lit(0).cast("bigint")
     src = src.withColumn("tag", tag)
     named = src.filter("id is not null")
-    ranges = _covered(_map(named, _frequent(named), buckets, n_blocks), n_blocks)
+    table = spark.sparkContext.broadcast(_late(named, parts))       # at most 64 MB, by LEAST_SHARE
+    ranges = _covered(_map(named, table, buckets, n_blocks), n_blocks)
 
-    def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts by block, each block's of a chunk compressed together."""
         for b in batches:
             ids = b.column("id").fill_null(0).to_numpy(zero_copy_only=False)
-            block = (mix64(ids.astype(U64)) % U64(n_blocks)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(block), *b.columns], names=["block", *b.schema.names])
+            null = b.column("id").is_null().to_numpy(zero_copy_only=False)
+            tags = b.column("tag").to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in chunks(b.column("text"), CHUNK):
+                block = _block_of(ids[lo:hi], n_blocks)
+                order = np.argsort(block, kind="stable")
+                cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
+                out = []
+                for k in np.flatnonzero(np.diff(cuts)):
+                    r = order[cuts[k]:cuts[k + 1]]
+                    raw = b"".join(data[off[i]:off[i + 1]].tobytes() for i in r)
+                    out.append((int(k), _pack(len(r), ids[lo + r].astype("<i8"), null[lo + r].astype("u1"),
+                                              tags[lo + r].astype("<u4"), np.diff(off)[r].astype("<i8"),
+                                              np.frombuffer(raw, np.uint8))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()),
+                                                      pa.array([x[1] for x in out], pa.binary())],
+                                                     names=["block", "data"])
 
-    dealt = src.mapInArrow(block_of, "block int, id bigint, text string, tag bigint")
+    dealt = src.mapInArrow(deal, "block int, data binary")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+        ids = tags = start = end = np.zeros(0, dtype=np.int64)
         if len(right):
-            ids, tags, start, end = _unpack(right["data"], _RANGE)
+            ids, tags, start, end = _open_ranges(right["data"])
             order = np.lexsort((tags, ids))
-            ids, tags, start, end = ids[order], tags[order].astype(np.int64), start[order], end[order]
-        else:
-            ids = tags = start = end = np.zeros(0, dtype=np.int64)
-        for i, text, t in zip(left["id"], left["text"], left["tag"]):
-            raw = b"" if text is None else text.encode()
-            a = b = 0
-            if i is not None and not pd.isna(i):
-                a, b = np.searchsorted(ids, int(i), "left"), np.searchsorted(ids, int(i), "right")
-                a, b = a + np.searchsorted(tags[a:b], t, "left"), a + np.searchsorted(tags[a:b], t, "right")
-            kept, removed, spans = _cut(raw, start[a:b], end[a:b])
-            out.append((i if b > a or not pd.isna(i) else None, len(raw), removed, spans, kept))
-        return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            ids, tags, start, end = ids[order], tags[order], start[order], end[order]
+        for blob in left["data"]:
+            (own, null, own_tag, size), raw = _open(blob, "<i8", "u1", "<u4", "<i8")
+            a, b = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+            at = np.concatenate([[0], np.cumsum(size)])
+            for k in range(len(own)):
+                lo, hi = (0, 0) if null[k] else (a[k], b[k])
+                lo, hi = lo + np.searchsorted(tags[lo:hi], own_tag[k], "left"), \
+                    lo + np.searchsorted(tags[lo:hi], own_tag[k], "right")
+                kept, removed, spans = _cut(raw[at[k]:at[k + 1]], start[lo:hi], end[lo:hi])
+                out.append((None if null[k] else int(own[k]), int(size[k]), removed, spans, kept))
+        frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return frame.astype({"id": "Int64"})
 
     out = (dealt.groupBy("block").cogroup(ranges.groupBy("block"))
            .applyInPandas(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
