@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlake.llm.textkit import U64, mix64, seeds, words
+from govlake.session import materialize
 
 #: Tokens of a repeated run.
 RUN = 6
@@ -177,7 +178,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         [b.column("host").take(at), b.column("id").take(at), pa.array(run.view(np.int64))],
                         names=["host", "id", "suffix"])
 
-    found = src.filter("id is not null").mapInArrow(suffixes, f"host string, id {kind}, suffix bigint")
+    found = materialize(src.filter("id is not null")
+                        .mapInArrow(suffixes, f"host string, id {kind}, suffix bigint"), "suffixes")
     # neighbours in the host's suffix order that agree on RUN tokens, in distinct pages
     repeated = (found.groupBy("host", "suffix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
                 .filter("lo != hi").select("host", "suffix"))
