@@ -132,7 +132,16 @@ def _grams(rows: np.ndarray) -> np.ndarray:
 
 
 def _pack(n: int, *columns: np.ndarray) -> bytes:
-    return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
+    return zstandard.compress(n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 3)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of whole numbers, one plane after the other."""
+    return np.ascontiguousarray(x.astype("<i8").view("u1").reshape(-1, 8).T)
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel()
 
 
 def _open(blob: bytes, *types: str) -> tuple[list[np.ndarray], bytes]:
@@ -146,18 +155,19 @@ def _open(blob: bytes, *types: str) -> tuple[list[np.ndarray], bytes]:
 
 
 def _pack_contexts(ids, tags, pos, lo, hi, rows) -> bytes:
-    """Only the bytes inside [lo, hi) travel."""
-    return _pack(len(ids), ids.astype("<i8"), tags.astype("<u4"), pos.astype("<i8"), lo.astype("u1"),
-                 hi.astype("u1"), rows[_inside(lo, hi)])
+    """Ids as differences, and only the bytes inside [lo, hi)."""
+    return _pack(len(ids), tags.astype("<u4"), lo.astype("u1"), hi.astype("u1"),
+                 _planes(np.diff(ids, prepend=0)), _planes(pos), rows[_inside(lo, hi)])
 
 
 def _open_contexts(blobs) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for blob in blobs:
-        columns, raw = _open(blob, "<i8", "<u4", "<i8", "u1", "u1")
-        rows = np.zeros((len(columns[0]), ROW), dtype=np.uint8)
-        rows[_inside(columns[3], columns[4])] = np.frombuffer(raw, np.uint8)
-        for part, x in zip(parts, [*columns, rows]):
+        (tags, lo, hi), raw = _open(blob, "<u4", "u1", "u1")
+        raw, n = np.frombuffer(raw, np.uint8), len(tags)
+        rows = np.zeros((n, ROW), dtype=np.uint8)
+        rows[_inside(lo, hi)] = raw[16 * n:]
+        for part, x in zip(parts, (np.cumsum(_whole(raw[:8 * n])), tags, _whole(raw[8 * n:16 * n]), lo, hi, rows)):
             part.append(x)
     return [np.concatenate(p) for p in parts]
 
@@ -237,7 +247,7 @@ def _map(docs: DataFrame, table, buckets: int, n_blocks: int) -> DataFrame:
             for block, blob in _ranges_by_block(ids[doc[covered]], tags[doc[covered]], start,
                                                 start + hi[covered] - lo[covered], n_blocks):
                 yield block % buckets, 1, block, blob
-        ship = order[ids[doc[order]] == least]
+        ship = np.sort(order[ids[doc[order]] == least])
         bucket = ((route[ship] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         ship = ship[by]
