@@ -3,8 +3,9 @@
 1. Every document gets 128 min-hashes of its word shingles.  Documents with
    the same word sequence are one class, stood for by the smallest id.
 2. 32 bands of 4 min-hashes give buckets.  A bucket's members are compared
-   with its smallest member; buckets whose members are then still in several
-   components are compared across those components (``_crossing``).
+   with its smallest member.  Members of buckets that are then still in several
+   components are compared across components by an exact prefix filter
+   (``_crossing``), so no pairs of a whole bucket are formed.
 3. A pair's signatures are compared batch by batch.  After each batch the
    posterior of its similarity (uniform prior, so a Beta distribution) tells
    the chance that it reaches the threshold; below MISS the pair is dropped.
@@ -22,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from govlake.llm.graph import components
@@ -123,12 +124,9 @@ def _surviving(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold."""
     kind = pairs.schema["a"].dataType.simpleString()
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(named, "id", "left_semi")
-    texts = materialize(texts.dropDuplicates(["id"]), "texts")
     both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
 
@@ -154,17 +152,48 @@ def chunks_of_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield value[at[i]:at[i + 1]]
 
 
-def _crossing(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components.  Only buckets that
-    still hold several components give pairs; each pair is given once."""
-    kind = comp.select("id", "component")
-    placed = (buckets.join(kind, "id", "left")
-              .select("key", "id", F.coalesce("component", "id").alias("c")))
+def _crossing(members: DataFrame, comp: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components, none missing, among the
+    members of buckets that still hold several components.
+
+    A pair at the threshold shares at least percent % of the larger set, so if
+    each set's shingles are ordered from rare to frequent, the first
+    size - ceil(percent % of size) + 1 of both hold a common one.  A pair meets
+    there only if the threshold is within reach from its first common shingle:
+    if that stands at places i and j, the sets have at most
+    1 + min(size of a - i, size of b - j) in common.  Shingles of one component
+    only come first, so copies edited too much have no place left to meet.
+    """
+    placed = (members.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
     several = (placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                .filter("lo != hi").select("key"))
-    open_ = placed.join(several, "key")
-    x, y = open_.toDF("key", "a", "ca"), open_.toDF("key", "b", "cb")
-    return x.join(y, "key").filter("ca < cb").select("a", "b").distinct()
+    open_ = placed.join(several, "key").select("id", "c").distinct()
+    kind, comp_kind = (open_.schema[c].dataType.simpleString() for c in ("id", "c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, x in enumerate(chunks_of_sets(b.column("text"), k)):
+                at = pa.array(np.full(len(x), i))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(at), b.column("c").take(at), pa.array(x.view(np.int64)),
+                     pa.array(np.full(len(x), len(x), dtype=np.int64))], names=["id", "c", "shingle", "size"])
+
+    sets = texts.join(open_, "id").select("id", "c", "text").mapInArrow(
+        run, f"id {kind}, c {comp_kind}, shingle bigint, size bigint")
+    sets = materialize(sets, "sets")
+    spread = sets.groupBy("shingle").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    # a shingle of one component only is as good as a shingle of one set
+    spread = spread.withColumn("shared", (F.col("lo") != F.col("hi")).cast("int"))
+    rare_first = Window.partitionBy("id").orderBy("shared", "df", "shingle")
+    head = (sets.join(spread, "shingle").withColumn("rank", F.row_number().over(rare_first))
+            .filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+            .filter("shared = 1")
+            .select("shingle", "id", "c", "size", "rank"))
+    head = materialize(head, "prefixes")
+    x, y = head.toDF("shingle", "a", "ca", "sa", "ia"), head.toDF("shingle", "b", "cb", "sb", "ib")
+    most = 1 + F.least(F.expr("sa - ia"), F.expr("sb - ib"))
+    reach = (F.col("ca") < F.col("cb")) & (100 * most >= percent * (F.col("sa") + F.col("sb") - most))
+    return x.join(y, (x["shingle"] == y["shingle"]) & reach).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -189,16 +218,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     buckets = materialize(buckets.join(shared.select("key", "low"), "key"), "buckets")
     pairs = buckets.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     members = buckets.select("key", "id")
-    # an id that stands for several word sequences (repeated ids) joins them
-    links = materialize(_linked(materialize(_surviving(pairs, reps, percent / 100), "pairs"),
-                                docs, k, percent, id_col, text_col), "linked")
+    named = members.select("id").distinct()
+    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+             .join(named, "id", "left_semi").dropDuplicates(["id"]))
+    texts = materialize(texts, "texts")
+    close = materialize(_surviving(pairs, reps, percent / 100), "pairs")
+    links = materialize(_linked(close, texts, k, percent), "linked")
     comp = materialize(components(links), "components")
-    cross = materialize(_surviving(_crossing(members, comp).join(pairs, ["a", "b"], "left_anti"),
-                                   reps, percent / 100), "crossing")
-    if not cross.isEmpty():
-        more = _linked(cross, docs, k, percent, id_col, text_col)
-        links = materialize(links.union(more), "linked")
-        comp = materialize(components(links), "components")
+    cross = _surviving(_crossing(members, comp, texts, k, percent), reps, percent / 100)
+    more = materialize(_linked(cross, texts, k, percent), "crossing")
+    if not more.isEmpty():
+        comp = materialize(components(links.union(more)), "components")
     of_class = (classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
                 .select("cls", F.coalesce("component", "rep").alias("component")))
     out = sigs.select("id", "n_shingles", "cls").join(of_class, "cls", "left")
