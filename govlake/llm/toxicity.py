@@ -16,10 +16,13 @@ tokens are clean.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,9 @@ from govlake.llm.textkit import NON_ALNUM, U64, chunks, distinct_pairs, mix64, w
 
 #: Bounds of the fitting sample: documents of each class, and UTF-8 bytes in all.
 FIT_DOCS = 1000
-FIT_BYTES = 8_000_000
+FIT_BYTES = 6_000_000
+#: Texts scored together: all advance token by token, so memory follows this.
+SCORE_BYTES = 8 << 20
 #: A feature is evidence if toxic documents hold it more often, with a
 #: log-likelihood ratio (G squared) of at least this against equal rates.
 MIN_G2 = 24.0
@@ -150,18 +155,22 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Crf:
     if not hashes:
         return Crf(np.zeros(0, U64), np.zeros(0), -8.0, -8.0, np.zeros((2, 2)), np.array([-5.0, 0, 0, 0]))
     h, doc, first = np.concatenate(hashes), np.concatenate(docs_of), np.asarray(first)
-    pd, pf = np.concatenate([a for a, _ in per_doc]), np.concatenate([b for _, b in per_doc])
+    of, pf = np.concatenate([a for a, _ in per_doc]), np.concatenate([b for _, b in per_doc])
+    del hashes, docs_of, per_doc
     keys, inverse = np.unique(pf, return_inverse=True)
-    df1 = np.bincount(inverse, weights=(y * tagger)[pd], minlength=len(keys))
-    df0 = np.bincount(inverse, weights=((1 - y) * tagger)[pd], minlength=len(keys))
+    df1 = np.bincount(inverse, weights=(y * tagger)[of], minlength=len(keys))
+    df0 = np.bincount(inverse, weights=((1 - y) * tagger)[of], minlength=len(keys))
     both = np.maximum(df1 + df0, 1)
     g2 = 2 * (df1 * np.log(np.maximum(df1, 1e-9) / (both * n1 / (n1 + n0)))
               + df0 * np.log(np.maximum(df0, 1e-9) / (both * n0 / (n1 + n0))))
     features = keys[(g2 >= MIN_G2) & (df1 / n1 >= 4 * df0 / n0)]
-    ids = np.full(h.shape, -1)
-    if len(features):
-        at = np.minimum(np.searchsorted(features, h), len(features) - 1)
-        ids[features[at] == h] = at[features[at] == h]
+    del of, pf, keys, inverse, df1, df0, both, g2
+    ids = np.full(h.shape, -1, dtype=np.int32)
+    for j in range(h.shape[1] if len(features) else 0):
+        at = np.minimum(np.searchsorted(features, h[:, j]), len(features) - 1)
+        hit = features[at] == h[:, j]
+        ids[hit, j] = at[hit]
+    del h
     evident = (ids >= 0).any(1)
     z = (evident & (y[doc] == 1)).astype(float)
     inner = np.ones(len(doc), dtype=bool)
@@ -213,41 +222,49 @@ def fit(texts: list[str], labels: list[int], toxic_rate: float) -> Crf:
     return Crf(features, theta[:k], float(theta[k]), float(theta[k + 1]), trans, coef)
 
 
-def score_batch(column: pa.Array, m: Crf) -> tuple[np.ndarray, list[str]]:
-    """Scores and spans ("start:end,..." in code points) of a batch of texts."""
-    evidence, first, places = [], [np.zeros(1, dtype=np.int64)], []
+def _spans(text: str, hot: np.ndarray) -> str:
+    """Code point ranges of the tokens ``hot`` (numbers, ascending); neighbours
+    are one range."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    w = words(raw, np.array([0, len(raw)]), NON_ALNUM)
+    chars = np.cumsum((raw & 0xC0) != 0x80)
+    new = np.ones(len(hot), dtype=bool)
+    new[1:] = np.diff(hot) > 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(hot)) - 1
+    return ",".join(f"{chars[a] - 1}:{chars[b - 1]}" for a, b in zip(w.start[hot[first]], w.end[hot[last]]))
+
+
+def _score_slice(column: pa.Array, m: Crf) -> tuple[np.ndarray, list[str]]:
+    evidence, first = [np.zeros(0)], [np.zeros(1, dtype=np.int64)]
     total = 0
-    for lo, _hi, data, off in chunks(column):
+    for _lo, _hi, data, off in chunks(column):
         w = words(data, off, NON_ALNUM)
-        s = _evidence(w, m)
-        evidence.append(s)
+        evidence.append(_evidence(w, m))
         first.append(w.first[1:] + total)
-        total += len(s)
-        # only tokens with evidence of their own can be offending ones, and their neighbours
-        at = np.repeat(off[:-1], np.diff(w.first))
-        places.append((w.start - at, w.end - at))
-    s = np.concatenate(evidence) if evidence else np.zeros(0)
-    first = np.concatenate(first)
+        total += len(w.hash)
+    s, first = np.concatenate(evidence), np.concatenate(first)
+    del evidence
     marginal = forward_backward(s, first, m.start, m.trans)[2]
     scores = _sigmoid(_doc_features(marginal, first) @ m.doc)
     spans = [""] * (len(first) - 1)
     hot = np.flatnonzero(marginal >= 0.5)
-    if len(hot):
-        start, end = np.concatenate([a for a, _ in places]), np.concatenate([b for _, b in places])
-        doc = np.searchsorted(first, hot, "right") - 1
-        for d in np.unique(doc):
-            raw = column[int(d)].as_py().encode()
-            out: list[list[int]] = []
-            for i in hot[doc == d]:
-                if out and i == out[-1][2] + 1:
-                    out[-1][1:] = [int(end[i]), int(i)]
-                else:
-                    out.append([int(start[i]), int(end[i]), int(i)])
-            chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-            spans[d] = ",".join(f"{chars[a] - 1}:{chars[b - 1]}" for a, b, _ in out)
+    doc = np.searchsorted(first, hot, "right") - 1
+    for d in np.unique(doc):
+        spans[d] = _spans(column[int(d)].as_py(), hot[doc == d] - first[d])
     return scores, spans
 
 
+def score_batch(column: pa.Array, m: Crf) -> tuple[np.ndarray, list[str]]:
+    """Scores and spans ("start:end,..." in code points) of a batch of texts."""
+    scores, spans = [np.zeros(0)], []
+    for lo, hi, _data, _off in chunks(column, SCORE_BYTES):
+        x, y = _score_slice(column.slice(lo, hi - lo), m)
+        scores.append(x)
+        spans += y
+    return np.concatenate(scores), spans
+
+
 def held_out(id_col: Column) -> Column:
     """Rows never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
@@ -271,16 +288,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
               .join(F.broadcast(sample), "_id").filter("_t is not null")
               .filter(F.octet_length("_t") <= fit_bytes // (2 * fit_docs) * 10)
-              .orderBy(F.xxhash64("_id"), "_id", "_t").limit(2 * fit_docs).collect())
-    texts, ys, used = [], [], 0
-    for r in picked:
-        used += len(r["_t"].encode())
-        if used > fit_bytes:
-            break
-        texts.append(r["_t"])
-        ys.append(int(r["_y"]))
+              .orderBy(F.xxhash64("_id"), "_id", "_t").limit(2 * fit_docs))
     rate = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
-    return fit(texts, ys, rate)
+
+    def fit_sample(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.assign(h=[hashlib.blake2b(str(i).encode()).digest() for i in g["_id"]]).sort_values(["h", "_t"])
+        size = np.cumsum([len(t.encode()) for t in g["_t"]])
+        g = g[size <= fit_bytes]
+        return pd.DataFrame({"model": [pickle.dumps(fit(list(g["_t"]), [int(y) for y in g["_y"]], rate))]})
+
+    # one task fits the bounded sample; the driver gets the model only
+    rows = picked.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit_sample, "model binary").collect()
+    return pickle.loads(bytes(rows[0]["model"])) if rows else fit([], [], rate)
 
 
 def score_toxicity(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text",
