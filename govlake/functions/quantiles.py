@@ -14,17 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import join_null_safe
 
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
                       ps: list[float], names: list[str] | None = None,
-                      num_partitions: int | None = None, digits: int = 6) -> DataFrame:
+                      digits: int = 6) -> DataFrame:
     names = names or [f"p{int(round(p * 100))}" for p in ps]
-    spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
         .filter(F.col("_v").isNotNull())
-    s = v.repartitionByRange(n_part, *group_cols, "_v") \
+    s = v.repartitionByRange(*group_cols, "_v") \
         .sortWithinPartitions(*group_cols, "_v") \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
@@ -47,11 +46,11 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
     ranks = targets.select(*group_cols, F.explode(F.array_distinct(F.array(
         *[F.col(f"_lo_{n}") for n in names], *[F.col(f"_hi_{n}") for n in names])))
         .alias("_rank"))
-    ranked = s.join(blocks.select("_pid", *group_cols, "_before", "_first"),
-                    ["_pid", *group_cols]) \
+    ranked = join_null_safe(s, blocks.select("_pid", *group_cols, "_before", "_first"),
+                            ["_pid", *group_cols]) \
         .withColumn("_rank", F.col("_before") + F.col("_mid") - F.col("_first"))
-    picked = ranked.join(ranks, [*group_cols, "_rank"]).select(*group_cols, "_rank", "_v")
-    j = picked.join(targets, group_cols)
+    picked = join_null_safe(ranked, ranks, [*group_cols, "_rank"]).select(*group_cols, "_rank", "_v")
+    j = join_null_safe(picked, targets, group_cols)
     aggs = []
     for name in names:
         lo = F.max(F.when(F.col("_rank") == F.col(f"_lo_{name}"), F.col("_v")))

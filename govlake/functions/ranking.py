@@ -14,15 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import join_null_safe
 
 
 def range_row_numbers(df: DataFrame, group_cols: list[str], order: list[Column],
-                      out: str = "row_number", num_partitions: int | None = None) -> DataFrame:
+                      out: str = "row_number") -> DataFrame:
     """Adds ``out`` (1, 2, ...) per group in ``order`` (order must be total)."""
-    spark = df.sparkSession
-    n_part = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + list(order)
-    s = df.repartitionByRange(n_part, *keys).sortWithinPartitions(*keys) \
+    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys) \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
     s = materialize(s, "ranked")
@@ -31,7 +30,7 @@ def range_row_numbers(df: DataFrame, group_cols: list[str], order: list[Column],
     wg = Window.partitionBy(*group_cols).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_c").over(wg), F.lit(0)))
-    return s.join(blocks.select("_pid", *group_cols, "_before", "_first"),
-                  ["_pid", *group_cols]) \
+    return join_null_safe(s, blocks.select("_pid", *group_cols, "_before", "_first"),
+                          ["_pid", *group_cols]) \
         .withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("bigint")) \
         .drop("_pid", "_mid", "_before", "_first")

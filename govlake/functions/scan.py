@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_null_safe
+
 
 def bucket_of(ts: str, unit: str = "day") -> Column:
     return F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
@@ -28,11 +30,11 @@ def last_non_null(df: DataFrame, keys: list[str], order: list[str], value: str,
     # last non-null value of each bucket: max_by over the ordering
     per = df.filter(F.col(value).isNotNull()).groupBy(*keys, bucket).agg(
         F.max_by(F.col(value), F.struct(*[F.col(c) for c in order])).alias("_blast"))
-    buckets = df.select(*keys, bucket).distinct().join(per, [*keys, bucket], "left")
+    buckets = join_null_safe(df.select(*keys, bucket).distinct(), per, [*keys, bucket], "left")
     w_b = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = buckets.select(*keys, bucket, F.last("_blast", ignorenulls=True).over(w_b)
                            .alias("_carry"))
-    return x.join(carry, [*keys, bucket]) \
+    return join_null_safe(x, carry, [*keys, bucket]) \
         .withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_in", "_carry")
 
 
@@ -47,7 +49,7 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str,
         F.max_by(F.col(value), F.struct(*[F.col(c) for c in order])).alias("_blast"))
     w_b = Window.partitionBy(*keys).orderBy(bucket)
     carry = per.select(*keys, bucket, F.lag("_blast").over(w_b).alias("_carry"))
-    return x.join(carry, [*keys, bucket]) \
+    return join_null_safe(x, carry, [*keys, bucket]) \
         .withColumn(out, F.coalesce(F.col("_lag"), F.col("_carry"))).drop("_lag", "_carry")
 
 

@@ -46,6 +46,12 @@ def mask_long_digits(c: str | Column) -> Column:
     return F.regexp_replace(col(c), LONG_DIGITS, LONG_DIGITS_MASK)
 
 
+def mask_card_numbers(c: str | Column) -> Column:
+    """Long digit runs, and 16 digits in groups of four, keep their last four."""
+    return F.regexp_replace(mask_long_digits(c),
+                            "[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]([0-9]{4})", "****$1")
+
+
 def ts_ntz(value) -> Column:
     """A TIMESTAMP_NTZ literal from a datetime or text, independent of the
     Python process's and the session's time zones."""

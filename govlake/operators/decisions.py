@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import mask_long_digits
+from ..functions.text import mask_card_numbers
 
 REJECT_RULES = [r[0] for r in S.RULES if r[1] == "safety" and r[4] == "reject"]
 PRIVILEGED = ["staff", "admin", "system"]
@@ -76,7 +76,7 @@ def rule_rewrite(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     hit = texts.filter(rule_hit(F.lower(F.col(text_col)), "COMP-001"))
     return hit.select(*keys, F.concat(
         F.lit("Please show only the last 4 digits. "),
-        mask_long_digits(text_col)).alias("rewritten_text"))
+        mask_card_numbers(text_col)).alias("rewritten_text"))
 
 
 def escalate_low_confidence(analysis: DataFrame) -> DataFrame:

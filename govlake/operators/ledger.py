@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import signed_amount
+from ..functions.joins import join_null_safe
+from ..functions.text import normalise_role, signed_amount
 from ..plans import dimensions as D
-from ..functions.text import normalise_role
 from .access import txn_lookback
 
 
@@ -100,8 +100,9 @@ def _fold_partition(batches):
     for pdf in batches:
         n = len(pdf)
         status = np.empty(n, dtype=object)
-        src_after = np.empty(n, dtype=np.int64)
-        dst_after = np.empty(n, dtype=np.int64)
+        src_after = np.zeros(n, dtype=np.int64)
+        dst_after = np.zeros(n, dtype=np.int64)
+        applied = np.ones(n, dtype=bool)     # balances may be below zero, so no value marks "none"
         rows = zip(pdf["requester_id"].tolist(), pdf["from_account_id"].tolist(),
                    pdf["to_account_id"].tolist(), pdf["src_cents"].tolist(),
                    pdf["dst_cents"].tolist(), pdf["amount_cents"].tolist(),
@@ -109,7 +110,7 @@ def _fold_partition(batches):
         for i, (who, frm, to, s0, d0, amt, outcome) in enumerate(rows):
             if outcome not in ("ok", "insufficient_funds"):
                 # refused by a stateless test: passes through, no balance change
-                status[i], src_after[i], dst_after[i] = outcome, -1, -1
+                status[i], applied[i] = outcome, False
                 continue
             if who != owner:
                 owner, bal = who, {}
@@ -127,15 +128,15 @@ def _fold_partition(batches):
             "requested_at": pdf["requested_at"], "requester_id": pdf["requester_id"],
             "from_account_id": pdf["from_account_id"], "to_account_id": pdf["to_account_id"],
             "amount": pdf["amount"], "status": status,
-            "src_cents_after": pd.Series(src_after).where(src_after >= 0),
-            "dst_cents_after": pd.Series(dst_after).where(dst_after >= 0)})
+            "src_cents_after": pd.Series(src_after, dtype="Int64").where(applied),
+            "dst_cents_after": pd.Series(dst_after, dtype="Int64").where(applied)})
 
 
 def _cents(c: str):
     return (F.col(c) * 100).cast("bigint")
 
 
-def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def transfer_apply(prechecked: DataFrame) -> DataFrame:
     """LED-4: apply transfers in request order; later requests see earlier
     balances.
 
@@ -148,14 +149,13 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
     precheck is computed once.  One owner's requests are folded by one task
     (the fold is sequential by nature); memory stays bounded by that owner's
     accounts."""
-    n = num_partitions or int(prechecked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = prechecked.select(
         "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
         "to_account_id", "amount", "outcome",
         F.coalesce(_cents("src_balance"), F.lit(0)).alias("src_cents"),
         F.coalesce(_cents("dst_balance"), F.lit(0)).alias("dst_cents"),
         F.coalesce(_cents("amount"), F.lit(0)).alias("amount_cents")) \
-        .repartition(n, "requester_id") \
+        .repartition("requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
     return ordered.mapInPandas(_fold_partition, _fold_schema()).select(
         "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
@@ -254,8 +254,8 @@ def account_running_balance(transactions: DataFrame, bucket: str = "month") -> D
     w_b = Window.partitionBy("account_id").orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(w_b), F.lit(0)))
-    return local.join(offsets.select("account_id", "_bucket", "_offset"),
-                      ["account_id", "_bucket"]) \
+    return join_null_safe(local, offsets.select("account_id", "_bucket", "_offset"),
+                          ["account_id", "_bucket"]) \
         .select("account_id", "transaction_id", "timestamp", "transaction_type", "amount",
                 "effect", (F.col("_local") + F.col("_offset")).cast("decimal(38,2)")
                 .alias("running_balance"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_null_safe
+
 from ..functions.quantiles import exact_percentiles
 
 READS = ["account_access", "transaction_query"]
@@ -32,15 +34,16 @@ def brute_force(events: DataFrame, min_failures: int = 3, window_seconds: int =
     evs = f.select("user_id", "_b", "_s", F.lit(None).cast("long").alias("_probe_of"),
                    F.lit(1).alias("_is_event"))
     probes = f.select("user_id", (F.col("_b") - 1).alias("_b"), (F.col("_s") - w).alias("_s"),
-                      F.col("event_id").alias("_probe_of"), F.lit(0).alias("_is_event"))
+                      F.col("_s").alias("_probe_of"), F.lit(0).alias("_is_event"))
     w_run = Window.partitionBy("user_id", "_b").orderBy("_s", "_is_event") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = evs.unionByName(probes).withColumn("_before", F.sum("_is_event").over(w_run))
     totals = evs.groupBy("user_id", "_b").agg(F.count("*").alias("_total"))
-    prev = runs.filter(F.col("_is_event") == 0).join(totals, ["user_id", "_b"], "left") \
-        .select(F.col("_probe_of").alias("event_id"),
-                (F.coalesce(F.col("_total"), F.lit(0)) - F.col("_before")).alias("_prev"))
-    return here.join(prev, "event_id") \
+    # one row per (user, second): repeated lines of one event share it
+    prev = join_null_safe(runs.filter(F.col("_is_event") == 0), totals, ["user_id", "_b"], "left") \
+        .select("user_id", F.col("_probe_of").alias("_s"),
+                (F.coalesce(F.col("_total"), F.lit(0)) - F.col("_before")).alias("_prev")).distinct()
+    return join_null_safe(here, prev, ["user_id", "_s"]) \
         .withColumn("failures_in_window", F.col("_here") + F.col("_prev")) \
         .filter(F.col("failures_in_window") >= min_failures) \
         .select("event_id", "user_id", "timestamp", "failures_in_window")

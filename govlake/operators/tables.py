@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ts_ntz
 
 from .. import schemas as S
+from ..functions.joins import join_null_safe
 
 
 REPEAT_CHUNK = 1024
@@ -33,7 +34,8 @@ def repeat_rows(df: DataFrame, count_col: str) -> DataFrame:
 def bulk_append(existing: DataFrame, batch: DataFrame, key: str, order_cols: list[str],
                 foreign_keys: list[tuple[str, DataFrame, str]] = ()) -> DataFrame:
     """SNK-3: status of every batch row: accepted, duplicate_key (key already
-    in the table), duplicate_in_batch (a later copy of a key in the batch) or
+    in the table), duplicate_in_batch (a later copy of a key in the batch),
+    null_key (every row without a key) or
     missing_<col> (foreign key without a parent).
 
     The batch is written once to the checkpoint folder (it is read twice
@@ -51,9 +53,10 @@ def bulk_append(existing: DataFrame, batch: DataFrame, key: str, order_cols: lis
     order = F.struct(*[F.col(c) for c in order_cols],
                      *[F.col(c) for c in cols if c not in order_cols])
     first = g.groupBy(key).agg(F.min(order).alias("_first"))
-    g = g.join(first, key).withColumn("_is_first", order == F.col("_first"))
-    g = g.join(existing.select(key).withColumn("_dup", F.lit(True)), key, "left")
-    lead = F.when(F.col("_dup").isNotNull(), "duplicate_key") \
+    g = join_null_safe(g, first, [key]).withColumn("_is_first", order.eqNullSafe(F.col("_first")))
+    g = g.join(existing.select(key).distinct().withColumn("_dup", F.lit(True)), key, "left")
+    lead = F.when(F.col(key).isNull(), "null_key") \
+        .when(F.col("_dup").isNotNull(), "duplicate_key") \
         .when(~F.col("_is_first"), "duplicate_in_batch")
     drops = ["_first", "_is_first", "_dup"]
     for i, (col, parent, parent_col) in enumerate(foreign_keys):
@@ -65,7 +68,7 @@ def bulk_append(existing: DataFrame, batch: DataFrame, key: str, order_cols: lis
     g = g.withColumn("_lead", lead.otherwise("accepted"))
     # the first copy of a first row carries the lead status, its other
     # copies are duplicates within the batch
-    parts = F.when(F.col("_is_first") & F.col("_dup").isNull(), F.array(
+    parts = F.when(F.col("_is_first") & F.col("_dup").isNull() & F.col(key).isNotNull(), F.array(
         F.struct(F.col("_lead").alias("s"), F.lit(1).cast("bigint").alias("n")),
         F.struct(F.lit("duplicate_in_batch").alias("s"), (F.col("_c") - 1).alias("n")))) \
         .otherwise(F.array(F.struct(F.col("_lead").alias("s"), F.col("_c").alias("n"))))

@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.text import LONG_DIGITS, LONG_DIGITS_MASK
+from ..functions.joins import join_null_safe
+from ..functions.text import mask_card_numbers
 
 WORD_SPLIT = "[^\\p{L}]+"
 
 # The layer-1 result messages (the score is printed with two
 # decimals between the two parts).
-L1_FAILED = "\u26a0\ufe0f Layer 1 (ML) Safety Check FAILED. Toxicity: "
-L1_PASSED = "\u2705 Layer 1 (ML) Safety Check PASSED. Toxicity: "
-LEXICON_MAX_WORDS = 500      # the lexicon is a model; its size is a parameter
+L1_FAILED = "⚠️ Layer 1 (ML) Safety Check FAILED. Toxicity: "
+L1_PASSED = "✅ Layer 1 (ML) Safety Check PASSED. Toxicity: "
 LEXICON_MIN_TOXIC_DOCS = 2
 LEXICON_MIN_LOG_ODDS = 2.0
 SMOOTHING = 0.5
@@ -32,7 +32,7 @@ def words(text: str | Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(t), WORD_SPLIT), ""))
 
 
-def toxicity_lexicon(docs: DataFrame, labels: DataFrame, max_words: int = LEXICON_MAX_WORDS,
+def toxicity_lexicon(docs: DataFrame, labels: DataFrame,
                      min_toxic_docs: int = LEXICON_MIN_TOXIC_DOCS,
                      min_log_odds: float = LEXICON_MIN_LOG_ODDS) -> DataFrame:
     """SAF-1: words whose document frequency separates toxic from clean
@@ -40,9 +40,8 @@ def toxicity_lexicon(docs: DataFrame, labels: DataFrame, max_words: int = LEXICO
 
     Each document's words are made distinct before the explode, so the
     shuffle carries one row per (document, word); word counts use partial
-    aggregation, so a very common word is not one task's burden.  At most
-    ``max_words`` words (by log-odds, then word) are kept, so the model has a
-    known size bound."""
+    aggregation, so a very common word is not one task's burden.  Every word
+    that reaches both thresholds is kept."""
     lab = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
     n_toxic = lab.agg(F.count_if(F.col("toxic") == 1)).scalar()
     n_clean = lab.agg(F.count_if(F.col("toxic") == 0)).scalar()
@@ -56,24 +55,24 @@ def toxicity_lexicon(docs: DataFrame, labels: DataFrame, max_words: int = LEXICO
     scored = per_word
     return scored.withColumn("log_odds", F.round(lo, 6)) \
         .filter((F.col("toxic_docs") >= min_toxic_docs) & (F.col("log_odds") >= min_log_odds)) \
-        .orderBy(F.col("log_odds").desc(), F.col("word")).limit(max_words) \
         .select("word", "toxic_docs", "clean_docs", "log_odds")
 
 
-def layer1_scores(texts: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame,
-                  lexicon_rows: int = LEXICON_MAX_WORDS) -> DataFrame:
+def layer1_scores(texts: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
     """SAF-2: score every text by the distinct lexicon words it contains.
 
     hits -> toxicity = 1 - 0.5^hits and severe = 1 - 0.5^(hits-1) (0 for no
     hit), so one word gives 0.5 / 0.0, two 0.75 / 0.5, three 0.875 / 0.75.
     Fails as the reference does: toxicity > 0.7 or severe > 0.5.
 
-    The lexicon has a known bound (``lexicon_rows`` words); it enters the plan
-    once as a scalar subquery (an array), and each text is scored by an array
-    intersection in a projection: one pass over the texts, no shuffle."""
-    lex = lexicon.select("word").limit(lexicon_rows) \
-        .agg(F.coalesce(F.collect_list("word"), F.array().cast("array<string>"))).scalar()
-    hits = F.size(F.array_intersect(words(text_col), lex)).cast("bigint")
+    The lexicon grows with the data: the texts' distinct words meet it in an
+    equi-join (Spark broadcasts it only if its size statistics allow), and the
+    matches are counted per key with partial aggregation.  ``keys`` identify a
+    text; a null key is a key of its own."""
+    found = texts.select(*keys, F.explode(words(text_col)).alias("word")) \
+        .join(lexicon.select("word"), "word").groupBy(*keys).agg(F.count("*").alias("_found"))
+    texts = join_null_safe(texts.select(*keys), found, keys, "left")
+    hits = F.coalesce(F.col("_found"), F.lit(0)).cast("bigint")
     h = F.col("hits")
     tox = F.round(1 - F.pow(F.lit(0.5), h), 6)
     sev = F.round(F.when(h > 0, 1 - F.pow(F.lit(0.5), h - 1)).otherwise(F.lit(0.0)), 6)
@@ -98,7 +97,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, seed: int = 42,
 
     lab = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id") \
         .withColumn("label", F.col("toxic").cast("double"))
-    train, test = lab.randomSplit([train_fraction, 1 - train_fraction], seed=seed)
+    # split by the hash of the id: the same rows whatever the partitioning
+    share = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1000)) / 1000
+    train, test = lab.filter(share < train_fraction), lab.filter(share >= train_fraction)
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tokens", pattern=WORD_SPLIT, toLowercase=True),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features, binary=True),
@@ -133,12 +134,7 @@ def mask_account_numbers(texts: DataFrame, cols: list[str]) -> DataFrame:
     """PRJ-5: show only the last four digits of long digit runs (COMP-001):
     any run of 13 or more digits, and 16 digits in groups of four split by
     spaces or dashes."""
-    out = texts
-    for c in cols:
-        m = F.regexp_replace(F.col(c), LONG_DIGITS, LONG_DIGITS_MASK)
-        m = F.regexp_replace(m, "[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]([0-9]{4})", "****$1")
-        out = out.withColumn(c, m)
-    return out
+    return texts.withColumns({c: mask_card_numbers(c) for c in cols})
 
 
 def sensitive_text_scan(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:

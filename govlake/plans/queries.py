@@ -871,7 +871,7 @@ def q_stream_dedup(spark, sf):
     path = _audit_jsonl(spark, sf)
     K.write_audit(V.audit(spark, sf), path, fmt="json")
     lines = spark.readStream.option("recursiveFileLookup", "true").text(path) \
-        .withColumn("line_hash", F.xxhash64("value"))
+        .withColumn("line_hash", F.sha2("value", 256))
     ev = L.parse_lines(lines).withColumn("event_time", F.col("timestamp").cast("timestamp")) \
         .withColumn("event_date", F.to_date("timestamp"))
     out = _stream_run(spark, "dedup", ST.dedup(ev).withColumn("details", F.to_json("details")))
@@ -937,10 +937,10 @@ def q_stream_tickets(spark, sf):
     table = base + "/tickets"
     q = (stream.writeStream.foreachBatch(ST.merge_ticket_batch(table))
          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination(900)
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(table)
+    return spark.read.parquet(table).drop("resolved_seq")
 
 
 # --- lookups and reconciliation ----------------------------------------------

@@ -29,9 +29,10 @@ def audit_line(events: DataFrame, top_level=("timestamp", "event_type", "user_id
 def write_audit(events: DataFrame, path: str, fmt: str = "json") -> str:
     """SNK-1: append events, one partition per day, as JSON lines or Parquet."""
     if fmt == "json":
-        audit_line(events).write.mode("append").partitionBy("event_date").text(path)
+        audit_line(events).hint("rebalance", "event_date") \
+            .write.mode("append").partitionBy("event_date").text(path)
     else:
-        events.withColumn("event_date", F.to_date("timestamp")) \
+        events.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date") \
             .write.mode("append").partitionBy("event_date").parquet(path)
     return path
 
@@ -45,5 +46,6 @@ def write_compliance(records: DataFrame, path: str) -> str:
         F.to_json(F.struct(
             F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
             "event_type", "user_id", "details")).alias("value"))
-    out.write.mode("append").partitionBy("framework", "event_date").text(path)
+    out.hint("rebalance", "framework", "event_date") \
+        .write.mode("append").partitionBy("framework", "event_date").text(path)
     return path

@@ -39,7 +39,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
-                      output_mode: str = "append", timeout_s: int = 600,
+                      output_mode: str = "append",
                       state_store: str | None = None) -> str:
     """Process everything available, then stop; the sink is a folder.
 
@@ -61,10 +61,7 @@ def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str =
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, before)
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
     return out_path
@@ -122,7 +119,7 @@ def backlog_stream(ticket_events: DataFrame) -> DataFrame:
         .withColumn("alert", F.col("pending") > AL.BACKLOG_MAX)
 
 
-def run_snapshots(df: DataFrame, out_path: str, checkpoint: str, timeout_s: int = 600) -> str:
+def run_snapshots(df: DataFrame, out_path: str, checkpoint: str) -> str:
     """Drive an update-mode aggregate over what is available; every
     micro-batch appends its changed rows with the batch id, so the newest
     value of a key is the row of the largest batch id."""
@@ -130,10 +127,7 @@ def run_snapshots(df: DataFrame, out_path: str, checkpoint: str, timeout_s: int
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
     q = (df.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
     return out_path
@@ -197,24 +191,36 @@ def transfers(candidates: DataFrame) -> DataFrame:
 
 # --- STR-11: the ticket table kept current from events -------------------------
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def merge_ticket_batch(table_path: str):
     """foreachBatch function: apply create and resolve events of one batch
     to the ticket table (Parquet partitioned by created day), rewriting only
-    the days the batch touches (dynamic partition overwrite).  Replaying a
-    batch gives the same table."""
+    the days the batch touches (dynamic partition overwrite).  The table keeps
+    the time and order of the resolution that counts, so events may come in any
+    order and any split into batches; a resolution that comes before its ticket
+    waits for it.  Replaying a batch gives the same table."""
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         creates = batch.filter(F.col("kind") == "create").select(
             "id", "user_id", "input_text", "agent_reasoning", "confidence", "created_at",
             F.lit("pending").alias("status"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
+            F.lit(None).cast("bigint").alias("resolved_seq"),
             F.lit(None).cast("string").alias("resolved_by"))
         resolves = batch.filter(F.col("kind") == "resolve").select(
             "id", F.col("event_time_ntz").alias("r_at"), F.col("actor").alias("r_by"),
             F.col("seq").alias("r_seq"))
-        try:
-            current = spark.read.parquet(table_path)
-        except Exception:  # first batch: no table yet
-            current = creates.limit(0).withColumn("created_day", F.to_date("created_at"))
+        # resolutions that came before their ticket wait beside the table
+        waiting = f"{table_path.rstrip('/')}_waiting/batch="
+        if batch_id > 0 and _exists(spark, f"{waiting}{batch_id - 1}"):
+            resolves = resolves.unionByName(spark.read.schema(resolves.schema)
+                                            .parquet(f"{waiting}{batch_id - 1}"))
+        # only a missing table is an empty one; any other read error fails the batch
+        none = creates.limit(0).withColumn("created_day", F.to_date("created_at"))
+        current = spark.read.schema(none.schema).parquet(table_path) if _exists(spark, table_path) else none
         days = creates.select(F.to_date("created_at").alias("created_day")).unionByName(
             current.join(resolves.select("id"), "id", "left_semi").select("created_day")).distinct()
         # a create for a ticket already in the table is a replayed batch: keep
@@ -222,15 +228,20 @@ def merge_ticket_batch(table_path: str):
         fresh = creates.join(current.select("id"), "id", "left_anti")
         touched = current.join(days, "created_day", "left_semi").drop("created_day") \
             .unionByName(fresh)
-        # the latest resolution wins (time, then event order), as in ESC-3
-        last = resolves.groupBy("id").agg(
-            F.max_by(F.struct("r_at", "r_by"), F.struct("r_at", "r_seq")).alias("r"))
-        merged = touched.join(last, "id", "left").select(
+        # the latest resolution wins (time, then event order), as in ESC-3,
+        # also against one of an earlier batch
+        last = resolves.groupBy("id").agg(F.max(F.struct(
+            F.col("r_at").alias("at"), F.col("r_seq").alias("seq"), F.col("r_by").alias("by"))).alias("r"))
+        old = F.when(F.col("resolved_at").isNotNull(), F.struct(
+            F.col("resolved_at").alias("at"), F.col("resolved_seq").alias("seq"),
+            F.col("resolved_by").alias("by")))
+        merged = touched.join(last, "id", "left").withColumn("r", F.greatest(F.col("r"), old)).select(
             "id", "user_id", "input_text", "agent_reasoning", "confidence", "created_at",
             F.when(F.col("r").isNotNull(), "resolved").otherwise(F.col("status")).alias("status"),
-            F.coalesce(F.col("r.r_at"), F.col("resolved_at")).alias("resolved_at"),
-            F.coalesce(F.col("r.r_by"), F.col("resolved_by")).alias("resolved_by"),
-            F.to_date("created_at").alias("created_day"))
+            F.col("r.at").alias("resolved_at"), F.col("r.seq").alias("resolved_seq"),
+            F.col("r.by").alias("resolved_by"), F.to_date("created_at").alias("created_day"))
+        known = current.select("id").union(creates.select("id"))
+        resolves.join(known, "id", "left_anti").write.mode("overwrite").parquet(f"{waiting}{batch_id}")
         # Stage the merged days first: the target's own files are inputs of
         # this batch, so they are only replaced after the result is written.
         stage = f"{table_path.rstrip('/')}_staging/batch={batch_id}"

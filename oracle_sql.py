@@ -465,7 +465,7 @@ LEXICON_CTES = [
            - ln((CAST(clean_docs AS DOUBLE) + 0.5) / (CAST(n_clean AS DOUBLE) + 1.0)), 6) AS log_odds
      FROM pw, tot)""",
     """lexicon AS (SELECT * FROM lex WHERE toxic_docs >= 2 AND log_odds >= 2.0
-                   ORDER BY log_odds DESC, word LIMIT 500)"""]
+                   )"""]
 
 SQL["toxicity_lexicon"] = "SELECT * FROM lexicon"
 EXTRA["toxicity_lexicon"] = LEXICON_CTES
@@ -484,8 +484,8 @@ def _layer1(src: str, keys: str, text: str) -> list[str]:
 
 LAYER1_SELECT = """SELECT *, NOT (toxicity > 0.7 OR severe_toxicity > 0.5) AS passed,
   concat(CASE WHEN toxicity > 0.7 OR severe_toxicity > 0.5
-              THEN '\u26a0\ufe0f Layer 1 (ML) Safety Check FAILED. Toxicity: '
-              ELSE '\u2705 Layer 1 (ML) Safety Check PASSED. Toxicity: ' END,
+              THEN '⚠️ Layer 1 (ML) Safety Check FAILED. Toxicity: '
+              ELSE '✅ Layer 1 (ML) Safety Check PASSED. Toxicity: ' END,
          printf('%.2f', toxicity),
          CASE WHEN toxicity > 0.7 OR severe_toxicity > 0.5 THEN '. Request blocked.'
               ELSE '. Proceeding to Layer 2.' END) AS message FROM scored"""
@@ -588,7 +588,7 @@ EXTRA["tickets_from_decisions"] = [ROLES, DECISION_CTE]
 
 SQL["rule_rewrite"] = f"""
 SELECT doc_id, concat('Please show only the last 4 digits. ',
-                      regexp_replace(text, '[0-9]{{9,}}([0-9]{{4}})', '****\\1', 'g')) AS rewritten_text
+                      {MASK.format(t='text')}) AS rewritten_text
 FROM documents WHERE regexp_matches(lower(text), '{_rule_rx("COMP-001")}')"""
 
 SQL["escalate_low_confidence"] = """
