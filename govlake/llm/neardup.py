@@ -35,6 +35,9 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Chance at which a pair above the threshold may be dropped at one batch.
 MISS = 1e-7
+#: Bits of the parity sketch.
+SKETCH = 512
+_SKETCH_COLUMNS = [f"parity{j}" for j in range(SKETCH // 64)]
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,6 +155,24 @@ def chunks_of_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield value[at[i]:at[i + 1]]
 
 
+def _sketches(texts: DataFrame, k: int) -> DataFrame:
+    """id and the parity of each hash bucket of its shingles, as 64-bit words."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            odd = np.zeros((b.num_rows, SKETCH), dtype=np.uint8)
+            for i, x in enumerate(chunks_of_sets(b.column("text"), k)):
+                odd[i] = np.bincount((x % U64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+            words_ = np.packbits(odd, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), *(pa.array(np.ascontiguousarray(words_[:, j])) for j in range(SKETCH // 64))],
+                names=["id", *_SKETCH_COLUMNS])
+
+    return texts.select("id", "text").mapInArrow(
+        run, f"id {kind}, " + ", ".join(f"{c} bigint" for c in _SKETCH_COLUMNS))
+
+
 def _crossing(members: DataFrame, comp: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) in different components, none missing, among the
     members of buckets that still hold several components.
@@ -162,7 +183,9 @@ def _crossing(members: DataFrame, comp: DataFrame, texts: DataFrame, k: int, per
     there only if the threshold is within reach from its first common shingle:
     if that stands at places i and j, the sets have at most
     1 + min(size of a - i, size of b - j) in common.  Shingles of one component
-    only come first, so copies edited too much have no place left to meet.
+    only come first, so copies edited too much have no place left to meet.  And
+    the parities of the sets' hash buckets (SKETCH bits) differ in at most as
+    many places as the sets do, which the threshold bounds.
     """
     placed = (members.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")))
     several = (placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
@@ -190,9 +213,16 @@ def _crossing(members: DataFrame, comp: DataFrame, texts: DataFrame, k: int, per
             .filter("shared = 1")
             .select("shingle", "id", "c", "size", "rank"))
     head = materialize(head, "prefixes")
-    x, y = head.toDF("shingle", "a", "ca", "sa", "ia"), head.toDF("shingle", "b", "cb", "sb", "ib")
+    named = head.select("id").distinct()
+    head = head.join(_sketches(texts.join(named, "id", "left_semi"), k), "id").select(
+        "shingle", "id", "c", "size", "rank", *_SKETCH_COLUMNS)
+    x = head.toDF("shingle", "a", "ca", "sa", "ia", *(f"a_{c}" for c in _SKETCH_COLUMNS))
+    y = head.toDF("shingle", "b", "cb", "sb", "ib", *(f"b_{c}" for c in _SKETCH_COLUMNS))
+    apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _SKETCH_COLUMNS)
+    both = F.col("sa") + F.col("sb")
     most = 1 + F.least(F.expr("sa - ia"), F.expr("sb - ib"))
-    reach = (F.col("ca") < F.col("cb")) & (100 * most >= percent * (F.col("sa") + F.col("sb") - most))
+    reach = ((F.col("ca") < F.col("cb")) & (100 * most >= percent * (both - most))
+             & (apart <= both - 2 * F.ceil(percent * both / (100 + percent))))
     return x.join(y, (x["shingle"] == y["shingle"]) & reach).select("a", "b").distinct()
 
 
