@@ -19,11 +19,11 @@ from .joins import join_null_safe
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
                       ps: list[float], names: list[str] | None = None,
-                      digits: int = 6) -> DataFrame:
+                      num_partitions: int | None = None, digits: int = 6) -> DataFrame:
     names = names or [f"p{int(round(p * 100))}" for p in ps]
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
         .filter(F.col("_v").isNotNull())
-    s = v.repartitionByRange(*group_cols, "_v") \
+    s = v.repartitionByRange(*([num_partitions] if num_partitions else []), *group_cols, "_v") \
         .sortWithinPartitions(*group_cols, "_v") \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())

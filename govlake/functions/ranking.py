@@ -18,10 +18,10 @@ from .joins import join_null_safe
 
 
 def range_row_numbers(df: DataFrame, group_cols: list[str], order: list[Column],
-                      out: str = "row_number") -> DataFrame:
+                      out: str = "row_number", num_partitions: int | None = None) -> DataFrame:
     """Adds ``out`` (1, 2, ...) per group in ``order`` (order must be total)."""
     keys = [F.col(c) for c in group_cols] + list(order)
-    s = df.repartitionByRange(*keys).sortWithinPartitions(*keys) \
+    s = df.repartitionByRange(*([num_partitions] if num_partitions else []), *keys).sortWithinPartitions(*keys) \
         .withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_mid", F.monotonically_increasing_id())
     s = materialize(s, "ranked")

@@ -136,7 +136,7 @@ def _cents(c: str):
     return (F.col(c) * 100).cast("bigint")
 
 
-def transfer_apply(prechecked: DataFrame) -> DataFrame:
+def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """LED-4: apply transfers in request order; later requests see earlier
     balances.
 
@@ -155,7 +155,7 @@ def transfer_apply(prechecked: DataFrame) -> DataFrame:
         F.coalesce(_cents("src_balance"), F.lit(0)).alias("src_cents"),
         F.coalesce(_cents("dst_balance"), F.lit(0)).alias("dst_cents"),
         F.coalesce(_cents("amount"), F.lit(0)).alias("amount_cents")) \
-        .repartition("requester_id") \
+        .repartition(*([num_partitions] if num_partitions else []), "requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
     return ordered.mapInPandas(_fold_partition, _fold_schema()).select(
         "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
