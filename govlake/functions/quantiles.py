@@ -1,11 +1,12 @@
 """Exact percentiles without holding a group in one task.
 
 Spark's ``percentile`` aggregate keeps every value of a group in one buffer.
-Here the values are range-partitioned and sorted by (group, value), so a large
-group spreads over many tasks; each row's rank inside its group is its offset
-in the partition plus the counts of the same group in earlier partitions (a
-small table).  Only the rows at the needed ranks are kept and interpolated as
-``quantile_cont`` does: h = (n - 1) * p between ranks floor(h) and ceil(h).
+Here equal values are counted first (partial aggregation, so a hot value is
+one row), the distinct values are range-partitioned by (group, value), so a
+large group spreads over many tasks, and each value's ranks follow from a
+running count in its partition plus the counts of the same group in earlier
+partitions (a small table).  The values at the needed ranks are interpolated
+as ``quantile_cont`` does: h = (n - 1) * p between ranks floor(h) and ceil(h).
 """
 
 from __future__ import annotations
@@ -21,40 +22,36 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value_col: str,
                       ps: list[float], names: list[str] | None = None,
                       num_partitions: int | None = None, digits: int = 6) -> DataFrame:
     names = names or [f"p{int(round(p * 100))}" for p in ps]
-    v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
-        .filter(F.col("_v").isNotNull())
-    s = v.repartitionByRange(*([num_partitions] if num_partitions else []), *group_cols, "_v") \
-        .sortWithinPartitions(*group_cols, "_v") \
-        .withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    # Write the ranks' inputs once as a table in the shared checkpoint folder,
-    # so both uses below see the same partition ids (and survive executor loss).
+    counts = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
+        .filter(F.col("_v").isNotNull()).groupBy(*group_cols, "_v").agg(F.count("*").alias("_k"))
+    s = counts.repartitionByRange(*([num_partitions] if num_partitions else []), *group_cols, "_v") \
+        .withColumn("_pid", F.spark_partition_id())
+    # Written once to the shared checkpoint folder, so both uses below see the
+    # same partition ids (and survive executor loss).
     s = materialize(s, "quantile-input")
-    blocks = s.groupBy("_pid", *group_cols).agg(F.count("*").alias("_c"),
-                                                 F.min("_mid").alias("_first"))
-    wg = Window.partitionBy(*group_cols).orderBy("_pid")
-    blocks = blocks.withColumn("_before", F.coalesce(
-        F.sum("_c").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*group_cols)))
-    targets = blocks.select(*group_cols, "_n").distinct()
-    h_cols = []
-    for p, name in zip(ps, names):
-        h = (F.col("_n") - 1) * F.lit(p)
-        h_cols += [F.floor(h).alias(f"_lo_{name}"), F.ceil(h).alias(f"_hi_{name}"),
-                   h.alias(f"_h_{name}")]
-    targets = targets.select(*group_cols, "_n", *h_cols)
-    ranks = targets.select(*group_cols, F.explode(F.array_distinct(F.array(
-        *[F.col(f"_lo_{n}") for n in names], *[F.col(f"_hi_{n}") for n in names])))
-        .alias("_rank"))
-    ranked = join_null_safe(s, blocks.select("_pid", *group_cols, "_before", "_first"),
+    wg = Window.partitionBy(*group_cols)
+    blocks = s.groupBy("_pid", *group_cols).agg(F.sum("_k").alias("_c")) \
+        .withColumn("_before", F.coalesce(F.sum("_c").over(
+            wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+        .withColumn("_n", F.sum("_c").over(wg)).drop("_c")
+    w_in = Window.partitionBy("_pid", *group_cols).orderBy("_v") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = join_null_safe(s.withColumn("_upto", F.sum("_k").over(w_in)), blocks,
                             ["_pid", *group_cols]) \
-        .withColumn("_rank", F.col("_before") + F.col("_mid") - F.col("_first"))
-    picked = join_null_safe(ranked, ranks, [*group_cols, "_rank"]).select(*group_cols, "_rank", "_v")
-    j = join_null_safe(picked, targets, group_cols)
+        .withColumn("_end", F.col("_before") + F.col("_upto"))      # ranks [_end - _k, _end)
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("_end") - F.col("_k")) & (rank < F.col("_end")),
+                            F.col("_v")))
+
     aggs = []
-    for name in names:
-        lo = F.max(F.when(F.col("_rank") == F.col(f"_lo_{name}"), F.col("_v")))
-        hi = F.max(F.when(F.col("_rank") == F.col(f"_hi_{name}"), F.col("_v")))
-        frac = F.first(F.col(f"_h_{name}") - F.col(f"_lo_{name}"))
-        aggs.append(F.round(lo + frac * (hi - lo), digits).alias(name))
-    return j.groupBy(*group_cols).agg(F.first("_n").alias("n"), *aggs)
+    for p, name in zip(ps, names):
+        h = (F.col("_n") - 1) * F.lit(p)
+        aggs += [at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}")]
+    g = ranked.groupBy(*group_cols).agg(F.first("_n").alias("_n"), *aggs)
+    out = []
+    for p, name in zip(ps, names):
+        h = (F.col("_n") - 1) * F.lit(p)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append(F.round(lo + (h - F.floor(h)) * (hi - lo), digits).alias(name))
+    return g.select(*group_cols, F.col("_n").alias("n"), *out)

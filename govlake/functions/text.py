@@ -47,9 +47,11 @@ def mask_long_digits(c: str | Column) -> Column:
 
 
 def mask_card_numbers(c: str | Column) -> Column:
-    """Long digit runs, and 16 digits in groups of four, keep their last four."""
-    return F.regexp_replace(mask_long_digits(c),
+    """Long digit runs, 16 digits in groups of four, and 15 digits in groups
+    of 4, 6 and 5 keep their last four."""
+    four = F.regexp_replace(mask_long_digits(c),
                             "[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]([0-9]{4})", "****$1")
+    return F.regexp_replace(four, "[0-9]{4}[ -][0-9]{6}[ -][0-9]([0-9]{4})", "****$1")
 
 
 def ts_ntz(value) -> Column:

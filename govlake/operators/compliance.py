@@ -93,6 +93,17 @@ def unlogged_access(audit: DataFrame, records: DataFrame) -> DataFrame:
     return reads.join(pci, "event_id", "left_anti")
 
 
+def unverified_access(audit: DataFrame) -> DataFrame:
+    """COMP-002: successful account or transaction reads of a user without a
+    successful login at or before the read (a null user has never logged in)."""
+    logins = audit.filter((F.col("event_type") == "auth_success") & F.col("success")) \
+        .groupBy("user_id").agg(F.min("timestamp").alias("_login"))
+    reads = audit.filter(F.col("event_type").isin(*READ_EVENTS) & F.col("success"))
+    return reads.join(logins, "user_id", "left") \
+        .filter(F.coalesce(F.col("_login") > F.col("timestamp"), F.lit(True))) \
+        .select(*audit.columns)
+
+
 def unified_event_log(audit: DataFrame, records: list[DataFrame]) -> DataFrame:
     """CMP-8: audit events and compliance records in one frame (any records,
     each with its own detail columns)."""

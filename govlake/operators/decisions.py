@@ -87,3 +87,37 @@ def escalate_low_confidence(analysis: DataFrame) -> DataFrame:
     return analysis.select("*", F.explode(th).alias("_t")) \
         .filter(F.col("confidence").cast("double") < F.col("_t.threshold")) \
         .select(*analysis.columns, "_t.industry", "_t.threshold")
+
+
+def request_screening(requests: DataFrame, keys: list[str], text_col: str, roles: DataFrame,
+                      lexicon: DataFrame) -> DataFrame:
+    """The whole screening of requests: layer 1 (SAF-2), gate (DEC-1), layer 2
+    (SAF-7) and decision (DEC-2), one row per request.
+
+    ``requests``: the keys, user_id and the text; a user without a role is a
+    plain user.  A request that layer 1 stops has no layer-2 scores, decision
+    rule 0 and action ``blocked``.  Columns: keys, user_id, role, hits, gate,
+    the scores, violated_rules, risk_factors, banking_intent, decision_rule,
+    action, reasoning."""
+    from ..functions.joins import join_null_safe
+    from ..functions.text import normalise_role
+    from .rules import banking_intent, layer2_analysis
+    from .textsafety import layer1_scores
+    gate = safety_gate(layer1_scores(requests, keys, text_col, lexicon)) \
+        .select(*keys, "hits", "gate", F.col("message").alias("_message"))
+    two = layer2_analysis(requests.withColumn("_text", F.col(text_col)), [*keys, "user_id", "_text"],
+                          text_col) \
+        .withColumn("banking_intent", banking_intent(F.col("_text"))).drop("_text", "analysis")
+    who = roles.select("user_id", normalise_role("role").alias("role"))
+    both = join_null_safe(two, gate, keys).join(who, "user_id", "left") \
+        .withColumn("role", F.coalesce("role", F.lit("user")))
+    d = decision_matrix(both)
+    open_ = F.col("gate") == "continue"
+    return d.select(
+        *keys, "user_id", "role", "hits", "gate",
+        *[F.when(open_, F.col(c)).alias(c) for c in ("safety_score", "compliance_score", "confidence",
+                                                     "violated_rules", "risk_factors")],
+        "banking_intent",
+        F.when(open_, F.col("decision_rule")).otherwise(F.lit(0)).cast("bigint").alias("decision_rule"),
+        F.when(open_, F.col("action")).otherwise("blocked").alias("action"),
+        F.when(open_, F.col("reasoning")).otherwise(F.col("_message")).alias("reasoning"))

@@ -116,6 +116,25 @@ def queue_stats(visible: DataFrame, callers: DataFrame | None = None) -> DataFra
                     F.round(F.coalesce(F.col("_avg"), F.lit(0.0)), 6).alias("avg_confidence"))
 
 
+def queue_stats_all(tickets: DataFrame, roles: DataFrame) -> DataFrame:
+    """ESC-5 for every user at once: privileged users see the whole queue, so
+    they share one global aggregate; a plain user gets the aggregate of their
+    own tickets.  No ticket is copied per caller; users without tickets get
+    zeros and an average of 0.0."""
+    stats = [F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"),
+             F.count_if(F.col("status") == "resolved").alias("resolved"),
+             F.avg(F.col("confidence").cast("double")).alias("avg")]
+    own = tickets.groupBy("user_id").agg(*stats).select("user_id", F.struct(
+        "total", "pending", "resolved", "avg").alias("_own"))
+    whole = tickets.agg(*stats).select(F.struct("total", "pending", "resolved", "avg")).scalar()
+    u = roles.select("user_id", normalise_role("role").alias("_role")).join(own, "user_id", "left") \
+        .withColumn("_s", F.when(F.col("_role") == "user", F.col("_own")).otherwise(whole))
+    return u.select(F.col("user_id").alias("caller_id"),
+                    *[F.coalesce(F.col(f"_s.{c}"), F.lit(0)).cast("bigint").alias(c)
+                      for c in ("total", "pending", "resolved")],
+                    F.round(F.coalesce(F.col("_s.avg"), F.lit(0.0)), 6).alias("avg_confidence"))
+
+
 def ticket_list(visible: DataFrame) -> DataFrame:
     """ESC-6: each caller's tickets numbered newest first; reasoning cut at
     200 with "..."; resolver and note for resolved tickets, else confidence.

@@ -119,17 +119,43 @@ def cost_rollup(events: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, gap_minutes: int = S.SESSION_GAP_MINUTES) -> DataFrame:
     """MET-7: gap sessions per user with start, end (last event),
-    interactions, tools used, safety blocks, escalations and cost."""
+    interactions, tools used, safety blocks, escalations and cost.
+
+    Two levels, so a very active user is not one task: events are cut into
+    (user, hour) buckets, each bucket into pieces at gaps and every piece is
+    aggregated; the pieces of a user (their number is bounded by the hours
+    covered, not by the events) are then chained into sessions.  Events
+    without a time form one piece of their own per user, with a null start."""
+    gap = F.expr(f"INTERVAL {int(gap_minutes)} MINUTES")
     e = events.select("user_id", "timestamp", "event_type", _tool().alias("tool"),
-                      cost().alias("cost"))
-    s = e.groupBy("user_id", F.session_window("timestamp", f"{gap_minutes} minutes").alias("sw")) \
-        .agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
-             F.count("*").alias("interactions"),
-             F.array_join(F.array_sort(F.collect_set(
-                 F.when(F.col("tool") != "none", F.col("tool")))), ",").alias("tools_used"),
-             F.count_if(F.col("event_type") == "safety_block").alias("safety_blocks"),
-             F.count_if(F.col("event_type") == "escalation_created").alias("escalations"),
-             F.sum("cost").cast("decimal(38,8)").alias("total_cost"))
+                      cost().alias("cost"), F.date_trunc("hour", "timestamp").alias("_hour"))
+    w = Window.partitionBy("user_id", "_hour").orderBy("timestamp")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = F.coalesce(F.col("timestamp") > F.lag("timestamp").over(w) + gap,
+                        F.row_number().over(w) == 1)
+    pieces = e.withColumn("_new", starts.cast("int")) \
+        .withColumn("_piece", F.sum("_new").over(upto)) \
+        .groupBy("user_id", "_hour", "_piece").agg(
+            F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"),
+            F.count("*").alias("interactions"),
+            F.array_sort(F.collect_set(F.when(F.col("tool") != "none", F.col("tool"))))
+            .alias("tools"),
+            F.count_if(F.col("event_type") == "safety_block").alias("safety_blocks"),
+            F.count_if(F.col("event_type") == "escalation_created").alias("escalations"),
+            F.sum("cost").alias("cost"))
+    w = Window.partitionBy("user_id").orderBy("start_time")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chained = pieces.withColumn("_new", F.coalesce(
+        F.col("start_time") > F.lag("end_time").over(w) + gap, F.lit(True)).cast("int")) \
+        .withColumn("_session", F.sum("_new").over(upto))
+    # the distinct tool lists of a session are subsets of the fixed tool names
+    s = chained.groupBy("user_id", "_session").agg(
+        F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+        F.sum("interactions").alias("interactions"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tools")))), ",")
+        .alias("tools_used"),
+        F.sum("safety_blocks").alias("safety_blocks"), F.sum("escalations").alias("escalations"),
+        F.sum("cost").cast("decimal(38,8)").alias("total_cost"))
     return s.select(F.concat(F.col("user_id"), F.lit("-"),
                              F.date_format("start_time", "yyyyMMddHHmmss")).alias("session_id"),
                     "user_id", "start_time", "end_time", "interactions", "tools_used",

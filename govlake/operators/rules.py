@@ -4,7 +4,8 @@ The rule patterns are fixed values, so each rule becomes a column expression
 over the lower-case text: ``contains`` for literal phrases, ``rlike`` with a
 literal pattern (compiled once per task) for real patterns.  All rules are
 tested in one code-generated projection: no join against a rule table, no
-shuffle, no lambdas.
+shuffle.  COMP-004 compares amounts: the texts' dollar amounts are read as
+numbers, whatever their grouping.
 """
 
 from __future__ import annotations
@@ -28,10 +29,27 @@ def _is_literal(p: str) -> bool:
     return not any(ch in _META for ch in p)
 
 
+def over_amounts(low: Column) -> Column:
+    """The dollar amounts of the text above ``HIGH_VALUE_AMOUNT``, as written
+    and in their order; doubles hold every length of number."""
+    found = F.regexp_extract_all(low, F.lit(S.RULE_PATTERNS["COMP-004"][0]), F.lit(0))
+    return F.filter(found, lambda m: F.regexp_replace(m, "[$ ,]", "").try_cast("double")
+                    > S.HIGH_VALUE_AMOUNT)
+
+
+def rule_evidence(low: Column, rule_id: str) -> Column:
+    """The leftmost phrase that touches the rule, null if none does."""
+    if rule_id == "COMP-004":
+        return F.when(low.contains("$"), F.get(over_amounts(low), 0))
+    return F.when(rule_hit(low, rule_id), F.regexp_extract(low, rule_regex(rule_id), 0))
+
+
 def rule_hit(low: Column, rule_id: str) -> Column:
     """Does the lower-case text touch the rule?  Literal phrases are byte
     searches (``contains``); only real patterns run the regex engine.  Same
     answer as ``rlike`` of the rule's alternation."""
+    if rule_id == "COMP-004":
+        return low.contains("$") & (F.size(over_amounts(low)) > 0)
     tests = [low.contains(p) if _is_literal(p) else low.rlike(p)
              for p in S.RULE_PATTERNS[rule_id]]
     out = tests[0]
@@ -47,15 +65,12 @@ def rule_flags(texts: DataFrame, text_col: str) -> DataFrame:
     """Adds ``_h<i>`` (does the text touch rule i) and ``_e<i>`` (its
     evidence: the leftmost match of the rule's alternation, only on a hit).
 
-    Plain column expressions only (no lambdas), so the projection is code
-    generated and ``lower(text)`` is computed once per row by common
-    subexpression elimination."""
+    ``lower(text)`` is computed once per row by common subexpression
+    elimination."""
     low = F.lower(F.col(text_col))
     cols = []
     for i, rid in enumerate(RULE_IDS):
-        hit = rule_hit(low, rid)
-        cols += [hit.alias(f"_h{i}"),
-                 F.when(hit, F.regexp_extract(low, rule_regex(rid), 0)).alias(f"_e{i}")]
+        cols += [rule_hit(low, rid).alias(f"_h{i}"), rule_evidence(low, rid).alias(f"_e{i}")]
     return texts.select(*texts.columns, *cols)
 
 
@@ -110,3 +125,15 @@ def layer2_analysis(texts: DataFrame, keys: list[str], text_col: str) -> DataFra
         F.when(n == 0, F.lit("No rule matched"))
          .otherwise(F.concat(F.lit("Matched: "), F.regexp_replace(rules_csv, ",", ", ")))
         .alias("analysis"))
+
+
+# Words of a banking request (ours): any of them shows a banking intent.
+BANKING_WORDS = ["account", "balance", "transaction", "transfer", "payment"]
+
+
+def banking_intent(text: Column) -> Column:
+    low = F.lower(text)
+    out = F.lit(False)
+    for w in BANKING_WORDS:
+        out = out | low.contains(w)
+    return F.coalesce(out, F.lit(False))

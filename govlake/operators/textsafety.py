@@ -132,8 +132,8 @@ def text_safety_check(scored: DataFrame, threshold: float = S.OFFENSIVE_SCORE_MI
 
 def mask_account_numbers(texts: DataFrame, cols: list[str]) -> DataFrame:
     """PRJ-5: show only the last four digits of long digit runs (COMP-001):
-    any run of 13 or more digits, and 16 digits in groups of four split by
-    spaces or dashes."""
+    any run of 13 or more digits, and 16 or 15 digits in groups (4-4-4-4 and
+    4-6-5) split by spaces or dashes."""
     return texts.withColumns({c: mask_card_numbers(c) for c in cols})
 
 

@@ -51,6 +51,24 @@ def q_governance_tables(spark, sf):
     return V.transactions(spark, sf)
 
 
+@query("governance_users")
+def q_governance_users(spark, sf):
+    """SRC-4: the users table."""
+    return V.users(spark, sf)
+
+
+@query("governance_accounts")
+def q_governance_accounts(spark, sf):
+    """SRC-4: the accounts table."""
+    return V.accounts(spark, sf)
+
+
+@query("governance_tickets")
+def q_governance_tickets(spark, sf):
+    """SRC-4: the escalation tickets table."""
+    return V.escalations(spark, sf)
+
+
 @query("role_normalise")
 def q_role_normalise(spark, sf):
     return _roles(spark, sf)
@@ -381,12 +399,8 @@ def q_resolve_denials(spark, sf):
 
 @query("queue_stats")
 def q_queue_stats(spark, sf):
-    """Queue statistics for each caller, zeros for a caller who sees none."""
-    roles = _roles(spark, sf)
-    callers = roles.filter(F.col("user_id").isin(*CALLERS)) \
-        .select(F.col("user_id").alias("caller_id"))
-    return E.queue_stats(access.visible_tickets(V.escalations(spark, sf), roles, CALLERS),
-                         callers)
+    """Queue statistics for every user, zeros for a user who sees no ticket."""
+    return E.queue_stats_all(V.escalations(spark, sf), _roles(spark, sf))
 
 
 @query("ticket_list")
@@ -400,14 +414,16 @@ def q_ticket_list(spark, sf):
 RESEND_DAYS = 30
 
 
-def _ok_transfers(spark, sf):
-    return ledger.transfer_precheck(V.transfer_requests(spark, sf), _roles(spark, sf),
-                                    V.accounts(spark, sf)).filter(F.col("outcome") == "ok")
+def _accepted_transfers(spark, sf):
+    """The transfers LED-4 accepts when the requests are applied in order."""
+    pre = ledger.transfer_precheck(V.transfer_requests(spark, sf), _roles(spark, sf),
+                                   V.accounts(spark, sf))
+    return ledger.transfer_apply(pre).filter(F.col("status") == "accepted")
 
 
 @query("transfer_legs")
 def q_transfer_legs(spark, sf):
-    return ledger.transfer_legs(_ok_transfers(spark, sf))
+    return ledger.transfer_legs(_accepted_transfers(spark, sf))
 
 
 @query("bulk_append")
@@ -415,7 +431,7 @@ def q_bulk_append(spark, sf):
     """New transfer legs plus a re-sent batch (the last 30 days) appended to
     the transactions table."""
     tx = V.transactions(spark, sf)
-    legs = ledger.transfer_legs(_ok_transfers(spark, sf)).drop("from_account_id", "to_account_id")
+    legs = ledger.transfer_legs(_accepted_transfers(spark, sf)).drop("from_account_id", "to_account_id")
     batch = legs.unionByName(access.txn_lookback(tx, AS_OF_ORDERS, RESEND_DAYS))
     return TB.bulk_append(tx, batch, "transaction_id", ["timestamp", "account_id", "amount"],
                           [("account_id", V.accounts(spark, sf), "account_id")])
@@ -448,7 +464,11 @@ def q_account_update(spark, sf):
 
 def _retention_frames(spark, sf):
     return {"audit": (V.audit(spark, sf), "timestamp", AS_OF_EVENTS),
-            "transaction": (V.transactions(spark, sf), "timestamp", AS_OF_ORDERS)}
+            "transaction": (V.transactions(spark, sf), "timestamp", AS_OF_ORDERS),
+            "escalation": (V.escalations(spark, sf), "created_at", AS_OF_EVENTS),
+            "compliance": (C.unified_event_log_one_pass(
+                V.audit(spark, sf), _roles(spark, sf), S.EVENT_PERMISSION)
+                .filter(F.col("source") == "compliance"), "timestamp", AS_OF_EVENTS)}
 
 
 @query("retention_tiers")
@@ -495,6 +515,19 @@ def q_safety_gate(spark, sf):
     return DEC.safety_gate(l1)
 
 
+@query("request_screening")
+def q_request_screening(spark, sf):
+    """Every user turn of the conversations through both safety layers, the
+    decision and its ticket id; the speaker stands for the conversation's id."""
+    req = V.user_requests(spark, sf).withColumn("user_id", V.user_id_of(F.col("conv_id")))
+    d = DEC.request_screening(req, ["conv_id", "turn"], "input_text", _roles(spark, sf),
+                              _lexicon(spark, sf))
+    return d.withColumns({
+        "violated_rules": F.array_join("violated_rules", ","),
+        "risk_factors": F.array_join("risk_factors", ","),
+        "ticket_id": F.when(F.col("action") == "escalate", E.ticket_id_of("conv_id", "turn"))})
+
+
 @query("toxicity_model")
 def q_toxicity_model(spark, sf):
     """Predictions of the fitted model on the held-out labelled documents."""
@@ -640,6 +673,12 @@ def q_unlogged_access(spark, sf):
     return C.unlogged_access(a, C.pci_data_access(a))
 
 
+@query("unverified_access")
+def q_unverified_access(spark, sf):
+    """COMP-002 over the whole audit log."""
+    return C.unverified_access(V.audit(spark, sf))
+
+
 @query("unified_event_log")
 def q_unified_event_log(spark, sf):
     return C.unified_event_log_one_pass(V.audit(spark, sf), _roles(spark, sf),
@@ -963,7 +1002,7 @@ def q_high_value_transfers(spark, sf):
 
 @query("transfer_leg_match")
 def q_transfer_leg_match(spark, sf):
-    return access.transfer_leg_match(ledger.transfer_legs(_ok_transfers(spark, sf)))
+    return access.transfer_leg_match(ledger.transfer_legs(_accepted_transfers(spark, sf)))
 
 
 @query("audit_ticket_match")

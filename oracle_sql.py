@@ -30,6 +30,9 @@ FROM (SELECT *, upper(transaction_type) AS type_label,
       FROM transactions WHERE timestamp >= {AS_OF_ORDERS} - INTERVAL 365 DAY) t
 WHERE rank <= 10"""
 
+SQL["governance_users"] = "SELECT * FROM users"
+SQL["governance_accounts"] = "SELECT * FROM accounts"
+SQL["governance_tickets"] = "SELECT * FROM escalations"
 SQL["governance_tables"] = "SELECT * FROM transactions"
 
 SQL["role_normalise"] = "SELECT user_id, role_raw, role FROM roles"
@@ -307,12 +310,12 @@ FROM att WHERE outcome = 'denied'"""
 EXTRA["resolve_denials"] = RESOLUTION_CTES
 
 SQL["queue_stats"] = """
-SELECT c.caller_id, count(e.id) AS total, count(e.id) FILTER (WHERE e.status = 'pending') AS pending,
+SELECT c.user_id AS caller_id, count(e.id) AS total, count(e.id) FILTER (WHERE e.status = 'pending') AS pending,
        count(e.id) FILTER (WHERE e.status = 'resolved') AS resolved,
        round(COALESCE(avg(CAST(e.confidence AS DOUBLE)), 0.0), 6) AS avg_confidence
-FROM callers c LEFT JOIN escalations e ON c.caller_role <> 'user' OR e.user_id = c.caller_id
-GROUP BY c.caller_id"""
-EXTRA["queue_stats"] = [ROLES, CALLER_CTE]
+FROM roles c LEFT JOIN escalations e ON c.role <> 'user' OR e.user_id = c.user_id
+GROUP BY c.user_id"""
+EXTRA["queue_stats"] = [ROLES]
 
 SQL["ticket_list"] = """
 SELECT c.caller_id,
@@ -330,6 +333,59 @@ EXTRA["ticket_list"] = [ROLES, CALLER_CTE]
 # --- table maintenance -------------------------------------------------------
 
 PRECHECK_CTE = "pre AS (" + SQL["transfer_precheck"].strip() + ")"
+# The requests in order per requester, applied one after the other: the map
+# holds the balances of the requester's accounts touched so far.
+OUTCOME = SQL["transfer_precheck"][SQL["transfer_precheck"].index("CASE WHEN t.amount"):
+                                   SQL["transfer_precheck"].index("AS outcome")]
+FOLD_CTES = [f"""fold_in AS (
+  SELECT t.*, s.balance AS sb, d.balance AS db, {OUTCOME} AS outcome
+  FROM transfer_requests t LEFT JOIN roles ro ON ro.user_id = t.requester_id
+  LEFT JOIN accounts s ON s.account_id = t.from_account_id
+  LEFT JOIN accounts d ON d.account_id = t.to_account_id)""",
+    """fold_num AS (
+  SELECT *, row_number() OVER (PARTITION BY requester_id ORDER BY requested_at, l_orderkey,
+                               l_linenumber, from_account_id, to_account_id, amount) AS n
+  FROM fold_in WHERE outcome IN ('ok', 'insufficient_funds'))""",
+    """fold AS (
+  SELECT n, requester_id, l_orderkey, l_linenumber, requested_at, from_account_id, to_account_id, amount,
+         sb >= amount AS accepted,
+         CAST(CASE WHEN sb >= amount THEN sb - amount ELSE sb END AS DECIMAL(18, 2)) AS sa,
+         CAST(CASE WHEN sb >= amount THEN db + amount ELSE db END AS DECIMAL(18, 2)) AS da,
+         MAP {from_account_id: CAST(CASE WHEN sb >= amount THEN sb - amount ELSE sb END AS DECIMAL(18, 2)),
+              to_account_id: CAST(CASE WHEN sb >= amount THEN db + amount ELSE db END AS DECIMAL(18, 2))} AS bal
+  FROM fold_num WHERE n = 1
+  UNION ALL
+  SELECT n, requester_id, l_orderkey, l_linenumber, requested_at, from_account_id, to_account_id, amount,
+         accepted, sa, da, map_concat(bal, MAP {from_account_id: sa, to_account_id: da})
+  FROM (SELECT *, s >= amount AS accepted,
+               CAST(CASE WHEN s >= amount THEN s - amount ELSE s END AS DECIMAL(18, 2)) AS sa,
+               CAST(CASE WHEN s >= amount THEN d + amount ELSE d END AS DECIMAL(18, 2)) AS da
+        FROM (SELECT x.*, f.bal, COALESCE(f.bal[x.from_account_id], x.sb) AS s,
+                     COALESCE(f.bal[x.to_account_id], x.db) AS d
+              FROM fold f JOIN fold_num x ON x.requester_id = f.requester_id AND x.n = f.n + 1) y) z)"""]
+SQL["transfer_apply"] = """
+SELECT l_orderkey, l_linenumber, requested_at, requester_id, from_account_id, to_account_id, amount,
+       CASE WHEN accepted THEN 'accepted' ELSE 'insufficient_funds' END AS status,
+       sa AS src_balance_after, da AS dst_balance_after FROM fold
+UNION ALL
+SELECT l_orderkey, l_linenumber, requested_at, requester_id, from_account_id, to_account_id, amount,
+       outcome, NULL, NULL FROM fold_in WHERE outcome NOT IN ('ok', 'insufficient_funds')"""
+EXTRA["transfer_apply"] = [ROLES, *FOLD_CTES]
+SQL["final_balances"] = """
+SELECT a.account_id, a.user_id, a.balance AS opening_balance,
+       CAST(a.balance + COALESCE(m.delta, 0) AS DECIMAL(18, 2)) AS closing_balance
+FROM accounts a LEFT JOIN (
+  SELECT account_id, sum(d) AS delta FROM (
+    SELECT from_account_id AS account_id, -amount AS d FROM fold WHERE accepted
+    UNION ALL SELECT to_account_id, amount FROM fold WHERE accepted) e GROUP BY account_id) m
+  ON m.account_id = a.account_id"""
+EXTRA["final_balances"] = [ROLES, *FOLD_CTES]
+SQL["stream_transfers"] = """
+SELECT l_orderkey, l_linenumber, requester_id, from_account_id, to_account_id, amount,
+       CASE WHEN accepted THEN 'accepted' ELSE 'insufficient_funds' END AS status,
+       sa AS src_balance_after, da AS dst_balance_after FROM fold"""
+EXTRA["stream_transfers"] = [ROLES, *FOLD_CTES]
+
 TID = ("substr(sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
        "CAST(requested_at AS VARCHAR), from_account_id, to_account_id, CAST(amount AS VARCHAR))), 1, 32)")
 LEGS_CTE = f"""legs AS (
@@ -338,17 +394,15 @@ LEGS_CTE = f"""legs AS (
          concat('Transfer to ', to_account_id, ': Transfer from ', from_account_id, ' to ', to_account_id)
            AS description, requested_at AS timestamp, 'completed' AS status,
          from_account_id, to_account_id
-  FROM pre JOIN transfer_requests USING (l_orderkey, l_linenumber, requester_id, from_account_id,
-                                         to_account_id, amount) WHERE outcome = 'ok'
+  FROM fold WHERE accepted
   UNION ALL
   SELECT {TID} || '_to', to_account_id, 'transfer', CAST(amount AS DECIMAL(18, 2)), 'USD',
          concat('Transfer from ', from_account_id, ': Transfer from ', from_account_id, ' to ', to_account_id),
          requested_at, 'completed', from_account_id, to_account_id
-  FROM pre JOIN transfer_requests USING (l_orderkey, l_linenumber, requester_id, from_account_id,
-                                         to_account_id, amount) WHERE outcome = 'ok')"""
+  FROM fold WHERE accepted)"""
 
 SQL["transfer_legs"] = "SELECT * FROM legs"
-EXTRA["transfer_legs"] = [ROLES, PRECHECK_CTE, LEGS_CTE]
+EXTRA["transfer_legs"] = [ROLES, *FOLD_CTES, LEGS_CTE]
 
 SQL["bulk_append"] = f"""
 SELECT b.transaction_id, b.account_id, b.transaction_type, b.amount, b.currency, b.description,
@@ -365,7 +419,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id
             SELECT * FROM transactions WHERE timestamp >= {AS_OF_ORDERS} - INTERVAL 30 DAY) x) b
 LEFT JOIN transactions t ON t.transaction_id = b.transaction_id
 LEFT JOIN accounts a ON a.account_id = b.account_id"""
-EXTRA["bulk_append"] = [ROLES, PRECHECK_CTE, LEGS_CTE]
+EXTRA["bulk_append"] = [ROLES, *FOLD_CTES, LEGS_CTE]
 
 
 def _nn(table, cols):
@@ -449,7 +503,38 @@ EXTRA["retention_events"] = [TIERS]
 
 # --- text safety, rules, decisions -------------------------------------------
 
-from govlake import schemas as _S  # noqa: E402  (fixed values only: rules, patterns)
+# rule id -> kind, category, severity, action (fixed values)
+_RULES = {
+    "SAFETY-001": ("safety", "harmful_content", "critical", "reject"),
+    "SAFETY-002": ("safety", "offensive_language", "high", "reject"),
+    "SAFETY-003": ("safety", "prompt_injection", "critical", "reject"),
+    "SAFETY-004": ("safety", "pii_extraction", "critical", "reject"),
+    "SAFETY-005": ("safety", "suspicious_activity", "high", "escalate"),
+    "COMP-001": ("compliance", "data_privacy", "critical", "rewrite"),
+    "COMP-004": ("compliance", "high_value_transactions", "high", "escalate"),
+    "COMP-005": ("compliance", "investment_advice", "high", "reject"),
+    "COMP-006": ("compliance", "account_creation", "medium", "reject"),
+    "COMP-007": ("compliance", "transaction_processing", "medium", "conditional"),
+}
+_PHRASES = {
+    "SAFETY-001": "(hack into|malware|blackmail)",
+    "SAFETY-002": "(profanity|hate speech|discriminatory language)",
+    "SAFETY-003": "(ignore previous instructions|you are now a different assistant|disregard your safety guidelines)",
+    "SAFETY-004": '(user passwords|social security numbers|credit card numbers|token *= *"[0-9a-f]+")',
+    "SAFETY-005": "(transfer all money|delete all transaction records|change account ownership)",
+    "COMP-001": "(account number|card number|[0-9]{13,}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"
+                "|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})",
+    "COMP-005": "(invest in stocks|stock should i buy|investment advice)",
+    "COMP-006": "(create a new account|open a savings account)",
+    "COMP-007": "(pay bill to external account|send money to another person)",
+}
+_SENSITIVE = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}",
+    "card": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",
+    "phone": "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
+    "ipv4": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
+    "token": 'token *= *"[0-9a-fA-F]+"',
+}
 
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({t}), '[^\\p{{L}}]+'), lambda x: x <> ''))"
 
@@ -497,8 +582,9 @@ SQL["safety_gate"] = f"""SELECT *, CASE WHEN passed THEN 'continue' ELSE 'blocke
 FROM ({LAYER1_SELECT}) g"""
 EXTRA["safety_gate"] = LEXICON_CTES + _layer1("user_requests", "conv_id, turn", "input_text")
 
-MASK = ("regexp_replace(regexp_replace({t}, '[0-9]{{9,}}([0-9]{{4}})', '****\\1', 'g'), "
-        "'[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}[ -]([0-9]{{4}})', '****\\1', 'g')")
+MASK = ("regexp_replace(regexp_replace(regexp_replace({t}, '[0-9]{{9,}}([0-9]{{4}})', '****\\1', 'g'), "
+        "'[0-9]{{4}}[ -][0-9]{{4}}[ -][0-9]{{4}}[ -]([0-9]{{4}})', '****\\1', 'g'), "
+        "'[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]([0-9]{{4}})', '****\\1', 'g')")
 SQL["mask_account_numbers"] = f"""
 SELECT 'documents' AS source_table, doc_id AS id, {MASK.format(t='text')} AS text FROM documents
 UNION ALL
@@ -506,25 +592,30 @@ SELECT 'pages', page_id, {MASK.format(t='html')} FROM pages"""
 
 SQL["sensitive_text_scan"] = "SELECT doc_id, " + ", ".join(
     f"CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS n_{k}"
-    for k, p in _S.SENSITIVE_PATTERNS.items()) + ", (" + " OR ".join(
-    f"len(regexp_extract_all(text, '{p}')) > 0" for p in _S.SENSITIVE_PATTERNS.values()) \
+    for k, p in _SENSITIVE.items()) + ", (" + " OR ".join(
+    f"len(regexp_extract_all(text, '{p}')) > 0" for p in _SENSITIVE.values()) \
     + ") AS has_sensitive FROM documents"
 
-_RULES = {r[0]: r for r in _S.RULES}
 _WEIGHT = {"critical": "1.0", "high": "0.7", "medium": "0.4"}
 
 
-def _rule_rx(rid):
-    return "(" + "|".join(_S.RULE_PATTERNS[rid]) + ")"
+def _evidence(rid, text):
+    if rid == "COMP-004":
+        return (f"list_filter(regexp_extract_all(lower({text}), '[$] ?[0-9][0-9,]*([.][0-9]+)?'), lambda x: "
+                "TRY_CAST(replace(replace(replace(x, '$', ''), ' ', ''), ',', '') AS DOUBLE) > 10000)[1]")
+    return (f"CASE WHEN regexp_matches(lower({text}), '{_PHRASES[rid]}') "
+            f"THEN regexp_extract(lower({text}), '{_PHRASES[rid]}', 0) END")
+
+
+def _matches(src, keys, text):
+    return "m AS (SELECT * FROM (" + "\nUNION ALL\n".join(
+        f"SELECT {keys}, '{rid}' AS rule_id, '{_RULES[rid][0]}' AS kind, '{_RULES[rid][1]}' AS category, "
+        f"'{_RULES[rid][2]}' AS severity, '{_RULES[rid][3]}' AS action, "
+        f"CAST({_WEIGHT[_RULES[rid][2]]} AS DOUBLE) AS weight, {_evidence(rid, text)} AS evidence FROM {src}"
+        for rid in _RULES) + ") WHERE evidence IS NOT NULL)"
 
 
-MATCHES = "m AS (" + "\nUNION ALL\n".join(
-    f"SELECT doc_id, '{rid}' AS rule_id, '{_RULES[rid][1]}' AS kind, '{_RULES[rid][2]}' AS category, "
-    f"'{_RULES[rid][3]}' AS severity, '{_RULES[rid][4]}' AS action, "
-    f"CAST({_WEIGHT[_RULES[rid][3]]} AS DOUBLE) AS weight, "
-    f"regexp_extract(lower(text), '{_rule_rx(rid)}', 0) AS evidence "
-    f"FROM documents WHERE regexp_matches(lower(text), '{_rule_rx(rid)}')"
-    for rid in _S.RULE_PATTERNS) + ")"
+MATCHES = _matches("documents", "doc_id", "text")
 
 SQL["rule_matches"] = "SELECT doc_id, rule_id, category, severity, action, evidence FROM m"
 EXTRA["rule_matches"] = [MATCHES]
@@ -586,10 +677,47 @@ SELECT {uuid_of('CAST(d.request_id AS VARCHAR)')} AS id, d.user_id,
 FROM ({DECISION_SELECT}) d JOIN audit a ON a.event_id = d.request_id WHERE d.action = 'escalate'"""
 EXTRA["tickets_from_decisions"] = [ROLES, DECISION_CTE]
 
+BANKING = " OR ".join(f"contains(lower(r.input_text), '{w}')"
+                      for w in ("account", "balance", "transaction", "transfer", "payment"))
+SCREEN_CTES = LEXICON_CTES + _layer1("user_requests", "conv_id, turn", "input_text") + [
+    f"l1m AS ({LAYER1_SELECT})", _matches("user_requests", "conv_id, turn", "input_text"),
+    f"""two AS (SELECT r.conv_id, r.turn, concat('u', CAST(r.conv_id AS VARCHAR)) AS user_id,
+      any_value({BANKING}) AS banking_intent,
+      round(1 - COALESCE(max(m.weight) FILTER (WHERE m.kind = 'safety'), 0.0), 2) AS safety_score,
+      round(1 - COALESCE(max(m.weight) FILTER (WHERE m.kind = 'compliance'), 0.0), 2) AS compliance_score,
+      CAST(CASE count(m.rule_id) WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 ELSE 0.6 END AS DOUBLE) AS confidence,
+      COALESCE(string_agg(m.rule_id, ',' ORDER BY m.rule_id), '') AS violated_rules,
+      COALESCE(string_agg(DISTINCT m.category, ',' ORDER BY m.category), '') AS risk_factors
+      FROM user_requests r LEFT JOIN m ON m.conv_id = r.conv_id AND m.turn = r.turn
+      GROUP BY r.conv_id, r.turn)""",
+    """dec AS (SELECT two.*, COALESCE(ro.role, 'user') AS role, l1m.hits, l1m.message, l1m.passed,
+      CASE WHEN NOT l1m.passed THEN 0
+           WHEN contains(violated_rules, 'COMP-001') THEN 2
+           WHEN COALESCE(ro.role, 'user') <> 'user' AND banking_intent THEN 3
+           WHEN regexp_matches(violated_rules, 'SAFETY-00[1234]') OR safety_score < 0.3 THEN 4
+           WHEN confidence < 0.7 THEN 5
+           WHEN safety_score >= 0.8 AND compliance_score >= 0.8 THEN 6
+           WHEN banking_intent AND safety_score >= 0.6 AND compliance_score >= 0.6 THEN 7
+           ELSE 8 END AS decision_rule0
+      FROM two JOIN l1m USING (conv_id, turn) LEFT JOIN roles ro ON ro.user_id = two.user_id)"""]
+SQL["request_screening"] = f"""
+SELECT conv_id, turn, user_id, role, hits, CASE WHEN passed THEN 'continue' ELSE 'blocked' END AS gate,
+  CASE WHEN passed THEN safety_score END AS safety_score,
+  CASE WHEN passed THEN compliance_score END AS compliance_score,
+  CASE WHEN passed THEN confidence END AS confidence,
+  CASE WHEN passed THEN violated_rules END AS violated_rules,
+  CASE WHEN passed THEN risk_factors END AS risk_factors, banking_intent,
+  decision_rule, CASE WHEN passed THEN action ELSE 'blocked' END AS action,
+  CASE WHEN passed THEN reasoning ELSE message END AS reasoning,
+  CASE WHEN passed AND action = 'escalate'
+       THEN {uuid_of("concat_ws('|', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR))")} END AS ticket_id
+FROM ({DECISION_SELECT}) d"""
+EXTRA["request_screening"] = [ROLES] + SCREEN_CTES
+
 SQL["rule_rewrite"] = f"""
 SELECT doc_id, concat('Please show only the last 4 digits. ',
                       {MASK.format(t='text')}) AS rewritten_text
-FROM documents WHERE regexp_matches(lower(text), '{_rule_rx("COMP-001")}')"""
+FROM documents WHERE regexp_matches(lower(text), '{_PHRASES["COMP-001"]}')"""
 
 SQL["escalate_low_confidence"] = """
 SELECT a.*, t.industry, t.threshold FROM analysis a
@@ -933,7 +1061,7 @@ FROM (SELECT regexp_replace(transaction_id, '_(from|to)$', '') AS transfer_id,
              count(*) FILTER (WHERE ends_with(transaction_id, '_to')) AS n_to,
              sum(amount) AS net_amount
       FROM legs WHERE regexp_matches(transaction_id, '_(from|to)$') GROUP BY 1) g"""
-EXTRA["transfer_leg_match"] = [ROLES, PRECHECK_CTE, LEGS_CTE]
+EXTRA["transfer_leg_match"] = [ROLES, *FOLD_CTES, LEGS_CTE]
 
 SQL["audit_ticket_match"] = """
 SELECT COALESCE(e.ticket_id, t.id) AS ticket_id, COALESCE(e.n_created, 0) > 0 AS has_create_event,
@@ -1027,5 +1155,25 @@ FROM escalations t LEFT JOIN lastres l ON l.ticket_id = t.id"""
 EXTRA["stream_tickets"] = RESOLUTION_CTES
 
 
+TIERS_ALL = f"""tiers AS (
+  SELECT 'audit' AS data_type, {_tier(AS_OF_EVENTS)} AS tier, count(*) AS record_count FROM audit GROUP BY 2
+  UNION ALL
+  SELECT 'transaction', {_tier(AS_OF_ORDERS)}, count(*) FROM transactions GROUP BY 2
+  UNION ALL
+  SELECT 'escalation', {_tier(AS_OF_EVENTS).replace('timestamp', 'created_at')}, count(*) FROM escalations GROUP BY 2
+  UNION ALL
+  SELECT 'compliance', {_tier(AS_OF_EVENTS)}, count(*) FROM ("""
+TIERS_ALL += ("\nUNION ALL\n".join(UNIFIED_PARTS[1:])
+              + ") x(source, framework, event_id, timestamp, event_type, user_id) GROUP BY 2)")
+EXTRA["retention_tiers"] = EXTRA["retention_events"] = [ROLES, TIERS_ALL]
+
+SQL["unverified_access"] = """
+SELECT a.* FROM audit a LEFT JOIN (
+  SELECT user_id, min(timestamp) AS login FROM audit WHERE event_type = 'auth_success' AND success
+  GROUP BY user_id) l ON l.user_id = a.user_id
+WHERE a.event_type IN ('account_access', 'transaction_query') AND a.success
+  AND (l.login IS NULL OR l.login > a.timestamp)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}

@@ -110,4 +110,4 @@ def with_views(sql: str, *extra: str) -> str:
     text = sql + "\n".join(extra)
     used = [v for v in VIEW_SQL if re.search(rf"\b{v}\b", text)]
     ctes = [f"{v} AS ({VIEW_SQL[v].strip()})" for v in used] + list(extra)
-    return ("WITH " + ",\n".join(ctes) + "\n" + sql) if ctes else sql
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" + sql) if ctes else sql

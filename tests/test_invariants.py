@@ -56,11 +56,11 @@ def test_transfer_apply_invariants(spark):
 
 def test_stream_transfers_equals_batch(spark):
     qs = E.queries()
-    s = {(r.l_orderkey, r.l_linenumber, r.from_account_id, r.to_account_id, r.amount, r.status)
-         for r in qs["stream_transfers"](spark, SF_SMALL).collect()}
-    b = {(r.l_orderkey, r.l_linenumber, r.from_account_id, r.to_account_id, r.amount, r.status)
-         for r in qs["transfer_apply"](spark, SF_SMALL)
-         .filter(F.col("status").isin("accepted", "insufficient_funds")).collect()}
+    cols = ["l_orderkey", "l_linenumber", "from_account_id", "to_account_id", "amount", "status",
+            "src_balance_after", "dst_balance_after"]
+    s = sorted(map(tuple, qs["stream_transfers"](spark, SF_SMALL).select(*cols).collect()))
+    b = sorted(map(tuple, qs["transfer_apply"](spark, SF_SMALL)
+                   .filter(F.col("status").isin("accepted", "insufficient_funds")).select(*cols).collect()))
     assert s == b
 
 

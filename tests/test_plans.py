@@ -12,7 +12,7 @@ ACTIVE = {"audit_jsonl_scan", "audit_sink", "audit_verbose", "compliance_sink",
           "compliance_jsonl_scan", "toxicity_model", "text_safety_check",
           "latency_percentiles", "exfiltration", "alert_latency", "ticket_list",
           "bulk_append"}
-PYTHON_OK = {"transfer_apply", "final_balances"}
+PYTHON_OK = {"transfer_apply", "final_balances", "transfer_legs", "transfer_leg_match"}   # the ordered fold
 KEYS = sorted(k for k in REGISTRY if k not in ACTIVE and not k.startswith("stream_"))
 
 
@@ -45,3 +45,9 @@ def test_top_k_limits_before_shuffle(spark):
 def test_event_filter_pushed(spark):
     p = plan(E.queries()["escalation_view_acl"](spark, SF_SMALL))
     assert "EqualTo(event_type,error)" in p
+
+
+def test_sessions_shuffle_by_user_and_hour(spark):
+    """The events are spread by (user, hour); only their pieces meet per user."""
+    p = plan(E.queries()["sessions"](spark, SF_SMALL))
+    assert "_hour" in p and "MergingSessions" not in p
