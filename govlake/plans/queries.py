@@ -220,9 +220,8 @@ def q_top_users(spark, sf):
 
 @query("top_tools")
 def q_top_tools(spark, sf):
-    """Most used tools: the action of every tool-call event."""
-    ev = V.audit(spark, sf).filter(F.col("event_type") == "tool_call")
-    return A.top_counts(ev, "action", 10, alias="tool")
+    """Most used tools: every event whose action belongs to a tool."""
+    return A.top_counts(_tool_calls(spark, sf), "tool", 10)
 
 
 @query("audit_compact")
@@ -437,6 +436,44 @@ def q_bulk_append(spark, sf):
                           [("account_id", V.accounts(spark, sf), "account_id")])
 
 
+def _offered_accounts(spark, sf):
+    """A batch of account rows: one per supplier, and the existing ones again."""
+    sup = read_table(spark, sf, "supplier", ["s_suppkey", "s_acctbal"])
+    new = sup.select(
+        F.concat(F.lit("sup"), F.col("s_suppkey").cast("string")).alias("account_id"),
+        V.user_id_of(F.col("s_suppkey")).alias("user_id"), F.lit("checking").alias("account_type"),
+        F.col("s_acctbal").cast(S.MONEY).alias("balance"), F.lit("USD").alias("currency"),
+        F.lit("active").alias("status"))
+    return new.unionByName(V.accounts(spark, sf))
+
+
+@query("bulk_append_accounts")
+def q_bulk_append_accounts(spark, sf):
+    """SNK-3 for accounts: the key is the account id, the parent the user."""
+    return TB.bulk_append(V.accounts(spark, sf), _offered_accounts(spark, sf), "account_id",
+                          ["user_id", "balance"], [("user_id", V.users(spark, sf), "user_id")])
+
+
+@query("bulk_append_users")
+def q_bulk_append_users(spark, sf):
+    """SNK-3 for users: the owners of the offered accounts, once per account."""
+    u = F.col("user_id")
+    batch = _offered_accounts(spark, sf).select(
+        "user_id", F.concat(F.lit("User "), u).alias("name"),
+        F.concat(u, F.lit("@example.com")).alias("email"), F.lit("user").alias("role_raw"))
+    return TB.bulk_append(V.users(spark, sf), batch, "user_id", ["email"])
+
+
+@query("bulk_append_tickets")
+def q_bulk_append_tickets(spark, sf):
+    """SNK-3 for tickets: the fraud tickets of the log and the table's own
+    tickets again; the parent is the user."""
+    cols = ["id", "user_id", "input_text", "created_at", "status"]
+    own = V.escalations(spark, sf).select(*cols)
+    return TB.bulk_append(own, q_fraud_tickets(spark, sf).select(*cols).unionByName(own), "id",
+                          ["created_at", "user_id"], [("user_id", V.users(spark, sf), "user_id")])
+
+
 @query("constraint_audit")
 def q_constraint_audit(spark, sf):
     return TB.constraint_audit(V.users(spark, sf), V.accounts(spark, sf),

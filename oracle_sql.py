@@ -157,9 +157,6 @@ WHERE EXISTS (SELECT 1 FROM roles WHERE user_id = 'u1' AND role IN ('staff', 'ad
 ORDER BY timestamp DESC, event_id DESC LIMIT 50"""
 SQL["top_users"] = """
 SELECT user_id, count(*) AS n FROM audit GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10"""
-SQL["top_tools"] = """
-SELECT action AS tool, count(*) AS n FROM audit WHERE event_type = 'tool_call'
-GROUP BY action ORDER BY n DESC, tool LIMIT 10"""
 SQL["audit_compact"] = """
 SELECT event_id, strftime(timestamp, '%H:%M:%S') AS time,
        CASE WHEN COALESCE(success, true) THEN '✓' ELSE '✗' END AS mark,
@@ -1175,5 +1172,38 @@ WHERE a.event_type IN ('account_access', 'transaction_query') AND a.success
   AND (l.login IS NULL OR l.login > a.timestamp)"""
 
 
+SQL["top_tools"] = f"""
+SELECT tool, count(*) AS n FROM (SELECT {ACTION_TOOL} AS tool FROM audit) x WHERE tool IS NOT NULL
+GROUP BY tool ORDER BY n DESC, tool LIMIT 10"""
+
+OFFERED = """offered AS (
+  SELECT concat('sup', CAST(s_suppkey AS VARCHAR)) AS account_id, concat('u', CAST(s_suppkey AS VARCHAR)) AS user_id,
+         'checking' AS account_type, CAST(s_acctbal AS DECIMAL(18, 2)) AS balance, 'USD' AS currency,
+         'active' AS status FROM supplier
+  UNION ALL SELECT account_id, user_id, account_type, balance, currency, status FROM accounts)"""
+
+
+def _append(batch, key, order, existing, parent=None):
+    gone = f"WHEN p.user_id IS NULL THEN 'missing_{parent}'" if parent else ""
+    return f"""
+SELECT b.* EXCLUDE (rn), CASE WHEN e.k IS NOT NULL THEN 'duplicate_key' WHEN b.rn > 1 THEN 'duplicate_in_batch'
+       {gone} ELSE 'accepted' END AS append_status
+FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM ({batch}) x) b
+LEFT JOIN (SELECT DISTINCT {key} AS k FROM {existing}) e ON e.k = b.{key}
+LEFT JOIN (SELECT DISTINCT user_id FROM users) p ON p.user_id = b.user_id"""
+
+
+SQL["bulk_append_accounts"] = _append("SELECT * FROM offered", "account_id", "user_id, balance", "accounts", "user_id")
+EXTRA["bulk_append_accounts"] = [OFFERED]
+SQL["bulk_append_users"] = _append(
+    "SELECT user_id, concat('User ', user_id) AS name, concat(user_id, '@example.com') AS email, 'user' AS role_raw "
+    "FROM offered", "user_id", "email", "users")
+EXTRA["bulk_append_users"] = [OFFERED]
+SQL["bulk_append_tickets"] = _append(
+    f"SELECT id, user_id, input_text, created_at, status FROM ({SQL['fraud_tickets']}) f "
+    "UNION ALL SELECT id, user_id, input_text, created_at, status FROM escalations",
+    "id", "created_at, user_id", "escalations", "user_id")
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
