@@ -14,52 +14,41 @@ from ..functions.text import ts_ntz
 
 from ..functions.text import normalise_role
 from ..plans import dimensions as D
+from .. import schemas as S
 
-# A privileged caller sees every row, so each one multiplies the output by the
-# table size.  Their number is a parameter and checked; for all callers at
-# once ask per request (``account_access_outcome``) instead.
-MAX_CALLERS = 64
-
-
-def _callers(roles: DataFrame, caller_ids: list[str], permission: str) -> DataFrame:
-    """caller_id, caller_role for the given ids whose role holds ``permission``.
-
-    At most ``len(caller_ids)`` rows, so broadcasting it is bounded."""
-    if len(caller_ids) > MAX_CALLERS:
-        raise ValueError(f"at most {MAX_CALLERS} callers per call, got {len(caller_ids)}")
-    spark = roles.sparkSession
-    held = D.role_permission(spark).filter(F.col("permission") == permission).select("role")
-    c = (roles.filter(F.col("user_id").isin(*caller_ids))
-         .select(F.col("user_id").alias("caller_id"),
-                 normalise_role("role").alias("caller_role"))
-         .join(held, F.col("caller_role") == F.col("role"), "left_semi"))
-    return D.bounded_broadcast(c, len(caller_ids))
-
-
-def visible_rows(data: DataFrame, owner_col: str, roles: DataFrame,
-                 caller_ids: list[str], permission: str) -> DataFrame:
-    """Rows of ``data`` each caller may see, with caller_id and caller_role.
-
-    Callers of role ``user`` join on the owner column (an equi-join that scales
-    to any number of rows).  Privileged callers see all rows: the (at most
-    ``MAX_CALLERS``) privileged callers enter the plan once as a scalar
-    subquery (an array) that is exploded over the scan, so the plan has no
-    nested-loop or cartesian join and no row is copied for a user caller.
-    """
-    callers = _callers(roles, caller_ids, permission)
-    own = data.join(callers.filter(F.col("caller_role") == "user"),
-                    F.col(owner_col) == F.col("caller_id"))
-    priv = callers.filter(F.col("caller_role") != "user").agg(F.coalesce(
-        F.collect_list(F.struct("caller_id", "caller_role")),
-        F.array().cast("array<struct<caller_id:string,caller_role:string>>"))).scalar()
-    every = data.select(*data.columns, F.explode(priv).alias("_c")) \
-        .select(*data.columns, "_c.caller_id", "_c.caller_role")
-    return own.unionByName(every)
-
-
-def visible_accounts(accounts: DataFrame, roles: DataFrame, caller_ids: list[str]) -> DataFrame:
-    """ACC-2: accounts each caller may list."""
-    return visible_rows(accounts, "user_id", roles, caller_ids, "view_accounts")
+
+def roles_seeing_all(permission: str) -> str:
+    """The roles that see every row (all but ``user``) and hold ``permission``,
+    comma-joined in the fixed order."""
+    return ",".join(r for r in S.ROLES if r != "user" and permission in S.ROLE_PERMISSIONS[r])
+
+
+def visible_rows(data: DataFrame, owner_col: str, roles: DataFrame, permission: str) -> DataFrame:
+    """Who may see each row of ``data``, for every caller at once.
+
+    Every row is kept once with ``own_caller`` (its owner, where the owner is
+    a known caller of role ``user``; null otherwise) and ``seen_by_roles`` (the
+    roles that see every row).  The output grows with the rows, not with rows
+    times callers; ``rows_of`` gives one caller's listing from it."""
+    held = "user" if permission in S.ROLE_PERMISSIONS["user"] else None
+    own = roles.filter(normalise_role("role") == F.lit(held)) \
+        .select(F.col("user_id").alias("own_caller"))
+    return data.join(own, F.col(owner_col) == F.col("own_caller"), "left") \
+        .withColumn("seen_by_roles", F.lit(roles_seeing_all(permission)))
+
+
+def rows_of(visible: DataFrame, caller_id: str, caller_role: str) -> DataFrame:
+    """The rows of ``visible_rows`` one caller sees: a filter, no join."""
+    if caller_role == "user":
+        seen = F.col("own_caller") == caller_id
+    else:
+        seen = F.array_contains(F.split("seen_by_roles", ","), caller_role)
+    return visible.filter(seen).drop("own_caller", "seen_by_roles")
+
+
+def visible_accounts(accounts: DataFrame, roles: DataFrame) -> DataFrame:
+    """ACC-2: accounts with the callers who may list them."""
+    return visible_rows(accounts, "user_id", roles, "view_accounts")
 
 
 def txn_lookback(transactions: DataFrame, as_of, days: int) -> DataFrame:
@@ -71,21 +60,20 @@ def txn_lookback(transactions: DataFrame, as_of, days: int) -> DataFrame:
 
 
 def visible_transactions(transactions: DataFrame, accounts: DataFrame, roles: DataFrame,
-                         caller_ids: list[str], as_of, days: int) -> DataFrame:
-    """ACC-3: transactions a caller may see through account ownership, with
-    lookback.  Reading needs view_accounts (the permission the reference
-    checks, K4)."""
+                         as_of, days: int) -> DataFrame:
+    """ACC-3: transactions with the callers who may see them through account
+    ownership, with lookback.  Reading needs view_accounts (the permission the
+    reference checks, K4)."""
     t = txn_lookback(transactions, as_of, days)
     owned = t.join(accounts.select("account_id", F.col("user_id").alias("owner_id")),
                    "account_id")
-    return visible_rows(owned, "owner_id", roles, caller_ids, "view_accounts")
+    return visible_rows(owned, "owner_id", roles, "view_accounts")
 
 
-def visible_tickets(tickets: DataFrame, roles: DataFrame, caller_ids: list[str],
-                    status: str | None = None) -> DataFrame:
-    """ACC-4 (with FLT-7): tickets each caller may list, optional status."""
+def visible_tickets(tickets: DataFrame, roles: DataFrame, status: str | None = None) -> DataFrame:
+    """ACC-4 (with FLT-7): tickets with the callers who may list them, optional status."""
     t = tickets if status is None else tickets.filter(F.col("status") == status)
-    return visible_rows(t, "user_id", roles, caller_ids, "view_own_escalations")
+    return visible_rows(t, "user_id", roles, "view_own_escalations")
 
 
 def account_access_outcome(requests: DataFrame, roles: DataFrame, accounts: DataFrame,

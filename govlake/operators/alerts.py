@@ -68,19 +68,32 @@ def backlog(tickets: DataFrame, bucket: str = "hour") -> DataFrame:
     (-1) event, exactly, with the largest backlog per ``bucket`` and an alert
     above 100.
 
-    The running sum is two-level so no task holds all events: a running sum
-    inside each time bucket (partitioned by bucket) plus the total of all
-    earlier buckets (a window over one row per bucket)."""
-    ev = tickets.select(F.col("created_at").alias("ts"), F.col("id"), F.lit(1).alias("delta")) \
-        .unionByName(tickets.filter(F.col("resolved_at").isNotNull())
-                     .select(F.col("resolved_at").alias("ts"), F.col("id"),
-                             F.lit(-1).alias("delta")))
-    ev = ev.withColumn("bucket", F.date_trunc(bucket, "ts").cast("timestamp_ntz"))
-    w_in = Window.partitionBy("bucket").orderBy("ts", F.col("delta").desc(), "id") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ev.withColumn("local", F.sum("delta").over(w_in))
-    per = local.groupBy("bucket").agg(F.max("local").alias("max_local"),
-                                      F.sum("delta").alias("net"))
+    Events of one moment are counted first (creates come before resolves, so
+    the highest value after an event of a moment is the backlog before it plus
+    its creates, or less one where it has none).  Running sums then go over
+    the moments of a second, the seconds of an hour and the buckets, so the
+    largest window has a bounded number of rows whatever the number of tickets."""
+    moments = tickets.select(F.explode(F.array(
+        F.struct(F.col("created_at").alias("ts"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("resolved_at").alias("ts"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        .alias("e")).filter("e.ts is not null").groupBy("e.ts") \
+        .agg(F.sum("e.up").alias("up"), F.sum(F.col("e.up") - F.col("e.down")).alias("net"))
+    level = moments.withColumns({
+        "peak": F.when(F.col("up") > 0, F.col("up")).otherwise(-1),
+        "second": F.date_trunc("second", "ts").cast("timestamp_ntz"),
+        "hour": F.date_trunc("hour", "ts").cast("timestamp_ntz"),
+        "bucket": F.date_trunc(bucket, "ts").cast("timestamp_ntz")})
+
+    def lifted(x: DataFrame, keys: list[str], order: str) -> DataFrame:
+        """Peaks and sums per ``keys`` of rows that follow each other by ``order``."""
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        x = x.withColumn("before", F.coalesce(F.sum("net").over(w), F.lit(0)))
+        return x.groupBy(*keys).agg(F.max(F.col("before") + F.col("peak")).alias("peak"),
+                                    F.sum("net").alias("net"))
+
+    per = lifted(level, ["bucket", "hour", "second"], "ts")
+    per = lifted(per, ["bucket", "hour"], "second")
+    per = lifted(per, ["bucket"], "hour").withColumnRenamed("peak", "max_local")
     w_b = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("net").over(w_b), F.lit(0)))
     return per.select(F.col("bucket").alias("window_start"),

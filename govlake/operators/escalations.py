@@ -136,12 +136,18 @@ def queue_stats_all(tickets: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def ticket_list(visible: DataFrame) -> DataFrame:
-    """ESC-6: each caller's tickets numbered newest first; reasoning cut at
-    200 with "..."; resolver and note for resolved tickets, else confidence.
-
-    A privileged caller sees every ticket, so the numbering is a distributed
-    ranking (range partitions plus offsets), not a window over one caller."""
+    """ESC-6: tickets (as ``access.visible_tickets`` gives them) numbered newest
+    first in every caller's list; reasoning cut at 200 with "..."; resolver and
+    note for resolved tickets, else confidence.
+
+    A ticket stands in at most two lists: its owner's (``caller_id``) and the
+    one of all tickets, which every privileged caller reads (``caller_id``
+    null).  The second holds every ticket, so the numbering is a distributed
+    ranking (range partitions plus offsets), not a window over one list."""
     from ..functions.ranking import range_row_numbers
+    lists = F.when(F.col("own_caller").isNull(), F.array(F.lit(None).cast("string"))) \
+        .otherwise(F.array(F.lit(None).cast("string"), F.col("own_caller")))
+    visible = visible.withColumn("caller_id", F.explode(lists))
     visible = range_row_numbers(visible, ["caller_id"],
                                 [F.col("created_at").desc(), F.col("id").desc()], "_n")
     reason = F.col("agent_reasoning")

@@ -7,6 +7,8 @@ joins and aggregations, and retention is computed per row age.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,6 +201,54 @@ def retention_tiers(frames: dict[str, tuple[DataFrame, str, object]]) -> DataFra
     return out
 
 
+def write_tiers(frame: DataFrame, ts_col: str, as_of, path: str) -> str:
+    """SNK-6, the writer: rows as Parquet under ``tier=.../event_date=...``, so
+    each tier can sit in its own storage class.  A day has the tier of its first
+    moment; rows without a time stay hot (their age is unknown), expired ones
+    are not written.  The days of ``frame`` replace what is stored for them, so
+    a repeated run gives the same table; ``move_tiers`` first if time has passed."""
+    day = F.to_date(ts_col)
+    tier = F.when(day.isNull(), "hot").otherwise(retention_tier("_start", as_of))
+    frame.withColumn("_start", day.cast("timestamp_ntz")) \
+        .withColumns({"tier": tier, "event_date": day}).drop("_start") \
+        .filter("tier <> 'expired'").hint("rebalance", "tier", "event_date") \
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("tier", "event_date").parquet(path)
+    return path
+
+
+def move_tiers(spark, path: str, as_of) -> list[tuple[str, str, str]]:
+    """SNK-6, the mover: day folders of ``write_tiers`` are renamed into the
+    tier they have reached by ``as_of``, expired ones deleted; no row is read.
+    The loop is over days (at most seven years of them).  Returns (event_date, from, to);
+    stopped half-way it can be run again."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = dt.datetime.fromisoformat(str(as_of))
+    moved = []
+    for name, _ in S.RETENTION_DAYS:
+        folder = jvm.Path(root, f"tier={name}")
+        days = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        for day in days:
+            value = day.getName().removeprefix("event_date=")
+            if value == "__HIVE_DEFAULT_PARTITION__":
+                continue
+            age = now - dt.datetime.fromisoformat(value)
+            tier = next((t for t, n in S.RETENTION_DAYS if age <= dt.timedelta(days=n)), "expired")
+            if tier == name:
+                continue
+            if tier == "expired":
+                done = fs.delete(day, True)
+            else:
+                target = jvm.Path(root, f"tier={tier}")
+                done = fs.mkdirs(target) and fs.rename(day, jvm.Path(target, day.getName()))
+            if not done:
+                raise OSError(f"could not move {day} to {tier}")
+            moved.append((value, name, tier))
+    return moved
+
+
 def retention_events(tiers: DataFrame) -> DataFrame:
     """SNK-7: one data_retention record per data type and action."""
     act = F.create_map(*[x for k, v in RETENTION_ACTIONS.items() for x in (F.lit(k), F.lit(v))])

@@ -16,10 +16,9 @@ MAX_BROADCAST_ROWS = 10_000
 
 
 def bounded_broadcast(df: DataFrame, known_rows: int) -> DataFrame:
-    """Broadcast a frame whose row count is known in advance and small."""
-    if known_rows > MAX_BROADCAST_ROWS:
-        raise ValueError(f"refusing to broadcast {known_rows} rows")
-    return F.broadcast(df)
+    """Broadcast a frame whose row count is known in advance and small; a
+    larger one is left to Spark's own choice of join."""
+    return F.broadcast(df) if known_rows <= MAX_BROADCAST_ROWS else df
 
 
 def role_permission(spark: SparkSession) -> DataFrame:

@@ -3,11 +3,13 @@
 A query reads the driver's tables through the fixture views and runs one
 operator (or a short chain) over the whole tables.  Parameters that the
 reference takes from the wall clock or from one interactive call (``as_of``,
-lookback, the callers asking) are fixed here and named.
+lookback) are fixed here and named.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,6 @@ from ..sources.tables import read_table
 AS_OF_ORDERS = S.AS_OF_ORDERS
 AS_OF_EVENTS = S.AS_OF_EVENTS
 HISTORY_LOOKBACK_DAYS = 365
-# Callers of the per-caller listings: an admin, a staff member, a mixed-case
-# admin, an unknown role (treated as user) and two users.
-CALLERS = ["u0", "u1", "u4", "u5", "u7", "u8"]
 
 REGISTRY: dict = {}
 
@@ -81,25 +80,24 @@ def q_txn_lookback(spark, sf):
 
 @query("visible_accounts")
 def q_visible_accounts(spark, sf):
-    return access.visible_accounts(V.accounts(spark, sf), _roles(spark, sf), CALLERS)
+    return access.visible_accounts(V.accounts(spark, sf), _roles(spark, sf))
 
 
 @query("visible_transactions")
 def q_visible_transactions(spark, sf):
     return access.visible_transactions(V.transactions(spark, sf), V.accounts(spark, sf),
-                                       _roles(spark, sf), CALLERS, AS_OF_ORDERS,
+                                       _roles(spark, sf), AS_OF_ORDERS,
                                        HISTORY_LOOKBACK_DAYS)
 
 
 @query("visible_tickets")
 def q_visible_tickets(spark, sf):
-    return access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf), CALLERS)
+    return access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf))
 
 
 @query("tickets_by_status")
 def q_tickets_by_status(spark, sf):
-    return access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf), CALLERS,
-                                  status="pending")
+    return access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf), status="pending")
 
 
 def _transfer_access_requests(spark, sf):
@@ -404,8 +402,7 @@ def q_queue_stats(spark, sf):
 
 @query("ticket_list")
 def q_ticket_list(spark, sf):
-    return E.ticket_list(access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf),
-                                                CALLERS))
+    return E.ticket_list(access.visible_tickets(V.escalations(spark, sf), _roles(spark, sf)))
 
 
 # --- table maintenance -------------------------------------------------------
@@ -518,6 +515,23 @@ def q_retention_events(spark, sf):
     return TB.retention_events(TB.retention_tiers(_retention_frames(spark, sf)))
 
 
+@query("retention_move")
+def q_retention_move(spark, sf):
+    """SNK-6: all four data types stored by tier as of a month earlier, then
+    the day folders moved to the tier they have now; rows and days read back."""
+    out = None
+    for data_type, (df, ts_col, as_of) in _retention_frames(spark, sf).items():
+        path = scratch_path(spark, f"tiers-{data_type}")
+        earlier = as_of - dt.timedelta(days=30)
+        TB.write_tiers(df, ts_col, earlier, path)
+        TB.move_tiers(spark, path, as_of)
+        part = spark.read.parquet(path).groupBy("tier").agg(
+            F.count("*").alias("record_count"), F.count_distinct("event_date").alias("n_days")) \
+            .withColumn("data_type", F.lit(data_type))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- text safety, rules, decisions -------------------------------------------
 
 from ..operators import compliance as C  # noqa: E402
@@ -706,8 +720,10 @@ def q_soc2_incidents(spark, sf):
 
 @query("unlogged_access")
 def q_unlogged_access(spark, sf):
-    a = V.audit(spark, sf)
-    return C.unlogged_access(a, C.pci_data_access(a))
+    """COMP-003 against the records as SNK-2 wrote them."""
+    records = L.read_compliance(spark, _compliance_jsonl(spark, sf)).select(
+        "event_type", F.try_variant_get("details", "$.event_id", "bigint").alias("event_id"))
+    return C.unlogged_access(V.audit(spark, sf), records)
 
 
 @query("unverified_access")
@@ -917,6 +933,11 @@ def _stream_run(spark, name, df, output_mode="append", state_store=None):
                                                    state_store=state_store))
 
 
+def _stream_newest(spark, name, df, keys):
+    base = scratch_path(spark, name)
+    return ST.newest(spark.read.parquet(ST.run_snapshots(df, base + "/out", base + "/checkpoint")), keys)
+
+
 @query("stream_follow")
 def q_stream_follow(spark, sf):
     ev = ST.follow(spark, _audit_jsonl(spark, sf))
@@ -926,7 +947,17 @@ def q_stream_follow(spark, sf):
 
 @query("stream_rate")
 def q_stream_rate(spark, sf):
-    return _stream_run(spark, "rate", ST.rate(ST.follow(spark, _audit_jsonl(spark, sf))))
+    """Closed windows and, beside them, those still open."""
+    return _stream_newest(spark, "rate", ST.rate(ST.follow(spark, _audit_jsonl(spark, sf))),
+                          ["window_start", "window_end"])
+
+
+@query("stream_rate_sliding")
+def q_stream_rate_sliding(spark, sf):
+    """Events of the last five minutes, every minute, open windows included."""
+    return _stream_newest(spark, "rate-sliding",
+                          ST.rate(ST.follow(spark, _audit_jsonl(spark, sf)), "5 minutes", "1 minute"),
+                          ["window_start", "window_end"])
 
 
 @query("stream_sessions")

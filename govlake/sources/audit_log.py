@@ -51,6 +51,24 @@ def parse_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     )
 
 
+def line_counts(lines: DataFrame, text_col: str = "value") -> DataFrame:
+    """One row per source column value (or one in all): how many lines were
+    read, kept by ``parse_lines``, blank, not JSON, and JSON but no object."""
+    v = F.try_parse_json(F.col(text_col))
+    kind = F.when(F.trim(F.coalesce(text_col, F.lit(""))) == "", "blank").when(v.isNull(), "not_json") \
+        .when(F.schema_of_variant(v).startswith("OBJECT"), "kept").otherwise("not_object")
+    return lines.withColumn("_kind", kind).groupBy(*[c for c in lines.columns if c != text_col]).agg(
+        F.count("*").alias("n_lines"),
+        *[F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in ("kept", "blank", "not_json", "not_object")])
+
+
+def read_line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-1's count of dropped lines, per file under ``path``."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path) \
+        .withColumn("file", F.col("_metadata.file_path"))
+    return line_counts(lines)
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1: every JSON line under ``path`` (recursively), with the day of the
     event as ``event_date``."""

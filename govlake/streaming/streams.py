@@ -67,8 +67,17 @@ def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str =
     return out_path
 
 
+def newest(snapshots: DataFrame, keys: list[str]) -> DataFrame:
+    """The last value of every key that ``run_snapshots`` wrote."""
+    rest = [c for c in snapshots.columns if c not in (*keys, "batch_id")]
+    return snapshots.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v")) \
+        .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
 def rate(events: DataFrame, duration: str = "1 minute", slide: str | None = None) -> DataFrame:
-    """STR-2: events per window with a watermark (append: closed windows)."""
+    """STR-2: events per tumbling or (with ``slide``) sliding window with a
+    watermark.  In append mode closed windows only; ``run_snapshots`` drives it
+    in update mode, where open windows are shown too."""
     w = F.window("event_time", duration, slide) if slide else F.window("event_time", duration)
     return events.withWatermark("event_time", WATERMARK).groupBy(w.alias("w")) \
         .agg(F.count("*").alias("n")) \

@@ -10,13 +10,11 @@ from oracle_views import with_views
 
 AS_OF_ORDERS = "TIMESTAMP '2001-08-01 00:00:00'"
 AS_OF_EVENTS = "TIMESTAMP '2024-01-31 00:00:00'"
-CALLERS = "('u0', 'u1', 'u4', 'u5', 'u7', 'u8')"
 
 ROLES = """roles AS (SELECT user_id, role_raw,
     CASE WHEN lower(role_raw) IN ('user', 'staff', 'admin', 'system') THEN lower(role_raw)
          ELSE 'user' END AS role FROM users)"""
-CALLER_CTE = f"""callers AS (SELECT user_id AS caller_id, role AS caller_role
-    FROM roles WHERE user_id IN {CALLERS})"""
+OWN_CTE = "own AS (SELECT user_id AS own_caller FROM roles WHERE role = 'user')"
 
 SQL: dict[str, str] = {}
 
@@ -41,23 +39,20 @@ SQL["txn_lookback"] = f"""
 SELECT * FROM transactions WHERE timestamp >= {AS_OF_ORDERS} - INTERVAL 365 DAY"""
 
 SQL["visible_accounts"] = """
-SELECT a.*, c.caller_id, c.caller_role FROM accounts a JOIN callers c
-  ON c.caller_role <> 'user' OR a.user_id = c.caller_id"""
+SELECT a.*, o.own_caller, 'staff,admin,system' AS seen_by_roles
+FROM accounts a LEFT JOIN own o ON o.own_caller = a.user_id"""
 
 SQL["visible_transactions"] = f"""
-SELECT t.*, a.user_id AS owner_id, c.caller_id, c.caller_role
+SELECT t.*, a.user_id AS owner_id, o.own_caller, 'staff,admin,system' AS seen_by_roles
 FROM transactions t JOIN accounts a ON t.account_id = a.account_id
-JOIN callers c ON c.caller_role <> 'user' OR a.user_id = c.caller_id
+LEFT JOIN own o ON o.own_caller = a.user_id
 WHERE t.timestamp >= {AS_OF_ORDERS} - INTERVAL 365 DAY"""
 
 SQL["visible_tickets"] = """
-SELECT e.*, c.caller_id, c.caller_role FROM escalations e JOIN callers c
-  ON c.caller_role <> 'user' OR e.user_id = c.caller_id"""
+SELECT e.*, o.own_caller, 'staff,admin,system' AS seen_by_roles
+FROM escalations e LEFT JOIN own o ON o.own_caller = e.user_id"""
 
-SQL["tickets_by_status"] = """
-SELECT e.*, c.caller_id, c.caller_role FROM escalations e JOIN callers c
-  ON c.caller_role <> 'user' OR e.user_id = c.caller_id
-WHERE e.status = 'pending'"""
+SQL["tickets_by_status"] = SQL["visible_tickets"] + " WHERE e.status = 'pending'"
 
 TRANSFER_ACCESS = """reqs AS (
   SELECT concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR), '-from') AS request_id,
@@ -120,10 +115,10 @@ FROM transactions"""
 # CTEs each query needs besides the fixture views.
 EXTRA = {
     "role_normalise": [ROLES],
-    "visible_accounts": [ROLES, CALLER_CTE],
-    "visible_transactions": [ROLES, CALLER_CTE],
-    "visible_tickets": [ROLES, CALLER_CTE],
-    "tickets_by_status": [ROLES, CALLER_CTE],
+    "visible_accounts": [ROLES, OWN_CTE],
+    "visible_transactions": [ROLES, OWN_CTE],
+    "visible_tickets": [ROLES, OWN_CTE],
+    "tickets_by_status": [ROLES, OWN_CTE],
     "account_access_outcome": [ROLES, TRANSFER_ACCESS],
     "transfer_precheck": [ROLES],
 }
@@ -315,8 +310,8 @@ GROUP BY c.user_id"""
 EXTRA["queue_stats"] = [ROLES]
 
 SQL["ticket_list"] = """
-SELECT c.caller_id,
-       row_number() OVER (PARTITION BY c.caller_id ORDER BY e.created_at DESC, e.id DESC) AS n,
+SELECT e.caller_id,
+       row_number() OVER (PARTITION BY e.caller_id ORDER BY e.created_at DESC, e.id DESC) AS n,
        e.id, e.user_id, strftime(e.created_at, '%Y-%m-%d %H:%M') AS created,
        upper(e.status) AS status_label, e.input_text,
        CASE WHEN length(e.agent_reasoning) > 200 THEN concat(left(e.agent_reasoning, 200), '...')
@@ -324,8 +319,9 @@ SELECT c.caller_id,
        CASE WHEN e.status = 'resolved' THEN e.resolved_by END AS resolved_by,
        CAST(NULL AS VARCHAR) AS resolution_note,
        CASE WHEN e.status <> 'resolved' THEN e.confidence END AS confidence
-FROM escalations e JOIN callers c ON c.caller_role <> 'user' OR e.user_id = c.caller_id"""
-EXTRA["ticket_list"] = [ROLES, CALLER_CTE]
+FROM (SELECT NULL AS caller_id, * FROM escalations
+      UNION ALL SELECT own_caller, e.* FROM escalations e JOIN own ON own_caller = e.user_id) e"""
+EXTRA["ticket_list"] = [ROLES, OWN_CTE]
 
 # --- table maintenance -------------------------------------------------------
 
@@ -1115,11 +1111,15 @@ EXTRA["audit_verbose"] = [ROLES, DECISION_CTE]
 # seen minus 10 minutes) has passed its end.
 WATERMARK_AT = "(SELECT max(timestamp) FROM audit) - INTERVAL 10 MINUTE"
 
-SQL["stream_rate"] = f"""
+SQL["stream_rate"] = """
 SELECT window_start, window_start + INTERVAL 1 MINUTE AS window_end, n
 FROM (SELECT CAST(date_trunc('minute', timestamp) AS TIMESTAMP) AS window_start, count(*) AS n
-      FROM audit GROUP BY 1) w
-WHERE window_start + INTERVAL 1 MINUTE <= {WATERMARK_AT}"""
+      FROM audit GROUP BY 1) w"""
+
+SQL["stream_rate_sliding"] = """
+SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, n
+FROM (SELECT CAST(date_trunc('minute', timestamp) AS TIMESTAMP) - to_minutes(k) AS window_start, count(*) AS n
+      FROM audit, range(5) r(k) GROUP BY 1) w"""
 
 SQL["stream_sessions"] = f"""
 SELECT user_id, count(*) AS interactions, min(timestamp) AS start_time, max(timestamp) AS end_time,
@@ -1164,6 +1164,22 @@ TIERS_ALL += ("\nUNION ALL\n".join(UNIFIED_PARTS[1:])
               + ") x(source, framework, event_id, timestamp, event_type, user_id) GROUP BY 2)")
 EXTRA["retention_tiers"] = EXTRA["retention_events"] = [ROLES, TIERS_ALL]
 
+
+def _day_tiers(data_type, source, as_of, col="timestamp"):
+    tier = _tier(as_of).replace("timestamp", "CAST(day AS TIMESTAMP)")
+    return (f"SELECT '{data_type}' AS data_type, {tier} AS tier, sum(n) AS n, count(day) AS d "
+            f"FROM (SELECT CAST({col} AS DATE) AS day, count(*) AS n FROM {source} GROUP BY 1) GROUP BY 2")
+
+
+SQL["retention_move"] = "SELECT data_type, tier, CAST(n AS BIGINT) AS record_count, d AS n_days FROM (" \
+    + " UNION ALL ".join([
+        _day_tiers("audit", "audit", AS_OF_EVENTS), _day_tiers("transaction", "transactions", AS_OF_ORDERS),
+        _day_tiers("escalation", "escalations", AS_OF_EVENTS, "created_at"),
+        _day_tiers("compliance", "(" + "\nUNION ALL\n".join(UNIFIED_PARTS[1:])
+                   + ") x(source, framework, event_id, timestamp, event_type, user_id)", AS_OF_EVENTS)]) \
+    + ") t WHERE tier <> 'expired'"
+EXTRA["retention_move"] = [ROLES]
+
 SQL["unverified_access"] = """
 SELECT a.* FROM audit a LEFT JOIN (
   SELECT user_id, min(timestamp) AS login FROM audit WHERE event_type = 'auth_success' AND success

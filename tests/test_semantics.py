@@ -79,8 +79,10 @@ def test_account_access_outcome_k2(spark):
 
 def test_visible_rows_user_vs_privileged(spark):
     roles = roles_df(spark, [("user1", "user"), ("staff1", "staff")])
-    v = access.visible_accounts(accounts_df(spark), roles, ["user1", "staff1"])
-    got = sorted((r.caller_id, r.account_id) for r in v.collect())
+    v = access.visible_accounts(accounts_df(spark), roles)
+    assert v.count() == accounts_df(spark).count()
+    got = sorted((c, r.account_id) for c, role in (("user1", "user"), ("staff1", "staff"))
+                 for r in access.rows_of(v, c, role).collect())
     assert got == [("staff1", "acc1"), ("staff1", "acc2"), ("staff1", "acc3"),
                    ("user1", "acc1"), ("user1", "acc2")]
 
@@ -220,7 +222,7 @@ def test_truncation_code_points_k28(spark):
 
 
 def test_jsonl_malformed_lines(spark, tmp_path):
-    from govlake.sources.audit_log import read_audit
+    from govlake.sources.audit_log import read_audit, read_line_counts
     p = tmp_path / "log"
     p.mkdir()
     (p / "audit_2024-01-10.jsonl").write_text("\n".join([
@@ -235,6 +237,8 @@ def test_jsonl_malformed_lines(spark, tmp_path):
         '[1, 2, 3]',
     ]) + "\n")
     rows = sorted(read_audit(spark, str(p)).collect(), key=lambda r: r.timestamp)
+    n = read_line_counts(spark, str(p)).first()
+    assert (n.n_lines, n.n_kept, n.n_blank, n.n_not_json, n.n_not_object) == (7, 4, 1, 1, 1)
     assert len(rows) == 4                              # blank, truncated, non-object skipped
     assert [r.success for r in rows] == [True, True, True, False]   # missing -> True, "" -> False
     assert rows[1].event_type is None and rows[1].user_id is None
