@@ -967,8 +967,9 @@ def q_stream_sessions(spark, sf):
 
 @query("stream_alerts")
 def q_stream_alerts(spark, sf):
-    return _stream_run(spark, "alerts",
-                       ST.alert_windows(ST.follow(spark, _audit_jsonl(spark, sf))))
+    """Levels of closed windows and, beside them, of those still open."""
+    return _stream_newest(spark, "alerts",
+                          ST.alert_windows(ST.follow(spark, _audit_jsonl(spark, sf))), ["window_start"])
 
 
 @query("stream_dedup")

@@ -97,7 +97,8 @@ def sessions(events: DataFrame, gap_minutes: int = 60) -> DataFrame:
 
 
 def alert_windows(events: DataFrame, duration: str = "1 hour") -> DataFrame:
-    """STR-5, STR-6, STR-7 on a stream: per closed window, error rate, block
+    """STR-5, STR-6, STR-7 on a stream: per window (closed ones in append mode,
+    open ones too with ``run_snapshots``), error rate, block
     rate and approximate p95 latency with their levels."""
     ok = F.coalesce(F.col("success"), F.lit(True))
     lat = F.try_variant_get(F.col("details"), "$.latency_ms", "double")
