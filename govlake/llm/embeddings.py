@@ -1,37 +1,43 @@
 """Embedding near-dedup by sorted projection passes.
 
-Each pass draws random hyperplanes, concatenates the sign bits of a vector
-into a 64-bit key, sorts all vectors by that key and compares every vector with
-its next WINDOW neighbours in the order; verified pairs of all passes are
-joined into components.  A pass's order is cut into ranges that overlap by the
-window, so no neighbour is lost at a cut.
-
-Windows are bounded, so in a group of more near-copies than a window holds they
-find the component but not each link.  The links of such a group are completed
-exactly: a component's vectors are dealt into blocks and blocks are compared
-with each other (``_complete``); only per-vector counts leave a task, never
-pairs.
+Identical unit vectors are one node with a weight, so copies take no place.
+Each pass draws random hyperplanes, concatenates the sign bits of a node's
+vector into a key and orders the nodes by it; all nodes of equal key are
+compared with each other, however many they are: up to BLOCK are one task's
+work, more are dealt into blocks and each pair of blocks is a task.  A task
+sends on one link per node to the smallest node it is joined with there, never
+pairs.  The links of all passes are joined into components.
+
+Two vectors at an angle of a share a key of b bits with probability
+(1 - a / pi)^b, so ``passes_for`` derives bits and passes from the number of
+nodes such that a pair exactly at the threshold meets in no pass with
+probability at most MISS, whatever the table's size or shape.  Where comparing
+all nodes is no dearer than the passes, there are 0 bits and one pass, which is
+exact.
+
+The link counts of a component are completed exactly, block against block
+(``_complete``); only per-vector counts leave a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlake.llm.graph import components
 from govlake.session import materialize
 
-PASSES = 12
+#: Chance at which a pair exactly at the threshold may meet in no pass.
+MISS = 1e-4
+#: Most sign bits of a key.
 BITS = 62
-WINDOW = 24
-#: Rows of one sorted range; a task compares a range with the window after it.
-RANGE = 4096
-#: Vectors of a block when a component's links are completed.
+#: Vectors of a block: groups of equal key and components are compared block by block.
 BLOCK = 4096
 #: Rows of one matrix product inside a block.
 SLAB = 512
@@ -73,47 +79,43 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return src.mapInArrow(run, f"id {kind}, vec binary")
 
 
-def _keys(units: DataFrame, passes: int) -> DataFrame:
-    """(pass, key, id, vec): the sign bits of BITS random projections."""
-    kind = units.schema["id"].dataType.simpleString()
+def passes_for(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """(bits, passes) for ``n`` nodes: the passes that bits need for ``miss``,
+    at the bits for which the fewest copies of a row are shuffled (passes times
+    the blocks of an average group)."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    best = None
+    for bits in range(BITS + 1):
+        meet = agree ** bits
+        if meet == 0:
+            break
+        passes = 1 if meet == 1 else math.ceil(math.log(miss) / math.log1p(-meet))
+        copies = passes * math.ceil(max(n, 1) / 2 ** bits / BLOCK)
+        if best is None or copies < best[0]:
+            best = copies, bits, passes
+    return best[1], best[2]
+
+
+def _keys(nodes: DataFrame, bits: int, passes: int) -> DataFrame:
+    """(pass, key, v, vec): the signs of ``bits`` random projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            raw = b.column("vec").to_pylist()
-            width = max(map(len, raw)) // 8
-            x = np.zeros((len(raw), width))
-            for i, r in enumerate(raw):
-                x[i, :len(r) // 8] = np.frombuffer(r, "<f8")
+            x = _matrix(b.column("vec").to_pylist())
             for p in range(passes):
                 # row by row from a fixed seed: a plane's value does not depend on the width
-                planes = np.random.default_rng(1000 + p).standard_normal((width, BITS))
-                key = ((x @ planes > 0) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(1)
+                planes = np.random.default_rng(1000 + p).standard_normal((x.shape[1], bits))
+                key = ((x @ planes > 0) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(raw), p, dtype=np.int32)), pa.array(key.astype(np.int64)),
-                     b.column("id"), b.column("vec")], names=["pass", "key", "id", "vec"])
-
-    return units.mapInArrow(run, f"pass int, key bigint, id {kind}, vec binary")
-
+                    [pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(key.astype(np.int64)),
+                     b.column("v"), b.column("vec")], names=["pass", "key", "v", "vec"])
 
-def _ranked(keys: DataFrame) -> DataFrame:
-    """Adds ``rank`` (0, 1, ...) per pass by (key, id), from a range-partitioned
-    sort and the sizes of the parts before, so one pass is many tasks."""
-    parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["pass", "key", "id"]
-    s = (keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-         .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-    s = materialize(s, "sorted")
-    sizes = s.groupBy("pass", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy("pass").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (s.join(sizes.drop("_n"), ["pass", "_part"])
-            .withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first"))
-            .select("pass", "rank", "id", "vec"))
+    return nodes.select("v", "vec").mapInArrow(run, "pass int, key bigint, v binary, vec binary")
 
 
-def _matrix(vecs: pd.Series) -> np.ndarray:
+def _matrix(vecs: pd.Series | list[bytes]) -> np.ndarray:
     width = max(len(v) for v in vecs) // 8
     x = np.zeros((len(vecs), width))
     for i, v in enumerate(vecs):
@@ -121,81 +123,106 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
     return x
 
 
-def _neighbours(ranked: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) verified pairs at most WINDOW ranks apart in some pass."""
-    kind = ranked.schema["id"].dataType.simpleString()
-    # each row belongs to its own range, and the first rows of a range to the one before too
-    home = F.floor(F.col("rank") / RANGE)
-    halo = F.when((F.col("rank") % RANGE < WINDOW) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    ranges = ranked.withColumn("range", F.explode(halo))
+def _dealt(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``rows`` (with v) once for each pair of blocks of their group that they
+    take part in: adds ``block``, ``lo`` and ``hi``, the pair's blocks."""
+    large = (rows.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
+             .withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).drop("_n"))
+    placed = (rows.join(large, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+              .withColumn("block", F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int")))
+    # block i meets every block j: the row goes to (i, j) or (j, i), the smaller first
+    met = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return (met.withColumns({"lo": F.least("block", "_other"), "hi": F.greatest("block", "_other")})
+            .drop("_blocks", "_other"))
+
+
+def _joined(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest row each row is joined with through links between rows of
+    ``left`` and rows of ``right``."""
+    label = np.arange(len(x))
+    for s in range(0, len(left), SLAB):
+        rows = left[s:s + SLAB]
+        hits = x[rows] @ x[right].T >= threshold
+        for i in np.flatnonzero(hits.any(1)):
+            seen = label[np.append(right[hits[i]], rows[i])]
+            low = seen.min()
+            if (seen != low).any():
+                label[np.isin(label, seen)] = low
+    return label
+
+
+def _neighbours(keys: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each node of a group of equal key with the smallest one it is
+    joined with by verified links inside the group."""
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rank")
-        x, rank, ids = _matrix(g["vec"]), g["rank"].to_numpy(), g["id"].to_numpy()
-        own = rank // RANGE == g["range"].iloc[0]
-        a, b = [], []
-        for d in range(1, min(WINDOW, len(g) - 1) + 1):
-            near = (np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold) & own[:-d] & (rank[d:] - rank[:-d] <= WINDOW)
-            a.append(ids[:-d][near])
-            b.append(ids[d:][near])
-        a, b = (np.concatenate(v) if v else ids[:0] for v in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return ranges.groupBy("pass", "range").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
-
-
-def _complete(units: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
-    """(id, n_links): links of each vector to the others of its component,
-    block against block.  A component of up to BLOCK vectors is one task's
+        g = g.sort_values("v")
+        block, ids = g["block"].to_numpy(), g["v"].to_numpy()
+        left, right = (np.flatnonzero(block == g[c].iloc[0]) for c in ("lo", "hi"))
+        label = _joined(_matrix(g["vec"]), left, right, threshold)
+        far = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
+
+    return (_dealt(keys, ["pass", "key"]).groupBy("pass", "key", "lo", "hi")
+            .applyInPandas(compare, "a binary, b binary").distinct())
+
+
+def _complete(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
+    """(v, others): vectors of other nodes of its component each node links
+    with, block against block.  A component of up to BLOCK nodes is one task's
     work; a larger one is dealt into blocks of about BLOCK, and each pair of
     blocks is a task of its own."""
-    kind = units.schema["id"].dataType.simpleString()
-    size = comp.groupBy("component").agg(F.count("*").alias("n"))
-    placed = (comp.join(size, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-              .join(units, "id"))
-    # block i meets every block j >= i: the row goes to (i, j) and (j, i)
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     "block", "id", "vec")
+    met = _dealt(comp.select(F.col("id").alias("v"), "component").join(nodes, "v"), ["component"])
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
         lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
-        x, block = _matrix(g["vec"]), g["block"].to_numpy()
+        x, block, weight = _matrix(g["vec"]), g["block"].to_numpy(), g["weight"].to_numpy()
         n = np.zeros(len(g), dtype=np.int64)
-        if lo == hi:
-            for s in range(0, len(g), SLAB):
-                n[s:s + SLAB] = (x[s:s + SLAB] @ x.T >= threshold).sum(1)
-            n -= (np.einsum("ij,ij->i", x, x) >= threshold)
-        else:
-            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            for s in range(0, len(left), SLAB):
-                hit = x[left[s:s + SLAB]] @ x[right].T >= threshold
-                n[left[s:s + SLAB]] += hit.sum(1)
-                n[right] += hit.sum(0)
-        return pd.DataFrame({"id": g["id"], "n_links": n})
-
-    return (met.groupBy("component", "lo", "hi").applyInPandas(count, f"id {kind}, n_links bigint")
-            .groupBy("id").agg(F.sum("n_links").alias("n_links")))
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        for s in range(0, len(left), SLAB):
+            rows = left[s:s + SLAB]
+            hit = x[rows] @ x[right].T >= threshold
+            if lo == hi:
+                hit[np.arange(len(rows)), np.arange(s, s + len(rows))] = False
+            else:
+                n[right] += weight[rows] @ hit
+            n[rows] += hit @ weight[right]
+        return pd.DataFrame({"v": g["v"], "others": n})
+
+    return (met.groupBy("component", "lo", "hi").applyInPandas(count, "v binary, others bigint")
+            .groupBy("v").agg(F.sum("others").alias("others")))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding",
-                    passes: int = PASSES) -> DataFrame:
+                    miss: float = MISS) -> DataFrame:
     """One row per row of ``vectors``: id column, n_links (other vectors it
     links with), component_id (smallest id reachable), kept (id is its
     component's smallest).
 
-    Pairs link at a cosine of ``threshold`` or more in double precision.
-    Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing; a null id links with nothing (component null, kept).
-    Rows that share an id are one node, and copies among them count as links.
-    Shorter vectors count as padded with zeros.  No rows give no rows.
+    Pairs link at a cosine of ``threshold`` or more in double precision; a pair
+    at the threshold is overlooked with probability ``miss`` at most, a closer
+    one with less, unless others join its ends.  Vectors that are null, empty,
+    zero or hold null or non-finite components link with nothing; a null id
+    links with nothing (component null, kept).  Rows that share an id are one
+    node, and copies among them count as links.  Shorter vectors count as
+    padded with zeros.  No rows give no rows.
     """
-    units = materialize(unit_vectors(vectors, id_col, vec_col), "units")
-    links = materialize(_neighbours(_ranked(_keys(units, passes)), threshold), "neighbours")
+    units = unit_vectors(vectors, id_col, vec_col).withColumn("v", F.unhex(F.md5("vec")))
+    units = materialize(units, "units")
+    nodes = materialize(units.groupBy("v").agg(F.any_value("vec").alias("vec"), F.count("*").alias("weight")), "nodes")
+    bits, passes = passes_for(nodes.count(), threshold, miss)
+    same_id = units.groupBy("id").agg(F.min("v").alias("a"), F.max("v").alias("_max")).filter("a != _max")
+    same_id = units.join(same_id, "id").select("a", F.col("v").alias("b"))
+    links = materialize(_neighbours(_keys(nodes, bits, passes), threshold).union(same_id), "neighbours")
     comp = materialize(components(links), "components")
-    counts = _complete(units, comp, threshold)
-    out = (vectors.select(F.col(id_col).alias("id")).join(comp, "id", "left").join(counts, "id", "left")
+    counts = _complete(nodes, comp, threshold)
+    of_node = (nodes.select("v", "weight").join(comp.withColumnRenamed("id", "v"), "v", "left").join(counts, "v", "left")
+               .select("v", F.coalesce("component", "v").alias("component"),
+                       (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    placed = materialize(units.select("id", "v").join(of_node, "v"), "placed")
+    low = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_id = placed.groupBy("id", "component").agg(F.sum("n_links").alias("n_links")).join(low, "component")
+    out = (vectors.select(F.col(id_col).alias("id")).join(of_id, "id", "left")
            .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                   F.coalesce("component", "id").alias("component_id")))
+                   F.coalesce("component_id", "id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

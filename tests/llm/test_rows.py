@@ -64,6 +64,43 @@ def test_large_component_in_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def test_embeddings_find_pairs_in_a_large_table(spark, monkeypatch):
+    # far more vectors than a block: pairs at the threshold must meet in some pass
+    from govlake.llm.embeddings import passes_for
+    monkeypatch.setattr(embeddings, "BLOCK", 512)
+    assert passes_for(20600, 0.9)[1] > 1
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=(600, 64))
+    side -= (side * x[:600]).sum(1)[:, None] * x[:600]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    near = 0.901 * x[:600] + np.sqrt(1 - 0.901 ** 2) * side
+    rows = list(enumerate(np.concatenate([x, near]).tolist()))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(8)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    want = {i: (0, i, True) for i in range(20600)}
+    want |= {i: (1, i, True) for i in range(600)} | {20000 + i: (1, i, False) for i in range(600)}
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
+def test_copies_hide_no_link(spark, monkeypatch):
+    # one id on two vectors, copies of a vector on one id and on many
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    base = rng.normal(size=8)
+    rows = [(i, base.tolist()) for i in range(200)] + [(300 + i, (base + 0.1 * rng.normal(size=8)).tolist())
+                                                       for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == brute_links(rows)
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, [1.0, 1.0]), (4, [1.0, 1.0])],
+                               "vec_id bigint, embedding array<double>")
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {(1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 4, True)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, size=(220, 2))]
