@@ -7,105 +7,111 @@ a source is less than one block away from its share.  When a source has no
 block left, the rest share its weight and a new phase begins; no document is
 dropped or repeated.
 
-Shares are whole blocks per period, so the schedule of a phase repeats and
-only one period of it is worked out on the driver, from one count per source.
-Documents find their slot by arithmetic.  A document's number inside its
-source comes from (source, hash bucket) groups and a small table of bucket
+Shares are the exact rationals of the given weights, so the guarantee holds at
+every slot of a phase however long it is and however small a weight.  The
+schedule is sequential: one Spark task walks the slots with one entry per
+source in memory and sends on the slots of CHUNK blocks of a source at a time;
+documents look their slot up by (source, chunk).  A document's number inside
+its source comes from (source, hash bucket) groups and a small table of bucket
 offsets, so a source that holds a third of all rows is many groups.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 16
-PERIOD = 1000
 BUCKETS = 1024
-#: The schedule is broadcast up to this many numbers (8 MB), joined otherwise.
+#: Blocks of a source in one row of the schedule.
+CHUNK = 1024
+#: The schedule is broadcast up to this many slots (8 MB), joined otherwise.
 BROADCAST_NUMBERS = 1_000_000
 
-_SCHEMA = ("_source string, _phases array<struct<lo:bigint,hi:bigint,k:bigint,"
-           "base:bigint,period:bigint,at:array<bigint>>>")
-
-
-@dataclass
-class Phase:
-    """Blocks lo <= b < hi of a source: k blocks a period of ``period`` slots,
-    at the slots ``at`` of each period, counted from ``base``."""
-    lo: int
-    hi: int
-    k: int
-    base: int
-    period: int
-    at: list[int]
-
-
-def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Blocks per period, at least one each, by largest remainder."""
-    total, n = sum(weights.values()), len(weights)
-    period = max(period, n)
-    exact = {s: 1 + (period - n) * w / total for s, w in weights.items()} if n > period // 2 else \
-        {s: period * w / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    i = 0
-    while (rest := period - sum(out.values())) != 0:
-        s = order[i % n]
-        if rest > 0:
-            out[s] += 1
-        elif out[s] > 1:
-            out[s] -= 1
-        i += 1
-    return out
 
-
-def pfair_period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period: earliest deadline first among
-    the released blocks."""
-    period = sum(shares.values())
-    release = [(0, s, 1) for s in sorted(shares)]
-    heapq.heapify(release)
+def pfair(shares: dict[str, int], blocks: dict[str, int] | None = None) -> Iterator[str]:
+    """The source of each slot of a phase: earliest deadline first among the
+    released blocks, with shares of ``shares[s] / sum(shares)`` exactly.  Block
+    j of share w is released at floor((j - 1) / w), due at ceil(j / w).  With
+    ``blocks`` the phase ends with the slot that places a source's last block."""
+    total = sum(shares.values())
+    release = [(0, s, 1) for s in sorted(shares)]       # sorted, so a heap
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in shares}
-    for t in range(period):
+    t = 0
+    while True:
         while release and release[0][0] <= t:
             _, s, j = heapq.heappop(release)
-            heapq.heappush(ready, (-(-j * period // shares[s]), s, j))
+            heapq.heappush(ready, (-(-j * total // shares[s]), s, j))
         _, s, j = heapq.heappop(ready)
+        yield s
+        if blocks is not None and j == blocks[s]:
+            return
+        heapq.heappush(release, (j * total // shares[s], s, j + 1))
+        t += 1
+
+
+def pfair_period(shares: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source in the first sum(shares) slots."""
+    slots: dict[str, list[int]] = {s: [] for s in shares}
+    for t, s in zip(range(sum(shares.values())), pfair(shares)):
         slots[s].append(t)
-        if j < shares[s]:
-            heapq.heappush(release, (j * period // shares[s], s, j + 1))
     return slots
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> dict[str, list[Phase]]:
-    """Phases of each source until every block of every source is placed.
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[str]:
+    """The source of each slot until every block of every source is placed.
     Sources without a positive weight come last, with equal shares."""
-    out: dict[str, list[Phase]] = {s: [] for s in blocks}
-    done = dict.fromkeys(blocks, 0)
-    base = 0
-    while left := {s: blocks[s] - done[s] for s in blocks if done[s] < blocks[s]}:
-        active = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or dict.fromkeys(left, 1.0)
-        shares = whole_shares(active, period)
-        size = sum(shares.values())
-        slots = pfair_period(shares)
-        last = min((left[s] - 1) // shares[s] * size + slots[s][(left[s] - 1) % shares[s]] for s in active)
-        for s in active:
-            used = last // size * shares[s] + sum(x <= last % size for x in slots[s])
-            if used:
-                out[s].append(Phase(done[s], done[s] + used, shares[s], base, size, slots[s]))
-            done[s] += used
-        base += last + 1
-    return out
+    left = {s: n for s, n in blocks.items() if n > 0}
+    shares = exact_shares({s: weights[s] for s in left if weights.get(s, 0.0) > 0})
+    while left:
+        active = {s: shares[s] for s in left if s in shares} or dict.fromkeys(left, 1)
+        for s in pfair(active, dict(left)):
+            left[s] -= 1
+            yield s
+        left = {s: n for s, n in left.items() if n}
+
+
+def _slots(docs: DataFrame, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """(_source, _chunk, _at): the slots of each CHUNK blocks of a source, from
+    one task that holds a chunk per source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(s: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([s]), pa.array([(done[s] - 1) // CHUNK], pa.int64()),
+                 pa.array([at.pop(s)], pa.list_(pa.int64()))], names=["_source", "_chunk", "_at"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at: dict[str, list[int]] = {}
+            done = dict.fromkeys(blocks, 0)
+            for t, s in enumerate(schedule(blocks, weights)):
+                at.setdefault(s, []).append(t)
+                done[s] += 1
+                if done[s] % CHUNK == 0 or done[s] == blocks[s]:
+                    yield row(s)
+
+    one = docs.sparkSession.range(0, 1, 1, 1)
+    return one.mapInArrow(run, "_source string, _chunk bigint, _at array<bigint>")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5,
                 id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS,
-                period: int = PERIOD, buckets: int = BUCKETS) -> DataFrame:
+                buckets: int = BUCKETS) -> DataFrame:
     """All rows and columns of ``docs`` plus ``block`` (number inside its
     source), ``slot`` and ``position`` (slot * block_docs + place in the
     block), all long; columns of these names are replaced.  Reading by
@@ -129,21 +135,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, expone
         shares = {s: n ** exponent for s, n in sizes.items()}
     else:
         shares = {"null" if s is None else f"s:{s}": w for s, w in weights.items()}
-    phases = plan({s: -(-n // block_docs) for s, n in sizes.items()}, shares, period)
-    rows = [(s, [(p.lo, p.hi, p.k, p.base, p.period, p.at) for p in ps]) for s, ps in phases.items()]
-    table = docs.sparkSession.createDataFrame(rows, _SCHEMA)
-    if sum(5 + len(p.at) for ps in phases.values() for p in ps) <= BROADCAST_NUMBERS:
+    blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
+    table = _slots(docs, blocks, shares)
+    if sum(blocks.values()) <= BROADCAST_NUMBERS:
         table = F.broadcast(table)
     in_bucket = Window.partitionBy("_source", "_bucket").orderBy("_h", id_col)
     d = (d.withColumn("_row", F.row_number().over(in_bucket) - 1)
-         .join(offsets, ["_source", "_bucket"]).join(table, "_source")
+         .join(offsets, ["_source", "_bucket"])
          .withColumn("_row", F.col("_row") + F.col("_before"))
          .withColumn("block", F.floor(F.col("_row") / block_docs).cast("bigint"))
-         .withColumn("_p", F.element_at(F.filter("_phases", lambda p: (p.lo <= F.col("block"))
-                                                 & (p.hi > F.col("block"))), 1)))
-    at = F.col("block") - F.col("_p.lo")
-    slot = F.col("_p.base") + F.expr("(block - _p.lo) div _p.k") * F.col("_p.period") + \
-        F.get(F.col("_p.at"), (at % F.col("_p.k")).cast("int"))
-    return (d.withColumn("slot", slot)
-            .withColumn("position", F.col("slot") * block_docs + F.col("_row") % block_docs)
-            .drop("_source", "_h", "_bucket", "_row", "_before", "_phases", "_p"))
+         .withColumn("_chunk", F.floor(F.col("block") / CHUNK).cast("bigint")).join(table, ["_source", "_chunk"])
+         .withColumn("slot", F.get("_at", (F.col("block") % CHUNK).cast("int"))))
+    return (d.withColumn("position", F.col("slot") * block_docs + F.col("_row") % block_docs)
+            .drop("_source", "_h", "_bucket", "_row", "_before", "_chunk", "_at"))

@@ -135,6 +135,36 @@ def test_pfair_deviation_is_under_one_block():
                 assert abs(done - (t + 1) * k / period) < 1
 
 
+def test_mixing_holds_unrounded_weights():
+    # a skewed source, sources under 1/1000 and more than 1000 sources, over many slots
+    from fractions import Fraction
+    third = {f"s{i:02d}": 1_000_000 // 30 for i in range(20)} | {"s00": 333_333}
+    tiny = {f"t{i:04d}": 3 + i % 5 for i in range(1200)} | {"big": 90_000}
+    for blocks, weights in ((third, {s: (16 * n) ** 0.5 for s, n in third.items()}),
+                            (tiny, {s: float(n) for s, n in tiny.items()}),
+                            ({"a": 100, "b": 60_000}, {"a": 1e-3, "b": 1.0})):
+        total, done, worst = sum(map(Fraction, weights.values())), dict.fromkeys(blocks, 0), 0
+        share = {s: float(Fraction(w) / total) for s, w in weights.items()}
+        for t, s in zip(range(1, 40_001), mixing.schedule(blocks, weights)):
+            done[s] += 1
+            if t % 97 == 0 or t < 50:
+                worst = max(worst, *(abs(done[x] - t * share[x]) for x in blocks))
+            if done[s] == blocks[s]:
+                break
+        assert worst < 1 and t > 10_000
+    every = Counter(mixing.schedule(tiny, {s: float(n) for s, n in tiny.items() if n != 4}))
+    assert every == tiny
+
+
+def test_mixing_without_a_broadcast_and_with_small_chunks(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', 'b') AS source")
+    want = sorted(map(tuple, mixing.mix_sources(df, block_docs=2).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    got = sorted(map(tuple, mixing.mix_sources(df, block_docs=2).collect()))
+    assert got == want and sorted({r[3] for r in got}) == list(range(len({r[3] for r in got})))
+
+
 def test_mixing_keeps_every_row_and_its_shares(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(3000)] + [(5000 + i, None) for i in range(100)]
     rows += [(6000 + i, "zero") for i in range(40)]
