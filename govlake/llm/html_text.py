@@ -6,19 +6,25 @@ the zone its tags put it in: ``main`` (inside an article or main element),
 comments, by element, role, class or id) or ``open`` (anything else).
 
 The token streams of a host's pages outside ``main`` are its string; its
-suffixes, cut at RUN tokens, are ordered by grouping on (host, suffix).  A
-suffix found in two or more distinct pages is a repeated run, and the tokens it
-covers are boilerplate; the unique runs of open blocks are kept.  An article is
-kept whole, also where two pages carry the same one; chrome goes also where a
-page has its own.
+suffixes are ordered by grouping on (host, suffix cut at RUN tokens), so a group
+is the suffixes with a common prefix of RUN tokens or more.  A longer run is
+covered by the prefixes of its own suffixes, so no longer prefix is compared.
+A run is boilerplate if it stands in the square root of the host's pages or
+more (two at least), and not only in copies of one stream; an open block of
+fewer than RUN tokens is a run of its own.  The other tokens of open blocks
+are kept.  An article is kept whole, also where two pages carry the same one;
+chrome goes also where a page has its own.  An article inside a chrome wrapper
+(a form around the page, a div named after a menu) is ``main`` if the page has
+no other; not so in sidebars, menus, footers, reader comments and teasers.
 
 Suffixes are counted with partial aggregation (a footer that a third of all
 pages carry is combined before the shuffle) and only the smallest and largest
-page of each is kept.
+stream and page of each is kept, and their number.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -31,8 +37,8 @@ from pyspark.sql import functions as F
 from govlake.llm.textkit import U64, mix64, seeds, words
 from govlake.session import materialize
 
-#: Tokens of a repeated run.
-RUN = 6
+#: Fewest tokens of a repeated run, short blocks apart.
+RUN = 12
 
 MAIN_TAGS = {"article", "main"}
 CHROME_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset",
@@ -48,6 +54,10 @@ CHROME_WORDS = re.compile(
     r"(^|[^a-z])(ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|"
     r"masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|recommend\w*|related|"
     r"replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)([^a-z]|$)")
+#: Chrome that holds articles of others: an article in it is never the page's.
+ASIDE_TAGS = {"nav", "footer", "aside", "menu", "dialog", "head", "noscript", "figure"}
+ASIDE_WORDS = re.compile(r"(^|[^a-z])(ad|ads|advert\w*|comments?|disqus|footer|newsletter|popup|promo\w*|recommend\w*|"
+                         r"related|replies|respond|sidebar|sponsor\w*|widget)([^a-z]|$)")
 #: An article's own header holds its title.
 TITLE_IN_MAIN = {"header", "figure"}
 _SPACE = re.compile(r"\s+")
@@ -60,14 +70,15 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, str]] = []
         self.text: list[str] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []    # tag, enters main, is chrome, is silent
-        self.main = self.chrome = self.silent = 0
+        # tag, enters main, is chrome, is silent, is an aside, counts of main and chrome outside a wrapped article
+        self.open: list[tuple] = []
+        self.main = self.chrome = self.silent = self.aside = self.wrapped = 0
 
     def _flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                zone = "chrome" if self.chrome else "main" if self.main else "open"
+                zone = "chrome" if self.chrome else "wrapped" if self.wrapped else "main" if self.main else "open"
                 self.blocks.append((zone, text))
             self.text = []
 
@@ -84,20 +95,33 @@ class _Blocks(HTMLParser):
                   or bool(tag not in ("html", "body") and tag not in MAIN_TAGS
                           and CHROME_WORDS.search(f"{named.get('class', '')} {named.get('id', '')}")))
         main, silent = tag in MAIN_TAGS or named.get("role") == "main", tag in SILENT_TAGS
+        aside = chrome and (tag in ASIDE_TAGS or named.get("role") in ("navigation", "contentinfo", "complementary")
+                            or "hidden" in named or named.get("aria-hidden") == "true"
+                            or bool(ASIDE_WORDS.search(f"{named.get('class', '')} {named.get('id', '')}")))
         if chrome or main or silent:
             self._flush()
-        self.open.append((tag, main, chrome, silent))
+        # an article inside a chrome wrapper starts anew; what it wraps itself is judged as in any article
+        outside = None
+        if main and self.chrome and not (chrome or self.main or self.aside):
+            outside, self.chrome = self.chrome, 0
+            self.wrapped += 1
+        self.open.append((tag, main, chrome, silent, aside, outside))
+        self.aside += aside
         self.main += main
         self.chrome += chrome
         self.silent += silent
 
     def _close(self) -> None:
-        _, main, chrome, silent = self.open.pop()
+        _, main, chrome, silent, aside, outside = self.open.pop()
         if main or chrome or silent:
             self._flush()
         self.main -= main
         self.chrome -= chrome
         self.silent -= silent
+        self.aside -= aside
+        if outside is not None:
+            self.chrome = outside
+            self.wrapped -= 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
@@ -126,7 +150,8 @@ def page_blocks(html: str | None) -> list[tuple[str, str]]:
     while reader.open:
         reader._close()
     reader._flush()
-    return reader.blocks
+    zone = "chrome" if any(z == "main" for z, _ in reader.blocks) else "main"
+    return [(zone if z == "wrapped" else z, t) for z, t in reader.blocks]
 
 
 def host_of(url: Column) -> Column:
@@ -152,6 +177,16 @@ def _suffixes(tokens: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
+def _short_blocks(zones: list[str], tokens: np.ndarray, first: np.ndarray) -> list[tuple[int, np.uint64]]:
+    """(block, hash) of the open blocks of fewer than RUN tokens."""
+    weight, out = seeds(RUN, 223), []
+    for k, zone in enumerate(zones):
+        t = tokens[first[k]:first[k + 1]]
+        if zone == "open" and 0 < len(t) < RUN:
+            out.append((k, mix64((t * weight[:len(t)]).sum(keepdims=True, dtype=U64) + U64(len(t)))[0]))
+    return out
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url and ``text`` (main-text blocks
     joined by newlines).
@@ -168,21 +203,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, html in enumerate(b.column("html").to_pylist()):
-                texts = [t for zone, t in page_blocks(html) if zone != "main"]
-                if not texts:
+                blocks = [x for x in page_blocks(html) if x[0] != "main"]
+                if not blocks:
                     continue
-                run = np.unique(_suffixes(_token_hashes(texts)[0]))
+                tokens, first = _token_hashes([t for _, t in blocks])
+                short = [h for _, h in _short_blocks([z for z, _ in blocks], tokens, first)]
+                run = np.unique(np.concatenate([_suffixes(tokens), np.array(short, dtype=U64)]))
                 if len(run):
                     at = pa.array(np.full(len(run), i))
+                    stream = int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little",
+                                            signed=True)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("host").take(at), b.column("id").take(at), pa.array(run.view(np.int64))],
-                        names=["host", "id", "suffix"])
+                        [b.column("host").take(at), b.column("id").take(at), pa.array(run.view(np.int64)),
+                         pa.array(np.full(len(run), stream))], names=["host", "id", "suffix", "stream"])
 
     found = materialize(src.filter("id is not null")
-                        .mapInArrow(suffixes, f"host string, id {kind}, suffix bigint"), "suffixes")
-    # neighbours in the host's suffix order that agree on RUN tokens, in distinct pages
-    repeated = (found.groupBy("host", "suffix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-                .filter("lo != hi").select("host", "suffix"))
+                        .mapInArrow(suffixes, f"host string, id {kind}, suffix bigint, stream bigint"), "suffixes")
+    pages_of = (src.filter("id is not null").select("host", "id").distinct().groupBy("host")
+                .agg(F.greatest(F.lit(2), F.ceil(F.sqrt(F.count("*")))).alias("least")))
+    # neighbours in the host's suffix order that agree on RUN tokens, in distinct pages and streams
+    repeated = (found.groupBy("host", "suffix")
+                .agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"),
+                     F.min("stream").alias("from"), F.max("stream").alias("to"))
+                .filter("n > 1 and lo != hi and from != to").select("host", "suffix", "n")
+                .join(pages_of, "host").filter("n >= least").select("host", "suffix"))
     of_page = (found.join(repeated, ["host", "suffix"]).groupBy("id")
                .agg(F.collect_set("suffix").alias("repeated")))      # at most the page's own suffixes
     both = src.join(of_page, "id", "left").select("id", "url", "html", "repeated")
@@ -207,9 +251,13 @@ def _main_text(blocks: list[tuple[str, str]], repeated: list[int] | None) -> lis
         tokens, first = _token_hashes(rest)
         covered = np.zeros(len(tokens), dtype=bool)
         if repeated:
+            again = set(repeated)
             hit = np.isin(_suffixes(tokens).view(np.int64), np.array(repeated, dtype=np.int64))
             for s in np.flatnonzero(hit):
                 covered[s:s + RUN] = True
+            for k, h in _short_blocks([z for z, _ in blocks if z != "main"], tokens, first):
+                if h.astype(np.int64) in again:
+                    covered[first[k]:first[k + 1]] = True
     out, k = [], -1
     for zone, t in blocks:
         if zone != "main":

@@ -276,6 +276,33 @@ def test_html_extraction(spark):
     assert got[10] == got[11] == "" and got[12].startswith("All pages") and got[13] == "x\ndeep"
 
 
+def test_html_repeats_follow_the_host(spark):
+    # pages without an article: a phrase of 6 words on 2 of 40 pages, two copies of a page, a footer on all
+    def own(i, n=30):
+        return " ".join(f"w{i}x{j}" for j in range(n))
+
+    phrase = "at the end of the day"
+    foot = "<div>All rights reserved by us</div>"
+    rows = [(i, "http://big.example/", f"<div>{own(i)} {phrase if i < 2 else ''} {own(i)}</div>{foot}")
+            for i in range(40)]
+    rows += [(50 + i, "http://big.example/", f"<div>{own(99)}</div>{foot}") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert got[0] == f"{own(0)} {phrase} {own(0)}" and got[39] == f"{own(39)} {own(39)}"
+    assert all(got[50 + i] == own(99) for i in range(8))
+
+
+def test_html_article_inside_a_wrapper():
+    page = html_text.page_blocks
+    article = "<article><p>Text</p><div class=ad>Buy</div></article>"
+    assert page(f"<form><b>Log in</b>{article}Send</form>") == \
+        [("chrome", "Log in"), ("main", "Text"), ("chrome", "Buy"), ("chrome", "Send")]
+    assert page(f"<div class=has-menu>{article}</div><div>Rest</div>") == \
+        [("main", "Text"), ("chrome", "Buy"), ("open", "Rest")]
+    for other in ("<aside>{}</aside>", "<div id=comments>{}</div>", "<form>{}</form><main>Own</main>"):
+        assert ("main", "Text") not in page(other.format(article))
+
+
 def test_html_extraction_of_given_pages(spark):
     import html
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
