@@ -4,7 +4,11 @@ A seed is a fixed mask over SPAN consecutive words that ignores some
 positions, so a substituted word under an ignored position does not hide a
 match.  Seeds of benchmark items and of documents are joined by hash; a hit
 fixes the diagonal (document position minus item position), and the words
-along the diagonal are compared, substitutions allowed.
+along the diagonal are compared, substitutions allowed.  No allowed
+substitution of a passage escapes every seed: MASKS for passages of WINDOW
+words, with SHORT_MASKS for items of SPAN words up to WINDOW, and for shorter
+items the hash of the whole item, or with one word left out where the overlap
+allows it.  Seeds of lengths the benchmark does not have are not made.
 
 Document seeds are first tested against a bitmap of benchmark seeds of a
 fixed 16 MB (whatever the size of the benchmark), so only seeds that may hit
@@ -24,7 +28,9 @@ from govlake.llm.textkit import U64, chunks, mix64, seeds, words
 from govlake.session import materialize
 
 #: Positions read by each mask; every mask spans SPAN words.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 5, 6, 7))
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7), (0, 1, 2, 5, 6, 7), (0, 1, 2, 3, 4, 6))
+#: Further masks where the benchmark has items of SPAN words or more, but fewer than WINDOW.
+SHORT_MASKS = ((0, 1, 3, 5, 6, 7), (1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 5, 6), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 #: Overlap: this many words on one diagonal (or the whole item, if shorter),
 #: of which at least this share are equal.
@@ -33,28 +39,56 @@ MIN_EQUAL = 0.8
 BITMAP_BITS = 27
 
 
-def _seeds(w, doc_of: np.ndarray | None = None):
-    """(document, position in the document, hash) of all seeds; documents of
-    fewer than SPAN words give one seed per mask over what they have."""
-    weight = seeds(SPAN + len(MASKS), 71)
+def masks_for(lengths: set[int]) -> list[tuple[int, int, tuple[int, ...]]]:
+    """(number, span, positions read) of the masks that items of these word
+    counts need; a count above WINDOW counts as WINDOW."""
+    out = [(m, SPAN, mask) for m, mask in enumerate(MASKS)] if any(n >= SPAN for n in lengths) else []
+    if any(SPAN <= n < WINDOW for n in lengths):
+        out += [(len(MASKS) + m, SPAN, mask) for m, mask in enumerate(SHORT_MASKS)]
+    for n in sorted(n for n in lengths if 0 < n < SPAN):
+        whole = tuple(range(n))
+        spare = n - 1 >= MIN_EQUAL * n           # one word may differ
+        for j in range(n) if spare else [n]:
+            out.append((SPAN * (n + 2) + j, n, tuple(i for i in whole if i != j)))
+    return out
+
+
+def _seeds(w, masks: list[tuple[int, int, tuple[int, ...]]], items: bool):
+    """(document, position in the document, hash) of all seeds; of items, a
+    mask of less than SPAN words is for whole items only."""
+    weight = seeds(SPAN + SPAN * (SPAN + 2), 71)
     n, count = len(w.hash), np.diff(w.first)
     doc = w.doc
-    padded = np.concatenate([w.hash, np.zeros(SPAN, dtype=U64)])
-    owner = np.concatenate([doc, np.full(SPAN, -1)])
     place = np.arange(n) - np.repeat(w.first[:-1], count)
-    head = np.flatnonzero((owner[SPAN - 1:SPAN - 1 + n] == doc) | ((place == 0) & (count[doc] < SPAN)))
-    out = []
-    for m, mask in enumerate(MASKS):
+    out = [(doc[:0], place[:0], np.zeros(0, dtype=U64))]
+    heads = {}
+    for m, span, mask in masks:
+        if span not in heads:
+            fits = count[doc] == span if items and span < SPAN else count[doc] >= span
+            heads[span] = np.flatnonzero(fits & (place <= count[doc] - span))
+        head = heads[span]
         value = np.full(len(head), weight[SPAN + m], dtype=U64)
         for j in mask:
-            same = owner[head + j] == doc[head]
-            value += np.where(same, padded[head + j], U64(0)) * weight[j]
+            value += w.hash[head + j] * weight[j]
         out.append((doc[head], place[head], mix64(value)))
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def _seed_rows(df: DataFrame, id_col: str, text_col: str, bitmap=None) -> DataFrame:
-    """(id, place, seed) rows; with a bitmap only seeds whose bit is set."""
+def _lengths(benchmark: DataFrame, item_text: str) -> set[int]:
+    """The items' word counts, WINDOW for more: at most WINDOW + 1 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _lo, _hi, data, off in chunks(b.column("text")):
+                n = np.unique(np.minimum(np.diff(words(data, off).first), WINDOW))
+                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64))], names=["n"])
+
+    rows = benchmark.select(F.col(item_text).alias("text")).mapInArrow(run, "n bigint").distinct().collect()
+    return {r["n"] for r in rows}
+
+
+def _seed_rows(df: DataFrame, id_col: str, text_col: str, masks: list, bitmap=None) -> DataFrame:
+    """(id, place, seed) rows; with a bitmap, of documents, only seeds whose bit is set."""
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +96,7 @@ def _seed_rows(df: DataFrame, id_col: str, text_col: str, bitmap=None) -> DataFr
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
             for lo, _hi, data, off in chunks(b.column("text")):
-                doc, place, value = _seeds(words(data, off))
+                doc, place, value = _seeds(words(data, off), masks, bits is None)
                 if bits is not None:
                     at = value >> U64(64 - BITMAP_BITS)
                     hit = (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
@@ -115,10 +149,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counts.  Null or empty texts and rows of null id match nothing; rows of
     equal id count as one; empty tables give no rows.
     """
-    item_seeds = _seed_rows(benchmark, item_col, item_text).distinct()
+    masks = masks_for(_lengths(benchmark, item_text))
+    item_seeds = _seed_rows(benchmark, item_col, item_text, masks).distinct()
     item_seeds = materialize(item_seeds, "seeds")
     bitmap = _bitmap(item_seeds)
-    hits = _seed_rows(docs, id_col, text_col, bitmap)
+    hits = _seed_rows(docs, id_col, text_col, masks, bitmap)
     found = (hits.join(item_seeds.select(F.col("id").alias("item"), F.col("place").alias("at"), "seed"), "seed")
              .select("id", "item", (F.col("place") - F.col("at")).alias("shift")).distinct())
     found = materialize(found, "diagonals")

@@ -170,6 +170,26 @@ def test_decontamination_tolerates_substitutions(spark, docs):
     assert got.get(1) == [1] and set(got) <= {1, 3}
 
 
+def test_decontamination_finds_every_allowed_substitution(spark, docs):
+    # whole items of 1 to 12 words and windows of 13 with all sets of allowed substitutions, in longer documents
+    from itertools import combinations
+    rows, want, items = [], {}, []
+    for n in range(1, 14):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        spare = max(m for m in range(n) if n - m >= decontam.MIN_EQUAL * n)
+        for gone in combinations(range(n), spare):
+            text = ["left"] * 5 + ["zz" if i in gone else x for i, x in enumerate(item)] + ["right"] * 5
+            want[len(rows)] = [n]
+            rows.append((len(rows), " ".join(text)))
+        if spare + 1 < n:
+            rows.append((len(rows), " ".join(["left"] * 5 + ["zz"] * (spare + 1) + item[spare + 1:] + ["right"] * 5)))
+    rows += [(1000, "x A B C y"), (1001, "a b")]
+    bench = spark.createDataFrame([*items, (50, "a b c"), (51, None), (52, "")], "item_id bigint, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontam.contamination(docs(rows), bench).collect()}
+    assert got == want | {1000: [50]}
+
+
 PATTERNS = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
             (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
             (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(d := re.sub("[^0-9]", "", m)) <= 19
