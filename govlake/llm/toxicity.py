@@ -32,6 +32,8 @@ from govlake.llm.textkit import NON_ALNUM, U64, chunks, distinct_pairs, mix64, w
 #: Bounds of the fitting sample: documents of each class, and UTF-8 bytes in all.
 FIT_DOCS = 1000
 FIT_BYTES = 6_000_000
+#: Longest text fitted on, in bytes: a few huge texts would otherwise use up FIT_BYTES.
+TEXT_BYTES = 30_000
 #: Texts scored together: all advance token by token, so memory follows this.
 SCORE_BYTES = 8 << 20
 #: A feature is evidence if toxic documents hold it more often, with a
@@ -274,23 +276,27 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> Crf:
+          fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES,
+          text_bytes: int = TEXT_BYTES) -> Crf:
     """Fit on at most ``fit_docs`` labelled documents of each class and
-    ``fit_bytes`` of text, chosen by the hash of their id, without held-out
-    rows.  Unlabelled rows and null labels are not used; of several labels of
+    ``fit_bytes`` of text, chosen by the hash of their id among texts of at
+    most ``text_bytes``, without held-out rows.  Unlabelled rows and null labels are not used; of several labels of
     one id the largest counts."""
     usable = (labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_y"))
               .filter("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
               .filter(~held_out(F.col("_id"))))
     counts = {r["_y"]: r["n"] for r in usable.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    fitting = (docs.select(F.col(id_col).alias("_id"), F.octet_length(text_col).alias("_n"))
+               .filter(F.col("_n") <= text_bytes).select("_id"))
+    eligible = usable.join(fitting, "_id", "left_semi")
     sample = None
     for y in (0, 1):
-        part = usable.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(fit_docs)
+        part = eligible.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(fit_docs)
         sample = part if sample is None else sample.union(part)
     # at most 2 * fit_docs ids: a proven bound for the broadcast
     picked = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
               .join(F.broadcast(sample), "_id").filter("_t is not null")
-              .filter(F.octet_length("_t") <= fit_bytes // (2 * fit_docs) * 10)
+              .filter(F.octet_length("_t") <= text_bytes)
               .orderBy(F.xxhash64("_id"), "_id", "_t").limit(2 * fit_docs))
     rate = counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0))
 

@@ -247,6 +247,24 @@ def test_toxicity_learns_words_it_was_not_told(spark):
             assert t[s:e] == "grumbleface"
 
 
+def test_toxicity_long_texts_take_no_place_in_the_sample(spark):
+    # the documents of a class that its hash order would choose first are all too long
+    rng = random.Random(6)
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(800)], "doc_id bigint, toxic int")
+    order = labels.selectExpr("doc_id", "toxic", "xxhash64(doc_id) AS h").filter("crc32(string(doc_id)) % 4 != 2")
+    long = {r.doc_id for y in (0, 1) for r in order.filter(f"toxic = {y}").orderBy("h").limit(120).collect()}
+
+    def text(i):
+        w = [f"w{rng.randrange(200)}" for _ in range(300 if i in long else 30)]
+        return " ".join(w[:15] + ["grumbleface"] * (i % 2) + w[15:])
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(800)], "doc_id bigint, text string")
+    model = toxicity.train(docs, labels, fit_docs=120, text_bytes=500)
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs, model).collect()}
+    short = [i for i in range(800) if i not in long]
+    assert min(got[i] for i in short if i % 2) > max(got[i] for i in short if not i % 2)
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
