@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from govlake.operators import ledger
 from govlake.plans import queries as Q
 from govlake.sources import fixtures as V

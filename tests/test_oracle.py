@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from tools.oracle_check import norm
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 KEYS = sorted(E.oracle_sql())
 

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from govlake.plans.queries import REGISTRY
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 # These queries run jobs (write, stream, fit, checkpoint) when called.
 ACTIVE = {"audit_jsonl_scan", "audit_sink", "audit_verbose", "compliance_sink",
