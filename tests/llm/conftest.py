@@ -5,7 +5,6 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, ROOT)
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -21,12 +20,3 @@ def docs(spark):
     def make(rows, schema="doc_id bigint, text string, block int, n_lines string, kept boolean, slot string"):
         return spark.createDataFrame([(i, t, 7, "x", None, "y") for i, t in rows], schema)
     return make
-
-
-def lower(s):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
-
-
-def split_words(s):
-    import re
-    return [w for w in re.split("[ \t\n\x0b\x0c\r]+", lower(s or "")) if w]

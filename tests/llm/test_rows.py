@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from conftest import SF
+from corpus_helpers import SF
 from govlake.llm import embeddings, graph, mixing
 from govlake.llm.queries import ORACLE_SQL, REGISTRY
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from conftest import SF, split_words
+from corpus_helpers import SF, split_words
 from govlake.llm import decontam, html_text, language_model, lines, neardup, private_data, suffixes, toxicity
 from govlake.llm.queries import REGISTRY
 
