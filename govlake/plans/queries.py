@@ -1085,3 +1085,79 @@ def q_audit_ticket_match(spark, sf):
                                          F.col("id").alias("ticket_id"))
     linked = asof_last(ev, tk, "user_id", "timestamp", "ticket_id")
     return access.audit_ticket_match(linked, V.escalations(spark, sf))
+
+
+# --- streams over several micro-batches -----------------------------------------
+
+from ..streaming import alert_events as AE  # noqa: E402
+from ..streaming import late as LT  # noqa: E402
+from ..streaming import sessions as SS  # noqa: E402
+
+ARRIVALS = 4
+LATE_EVERY = 17
+
+
+def _arrivals(spark, sf, late_every=None):
+    """The audit log in ARRIVALS equal spans of time, one after the other;
+    with ``late_every``, every so many events come two spans later."""
+    a = V.audit(spark, sf)
+    lo, hi = a.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if lo is None:
+        return
+    step = (hi - lo) / ARRIVALS + dt.timedelta(microseconds=1)
+    span = F.lit(0)
+    for n in range(1, ARRIVALS):
+        span = F.when(F.col("timestamp") >= F.lit(lo + n * step), n).otherwise(span)
+    late = F.when(F.col("event_id") % late_every == 0, 2).otherwise(0) if late_every else F.lit(0)
+    a = a.withColumn("_arrival", span + late)
+    for n in range(ARRIVALS + (2 if late_every else 0)):
+        yield a.filter(F.col("_arrival") == n).drop("_arrival")
+
+
+def _late(spark, sf):
+    base = scratch_path(spark, "late")
+    for part in _arrivals(spark, sf, LATE_EVERY):
+        K.write_audit(part, base + "/log", fmt="json")
+        events = ST.follow(spark, base + "/log").select(
+            "event_time", "user_id", F.try_variant_get("details", "$.event_id", "bigint").alias("event_id"))
+        LT.follow_late(events, base + "/out", base + "/checkpoint")
+    return base + "/out"
+
+
+@query("stream_late_rows")
+def q_stream_late_rows(spark, sf):
+    """The rows that came after the watermark of their micro-batch."""
+    out = LT.late_rows(spark, _late(spark, sf))
+    return out.select("event_id", "user_id", F.col("event_time").cast("timestamp_ntz").alias("timestamp"),
+                      F.col("watermark").cast("timestamp_ntz").alias("watermark"),
+                      F.col("batch").cast("bigint").alias("batch_id"))
+
+
+@query("stream_late_counts")
+def q_stream_late_counts(spark, sf):
+    """Rows and late rows of every micro-batch."""
+    out = LT.late_ledger(spark, _late(spark, sf))
+    return out.withColumn("watermark", F.col("watermark").cast("timestamp_ntz"))
+
+
+def _stream_arrivals(spark, sf, name, make):
+    """Drive a stateful stream over the arrivals, one restart each; its output."""
+    base = scratch_path(spark, name)
+    for part in _arrivals(spark, sf):
+        K.write_audit(part, base + "/log", fmt="json")
+        ST.run_available_now(make(ST.follow(spark, base + "/log")), base + "/out", base + "/checkpoint",
+                             state_store=ST.ROCKSDB)
+    return spark.read.parquet(base + "/out")
+
+
+@query("stream_active_sessions")
+def q_stream_active_sessions(spark, sf):
+    """Every session, closed or still active."""
+    return SS.current_sessions(_stream_arrivals(spark, sf, "active-sessions", SS.session_changes))
+
+
+@query("stream_alert_events")
+def q_stream_alert_events(spark, sf):
+    """Alerts raised, changed and cleared."""
+    out = _stream_arrivals(spark, sf, "alert-events", AE.alert_edges)
+    return out.withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))

@@ -1130,6 +1130,69 @@ EXTRA["stream_sessions"] = SESSION_CTES
 
 
 
+# --- streams over several micro-batches -------------------------------------------
+
+# the arrivals of the log: four equal spans of time, every 17th event two spans later
+ARRIVAL_CTES = ["""bounds AS (
+  SELECT min(timestamp) AS lo,
+         to_microseconds(CAST((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 4 + 1 AS BIGINT)) AS step
+  FROM audit)""",
+    """arrived AS (
+  SELECT a.*, CASE WHEN timestamp >= lo + 3 * step THEN 3 WHEN timestamp >= lo + 2 * step THEN 2
+                   WHEN timestamp >= lo + step THEN 1 ELSE 0 END
+              + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END AS batch_id
+  FROM audit a, bounds)""",
+    """marks AS (
+  SELECT batch_id, n_rows, max(newest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+           - INTERVAL 10 MINUTE AS watermark
+  FROM (SELECT batch_id, count(*) AS n_rows, max(timestamp) AS newest FROM arrived GROUP BY batch_id) b)"""]
+
+SQL["stream_late_rows"] = """
+SELECT a.event_id, a.user_id, a.timestamp, m.watermark, CAST(a.batch_id AS BIGINT) AS batch_id
+FROM arrived a JOIN marks m ON m.batch_id = a.batch_id AND a.timestamp <= m.watermark"""
+EXTRA["stream_late_rows"] = ARRIVAL_CTES
+
+SQL["stream_late_counts"] = """
+SELECT CAST(m.batch_id AS BIGINT) AS batch_id, m.watermark, m.n_rows,
+       (SELECT count(*) FROM arrived a WHERE a.batch_id = m.batch_id AND a.timestamp <= m.watermark) AS n_late
+FROM marks m"""
+EXTRA["stream_late_counts"] = ARRIVAL_CTES
+
+SQL["stream_active_sessions"] = f"""
+SELECT user_id, min(timestamp) AS start_time, max(timestamp) AS end_time, count(*) AS interactions,
+       count(*) FILTER (WHERE event_type = 'safety_block') AS safety_blocks,
+       CASE WHEN max(timestamp) + INTERVAL 60 MINUTE <= {WATERMARK_AT} THEN 'closed' ELSE 'active' END AS state
+FROM g GROUP BY user_id, sid"""
+EXTRA["stream_active_sessions"] = SESSION_CTES
+
+SQL["stream_alert_events"] = """
+SELECT rule, window_end,
+       CASE WHEN previous_level = 'ok' THEN 'raised' WHEN level = 'ok' THEN 'cleared' ELSE 'changed' END AS event,
+       level, previous_level, value
+FROM (SELECT *, COALESCE(lag(level) OVER (PARTITION BY rule ORDER BY window_end), 'ok') AS previous_level
+      FROM levels) l WHERE level <> previous_level"""
+EXTRA["stream_alert_events"] = [f"""sliding AS (
+  SELECT window_start + INTERVAL 1 HOUR AS window_end, count(*) AS requests,
+         count(*) FILTER (WHERE NOT COALESCE(success, true)) AS errors,
+         count(*) FILTER (WHERE event_type = 'safety_block') AS blocks,
+         count(*) FILTER (WHERE latency_ms > 5000) AS slow, count(latency_ms) AS timed,
+         count(*) FILTER (WHERE action = 'fraud_report') AS fraud
+  FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, timestamp) - to_minutes(CAST(k * 5 AS BIGINT)) AS window_start
+        FROM audit, range(0, 12) t(k)) w
+  GROUP BY 1 HAVING window_end <= {WATERMARK_AT})""",
+    """rules AS (
+  SELECT window_end, 'error_rate' AS rule, round(CAST(errors AS DOUBLE) / requests, 6) AS value FROM sliding
+  UNION ALL SELECT window_end, 'block_rate', round(CAST(blocks AS DOUBLE) / requests, 6) FROM sliding
+  UNION ALL SELECT window_end, 'latency_p95',
+                   COALESCE(round(CAST(slow AS DOUBLE) / nullif(timed, 0), 6), 0) FROM sliding
+  UNION ALL SELECT window_end, 'fraud_spike', CAST(fraud AS DOUBLE) FROM sliding)""",
+    """levels AS (
+  SELECT *, CASE WHEN rule = 'error_rate' AND value > 0.10 OR rule = 'fraud_spike' AND value > 10 THEN 'critical'
+                 WHEN rule = 'error_rate' AND value > 0.05 OR rule = 'block_rate' AND value > 0.20
+                   OR rule = 'latency_p95' AND value > 0.05 THEN 'warning' ELSE 'ok' END AS level
+  FROM rules)"""]
+
+
 SQL["compliance_sink"] = ("SELECT framework, timestamp, event_type, user_id, event_id, "
                           "CAST(timestamp AS DATE) AS event_date FROM ("
                           + "\nUNION ALL\n".join(UNIFIED_PARTS[1:])
