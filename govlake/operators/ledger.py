@@ -12,6 +12,7 @@ from .. import schemas as S
 from ..functions.joins import join_null_safe
 from ..functions.text import normalise_role, signed_amount
 from ..plans import dimensions as D
+from ..session import materialize
 from .access import txn_lookback
 
 
@@ -102,16 +103,9 @@ def _fold_partition(batches):
         status = np.empty(n, dtype=object)
         src_after = np.zeros(n, dtype=np.int64)
         dst_after = np.zeros(n, dtype=np.int64)
-        applied = np.ones(n, dtype=bool)     # balances may be below zero, so no value marks "none"
-        rows = zip(pdf["requester_id"].tolist(), pdf["from_account_id"].tolist(),
-                   pdf["to_account_id"].tolist(), pdf["src_cents"].tolist(),
-                   pdf["dst_cents"].tolist(), pdf["amount_cents"].tolist(),
-                   pdf["outcome"].tolist())
-        for i, (who, frm, to, s0, d0, amt, outcome) in enumerate(rows):
-            if outcome not in ("ok", "insufficient_funds"):
-                # refused by a stateless test: passes through, no balance change
-                status[i], applied[i] = outcome, False
-                continue
+        rows = zip(*(pdf[c].tolist() for c in ("requester_id", "from_account_id", "to_account_id", "src_cents",
+                                               "dst_cents", "amount_cents")))
+        for i, (who, frm, to, s0, d0, amt) in enumerate(rows):
             if who != owner:
                 owner, bal = who, {}
             s = bal.get(frm, s0)
@@ -128,42 +122,99 @@ def _fold_partition(batches):
             "requested_at": pdf["requested_at"], "requester_id": pdf["requester_id"],
             "from_account_id": pdf["from_account_id"], "to_account_id": pdf["to_account_id"],
             "amount": pdf["amount"], "status": status,
-            "src_cents_after": pd.Series(src_after, dtype="Int64").where(applied),
-            "dst_cents_after": pd.Series(dst_after, dtype="Int64").where(applied)})
+            "src_cents_after": src_after, "dst_cents_after": dst_after})
 
 
 def _cents(c: str):
     return (F.col(c) * 100).cast("bigint")
 
 
+def _owner_pieces(live: DataFrame) -> DataFrame:
+    """(requester_id, account, _day, net, out, start): the effects of a day on
+    an account if every request is accepted, the money that leaves it, and its
+    balance when the day begins."""
+    w = Window.partitionBy("requester_id", "account").orderBy("_day") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    pieces = _effects(live, []).groupBy("requester_id", "account", "_day").agg(
+        F.sum("delta").alias("net"), F.sum(F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0)).alias("out"),
+        F.max("opening").alias("opening"))
+    return pieces.withColumn("start", F.col("opening") + F.coalesce(F.sum("net").over(w), F.lit(0)))
+
+
+def _effects(live: DataFrame, cols: list[str]) -> DataFrame:
+    """Both accounts of each request with the change it makes if accepted."""
+    legs = F.array(*(F.struct(F.col(a).alias("account"), d.alias("delta"), F.col(o).alias("opening"))
+                     for a, d, o in (("from_account_id", -F.col("amount_cents"), "src_cents"),
+                                     ("to_account_id", F.col("amount_cents"), "dst_cents"))))
+    return live.select("requester_id", "_day", *cols, F.explode(legs).alias("leg")) \
+        .select("requester_id", "_day", *cols, "leg.*")
+
+
 def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """LED-4: apply transfers in request order; later requests see earlier
     balances.
 
-    Both accounts of a request that passes the stateless tests of LED-3
-    belong to the requester, so the fold is exact per owner and runs in
-    parallel across owners: hash partition by owner, sort by (owner,
-    requested_at, l_orderkey, l_linenumber, then the other fields as
-    tie-breakers) and fold each partition's stream with mapInPandas.  Rows
-    refused by a stateless test pass through with their outcome, so the
-    precheck is computed once.  One owner's requests are folded by one task
-    (the fold is sequential by nature); memory stays bounded by that owner's
-    accounts."""
-    ordered = prechecked.select(
-        "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
-        "to_account_id", "amount", "outcome",
+    Both accounts of a request that passes the stateless tests of LED-3 belong
+    to the requester, so owners are independent.  Requests are summed up per
+    account and day first.  As long as an owner's accounts can pay all that
+    leaves them on a day from what they hold when it begins, every request of
+    that day is accepted, and its balances are prefix sums: inside a day by a
+    window, across days by the summaries, in balanced tasks however many
+    requests an owner has.  From an owner's first day that may run short on,
+    requests are folded in order (REQUEST_ORDER), streamed through mapInPandas
+    with the balances of that owner's accounts in memory.  Rows refused by a
+    stateless test pass by with their outcome."""
+    cols = ["l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
+            "to_account_id", "amount"]
+    rows = prechecked.select(
+        *cols, "outcome",
         F.coalesce(_cents("src_balance"), F.lit(0)).alias("src_cents"),
         F.coalesce(_cents("dst_balance"), F.lit(0)).alias("dst_cents"),
-        F.coalesce(_cents("amount"), F.lit(0)).alias("amount_cents")) \
+        F.coalesce(_cents("amount"), F.lit(0)).alias("amount_cents"),
+        F.coalesce(F.to_date("requested_at"), F.lit("0001-01-01").cast("date")).alias("_day"))
+    # the requests with a number each (identical ones stay apart), computed once
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "requests")
+    reached = F.col("outcome").isin("ok", "insufficient_funds")
+    no_balance = F.lit(None).cast("bigint")
+    refused = rows.filter(~reached).select(*cols, F.col("outcome").alias("status"),
+                                           no_balance.alias("src_cents_after"), no_balance.alias("dst_cents_after"))
+    live = rows.filter(reached).drop("outcome")
+    pieces = materialize(_owner_pieces(live), "pieces")
+    short = pieces.filter(F.col("start") < F.col("out")).groupBy("requester_id").agg(F.min("_day").alias("_short"))
+    live = live.join(short, "requester_id", "left")
+    paid = F.col("_short").isNull() | (F.col("_day") < F.col("_short"))
+
+    # days that can pay for everything: prefix sums
+    w = Window.partitionBy("requester_id", "account", "_day").orderBy(*REQUEST_ORDER, "_row") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    legs = _effects(live.filter(paid), ["_row", *[c for c in cols if c != "requester_id"]])
+    legs = legs.withColumn("_local", F.sum("delta").over(w)) \
+        .join(pieces.select("requester_id", "account", "_day", "start"), ["requester_id", "account", "_day"]) \
+        .withColumn("after", F.col("start") + F.col("_local"))
+    accepted = legs.groupBy("_row", *cols).agg(
+        F.max(F.when(F.col("delta") < 0, F.col("after"))).alias("src_cents_after"),
+        F.max(F.when(F.col("delta") > 0, F.col("after"))).alias("dst_cents_after")) \
+        .select(*cols, F.lit("accepted").alias("status"), "src_cents_after", "dst_cents_after")
+
+    # the rest of an owner's requests in order, from the balances at that day's beginning
+    begun = pieces.join(short, "requester_id").groupBy("account").agg(
+        (F.max("opening") + F.sum(F.when(F.col("_day") < F.col("_short"), F.col("net")).otherwise(0)))
+        .alias("cents"))
+    rest = live.filter(~paid)
+    for account, cents in (("from_account_id", "src_cents"), ("to_account_id", "dst_cents")):
+        rest = rest.drop(cents).join(begun.select(F.col("account").alias(account), F.col("cents").alias(cents)),
+                                     account)
+    ordered = rest.select(*cols, "src_cents", "dst_cents", "amount_cents") \
         .repartition(*([num_partitions] if num_partitions else []), "requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
-    return ordered.mapInPandas(_fold_partition, _fold_schema()).select(
-        "l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
-        "to_account_id", "amount", "status",
-        (F.col("src_cents_after").cast("decimal(20,0)") / 100).cast(S.MONEY)
-        .alias("src_balance_after"),
-        (F.col("dst_cents_after").cast("decimal(20,0)") / 100).cast(S.MONEY)
-        .alias("dst_balance_after"))
+    folded = ordered.mapInPandas(_fold_partition, _fold_schema())
+
+    def money(c: str):
+        return (F.col(c).cast("decimal(20,0)") / 100).cast(S.MONEY)
+
+    out = refused.unionByName(accepted).unionByName(folded)
+    return out.select(*cols, "status", money("src_cents_after").alias("src_balance_after"),
+                      money("dst_cents_after").alias("dst_balance_after"))
 
 
 def final_balances(applied: DataFrame, accounts: DataFrame) -> DataFrame:

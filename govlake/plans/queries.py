@@ -149,7 +149,7 @@ def q_account_running_balance(spark, sf):
 from ..operators import audit as A  # noqa: E402
 from ..sources import audit_log as L  # noqa: E402
 from ..sources import sinks as K  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import materialize, scratch_path  # noqa: E402
 
 AUDIT_USER = "u7"
 AUDIT_ACTION = "balance"
@@ -892,6 +892,9 @@ def q_final_balances(spark, sf):
 from ..operators import alerts as AL  # noqa: E402
 from ..streaming import streams as ST  # noqa: E402
 
+#: Spans of time in which the streams over several micro-batches get their input.
+ARRIVALS = 4
+
 
 @query("alert_fraud_spike")
 def q_alert_fraud_spike(spark, sf):
@@ -986,18 +989,41 @@ def q_stream_dedup(spark, sf):
     return _scanned(out.withColumn("details", F.parse_json("details")))
 
 
-@query("stream_transfers")
-def q_stream_transfers(spark, sf):
-    """LED-4 as a stateful stream: the candidates of LED-3 arrive as files."""
+def _transfer_stream(spark, sf):
+    """LED-4 as a stateful stream: the candidates of LED-3 arrive in ARRIVALS
+    spans of time, one restart each; folder of the output and the checkpoint."""
     pre = ledger.transfer_precheck(V.transfer_requests(spark, sf), _roles(spark, sf),
                                    V.accounts(spark, sf)) \
         .filter(F.col("outcome").isin("ok", "insufficient_funds")) \
         .select("l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
-                "to_account_id", "amount", "src_balance", "dst_balance")
-    src = scratch_path(spark, "transfer-requests")
-    pre.write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(pre.schema).parquet(src)
-    return _stream_run(spark, "transfers", ST.transfers(stream), state_store=ST.ROCKSDB)
+                "to_account_id", "amount")
+    pre = materialize(pre, "transfer-candidates")
+    base = scratch_path(spark, "transfers")
+    lo, hi = pre.agg(F.min("requested_at"), F.max("requested_at")).first()
+    step = (hi - lo) / ARRIVALS if lo else None
+    for n in range(ARRIVALS):
+        at = F.col("requested_at")
+        span = F.lit(True) if step is None else (
+            (at < F.lit(lo + step) if n == 0 else at >= F.lit(lo + n * step))
+            & (F.lit(True) if n in (0, ARRIVALS - 1) else at < F.lit(lo + (n + 1) * step)))
+        pre.filter(span).write.mode("append").parquet(base + "/requests")
+        stream = spark.readStream.schema(pre.schema).parquet(base + "/requests")
+        ST.run_available_now(ST.transfers(stream, V.accounts(spark, sf)), base + "/out", base + "/checkpoint",
+                             state_store=ST.ROCKSDB)
+    return base
+
+
+@query("stream_transfers")
+def q_stream_transfers(spark, sf):
+    return spark.read.parquet(_transfer_stream(spark, sf) + "/out")
+
+
+@query("stream_final_balances")
+def q_stream_final_balances(spark, sf):
+    """Closing balances of all accounts, read back from the stream's state."""
+    state = ST.balances_in_state(spark, _transfer_stream(spark, sf) + "/checkpoint")
+    return V.accounts(spark, sf).select("account_id", "user_id", F.col("balance").alias("opening_balance")) \
+        .join(state.select("account_id", F.col("balance").alias("closing_balance")), "account_id", "left")
 
 
 @query("stream_backlog")
@@ -1093,7 +1119,6 @@ from ..streaming import alert_events as AE  # noqa: E402
 from ..streaming import late as LT  # noqa: E402
 from ..streaming import sessions as SS  # noqa: E402
 
-ARRIVALS = 4
 LATE_EVERY = 17
 
 

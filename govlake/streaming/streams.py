@@ -157,46 +157,62 @@ TRANSFER_OUT = ("l_orderkey long, l_linenumber int, requester_id string, "
 
 
 class TransferFold(StatefulProcessor):
-    """Balances of one owner's accounts as map state (cents); each batch of
-    the owner's requests is applied in request order."""
+    """Balances of one owner's accounts as map state (cents), loaded from the
+    accounts before the first request.  The requests of a micro-batch are
+    applied in request order, micro-batches as they come; chunks of a batch are
+    read one by one into plain tuples, so a task holds one owner's requests of
+    one micro-batch (bounded by the source's files per trigger)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.balances = handle.getMapState("balances", "account_id string", "cents long")
 
-    def _get(self, acc, opening):
-        if self.balances.containsKey((acc,)):
-            return self.balances.getValue((acc,))[0]
-        return int(round(decimal.Decimal(opening) * 100))
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for account, cents in zip(initialState["account_id"].tolist(), initialState["cents"].tolist()):
+            self.balances.updateValue((account,), (int(cents),))
+
+    def _get(self, account: str) -> int:
+        return self.balances.getValue((account,))[0] if self.balances.containsKey((account,)) else 0
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(["requested_at", "l_orderkey", "l_linenumber", "from_account_id",
-                               "to_account_id", "amount"], kind="stable")
+        cols = ["requested_at", "l_orderkey", "l_linenumber", "from_account_id", "to_account_id", "amount"]
+        requests = sorted(r for chunk in rows for r in zip(*(chunk[c].tolist() for c in cols)))
+        held: dict[str, int] = {}
         out = []
-        for r in pdf.itertuples(index=False):
-            s = self._get(r.from_account_id, r.src_balance)
-            d = self._get(r.to_account_id, r.dst_balance)
-            amt = int(round(decimal.Decimal(r.amount) * 100))
-            if s >= amt:
-                s, d, status = s - amt, d + amt, "accepted"
-            else:
-                status = "insufficient_funds"
-            self.balances.updateValue((r.from_account_id,), (s,))
-            self.balances.updateValue((r.to_account_id,), (d,))
-            out.append((r.l_orderkey, r.l_linenumber, r.requester_id, r.from_account_id,
-                        r.to_account_id, r.amount, status,
+        for _, order, line, source, target, amount in requests:
+            s, d = (held[a] if a in held else self._get(a) for a in (source, target))
+            cents = int(round(decimal.Decimal(amount) * 100))
+            status = "accepted" if s >= cents else "insufficient_funds"
+            if s >= cents:
+                s, d = s - cents, d + cents
+            held[source], held[target] = s, d
+            out.append((order, line, key[0], source, target, amount, status,
                         decimal.Decimal(s).scaleb(-2), decimal.Decimal(d).scaleb(-2)))
+        for account, cents in held.items():
+            self.balances.updateValue((account,), (cents,))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in TRANSFER_OUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def transfers(candidates: DataFrame) -> DataFrame:
-    """STR-10: the transfer fold of LED-4 keyed by owner, with state kept by
-    the RocksDB state store between micro-batches."""
+def transfers(candidates: DataFrame, accounts: DataFrame) -> DataFrame:
+    """STR-10: the transfer fold of LED-4 keyed by owner.  ``accounts``
+    (account_id, user_id, balance) are the initial state; from then on the
+    RocksDB state store keeps the balances between micro-batches."""
+    opening = accounts.select(F.col("user_id").alias("requester_id"), "account_id",
+                              (F.col("balance") * 100).cast("bigint").alias("cents"))
     return candidates.groupBy("requester_id").transformWithStateInPandas(
-        TransferFold(), TRANSFER_OUT, "Append", "None")
+        TransferFold(), TRANSFER_OUT, "Append", "None",
+        initialState=opening.groupBy("requester_id"))
+
+
+def balances_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The balances a transfer stream holds, read from its state store."""
+    state = spark.read.format("statestore").option("stateVarName", "balances").load(checkpoint)
+    return state.select(F.col("key.requester_id").alias("user_id"),
+                        F.col("user_map_key.account_id").alias("account_id"),
+                        (F.col("user_map_value.cents").cast("decimal(20,0)") / 100)
+                        .cast("decimal(18,2)").alias("balance"))
 
 
 # --- STR-11: the ticket table kept current from events -------------------------

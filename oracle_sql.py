@@ -378,6 +378,8 @@ SELECT l_orderkey, l_linenumber, requester_id, from_account_id, to_account_id, a
        CASE WHEN accepted THEN 'accepted' ELSE 'insufficient_funds' END AS status,
        sa AS src_balance_after, da AS dst_balance_after FROM fold"""
 EXTRA["stream_transfers"] = [ROLES, *FOLD_CTES]
+SQL["stream_final_balances"] = SQL["final_balances"]
+EXTRA["stream_final_balances"] = EXTRA["final_balances"]
 
 TID = ("substr(sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
        "CAST(requested_at AS VARCHAR), from_account_id, to_account_id, CAST(amount AS VARCHAR))), 1, 32)")
