@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ts_ntz
 
 from .. import schemas as S
+from ..functions.joins import join_null_safe
 from ..functions.quantiles import exact_percentiles
 from ..functions.sessions import sessionize
 
@@ -48,6 +49,55 @@ def latency_percentiles(events: DataFrame) -> DataFrame:
                              [0.5, 0.95, 0.99], digits=4)
 
 
+#: Accuracy of the latency sketches, and the rank error it keeps (one side).
+SKETCH_K = 800
+SKETCH_RANK_ERROR = 0.01
+SKETCH_PS = (0.5, 0.95, 0.99)
+PERIODS = ("day", "week", "month")
+
+
+def latency_sketches(events: DataFrame) -> DataFrame:
+    """MET-1 for large data: one KLL sketch of the latencies per (day, stage),
+    a few kilobytes each.  Stored, they answer for any longer period by merging;
+    a new day is added without reading an older event."""
+    e = events.filter(F.col("latency_ms").isNotNull()).select(
+        F.to_date("timestamp").alias("day"), stage().alias("stage"), F.col("latency_ms").cast("double").alias("ms"))
+    return e.groupBy("day", "stage").agg(F.kll_sketch_agg_double("ms", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def merged_percentiles(sketches: DataFrame, periods=PERIODS) -> DataFrame:
+    """(period, start, stage, n, p50_ms, p95_ms, p99_ms) from sketches alone."""
+    spans = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.to_date(F.date_trunc(p, "day")).alias("start"))
+                                for p in periods]))
+    merged = sketches.select(spans.alias("s"), "stage", "sketch").groupBy("s.period", "s.start", "stage") \
+        .agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+    return merged.select("period", "start", "stage", F.kll_sketch_get_n_double("sketch").alias("n"), *[
+        F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(f"p{round(100 * p)}_ms") for p in SKETCH_PS])
+
+
+def sketch_rank_errors(percentiles: DataFrame, events: DataFrame) -> DataFrame:
+    """Each percentile's true ranks (the shares of events below and up to it)
+    against SKETCH_RANK_ERROR; equal latencies are counted first."""
+    days = events.filter(F.col("latency_ms").isNotNull()).groupBy(
+        F.to_date("timestamp").alias("day"), stage().alias("stage"), F.col("latency_ms").cast("double").alias("ms")) \
+        .agg(F.count("*").alias("k"))
+    out = None
+    for period in PERIODS:
+        asked = percentiles.filter(F.col("period") == period)
+        values = days.withColumn("start", F.to_date(F.date_trunc(period, "day")))
+        met = join_null_safe(values, asked, ["start", "stage"])
+        checks = []
+        for p in SKETCH_PS:
+            name = f"p{round(100 * p)}"
+            below = F.sum(F.when(F.col("ms") < F.col(f"{name}_ms"), F.col("k")).otherwise(0)) / F.sum("k")
+            upto = F.sum(F.when(F.col("ms") <= F.col(f"{name}_ms"), F.col("k")).otherwise(0)) / F.sum("k")
+            checks.append(((below <= p + SKETCH_RANK_ERROR) & (upto >= p - SKETCH_RANK_ERROR)).alias(f"{name}_within"))
+        part = met.groupBy(F.lit(period).alias("period"), "start", "stage").agg(
+            F.sum("k").alias("n_events"), F.max("n").alias("n_sketch"), *checks)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def request_volume(events: DataFrame) -> DataFrame:
     """MET-2: requests per minute, hour and day in one pass (each event is
     expanded into its three buckets before one aggregation)."""

@@ -229,7 +229,27 @@ def q_audit_compact(spark, sf):
 
 @query("audit_by_date")
 def q_audit_by_date(spark, sf):
-    return L.by_date(V.audit(spark, sf))
+    """The newest day of the log as SNK-1 wrote it; the other days stay closed."""
+    ev = L.read_audit_day(spark, _audit_jsonl(spark, sf))
+    return _scanned(ev)
+
+
+#: Lines planted among the events of the log: every so many of each kind.
+BAD_LINES = {0: "   ", 1: '{"timestamp": ', 2: "[1, 2]", 3: "not a record"}
+
+
+@query("audit_line_counts")
+def q_audit_line_counts(spark, sf):
+    """What the scan of a log with planted bad lines keeps and drops, counted
+    in the pass that stores its events."""
+    path = _audit_jsonl(spark, sf)
+    bad = F.create_map(*[F.lit(x) for kv in BAD_LINES.items() for x in kv])
+    a = V.audit(spark, sf).filter(F.col("event_id") % 20 < len(BAD_LINES))
+    a.select(bad[(F.col("event_id") % 20).cast("int")].alias("value")).write.mode("append").text(path + "/bad")
+    events, counts = L.read_counted(spark, path)
+    materialize(events.drop("details"), "ingested")
+    return spark.createDataFrame([counts.read()], "n_lines bigint, n_kept bigint, n_blank bigint, "
+                                                  "n_not_json bigint, n_not_object bigint")
 
 
 @query("field_truncation")
@@ -782,6 +802,22 @@ def q_latency_percentiles(spark, sf):
     return M.latency_percentiles(V.audit(spark, sf))
 
 
+def _sketches(spark, sf):
+    return materialize(M.latency_sketches(V.audit(spark, sf)), "latency-sketches")
+
+
+@query("latency_sketch_percentiles")
+def q_latency_sketch_percentiles(spark, sf):
+    """MET-1 by day, week and month from stored sketches alone."""
+    return M.merged_percentiles(_sketches(spark, sf))
+
+
+@query("latency_sketch_error")
+def q_latency_sketch_error(spark, sf):
+    """Whether each of them lies within the sketch's bound, against the events."""
+    return M.sketch_rank_errors(M.merged_percentiles(_sketches(spark, sf)), V.audit(spark, sf))
+
+
 @query("request_volume")
 def q_request_volume(spark, sf):
     return M.request_volume(V.audit(spark, sf))

