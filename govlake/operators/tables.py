@@ -206,7 +206,8 @@ def write_tiers(frame: DataFrame, ts_col: str, as_of, path: str) -> str:
     each tier can sit in its own storage class.  A day has the tier of its first
     moment; rows without a time stay hot (their age is unknown), expired ones
     are not written.  The days of ``frame`` replace what is stored for them, so
-    a repeated run gives the same table; ``move_tiers`` first if time has passed."""
+    a repeated run gives the same table; a day stored in another tier at an
+    earlier ``as_of`` leaves it."""
     day = F.to_date(ts_col)
     tier = F.when(day.isNull(), "hot").otherwise(retention_tier("_start", as_of))
     frame.withColumn("_start", day.cast("timestamp_ntz")) \
@@ -214,9 +215,42 @@ def write_tiers(frame: DataFrame, ts_col: str, as_of, path: str) -> str:
         .filter("tier <> 'expired'").hint("rebalance", "tier", "event_date") \
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("tier", "event_date").parquet(path)
+    _leave_former_tiers(frame.sparkSession, path, as_of)
     return path
 
 
+def _tier_of(day: str, as_of) -> str:
+    age = dt.datetime.fromisoformat(str(as_of)) - dt.datetime.fromisoformat(day)
+    return next((t for t, n in S.RETENTION_DAYS if age <= dt.timedelta(days=n)), "expired")
+
+
+def _day_folders(spark, path: str) -> dict[str, list[tuple[str, object]]]:
+    """The folders of every stored day (at most seven years of them): day ->
+    (tier, folder)."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days: dict[str, list[tuple[str, object]]] = {}
+    for name, _ in S.RETENTION_DAYS:
+        folder = jvm.Path(root, f"tier={name}")
+        for s in fs.listStatus(folder) if fs.exists(folder) else []:
+            value = s.getPath().getName().removeprefix("event_date=")
+            if value != "__HIVE_DEFAULT_PARTITION__":
+                days.setdefault(value, []).append((name, s.getPath()))
+    return days
+
+
+def _leave_former_tiers(spark, path: str, as_of) -> None:
+    """A day in two tiers was written again: the tier it has now holds it."""
+    for day, stored in _day_folders(spark, path).items():
+        tier = _tier_of(day, as_of)
+        if len(stored) > 1 and any(name == tier for name, _ in stored):
+            for name, folder in stored:
+                if name != tier and not folder.getFileSystem(
+                        spark._jsc.hadoopConfiguration()).delete(folder, True):
+                    raise OSError(f"could not delete {folder}")
+
+
 def move_tiers(spark, path: str, as_of) -> list[tuple[str, str, str]]:
     """SNK-6, the mover: day folders of ``write_tiers`` are renamed into the
     tier they have reached by ``as_of``, expired ones deleted; no row is read.
@@ -225,17 +259,10 @@ def move_tiers(spark, path: str, as_of) -> list[tuple[str, str, str]]:
     jvm = spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    now = dt.datetime.fromisoformat(str(as_of))
     moved = []
-    for name, _ in S.RETENTION_DAYS:
-        folder = jvm.Path(root, f"tier={name}")
-        days = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        for day in days:
-            value = day.getName().removeprefix("event_date=")
-            if value == "__HIVE_DEFAULT_PARTITION__":
-                continue
-            age = now - dt.datetime.fromisoformat(value)
-            tier = next((t for t, n in S.RETENTION_DAYS if age <= dt.timedelta(days=n)), "expired")
+    for value, stored in _day_folders(spark, path).items():
+        for name, day in stored:
+            tier = _tier_of(value, as_of)
             if tier == name:
                 continue
             if tier == "expired":

@@ -13,7 +13,7 @@ from __future__ import annotations
 import decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -222,38 +222,75 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Buckets of ids in the ticket index and among waiting resolutions.
+TICKET_BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(TICKET_BUCKETS)).cast("int")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _values(df: DataFrame, col: str) -> list:
+    """The distinct values of a column with a fixed number of them (buckets, days)."""
+    return sorted(df.agg(F.collect_set(col)).first()[0])
+
+
+def waiting_resolutions(spark: SparkSession, table_path: str) -> DataFrame:
+    """Resolutions whose ticket has not come yet: id, r_at, r_by, r_seq."""
+    path = f"{table_path.rstrip('/')}_waiting"
+    schema = "id string, r_at timestamp_ntz, r_by string, r_seq bigint, bucket int"
+    found = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return found.filter(F.col("id").isNotNull())
+
+
 def merge_ticket_batch(table_path: str):
-    """foreachBatch function: apply create and resolve events of one batch
-    to the ticket table (Parquet partitioned by created day), rewriting only
-    the days the batch touches (dynamic partition overwrite).  The table keeps
-    the time and order of the resolution that counts, so events may come in any
-    order and any split into batches; a resolution that comes before its ticket
-    waits for it.  Replaying a batch gives the same table."""
+    """foreachBatch function: apply create and resolve events of one batch to
+    the ticket table (Parquet partitioned by created day).
+
+    Beside the table stand an index (id -> created day) and the resolutions
+    that came before their ticket, both in TICKET_BUCKETS folders of ids.  A
+    batch reads the index and waiting buckets of its own ids, then only the
+    days those tickets lie in (literal partition filters), and rewrites those
+    folders (dynamic partition overwrite).  The table keeps the time and order
+    of the resolution that counts, so events may come in any order and any
+    split into batches.  The table is replaced first, then the index, then what
+    waits; each step gives the same result when a batch is replayed.  Staged
+    rows are removed at the end."""
+    base = table_path.rstrip("/")
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
+        stage = f"{base}_staging/batch={batch_id}"
         creates = batch.filter(F.col("kind") == "create").select(
             "id", "user_id", "input_text", "agent_reasoning", "confidence", "created_at",
             F.lit("pending").alias("status"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
             F.lit(None).cast("bigint").alias("resolved_seq"),
-            F.lit(None).cast("string").alias("resolved_by"))
+            F.lit(None).cast("string").alias("resolved_by"),
+            F.to_date("created_at").alias("created_day"))
         resolves = batch.filter(F.col("kind") == "resolve").select(
             "id", F.col("event_time_ntz").alias("r_at"), F.col("actor").alias("r_by"),
             F.col("seq").alias("r_seq"))
-        # resolutions that came before their ticket wait beside the table
-        waiting = f"{table_path.rstrip('/')}_waiting/batch="
-        if batch_id > 0 and _exists(spark, f"{waiting}{batch_id - 1}"):
-            resolves = resolves.unionByName(spark.read.schema(resolves.schema)
-                                            .parquet(f"{waiting}{batch_id - 1}"))
+        buckets = _values(batch.select(_bucket().alias("bucket")), "bucket")
+        resolves = resolves.unionByName(waiting_resolutions(spark, base).filter(F.col("bucket").isin(buckets))
+                                        .drop("bucket")).distinct()
+        index = f"{base}_index"
+        known = spark.read.schema("id string, created_day date, bucket int").parquet(index) \
+            if _exists(spark, index) else spark.createDataFrame([], "id string, created_day date, bucket int")
+        known = known.filter(F.col("bucket").isin(buckets)).select("id", "created_day")
+        days = _values(known.join(batch.select("id").distinct(), "id", "left_semi").select("created_day")
+                       .unionByName(creates.select("created_day")), "created_day")
         # only a missing table is an empty one; any other read error fails the batch
-        none = creates.limit(0).withColumn("created_day", F.to_date("created_at"))
-        current = spark.read.schema(none.schema).parquet(table_path) if _exists(spark, table_path) else none
-        days = creates.select(F.to_date("created_at").alias("created_day")).unionByName(
-            current.join(resolves.select("id"), "id", "left_semi").select("created_day")).distinct()
+        current = spark.read.schema(creates.schema).parquet(base) if _exists(spark, base) else creates.limit(0)
+        current = current.filter(F.col("created_day").isin(days))
         # a create for a ticket already in the table is a replayed batch: keep
         # the table's row
-        fresh = creates.join(current.select("id"), "id", "left_anti")
-        touched = current.join(days, "created_day", "left_semi").drop("created_day") \
-            .unionByName(fresh)
+        touched = current.unionByName(creates.join(current.select("id"), "id", "left_anti"))
         # the latest resolution wins (time, then event order), as in ESC-3,
         # also against one of an earlier batch
         last = resolves.groupBy("id").agg(F.max(F.struct(
@@ -265,14 +302,22 @@ def merge_ticket_batch(table_path: str):
             "id", "user_id", "input_text", "agent_reasoning", "confidence", "created_at",
             F.when(F.col("r").isNotNull(), "resolved").otherwise(F.col("status")).alias("status"),
             F.col("r.at").alias("resolved_at"), F.col("r.seq").alias("resolved_seq"),
-            F.col("r.by").alias("resolved_by"), F.to_date("created_at").alias("created_day"))
-        known = current.select("id").union(creates.select("id"))
-        resolves.join(known, "id", "left_anti").write.mode("overwrite").parquet(f"{waiting}{batch_id}")
-        # Stage the merged days first: the target's own files are inputs of
-        # this batch, so they are only replaced after the result is written.
-        stage = f"{table_path.rstrip('/')}_staging/batch={batch_id}"
-        merged.write.mode("overwrite").parquet(stage)
-        spark.read.parquet(stage).write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("created_day") \
-            .parquet(table_path)
+            F.col("r.by").alias("resolved_by"), "created_day")
+        entries = known.unionByName(creates.select("id", "created_day")).distinct()
+        waits = resolves.join(entries.select("id").distinct(), "id", "left_anti")
+        # a row without an id keeps the folder of a bucket that has none left
+        empty = batch.select(_bucket().alias("bucket")).distinct().select(
+            F.lit(None).cast("string").alias("id"), F.lit(None).cast("timestamp_ntz").alias("r_at"),
+            F.lit(None).cast("string").alias("r_by"), F.lit(None).cast("bigint").alias("r_seq"), "bucket")
+        # the folders replaced below are inputs of this batch: stage first
+        staged = [(base, "created_day", merged),
+                  (index, "bucket", entries.withColumn("bucket", _bucket())),
+                  (f"{base}_waiting", "bucket", waits.withColumn("bucket", _bucket()).unionByName(empty))]
+        for n, (_, _, rows) in enumerate(staged):
+            rows.write.mode("overwrite").parquet(f"{stage}/{n}")
+        for n, (path, by, rows) in enumerate(staged):
+            spark.read.schema(rows.schema).parquet(f"{stage}/{n}").write.mode("overwrite") \
+                .option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        _remove(spark, stage)
+        batch.unpersist()
     return apply
