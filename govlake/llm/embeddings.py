@@ -2,18 +2,20 @@
 
 Identical unit vectors are one node with a weight, so copies take no place.
 Each pass draws random hyperplanes, concatenates the sign bits of a node's
-vector into a key and orders the nodes by it; all nodes of equal key are
-compared with each other, however many they are: up to BLOCK are one task's
-work, more are dealt into blocks and each pair of blocks is a task.  A task
-sends on one link per node to the smallest node it is joined with there, never
-pairs.  The links of all passes are joined into components.
-
-Two vectors at an angle of a share a key of b bits with probability
-(1 - a / pi)^b, so ``passes_for`` derives bits and passes from the number of
-nodes such that a pair exactly at the threshold meets in no pass with
-probability at most MISS, whatever the table's size or shape.  Where comparing
-all nodes is no dearer than the passes, there are 0 bits and one pass, which is
-exact.
+vector into a key and orders all nodes by it.  The order is cut into runs of
+RUN nodes; a run is compared with itself and with the first WINDOW nodes of the
+next one, so any two nodes at most WINDOW places apart are compared.  Keys are
+sorted without vectors; a run gets them in single precision, pairs too near the
+threshold for that are checked again in double precision.  A run sends on one
+link per node to the smallest node it is joined with there, never all pairs.
+The links of all passes are joined into components.
+
+Two vectors at an angle of a share the first b bits of a key with probability
+(1 - a / pi)^b, and nodes that share log2(n / WINDOW) bits are about WINDOW
+places apart.  ``passes_for`` derives from that how many passes leave a pair
+exactly at the threshold apart with probability MISS at most.  They run in
+rounds of half as many; rounds go on until one of them joins nothing that was
+apart, so crowded directions get more passes than the estimate.
 
 The link counts of a component are completed exactly, block against block
 (``_complete``); only per-vector counts leave a task.
@@ -30,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from govlake.functions.ranking import range_row_numbers
 from govlake.llm.graph import components
-from govlake.session import materialize
+from govlake.session import drop_scratch, materialize
 
 #: Chance at which a pair exactly at the threshold may meet in no pass.
 MISS = 1e-4
-#: Most sign bits of a key.
+#: Sign bits of a key.
 BITS = 62
-#: Vectors of a block: groups of equal key and components are compared block by block.
+#: Nodes of a run of the order, and of the next run that it is compared with.
+RUN, WINDOW = 1024, 256
+#: Vectors of a block of a component.
 BLOCK = 4096
 #: Rows of one matrix product inside a block.
 SLAB = 512
@@ -79,40 +84,31 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return src.mapInArrow(run, f"id {kind}, vec binary")
 
 
-def passes_for(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits, passes) for ``n`` nodes: the passes that bits need for ``miss``,
-    at the bits for which the fewest copies of a row are shuffled (passes times
-    the blocks of an average group)."""
+def passes_for(n: int, threshold: float, miss: float = MISS) -> int:
+    """The passes after which two of ``n`` nodes at the threshold have met in a
+    window but for a chance of ``miss``."""
     agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    best = None
-    for bits in range(BITS + 1):
-        meet = agree ** bits
-        if meet == 0:
-            break
-        passes = 1 if meet == 1 else math.ceil(math.log(miss) / math.log1p(-meet))
-        copies = passes * math.ceil(max(n, 1) / 2 ** bits / BLOCK)
-        if best is None or copies < best[0]:
-            best = copies, bits, passes
-    return best[1], best[2]
+    meet = agree ** max(0.0, math.log2(max(n, 1) / WINDOW))
+    return 1 if meet >= 1 else math.ceil(math.log(miss) / math.log1p(-meet))
 
 
-def _keys(nodes: DataFrame, bits: int, passes: int) -> DataFrame:
-    """(pass, key, v, vec): the signs of ``bits`` random projections."""
+def _keys(nodes: DataFrame, first: int, passes: int) -> DataFrame:
+    """(pass, key, v): the signs of BITS random projections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = _matrix(b.column("vec").to_pylist())
-            for p in range(passes):
+            for p in range(first, first + passes):
                 # row by row from a fixed seed: a plane's value does not depend on the width
-                planes = np.random.default_rng(1000 + p).standard_normal((x.shape[1], bits))
-                key = ((x @ planes > 0) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(1)
+                planes = np.random.default_rng(1000 + p).standard_normal((x.shape[1], BITS))
+                key = ((x @ planes > 0) << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(key.astype(np.int64)),
-                     b.column("v"), b.column("vec")], names=["pass", "key", "v", "vec"])
+                    [pa.array(np.full(len(x), p, dtype=np.int32)), pa.array(key.astype(np.int64)), b.column("v")],
+                    names=["pass", "key", "v"])
 
-    return nodes.select("v", "vec").mapInArrow(run, "pass int, key bigint, v binary, vec binary")
+    return nodes.select("v", "vec").mapInArrow(run, "pass int, key bigint, v binary")
 
 
 def _matrix(vecs: pd.Series | list[bytes]) -> np.ndarray:
@@ -128,6 +124,7 @@ def _dealt(rows: DataFrame, group: list[str]) -> DataFrame:
     take part in: adds ``block``, ``lo`` and ``hi``, the pair's blocks."""
     large = (rows.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
              .withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).drop("_n"))
+    large = materialize(large, "large")         # one row per BLOCK rows at most, of a known size from here
     placed = (rows.join(large, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
               .withColumn("block", F.pmod(F.xxhash64("v"), F.col("_blocks")).cast("int")))
     # block i meets every block j: the row goes to (i, j) or (j, i), the smaller first
@@ -151,20 +148,106 @@ def _joined(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float
     return label
 
 
-def _neighbours(keys: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): each node of a group of equal key with the smallest one it is
-    joined with by verified links inside the group."""
+def _single(nodes: DataFrame) -> DataFrame:
+    """(v, near): the vectors in single precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [np.frombuffer(x, "<f8").astype("<f4").tobytes() for x in b.column("vec").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(near, pa.binary())], names=["v", "near"])
+
+    return nodes.select("v", "vec").mapInArrow(run, "v binary, near binary")
+
+
+def _windows(keys: DataFrame, single: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sure): inside each window of the order, each node with the
+    smallest one it is joined with (sure), and the pairs that single precision
+    cannot tell from the threshold."""
+    ranked = range_row_numbers(keys, ["pass"], [F.col("key"), F.col("v")], out="rank")
+    place = F.col("rank") - 1
+    run_of = F.floor(place / RUN).cast("bigint")
+    met = F.when((place % RUN < WINDOW) & (run_of > 0), F.array(run_of, run_of - 1)).otherwise(F.array(run_of))
+    rows = ranked.select("v", "pass", run_of.alias("own"), F.explode(met).alias("run")).join(single, "v")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("v")
+        vecs = t["near"].to_pylist()
+        width = max(map(len, vecs)) // 4
+        x = np.zeros((len(vecs), width), dtype=np.float32)
+        for i, v in enumerate(vecs):
+            x[i, :len(v) // 4] = np.frombuffer(v, "<f4")
+        margin = 1e-7 * (8 + width)
+        left = np.flatnonzero(t["own"].to_numpy() == t["run"][0].as_py())
+        right = np.arange(len(x))
+        label, close = _joined(x, left, right, threshold + margin, threshold - margin)
+        far = np.flatnonzero(label != right)
+        a = np.concatenate([label[far], close[0]]).astype(np.int64)
+        b = np.concatenate([far, close[1]]).astype(np.int64)
+        sure = np.arange(len(a)) < len(far)
+        return pa.table({"a": t["v"].take(pa.array(a)), "b": t["v"].take(pa.array(b)), "sure": pa.array(sure)})
+
+    return rows.groupBy("pass", "run").applyInArrow(compare, "a binary, b binary, sure boolean").distinct()
+
+
+def _joined(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float,
+            doubt: float) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The smallest row each row is joined with through links between rows of
+    ``left`` and rows of ``right``; and the pairs between ``doubt`` and the
+    threshold whose rows are not joined that way."""
+    label = np.arange(len(x))
+    doubtful: list[tuple[np.ndarray, np.ndarray]] = []
+    for s in range(0, len(left), SLAB):
+        rows = left[s:s + SLAB]
+        score = x[rows] @ x[right].T
+        hits = score >= threshold
+        for i in np.flatnonzero(hits.sum(1) > 1):        # a row hits itself
+            seen = label[np.append(right[hits[i]], rows[i])]
+            low = seen.min()
+            if (seen != low).any():
+                label[np.isin(label, seen)] = low
+        i, j = np.nonzero((score >= doubt) & ~hits)
+        doubtful.append((rows[i], right[j]))
+    a, b = (np.concatenate(p) if doubtful else np.zeros(0, dtype=np.int64) for p in zip(*doubtful))
+    apart = (a != b) & (label[a] != label[b])
+    return label, (a[apart], b[apart])
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("v")
-        block, ids = g["block"].to_numpy(), g["v"].to_numpy()
-        left, right = (np.flatnonzero(block == g[c].iloc[0]) for c in ("lo", "hi"))
-        label = _joined(_matrix(g["vec"]), left, right, threshold)
-        far = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": ids[label[far]], "b": ids[far]})
 
-    return (_dealt(keys, ["pass", "key"]).groupBy("pass", "key", "lo", "hi")
-            .applyInPandas(compare, "a binary, b binary").distinct())
+def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) at the threshold or above in double precision."""
+    vec = nodes.select("v", "vec")
+    both = (pairs.join(vec.select(F.col("v").alias("a"), F.col("vec").alias("va")), "a")
+            .join(vec.select(F.col("v").alias("b"), F.col("vec").alias("vb")), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [float(np.dot(*_matrix([x, y]))) >= threshold
+                    for x, y in zip(b.column("va").to_pylist(), b.column("vb").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")],
+                                             names=["a", "b"])
+
+    return both.select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary")
+
+
+def _links(nodes: DataFrame, n: int, threshold: float, miss: float, known: DataFrame) -> DataFrame:
+    """(id, component) after rounds of passes, ``known`` links included."""
+    single = materialize(_single(nodes), "single")
+    size = -(-passes_for(n, threshold, miss) // 2)
+    links, comp, first = materialize(known, "same-id"), None, 0
+    while True:
+        found = materialize(_windows(_keys(nodes, first, size), single, threshold), "windows")
+        new = found.filter("sure").select("a", "b").union(_verified(found.filter("not sure"), nodes, threshold))
+        if comp is not None:
+            # only what joins two components is new
+            at = [comp.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+            new = (new.join(at[0], "a", "left").join(at[1], "b", "left")
+                   .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+        new = materialize(new, "links")
+        drop_scratch(found)
+        if comp is not None and new.isEmpty():
+            return comp
+        links = links.union(new)
+        comp = materialize(components(links), "components")
+        first += size
 
 
 def _complete(nodes: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
@@ -200,8 +283,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     component's smallest).
 
     Pairs link at a cosine of ``threshold`` or more in double precision; a pair
-    at the threshold is overlooked with probability ``miss`` at most, a closer
-    one with less, unless others join its ends.  Vectors that are null, empty,
+    at the threshold is overlooked with probability ``miss`` at most where keys
+    spread evenly (and seldom elsewhere, see the rounds above), a closer one
+    with less, unless others join its ends.  Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing; a null id
     links with nothing (component null, kept).  Rows that share an id are one
     node, and copies among them count as links.  Shorter vectors count as
@@ -210,11 +294,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     units = unit_vectors(vectors, id_col, vec_col).withColumn("v", F.unhex(F.md5("vec")))
     units = materialize(units, "units")
     nodes = materialize(units.groupBy("v").agg(F.any_value("vec").alias("vec"), F.count("*").alias("weight")), "nodes")
-    bits, passes = passes_for(nodes.count(), threshold, miss)
     same_id = units.groupBy("id").agg(F.min("v").alias("a"), F.max("v").alias("_max")).filter("a != _max")
     same_id = units.join(same_id, "id").select("a", F.col("v").alias("b"))
-    links = materialize(_neighbours(_keys(nodes, bits, passes), threshold).union(same_id), "neighbours")
-    comp = materialize(components(links), "components")
+    comp = _links(nodes, nodes.count(), threshold, miss, same_id)
     counts = _complete(nodes, comp, threshold)
     of_node = (nodes.select("v", "weight").join(comp.withColumnRenamed("id", "v"), "v", "left").join(counts, "v", "left")
                .select("v", F.coalesce("component", "v").alias("component"),
