@@ -54,18 +54,20 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
               .filter(F.col("_n") >= min_docs).drop("_n"))
     drops = (pairs.join(shared, ["h1", "h2"]).filter("_id != _holder")
              .groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_drops")))
-    out = docs.join(drops, F.col(id_col) == F.col("_id"), "left")
+    # the documents' own columns are named through "d", so none can clash with a helper
+    out = docs.alias("d").join(drops.alias("x"), F.col(f"d.`{id_col}`") == F.col("x._id"), "left")
+    text = F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))
+    gone = F.col("x._drops")
     lines = F.split(text, "\n", -1)
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return ~((F.length(key) >= min_chars) & F.array_contains(F.col("_drops"), key_hash(key)))
+        return ~((F.length(key) >= min_chars) & F.array_contains(gone, key_hash(key)))
 
     kept = F.filter(lines, stays)
     n_lines = F.size(lines).cast("bigint")
-    return out.withColumns({
-        "n_lines": n_lines,
-        "n_dropped": F.when(F.col("_drops").isNull(), F.lit(0))
-        .otherwise(n_lines - F.size(kept)).cast("bigint"),
-        "kept_text": F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(kept, "\n")),
-    }).drop("_id", "_drops")
+    new = {"n_lines": n_lines,
+           "n_dropped": F.when(gone.isNull(), F.lit(0)).otherwise(n_lines - F.size(kept)).cast("bigint"),
+           "kept_text": F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))}
+    own = [F.col(f"d.`{c}`") for c in docs.columns if c not in new]
+    return out.select(*own, *(c.alias(n) for n, c in new.items()))
