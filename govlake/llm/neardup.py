@@ -106,7 +106,7 @@ def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]
 
 def _surviving(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose signatures leave a similarity of ``threshold`` possible."""
-    sig = reps.select("id", "sig")
+    sig = reps.select("id", "sig")              # an id with several texts has several signatures
     both = (pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
             .join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb"))
     steps = least_matches(threshold)
@@ -156,7 +156,7 @@ def chunks_of_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _sketches(texts: DataFrame, k: int) -> DataFrame:
-    """id and the parity of each hash bucket of its shingles, as 64-bit words."""
+    """id, text number and the parity of each hash bucket of its shingles, as 64-bit words."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +166,12 @@ def _sketches(texts: DataFrame, k: int) -> DataFrame:
                 odd[i] = np.bincount((x % U64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
             words_ = np.packbits(odd, axis=1).view("<i8")
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), *(pa.array(np.ascontiguousarray(words_[:, j])) for j in range(SKETCH // 64))],
-                names=["id", *_SKETCH_COLUMNS])
+                [b.column("id"), b.column("t"),
+                 *(pa.array(np.ascontiguousarray(words_[:, j])) for j in range(SKETCH // 64))],
+                names=["id", "t", *_SKETCH_COLUMNS])
 
-    return texts.select("id", "text").mapInArrow(
-        run, f"id {kind}, " + ", ".join(f"{c} bigint" for c in _SKETCH_COLUMNS))
+    return texts.select("id", "t", "text").mapInArrow(
+        run, f"id {kind}, t bigint, " + ", ".join(f"{c} bigint" for c in _SKETCH_COLUMNS))
 
 
 def _crossing(members: DataFrame, comp: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -198,23 +199,23 @@ def _crossing(members: DataFrame, comp: DataFrame, texts: DataFrame, k: int, per
             for i, x in enumerate(chunks_of_sets(b.column("text"), k)):
                 at = pa.array(np.full(len(x), i))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(at), b.column("c").take(at), pa.array(x.view(np.int64)),
-                     pa.array(np.full(len(x), len(x), dtype=np.int64))], names=["id", "c", "shingle", "size"])
+                    [b.column("id").take(at), b.column("t").take(at), b.column("c").take(at), pa.array(x.view(np.int64)),
+                     pa.array(np.full(len(x), len(x), dtype=np.int64))], names=["id", "t", "c", "shingle", "size"])
 
-    sets = texts.join(open_, "id").select("id", "c", "text").mapInArrow(
-        run, f"id {kind}, c {comp_kind}, shingle bigint, size bigint")
+    sets = texts.join(open_, "id").select("id", "t", "c", "text").mapInArrow(
+        run, f"id {kind}, t bigint, c {comp_kind}, shingle bigint, size bigint")
     sets = materialize(sets, "sets")
     spread = sets.groupBy("shingle").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     # a shingle of one component only is as good as a shingle of one set
     spread = spread.withColumn("shared", (F.col("lo") != F.col("hi")).cast("int"))
-    rare_first = Window.partitionBy("id").orderBy("shared", "df", "shingle")
+    rare_first = Window.partitionBy("id", "t").orderBy("shared", "df", "shingle")
     head = (sets.join(spread, "shingle").withColumn("rank", F.row_number().over(rare_first))
             .filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
             .filter("shared = 1")
-            .select("shingle", "id", "c", "size", "rank"))
+            .select("shingle", "id", "t", "c", "size", "rank"))
     head = materialize(head, "prefixes")
     named = head.select("id").distinct()
-    head = head.join(_sketches(texts.join(named, "id", "left_semi"), k), "id").select(
+    head = head.join(_sketches(texts.join(named, "id", "left_semi"), k), ["id", "t"]).select(
         "shingle", "id", "c", "size", "rank", *_SKETCH_COLUMNS)
     x = head.toDF("shingle", "a", "ca", "sa", "ia", *(f"a_{c}" for c in _SKETCH_COLUMNS))
     y = head.toDF("shingle", "b", "cb", "sb", "ib", *(f"b_{c}" for c in _SKETCH_COLUMNS))
@@ -241,8 +242,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sigs = materialize(signatures(docs, k, id_col, text_col), "signatures")
     classes = sigs.filter("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"))
     classes = materialize(classes, "classes")
-    reps = sigs.join(classes.select(F.col("rep").alias("id"), "cls"), ["id", "cls"]).dropDuplicates(["id"])
+    reps = sigs.join(classes.select(F.col("rep").alias("id"), "cls"), ["id", "cls"]).dropDuplicates(["id", "cls"])
     reps = materialize(reps.select("id", "sig"), "reps")
+    # an id with texts of several classes joins them
+    several = (sigs.filter("cls is not null and id is not null").groupBy("id")
+               .agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("id"))
+    of_id = sigs.join(several, "id").join(classes, "cls").select("id", "rep").distinct()
+    low = of_id.groupBy("id").agg(F.min("rep").alias("a"))
+    same_id = materialize(of_id.join(low, "id").select("a", F.col("rep").alias("b")), "same-id")
     buckets = _bands(reps)
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("n > 1")
     buckets = materialize(buckets.join(shared.select("key", "low"), "key"), "buckets")
@@ -250,10 +257,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = buckets.select("key", "id")
     named = members.select("id").distinct()
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-             .join(named, "id", "left_semi").dropDuplicates(["id"]))
+             .join(named, "id", "left_semi").withColumn("t", F.xxhash64("text")).dropDuplicates(["id", "t"]))
     texts = materialize(texts, "texts")
     close = materialize(_surviving(pairs, reps, percent / 100), "pairs")
-    links = materialize(_linked(close, texts, k, percent), "linked")
+    links = materialize(_linked(close, texts, k, percent).union(same_id), "linked")
     comp = materialize(components(links), "components")
     cross = _surviving(_crossing(members, comp, texts, k, percent), reps, percent / 100)
     more = materialize(_linked(cross, texts, k, percent), "crossing")
