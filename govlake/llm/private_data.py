@@ -43,7 +43,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;=:|]+")
 _MARK = re.compile(r"[0-9@]")
 #: Formats that seed the kind "secret": a cloud access key id, long hexadecimal keys.
-_SECRET = re.compile(r"AKIA[0-9A-Z]{16}$|(?=.*[0-9])(?=.*[a-f])(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
+_SECRET = re.compile(r"AKIA[0-9A-Z]{16}$|(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$|(?=.*[0-9])(?=.*[A-F])[0-9A-F]{16,}$")
+#: Shorter candidates than this are of no kind (see _SHAPE), and the characters
+#: before a candidate in which its pattern is looked for.
+MIN_CHARS, CONTEXT = 6, 48
 #: What a candidate must look like to be taken as a kind.
 _SHAPE = {
     "email": r"^[^@]+(@|\(at\)|\[at\])[^@]+$",
@@ -110,7 +113,7 @@ _BEFORE = re.compile(r"(?:(\S+)\s+)?(\S+[=:]\s*[\"']?|\S*\s*[=:]\s*[\"']?|\S+\s+
 def pattern_of(text: str, start: int, end: int) -> str | None:
     """The lexical pattern of an occurrence: the key or the two words before
     it, lower-cased, digits as 0, and the character after it."""
-    left = text[max(0, start - 48):start]
+    left = text[max(0, start - CONTEXT):start]
     m = _BEFORE.search(left)
     if not m:
         return None
@@ -125,7 +128,7 @@ def pattern_of(text: str, start: int, end: int) -> str | None:
 
 def occurrences(text: str) -> tuple[list[tuple[int, int, str]], list[tuple]]:
     """Base spans, and (start, end, kind or None, value, pattern) of base
-    entities and of candidate tokens that overlap none."""
+    entities and of candidate tokens that overlap none (a seed also without a pattern)."""
     spans = base_spans(text)
     found: list[tuple] = []
     covered = bytearray()
@@ -145,11 +148,13 @@ def occurrences(text: str) -> tuple[list[tuple[int, int, str]], list[tuple]]:
         e = done = _TOKEN.match(text, mark.start()).end()
         while e > s and text[e - 1] in ".!?*&%$#-_/":
             e -= 1
-        if e - s < 6 or 1 in covered[s:e]:
+        if e - s < MIN_CHARS or 1 in covered[s:e]:
             continue
         value = text[s:e]
-        if p := pattern_of(text, s, e):
-            found.append((s, e, "secret" if _SECRET.match(value) else None, value, p))
+        seed = "secret" if _SECRET.match(value) else None
+        p = pattern_of(text, s, e)
+        if p or seed:
+            found.append((s, e, seed, value, p))
     return spans, found
 
 
@@ -206,9 +211,12 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_email, n_ip, n_card, n_phone (base
-    entities), ``base`` and ``spans`` ("kind:start:end,..." in code points,
-    sorted by start, then kind as in KINDS; spans holds the base ones and those
-    the learned patterns add).
+    entities), ``base``, ``spans`` ("kind:start:end,..." in code points, sorted
+    by start, then kind as in KINDS; spans holds the base ones, tokens of the
+    well-known secret formats and those the learned patterns add) and
+    ``n_discovered``, the spans that only the patterns found.  Candidates of
+    under MIN_CHARS characters are left out, and a pattern lies in the CONTEXT
+    characters before its token.
 
     A null or empty text has no spans; documents without an occurrence keep
     their base spans; repeated rows give the same result each; a null id keeps
@@ -218,17 +226,22 @@ def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # rows of one id are told apart by their spans and occurrences
     items = (scan.filter("id is not null").withColumn("row", F.xxhash64("base", "found"))
              .select("id", "row", F.explode(F.array_distinct("found")).alias("o")).select("id", "row", "o.*").distinct())
-    patterns = score_patterns(items.select("pattern", "value", "kind"))
+    patterns = score_patterns(items.filter("pattern is not null").select("pattern", "value", "kind"))
     good = patterns.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("known") >= MIN_INSTANCES)
                            ).select("pattern", F.col("kind").alias("as"))
     shape = F.lit(False)
     for kind, regex in _SHAPE.items():
         shape = shape | ((F.col("as") == kind) & F.col("value").rlike(regex))
-    added = (items.filter("kind is null or kind = 'secret'").join(good, "pattern").filter(shape)
-             .select("id", "row", "s", "e", F.col("as").alias("kind")).distinct())
+    # every seed stands, and what the trusted patterns find beside them
+    seeds = items.filter("kind = 'secret'").select("id", "row", "s", "e", "kind")
+    discovered = (items.filter("kind is null").join(good, "pattern").filter(shape)
+                  .select("id", "row", "s", "e", F.col("as").alias("kind")).distinct())
+    new = discovered.groupBy("id", "row").agg(F.count("*").alias("n"))
+    added = seeds.union(discovered)
     added = added.groupBy("id", "row").agg(F.collect_list(F.struct("s", "e", "kind")).alias("added"))
     order = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("k"))
-    out = scan.withColumn("row", F.xxhash64("base", "found")).drop("found").join(added, ["id", "row"], "left")
+    out = scan.withColumn("row", F.xxhash64("base", "found")).drop("found").join(added, ["id", "row"], "left") \
+        .join(new, ["id", "row"], "left")
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), _parse)
     extra = F.transform(F.coalesce("added", F.expr("array()").cast("array<struct<s:bigint,e:bigint,kind:string>>")),
                         lambda x: F.struct(x.s.alias("s"), _rank(x.kind).alias("k"), x.e.alias("e"),
@@ -236,7 +249,7 @@ def find_private_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = F.transform(F.array_sort(F.array_union(base, extra)),
                         lambda x: F.concat_ws(":", x.kind, x.s.cast("string"), x.e.cast("string")))
     return out.select(F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base",
-                      F.array_join(spans, ",").alias("spans"))
+                      F.array_join(spans, ",").alias("spans"), F.coalesce("n", F.lit(0)).alias("n_discovered"))
 
 
 def _rank(kind):

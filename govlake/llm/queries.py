@@ -26,7 +26,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = private_data.find_private_data(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
-                      sha256(F.col("base")).alias("base_sha256"), "spans")
+                      sha256(F.col("base")).alias("base_sha256"), "spans", "n_discovered")
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
