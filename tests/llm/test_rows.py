@@ -244,3 +244,34 @@ def test_rules_of_the_subpackage():
             assert not re.search(r"localCheckpoint|crossJoin|toPandas\(|\.rdd\b|tempfile", t), p
         else:
             assert "llm" not in re.sub(r"[\"'].*?[\"']", "", t), p
+
+
+# ---- columns that clash, ids that repeat -----------------------------------------
+
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+    schema = ("doc_id bigint, text string, lang string, source string, n_chars bigint, toxicity string, n_lines string, "
+              "kept_text string, _id string, row string, slot string")
+    extra = ("t", "l", "k", "i", "r", "s")
+    line = "a line that is long enough to be counted as one key"
+    rows = [(n, f"{line}\nown words of document number {n} and more", "en", "a", 5, *extra) for n in range(8)]
+    rows += [(1, rows[1][1], "en", "a", 5, *extra), (None, "text without an id", "en", None, 5, *extra),
+             (20, None, "en", "a", None, *extra), (21, "", "en", "b", 0, *extra)]
+    for name, table in (("rows", rows), ("empty", [])):
+        base = f"{tmp_path}/{name}"
+        spark.createDataFrame([(0, 0), (1, 0), (20, None)], "doc_id bigint, toxic int").write.parquet(f"{base}/labels.parquet")
+        spark.createDataFrame([(1, "nothing of this stands anywhere in the table at all")],
+                              "item_id bigint, text string").write.parquet(f"{base}/benchmark.parquet")
+        docs = spark.createDataFrame(table, schema)
+        for stage, step in corpus_pipeline.STAGES[:-1]:
+            out = step(spark, docs, base)
+            out.write.parquet(f"{base}/{stage}")
+            docs = spark.read.parquet(f"{base}/{stage}")
+            assert docs.dtypes == [tuple(c.split()) for c in schema.split(", ")], stage
+            assert {tuple(r[5:]) for r in docs.collect()} <= {extra}
+        mixed = corpus_pipeline.STAGES[-1][1](spark, docs, base)
+        assert mixed.count() == docs.count()
+        assert name == "rows" or docs.count() == 0
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/rows/line_dedup").collect()}
+    assert texts[7].startswith(line) and not texts[3].startswith(line)
+    assert texts[20] is None and texts[None] == "text without an id"

@@ -378,3 +378,42 @@ def test_toxicity_edges(spark, docs):
         model = toxicity.train(docs(rows), labels)
         out = toxicity.score_toxicity(docs(rows), model).collect()
         assert len(out) == len(rows) and all(0 <= r.toxicity <= 1 for r in out)
+
+
+def test_one_id_on_two_texts_loses_no_link(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "something else of its own here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+    # an id that joins two groups only by standing in both
+    df = spark.createDataFrame([(5, a), (9, a), (9, b), (6, b), (7, b + " more")], "doc_id bigint, text string")
+    assert {r.component_id for r in neardup.near_duplicates(df).collect()} == {5}
+
+
+def test_line_dedup_survives_any_column_name(spark):
+    line = "a line that is long enough to be counted as one key"
+    df = spark.createDataFrame([(i, line, "mine", "d", 1) for i in range(5)],
+                               "doc_id bigint, text string, _id string, _drops string, h1 int")
+    out = lines.drop_repeated_lines(df)
+    assert {(r.doc_id, r.kept_text, r["_id"], r["_drops"], r.h1) for r in out.collect()} == {
+        (i, line if i == 4 else "", "mine", "d", 1) for i in range(5)}
+
+
+def test_patterns_discover_what_no_seed_matches(spark):
+    rng = random.Random(6)
+
+    def key():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(20))
+
+    texts = [f"note {i} access code: {key()} ends" for i in range(30)]
+    texts += ["note access code: Zx81-Qw77-Tr55 ends", "note access code: hunter2hunter2 ends",
+              "upper DEADBEEF12345678 alone", "no digits access code: none here", "deadbeefdeadbeef0 starts it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in private_data.find_private_data(df).collect()}
+    assert all(got[i].spans.startswith("secret:") and got[i].n_discovered == 0 for i in range(30))
+    for i in (30, 31):
+        at = texts[i].index(": ") + 2
+        assert got[i].spans == f"secret:{at}:{texts[i].index(' ends')}" and got[i].n_discovered == 1
+    assert got[32].spans == "secret:6:22" and got[33].spans == "" and got[34].spans == "secret:0:17"
