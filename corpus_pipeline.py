@@ -7,7 +7,7 @@ shared checkpoint folder and reads them again for the next one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlake.llm import decontam, lines, mixing, neardup, toxicity
@@ -17,19 +17,30 @@ from govlake.session import materialize
 TOXIC = 0.3
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row, so that no column of ``documents`` can
+    clash with one of an operator."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    return packed.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the tagger, fitted on the labelled documents at hand, rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels), keep=docs.columns)
-    return scored.filter(F.col("toxicity") < TOXIC).select(*docs.columns)
+    packed = _packed(docs)
+    scored = toxicity.score_toxicity(packed, toxicity.train(packed, labels), keep=["row"])
+    return _unpacked(scored.filter(F.col("toxicity") < TOXIC), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines shared by many documents go; every document stays, with its new
     text and length (a null text stays null)."""
-    out = lines.drop_repeated_lines(docs)
+    out = lines.drop_repeated_lines(_packed(docs))
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    return out.withColumns({"text": text, "n_chars": F.length(text).cast("bigint")}).select(*docs.columns)
+    return _unpacked(out, docs, text=text, n_chars=F.length(text).cast("bigint"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
