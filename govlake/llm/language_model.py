@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlake.llm.textkit import U64, chunks, mix64, seeds, words
+from govlake.llm.textkit import U64, chunks, mix64, pieces_of, seeds, words
 from govlake.session import materialize
 
 GAMMA, KAPPA = 0.6, 2.0
@@ -106,6 +106,9 @@ def _count(parts: list, keys: np.ndarray, learn: np.ndarray) -> None:
         parts[:] = [_merge(parts)]
 
 
+#: Bytes of text in a block, at most about (one longer document apart): what a task holds.
+BLOCK_BYTES = 32 << 20
+
 #: A packed request: order 1 (words), 2 (bigrams) or 0 (statistics).
 _REQUEST = "bucket int, ord int, block int, data binary"
 
@@ -213,12 +216,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks, buckets = 2 * parts, parts
+    n_blocks = pieces_of(docs, text_col, 2 * parts, BLOCK_BYTES)
+    buckets = max(parts, -(-n_blocks // 2))
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(
         F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(n_blocks)).cast("int").alias("block"),
         F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
-    blocks = dealt.repartition(parts, "block")
+    blocks = dealt.repartition(max(parts, n_blocks // 2), "block")
     answers = _answers(_requests(blocks, buckets))
     answers = materialize(answers, "counts")
     stats = [struct.unpack("<qq", r["data"])

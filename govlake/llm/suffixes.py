@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlake.llm.textkit import U64, chunks, mix64, seeds
+from govlake.llm.textkit import U64, chunks, mix64, seeds, pieces_of
 from govlake.session import drop_scratch, materialize
 
 LENGTH = 50
@@ -49,6 +49,8 @@ WIDTH = LEFT + LENGTH             # and most bytes in all
 ROW = -(-WIDTH // 8) * 8          # stored width, whole machine words
 SHALLOW = 16
 CHUNK = 4 << 20
+#: Bytes of text in a block, at most about (one longer document apart): what a task holds.
+BLOCK_BYTES = 32 << 20
 #: GRAM bytes are frequent from this share of all positions on, 1 / (SHARE *
 #: shuffle partitions) but LEAST_SHARE at least, so there are at most
 #: 1 / LEAST_SHARE of them.
@@ -447,7 +449,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, n_blocks = 4 * parts, 2 * parts
+    n_blocks = pieces_of(docs, text_col, 2 * parts, BLOCK_BYTES)
+    buckets = 2 * n_blocks
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     # rows that share an id are told apart by their text
     repeated = not src.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()

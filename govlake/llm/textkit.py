@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
@@ -150,3 +152,9 @@ def distinct_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     return doc[new], value[new]
+
+
+def pieces_of(docs: DataFrame, text_col: str, least: int, piece_bytes: int) -> int:
+    """How many pieces of about ``piece_bytes`` the texts make, ``least`` at least."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(least, -(-total // piece_bytes))
