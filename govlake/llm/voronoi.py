@@ -36,8 +36,8 @@ from govlake.session import materialize
 
 #: Most pivots, and rows a pivot stands for where there are fewer.
 PIVOTS, CELL = 512, 512
-#: Queries and rows of one local search.
-GROUP, SLICE = 8192, 8192
+#: Queries and rows of one local search; a small table is cut into up to SLICES slices.
+GROUP, SLICE, SLICES = 8192, 8192, 64
 #: Queries of one matrix product.
 SLAB = 256
 #: Margin of every comparison of distances between vectors scaled to components of at most 1.
@@ -276,7 +276,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         return (frame.join(F.broadcast(table), "cell").withColumn(first, F.col(first) + share).drop("_share"), table)
 
     asked, _ = dealt(asked, GROUP, "grp")
-    rows, slices = dealt(placed.drop("asked"), SLICE, "slice")
+    rows, slices = dealt(placed.drop("asked"), min(SLICE, max(SLICE // 8, n // SLICES)), "slice")
     rings = materialize(_rings(asked, space), "rings")
     pairs = (rings.join(F.broadcast(slices), "cell")
              .select("grp", F.explode(F.sequence(F.col("slice"), F.col("slice") + F.col("_share") - 1)).alias("slice"))
