@@ -417,3 +417,15 @@ def test_patterns_discover_what_no_seed_matches(spark):
         at = texts[i].index(": ") + 2
         assert got[i].spans == f"secret:{at}:{texts[i].index(' ends')}" and got[i].n_discovered == 1
     assert got[32].spans == "secret:6:22" and got[33].spans == "" and got[34].spans == "secret:0:17"
+
+
+def test_blocks_follow_the_bytes(spark, monkeypatch):
+    # many small blocks give the same results as few
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    before = {r.doc_id: r.score for r in language_model.score_documents(df).collect()}
+    kept = {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeats(df).collect()}
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 3000)
+    after = {r.doc_id: r.score for r in language_model.score_documents(df).collect()}
+    assert after == pytest.approx(before)
+    assert {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeats(df).collect()} == kept
