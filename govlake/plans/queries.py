@@ -241,15 +241,13 @@ BAD_LINES = {0: "   ", 1: '{"timestamp": ', 2: "[1, 2]", 3: "not a record"}
 @query("audit_line_counts")
 def q_audit_line_counts(spark, sf):
     """What the scan of a log with planted bad lines keeps and drops, counted
-    in the pass that stores its events."""
+    from the folders the one pass over it stores."""
     path = _audit_jsonl(spark, sf)
     bad = F.create_map(*[F.lit(x) for kv in BAD_LINES.items() for x in kv])
     a = V.audit(spark, sf).filter(F.col("event_id") % 20 < len(BAD_LINES))
     a.select(bad[(F.col("event_id") % 20).cast("int")].alias("value")).write.mode("append").text(path + "/bad")
-    events, counts = L.read_counted(spark, path)
-    materialize(events.drop("details"), "ingested")
-    return spark.createDataFrame([counts.read()], "n_lines bigint, n_kept bigint, n_blank bigint, "
-                                                  "n_not_json bigint, n_not_object bigint")
+    out = L.ingest_log(spark, path, scratch_path(spark, "ingested"))
+    return L.ingest_counts(spark, out)
 
 
 @query("field_truncation")

@@ -8,7 +8,7 @@ and unparsable lines, and JSON values that are not objects, are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAMEWORK_PREFIXES = [("pci_dss_", "pci_dss"), ("soc2_", "soc2"), ("compliance_", "general")]
@@ -36,19 +36,18 @@ def parse_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     v = F.try_parse_json(F.col(text_col))
     parsed = lines.withColumn("_v", v).filter(
         F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("OBJECT"))
-    ev = F.col("_v")
-    ts = _get(ev, "$.timestamp")
-    return parsed.select(
-        *[c for c in lines.columns if c != text_col],
-        ts.try_cast("timestamp_ntz").alias("timestamp"),
-        _get(ev, "$.event_type").alias("event_type"),
-        _get(ev, "$.user_id").alias("user_id"),
-        _get(ev, "$.action").alias("action"),
-        truthy(F.variant_get(ev, "$.success", "variant")).alias("success"),
-        F.variant_get(ev, "$.details", "variant").alias("details"),
-        _get(ev, "$.session_id").alias("session_id"),
-        _get(ev, "$.error").alias("error"),
-    )
+    return parsed.select(*[c for c in lines.columns if c != text_col],
+                         *[c.alias(n) for n, c in _event_fields(F.col("_v")).items()])
+
+
+def _event_fields(ev: Column) -> dict[str, Column]:
+    """The typed columns of a parsed line."""
+    return {"timestamp": _get(ev, "$.timestamp").try_cast("timestamp_ntz"),
+            "event_type": _get(ev, "$.event_type"), "user_id": _get(ev, "$.user_id"),
+            "action": _get(ev, "$.action"),
+            "success": truthy(F.variant_get(ev, "$.success", "variant")),
+            "details": F.variant_get(ev, "$.details", "variant"),
+            "session_id": _get(ev, "$.session_id"), "error": _get(ev, "$.error")}
 
 
 def _kind(text_col: str) -> Column:
@@ -60,28 +59,37 @@ def _kind(text_col: str) -> Column:
 KINDS = ("kept", "blank", "not_json", "not_object")
 
 
-class LineCounts:
-    """What a scan kept and dropped, counted while it ran: ``read`` once an
-    action over the scan (or a micro-batch of it) is done."""
+def ingest_log(spark: SparkSession, path: str, out: str) -> str:
+    """SRC-1 with its drop counts in one pass over the log: every line goes to
+    the Parquet folder of its kind under ``out``, the kept ones as typed events
+    (details as JSON text), the dropped ones as they are."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    kept = F.col("kind") == "kept"
+    events = _event_fields(F.col("_v"))
+    events["details"] = F.to_json(events["details"])
+    events["event_date"] = F.to_date(events["timestamp"])
+    lines.select(_kind("value").alias("kind"), "value", F.try_parse_json("value").alias("_v")).select(
+        "kind", F.when(~kept, F.col("value")).alias("dropped_line"),
+        *[F.when(kept, c).alias(n) for n, c in events.items()]) \
+        .write.mode("overwrite").partitionBy("kind").parquet(out)
+    return out
 
-    def __init__(self, name: str):
-        self.seen = Observation(name)
 
-    def on(self, lines: DataFrame, text_col: str = "value") -> DataFrame:
-        kind = _kind(text_col)
-        return lines.observe(self.seen, F.count(F.lit(1)).alias("n_lines"),
-                             *[F.count_if(kind == k).alias(f"n_{k}") for k in KINDS])
+def ingested_events(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).filter(F.col("kind") == "kept").drop("kind", "dropped_line")
 
-    def read(self) -> dict[str, int]:
-        return self.seen.get
 
+def dropped_lines(spark: SparkSession, out: str) -> DataFrame:
+    """The lines an ingest left out, with their kind."""
+    return spark.read.parquet(out).filter(F.col("kind") != "kept").select("kind", "dropped_line")
 
-def read_counted(spark: SparkSession, path: str) -> tuple[DataFrame, LineCounts]:
-    """SRC-1 with its drop counts: the parsed events, and counts that are filled
-    by the first action over them; the log is read once."""
-    counts = LineCounts(f"lines-{path}")
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    return parse_lines(counts.on(lines)).withColumn("event_date", F.to_date("timestamp")), counts
+
+def ingest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """One row: n_lines and the lines of each kind, from the stored folders
+    (only their row counts are read, no line and no column)."""
+    kinds = spark.read.parquet(out).select("kind")
+    return kinds.agg(F.count("*").alias("n_lines"),
+                     *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
 
 
 def line_counts(lines: DataFrame, text_col: str = "value") -> DataFrame:

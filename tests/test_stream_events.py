@@ -214,11 +214,17 @@ def test_one_day_of_a_log_prunes_folders(spark, tmp_path):
     assert audit_log.read_audit_day(spark, path + "/none").count() == 0
 
 
-def test_dropped_lines_are_counted_in_the_scan(spark, tmp_path):
-    (tmp_path / "log.jsonl").write_text('{"event_type": "a"}\n\n  \n{"broken\n[1]\n3\n{"event_type": "b"}\n')
-    events, counts = audit_log.read_counted(spark, str(tmp_path))
-    assert sorted(r.event_type for r in events.select("event_type").collect()) == ["a", "b"]
-    assert counts.read() == {"n_lines": 7, "n_kept": 2, "n_blank": 2, "n_not_json": 1, "n_not_object": 2}
+def test_dropped_lines_are_counted_and_kept(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    log.mkdir()
+    (log / "log.jsonl").write_text('{"event_type": "a", "success": 0}\n\n  \n{"broken\n[1]\n3\n{"event_type": "b"}\n')
+    audit_log.ingest_log(spark, str(log), out)
+    assert sorted((r.event_type, r.success) for r in audit_log.ingested_events(spark, out).collect()) == [
+        ("a", False), ("b", True)]
+    assert audit_log.ingest_counts(spark, out).first().asDict() == {
+        "n_lines": 7, "n_kept": 2, "n_blank": 2, "n_not_json": 1, "n_not_object": 2}
+    assert sorted(r.dropped_line for r in audit_log.dropped_lines(spark, out).collect()) == [
+        "", "  ", "3", "[1]", '{"broken']
 
 
 @pytest.mark.parametrize("n", [1, 50, 40000])
