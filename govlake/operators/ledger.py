@@ -150,7 +150,12 @@ def _effects(live: DataFrame, cols: list[str]) -> DataFrame:
         .select("requester_id", "_day", *cols, "leg.*")
 
 
-def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) -> DataFrame:
+#: Requests of an owner from which on they are summed up by day before any is folded.
+BUSY_REQUESTS = 50_000
+
+
+def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None,
+                   busy_requests: int = BUSY_REQUESTS) -> DataFrame:
     """LED-4: apply transfers in request order; later requests see earlier
     balances.
 
@@ -160,8 +165,8 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
     leaves them on a day from what they hold when it begins, every request of
     that day is accepted, and its balances are prefix sums: inside a day by a
     window, across days by the summaries, in balanced tasks however many
-    requests an owner has.  From an owner's first day that may run short on,
-    requests are folded in order (REQUEST_ORDER), streamed through mapInPandas
+    requests an owner has.  From the owner's first day that may run short on,
+    requests are folded too (in REQUEST_ORDER), streamed through mapInPandas
     with the balances of that owner's accounts in memory.  Rows refused by a
     stateless test pass by with their outcome."""
     cols = ["l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
@@ -179,6 +184,10 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
     refused = rows.filter(~reached).select(*cols, F.col("outcome").alias("status"),
                                            no_balance.alias("src_cents_after"), no_balance.alias("dst_cents_after"))
     live = rows.filter(reached).drop("outcome")
+    busy = live.groupBy("requester_id").count().filter(F.col("count") > busy_requests)
+    busy = materialize(busy.select("requester_id"), "busy")     # one row per busy_requests at most
+    few = live.join(busy, "requester_id", "left_anti")
+    live = live.join(busy, "requester_id", "left_semi")
     pieces = materialize(_owner_pieces(live), "pieces")
     short = pieces.filter(F.col("start") < F.col("out")).groupBy("requester_id").agg(F.min("_day").alias("_short"))
     live = live.join(short, "requester_id", "left")
@@ -204,7 +213,8 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None) ->
     for account, cents in (("from_account_id", "src_cents"), ("to_account_id", "dst_cents")):
         rest = rest.drop(cents).join(begun.select(F.col("account").alias(account), F.col("cents").alias(cents)),
                                      account)
-    ordered = rest.select(*cols, "src_cents", "dst_cents", "amount_cents") \
+    folding = [*cols, "src_cents", "dst_cents", "amount_cents"]
+    ordered = few.select(*folding).unionByName(rest.select(*folding)) \
         .repartition(*([num_partitions] if num_partitions else []), "requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
     folded = ordered.mapInPandas(_fold_partition, _fold_schema())

@@ -127,7 +127,8 @@ REQUESTS = ("l_orderkey bigint, l_linenumber int, requested_at timestamp_ntz, re
             "dst_balance decimal(18,2), outcome string")
 
 
-def test_transfers_by_day_equal_the_plain_fold(spark):
+@pytest.mark.parametrize("busy", [0, 150, 10**6])
+def test_transfers_by_day_equal_the_plain_fold(spark, busy):
     rng = random.Random(8)
     opening = {f"{o}-{n}": Decimal(rng.choice(["0", "50.00", "900.10", "-3"])) for o in "abcd" for n in range(3)}
     opening |= {f"rich-{n}": Decimal("1000000") for n in range(3)}
@@ -140,7 +141,7 @@ def test_transfers_by_day_equal_the_plain_fold(spark):
                opening[src], opening[dst], rng.choice(["ok", "ok", "insufficient_funds", "access_denied_source"]))
         rows += [row] * rng.choice([1, 1, 1, 3])
     pre = spark.createDataFrame(rows, REQUESTS)
-    got = [tuple(r) for r in ledger.transfer_apply(pre).collect()]
+    got = [tuple(r) for r in ledger.transfer_apply(pre, busy_requests=busy).collect()]
     balance, want = dict(opening), []
 
     def order(r):
