@@ -14,6 +14,7 @@ ERROR_WARN, ERROR_CRIT = 0.05, 0.10
 BLOCK_WARN = 0.20
 LATENCY_P95_MS = 5000
 BACKLOG_MAX = 100
+FINE_BUCKETS = ("second", "minute", "hour")
 
 
 def _window(duration: str, slide: str | None = None) -> Column:
@@ -92,8 +93,11 @@ def backlog(tickets: DataFrame, bucket: str = "hour") -> DataFrame:
                                     F.sum("net").alias("net"))
 
     per = lifted(level, ["bucket", "hour", "second"], "ts")
-    per = lifted(per, ["bucket", "hour"], "second")
-    per = lifted(per, ["bucket"], "hour").withColumnRenamed("peak", "max_local")
+    if bucket in FINE_BUCKETS:      # one hour holds the whole bucket
+        per = lifted(per, ["bucket"], "second")
+    else:
+        per = lifted(lifted(per, ["bucket", "hour"], "second"), ["bucket"], "hour")
+    per = per.withColumnRenamed("peak", "max_local")
     w_b = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("before", F.coalesce(F.sum("net").over(w_b), F.lit(0)))
     return per.select(F.col("bucket").alias("window_start"),

@@ -105,11 +105,14 @@ def request_screening(requests: DataFrame, keys: list[str], text_col: str, roles
     from .textsafety import layer1_scores
     gate = safety_gate(layer1_scores(requests, keys, text_col, lexicon)) \
         .select(*keys, "hits", "gate", F.col("message").alias("_message"))
-    two = layer2_analysis(requests.withColumn("_text", F.col(text_col)), [*keys, "user_id", "_text"],
-                          text_col) \
-        .withColumn("banking_intent", banking_intent(F.col("_text"))).drop("_text", "analysis")
+    # layer 2 reads the text of open requests only
+    gated = join_null_safe(requests.select(*keys, "user_id", F.col(text_col).alias("_text")), gate, keys) \
+        .withColumn("banking_intent", banking_intent(F.col("_text"))) \
+        .withColumn("_open_text", F.when(F.col("gate") == "continue", F.col("_text")))
+    two = layer2_analysis(gated, [*keys, "user_id", "hits", "gate", "_message", "banking_intent"], "_open_text") \
+        .drop("analysis")
     who = roles.select("user_id", normalise_role("role").alias("role"))
-    both = join_null_safe(two, gate, keys).join(who, "user_id", "left") \
+    both = two.join(who, "user_id", "left") \
         .withColumn("role", F.coalesce("role", F.lit("user")))
     d = decision_matrix(both)
     open_ = F.col("gate") == "continue"

@@ -67,6 +67,25 @@ def tool_visibility(spark) -> DataFrame:
     return rp.join(tp, "permission").select("role", "tool").distinct()
 
 
+def tool_counts_by_role(calls: DataFrame, roles: DataFrame) -> DataFrame:
+    """IAM-4 per role: how many tools the role sees, how many users hold it, and
+    their calls: all, entitled, denied, and distinct tools called.
+
+    One row per fixed role, zeros where nobody holds it; a caller without a user
+    row counts as a plain user's call.  ``calls``: call_id, user_id, tool."""
+    spark = calls.sparkSession
+    sees = D.bounded_broadcast(tool_visibility(spark).groupBy("role").agg(
+        F.count("*").alias("tools_visible")), len(S.ROLES))
+    users = roles.groupBy(normalise_role("role").alias("role")).agg(F.count("*").alias("users"))
+    made = tool_call_entitlement(calls, roles).groupBy("role").agg(
+        F.count("*").alias("calls"), F.count_if("entitled").alias("entitled_calls"),
+        F.count_if(~F.col("entitled")).alias("denied_calls"),
+        F.count_distinct("tool").alias("tools_called"))
+    counts = ["users", "calls", "entitled_calls", "denied_calls", "tools_called"]
+    return sees.join(users, "role", "left").join(made, "role", "left").select(
+        "role", "tools_visible", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
+
+
 def tool_call_entitlement(calls: DataFrame, roles: DataFrame) -> DataFrame:
     """IAM-4: each tool call is entitled if the caller's role holds any
     permission the tool needs.  ``calls``: call_id, user_id, tool."""

@@ -150,6 +150,37 @@ def _effects(live: DataFrame, cols: list[str]) -> DataFrame:
         .select("requester_id", "_day", *cols, "leg.*")
 
 
+def _apply_paid_days(live: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The requests of busy owners: (accepted ones of days that can pay for
+    everything, the others with the balances their first day begins with)."""
+    pieces = materialize(_owner_pieces(live), "pieces")
+    short = pieces.filter(F.col("start") < F.col("out")).groupBy("requester_id").agg(F.min("_day").alias("_short"))
+    live = live.join(short, "requester_id", "left")
+    paid = F.col("_short").isNull() | (F.col("_day") < F.col("_short"))
+
+    # days that can pay for everything: prefix sums
+    w = Window.partitionBy("requester_id", "account", "_day").orderBy(*REQUEST_ORDER, "_row") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    legs = _effects(live.filter(paid), ["_row", *[c for c in cols if c != "requester_id"]])
+    legs = legs.withColumn("_local", F.sum("delta").over(w)) \
+        .join(pieces.select("requester_id", "account", "_day", "start"), ["requester_id", "account", "_day"]) \
+        .withColumn("after", F.col("start") + F.col("_local"))
+    accepted = legs.groupBy("_row", *cols).agg(
+        F.max(F.when(F.col("delta") < 0, F.col("after"))).alias("src_cents_after"),
+        F.max(F.when(F.col("delta") > 0, F.col("after"))).alias("dst_cents_after")) \
+        .select(*cols, F.lit("accepted").alias("status"), "src_cents_after", "dst_cents_after")
+
+    # the rest of an owner's requests in order, from the balances at that day's beginning
+    begun = pieces.join(short, "requester_id").groupBy("account").agg(
+        (F.max("opening") + F.sum(F.when(F.col("_day") < F.col("_short"), F.col("net")).otherwise(0)))
+        .alias("cents"))
+    rest = live.filter(~paid)
+    for account, cents in (("from_account_id", "src_cents"), ("to_account_id", "dst_cents")):
+        rest = rest.drop(cents).join(begun.select(F.col("account").alias(account), F.col("cents").alias(cents)),
+                                     account)
+    return accepted, rest
+
+
 #: Requests of an owner from which on they are summed up by day before any is folded.
 BUSY_REQUESTS = 50_000
 
@@ -160,8 +191,9 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None,
     balances.
 
     Both accounts of a request that passes the stateless tests of LED-3 belong
-    to the requester, so owners are independent.  Requests are summed up per
-    account and day first.  As long as an owner's accounts can pay all that
+    to the requester, so owners are independent.  An owner of up to
+    ``busy_requests`` is folded in order as a whole.  The requests of a busier one
+    are summed up per account and day first.  As long as an owner's accounts can pay all that
     leaves them on a day from what they hold when it begins, every request of
     that day is accepted, and its balances are prefix sums: inside a day by a
     window, across days by the summaries, in balanced tasks however many
@@ -186,43 +218,21 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None,
     live = rows.filter(reached).drop("outcome")
     busy = live.groupBy("requester_id").count().filter(F.col("count") > busy_requests)
     busy = materialize(busy.select("requester_id"), "busy")     # one row per busy_requests at most
-    few = live.join(busy, "requester_id", "left_anti")
-    live = live.join(busy, "requester_id", "left_semi")
-    pieces = materialize(_owner_pieces(live), "pieces")
-    short = pieces.filter(F.col("start") < F.col("out")).groupBy("requester_id").agg(F.min("_day").alias("_short"))
-    live = live.join(short, "requester_id", "left")
-    paid = F.col("_short").isNull() | (F.col("_day") < F.col("_short"))
-
-    # days that can pay for everything: prefix sums
-    w = Window.partitionBy("requester_id", "account", "_day").orderBy(*REQUEST_ORDER, "_row") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    legs = _effects(live.filter(paid), ["_row", *[c for c in cols if c != "requester_id"]])
-    legs = legs.withColumn("_local", F.sum("delta").over(w)) \
-        .join(pieces.select("requester_id", "account", "_day", "start"), ["requester_id", "account", "_day"]) \
-        .withColumn("after", F.col("start") + F.col("_local"))
-    accepted = legs.groupBy("_row", *cols).agg(
-        F.max(F.when(F.col("delta") < 0, F.col("after"))).alias("src_cents_after"),
-        F.max(F.when(F.col("delta") > 0, F.col("after"))).alias("dst_cents_after")) \
-        .select(*cols, F.lit("accepted").alias("status"), "src_cents_after", "dst_cents_after")
-
-    # the rest of an owner's requests in order, from the balances at that day's beginning
-    begun = pieces.join(short, "requester_id").groupBy("account").agg(
-        (F.max("opening") + F.sum(F.when(F.col("_day") < F.col("_short"), F.col("net")).otherwise(0)))
-        .alias("cents"))
-    rest = live.filter(~paid)
-    for account, cents in (("from_account_id", "src_cents"), ("to_account_id", "dst_cents")):
-        rest = rest.drop(cents).join(begun.select(F.col("account").alias(account), F.col("cents").alias(cents)),
-                                     account)
     folding = [*cols, "src_cents", "dst_cents", "amount_cents"]
-    ordered = few.select(*folding).unionByName(rest.select(*folding)) \
-        .repartition(*([num_partitions] if num_partitions else []), "requester_id") \
+    if busy.isEmpty():
+        accepted, ordered = None, live.select(*folding)
+    else:
+        accepted, rest = _apply_paid_days(live.join(busy, "requester_id", "left_semi"), cols)
+        ordered = live.join(busy, "requester_id", "left_anti").select(*folding).unionByName(rest.select(*folding))
+    ordered = ordered.repartition(*([num_partitions] if num_partitions else []), "requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
-    folded = ordered.mapInPandas(_fold_partition, _fold_schema())
+    out = refused.unionByName(ordered.mapInPandas(_fold_partition, _fold_schema()))
+    if accepted is not None:
+        out = out.unionByName(accepted)
 
     def money(c: str):
         return (F.col(c).cast("decimal(20,0)") / 100).cast(S.MONEY)
 
-    out = refused.unionByName(accepted).unionByName(folded)
     return out.select(*cols, "status", money("src_cents_after").alias("src_balance_after"),
                       money("dst_cents_after").alias("dst_balance_after"))
 

@@ -297,6 +297,35 @@ def weekly_trends(events: DataFrame) -> DataFrame:
                                                         F.col("prev_n")), 4))
 
 
+def weekly_costs(events: DataFrame) -> DataFrame:
+    """WIN-3, cost analysis of the weekly report: cost, events, cost per event
+    and share of the week's cost for every tool, every model and in total, with
+    the change on the week before.
+
+    Each event counts for three items in one aggregation (partial before the
+    shuffle); the windows run over one row per week and item.  A week in which an
+    item has no event has no row, and ``prev_cost`` is that of the item's last
+    week with one."""
+    item = F.array(F.struct(F.lit("total").alias("section"), F.lit("all").alias("item")),
+                   F.struct(F.lit("tool").alias("section"), _tool().alias("item")),
+                   F.struct(F.lit("model").alias("section"), model().alias("item")))
+    g = events.select(F.date_trunc("week", "timestamp").cast("timestamp_ntz").alias("week"),
+                      F.explode(item).alias("i"), cost().alias("cost")) \
+        .groupBy("week", "i.section", "i.item").agg(
+            F.sum("cost").cast("decimal(38,8)").alias("cost"), F.count("*").alias("n_events"))
+    c = F.col("cost").cast("double")
+    w_item = Window.partitionBy("section", "item").orderBy("week")
+    w_week = Window.partitionBy("week", "section")
+    g = g.withColumn("prev_cost", F.lag("cost").over(w_item)) \
+        .withColumn("_week_cost", F.sum("cost").over(w_week).cast("double"))
+    prev = F.col("prev_cost").cast("double")
+    return g.select(
+        "week", "section", "item", "cost", "n_events",
+        F.round(c / F.col("n_events"), 8).alias("cost_per_event"),
+        F.round(F.try_divide(c, F.col("_week_cost")), 6).alias("share"),
+        "prev_cost", F.round(F.try_divide((c - prev) * 100, prev), 4).alias("change_pct"))
+
+
 def daily_cost(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("timestamp").alias("day")).agg(F.sum(cost()).cast("decimal(38,8)").alias("cost"))
 

@@ -66,12 +66,18 @@ def rule_flags(texts: DataFrame, text_col: str) -> DataFrame:
     evidence: the leftmost match of the rule's alternation, only on a hit).
 
     ``lower(text)`` is computed once per row by common subexpression
-    elimination."""
+    elimination.  The amounts of COMP-004 are read once, in a projection before
+    the flags: an amount found is both the hit and its evidence."""
     low = F.lower(F.col(text_col))
+    texts_cols = texts.columns
+    read = texts.select("*", rule_evidence(low, "COMP-004").alias("_amount"))
     cols = []
     for i, rid in enumerate(RULE_IDS):
-        cols += [rule_hit(low, rid).alias(f"_h{i}"), rule_evidence(low, rid).alias(f"_e{i}")]
-    return texts.select(*texts.columns, *cols)
+        if rid == "COMP-004":
+            cols += [F.col("_amount").isNotNull().alias(f"_h{i}"), F.col("_amount").alias(f"_e{i}")]
+        else:
+            cols += [rule_hit(low, rid).alias(f"_h{i}"), rule_evidence(low, rid).alias(f"_e{i}")]
+    return read.select(*texts_cols, *cols)
 
 
 def rule_matches(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:

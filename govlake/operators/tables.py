@@ -40,41 +40,63 @@ def bulk_append(existing: DataFrame, batch: DataFrame, key: str, order_cols: lis
     null_key (every row without a key) or
     missing_<col> (foreign key without a parent).
 
-    The batch is written once to the checkpoint folder (it is read twice
-    below, and its lineage may be long) and reduced to distinct rows with
-    their multiplicity (partial aggregation folds copies before the shuffle).  The
-    first copy of each key is the minimum of (order_cols, other columns)
-    over those rows, found by a second aggregation and joined back one row
-    per key; the key and parent checks run on distinct rows; multiplicities
-    are expanded at the end in bounded chunks.  No key is sorted or buffered
-    in one task."""
+    The batch is written once to the checkpoint folder (it is read several
+    times below, and its lineage may be long).  Counts, table keys and parents
+    are looked up on a narrow frame of one row per key; the batch's own columns
+    meet it in one join.  Only the copies of a new key that the batch holds more
+    than once are ordered (``_first_copies``), and rows without a key are
+    joined with nothing."""
     from ..session import materialize
     cols = batch.columns
     batch = materialize(batch, "append-batch")
+    # a key with one row has one parent value, so any of an aggregate's will do
+    keys = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("_n"),
+        *[F.min(c).alias(f"_parent{i}") for i, (c, _, _) in enumerate(foreign_keys)])
+    keys = keys.join(existing.select(key).distinct().withColumn("_dup", F.lit(True)), key, "left")
+    plain = keys.filter((F.col("_n") == 1) | F.col("_dup").isNotNull())
+    status = F.when(F.col("_dup").isNotNull(), "duplicate_key")
+    for i, (c, parent, parent_col) in enumerate(foreign_keys):
+        plain = plain.join(parent.select(F.col(parent_col).alias(f"_parent{i}")).distinct()
+                           .withColumn(f"_fk{i}", F.lit(True)), f"_parent{i}", "left")
+        status = status.when(F.col(f"_fk{i}").isNull(), f"missing_{c}")
+    plain = plain.select(key, status.otherwise("accepted").alias("append_status"))
+    repeated = keys.filter((F.col("_n") > 1) & F.col("_dup").isNull()).select(key)
+    return batch.join(plain, key).select(*cols, "append_status") \
+        .unionByName(_first_copies(batch.join(repeated, key, "left_semi").select(*cols), key, order_cols,
+                                   foreign_keys)) \
+        .unionByName(batch.filter(F.col(key).isNull()).withColumn("append_status", F.lit("null_key")))
+
+
+def _first_copies(batch: DataFrame, key: str, order_cols: list[str],
+                  foreign_keys: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Status of the rows of keys that the table lacks and the batch repeats.
+
+    The rows are reduced to distinct ones with their multiplicity (partial
+    aggregation folds copies before the shuffle).  The first copy of each key is
+    the minimum of (order_cols, other columns) over those rows, found by a second
+    aggregation and joined back one row per key; multiplicities are expanded at
+    the end in bounded chunks.  No key is sorted or buffered in one task."""
+    cols = batch.columns
     g = batch.groupBy(*cols).agg(F.count("*").alias("_c"))
     order = F.struct(*[F.col(c) for c in order_cols],
                      *[F.col(c) for c in cols if c not in order_cols])
     first = g.groupBy(key).agg(F.min(order).alias("_first"))
-    g = join_null_safe(g, first, [key]).withColumn("_is_first", order.eqNullSafe(F.col("_first")))
-    g = g.join(existing.select(key).distinct().withColumn("_dup", F.lit(True)), key, "left")
-    lead = F.when(F.col(key).isNull(), "null_key") \
-        .when(F.col("_dup").isNotNull(), "duplicate_key") \
-        .when(~F.col("_is_first"), "duplicate_in_batch")
-    drops = ["_first", "_is_first", "_dup"]
+    g = g.join(first, key).withColumn("_is_first", order.eqNullSafe(F.col("_first")))
+    lead = F.when(~F.col("_is_first"), "duplicate_in_batch")
     for i, (col, parent, parent_col) in enumerate(foreign_keys):
         flag = f"_fk{i}"
         g = g.join(parent.select(F.col(parent_col).alias(col)).distinct()
                    .withColumn(flag, F.lit(True)), col, "left")
         lead = lead.when(F.col(flag).isNull(), f"missing_{col}")
-        drops.append(flag)
     g = g.withColumn("_lead", lead.otherwise("accepted"))
-    # the first copy of a first row carries the lead status, its other
-    # copies are duplicates within the batch
-    parts = F.when(F.col("_is_first") & F.col("_dup").isNull() & F.col(key).isNotNull(), F.array(
+    # one copy of a first row carries the lead status, its other copies are
+    # duplicates within the batch
+    parts = F.when(F.col("_is_first"), F.array(
         F.struct(F.col("_lead").alias("s"), F.lit(1).cast("bigint").alias("n")),
         F.struct(F.lit("duplicate_in_batch").alias("s"), (F.col("_c") - 1).alias("n")))) \
         .otherwise(F.array(F.struct(F.col("_lead").alias("s"), F.col("_c").alias("n"))))
-    e = g.withColumn("_p", F.explode(parts)).drop(*drops)
+    e = g.withColumn("_p", F.explode(parts))
     e = e.select(*cols, F.col("_p.s").alias("append_status"), F.col("_p.n").alias("_n"))
     return repeat_rows(e, "_n").drop("_n")
 

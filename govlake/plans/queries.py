@@ -309,10 +309,29 @@ def _audit_with_details(spark, sf):
         F.when(~F.col("success"), F.concat(F.lit("failed: "), F.col("action"))).alias("error"))
 
 
+def _logged_transfers(spark, sf):
+    """Every transfer request as a logged event with its transfer fields, on
+    the log's days in turn."""
+    t = V.transfer_requests(spark, sf)
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return t.select(
+        F.expr("TIMESTAMP_NTZ'2024-01-01' + make_dt_interval(cast(l_orderkey % 30 as int), l_linenumber)")
+        .alias("timestamp"), F.lit("transaction").alias("event_type"),
+        F.col("requester_id").alias("user_id"), F.lit("transfer_requested").alias("action"),
+        F.lit(True).alias("success"),
+        F.concat(F.lit("transfer_"), key).alias("transaction_id"), "amount",
+        F.col("from_account_id").alias("from_account"), F.col("to_account_id").alias("to_account"),
+        F.concat(F.lit("Transfer of $"), F.col("amount").cast("string"), F.lit(" from "), F.col("from_account_id"),
+                 F.lit(" to "), F.col("to_account_id"), F.lit(", requested by "), F.col("requester_id"),
+                 F.lit(", waiting for the checks of its accounts, of its amount and of the caller"))
+        .alias("summary"))
+
+
 @query("audit_verbose")
 def q_audit_verbose(spark, sf):
     path = scratch_path(spark, "audit-verbose") + "/log"
-    K.write_audit(_audit_with_details(spark, sf), path, fmt="json")
+    K.write_audit(_audit_with_details(spark, sf).unionByName(_logged_transfers(spark, sf),
+                                                             allowMissingColumns=True), path, fmt="json")
     return A.verbose(L.read_audit(spark, path))
 
 
@@ -366,6 +385,11 @@ def q_tool_call_entitlement(spark, sf):
     return iam.tool_call_entitlement(_tool_calls(spark, sf), _roles(spark, sf))
 
 
+@query("tool_counts_by_role")
+def q_tool_counts_by_role(spark, sf):
+    return iam.tool_counts_by_role(_tool_calls(spark, sf), _roles(spark, sf))
+
+
 # --- tickets -----------------------------------------------------------------
 
 from ..functions.scan import asof_last  # noqa: E402
@@ -744,6 +768,17 @@ def q_unlogged_access(spark, sf):
     return C.unlogged_access(V.audit(spark, sf), records)
 
 
+@query("unlogged_access_gaps")
+def q_unlogged_access_gaps(spark, sf):
+    """COMP-003 against records that lost some: those whose event id is a
+    multiple of 7 never arrived, those of 11 came under another type."""
+    records = L.read_compliance(spark, _compliance_jsonl(spark, sf)).select(
+        "event_type", F.try_variant_get("details", "$.event_id", "bigint").alias("event_id"))
+    kind = F.when(F.col("event_id") % 11 == 0, "soc2_data_processing").otherwise(F.col("event_type"))
+    return C.unlogged_access(V.audit(spark, sf), records.filter(F.col("event_id") % 7 != 0)
+                             .withColumn("event_type", kind))
+
+
 @query("unverified_access")
 def q_unverified_access(spark, sf):
     """COMP-002 over the whole audit log."""
@@ -871,6 +906,11 @@ def q_weekly_trends(spark, sf):
     return M.weekly_trends(V.audit(spark, sf))
 
 
+@query("weekly_costs")
+def q_weekly_costs(spark, sf):
+    return M.weekly_costs(V.audit(spark, sf))
+
+
 @query("cost_spike_days")
 def q_cost_spike_days(spark, sf):
     return M.cost_spike_days(V.audit(spark, sf))
@@ -886,6 +926,28 @@ def q_brute_force(spark, sf):
     return SEC.brute_force(V.audit(spark, sf))
 
 
+def _retried_logins(spark, sf):
+    """The log with retried logins: a failed login of event e is tried again
+    e % 5 times, a quarter of an hour apart, and fails again."""
+    a = V.audit(spark, sf)
+    tries = F.when(F.col("event_type") == "auth_failure", F.sequence(F.lit(0), (F.col("event_id") % 5).cast("int"))) \
+        .otherwise(F.array(F.lit(0)))
+    return a.withColumn("_try", F.explode(tries)) \
+        .withColumn("timestamp", F.col("timestamp") + F.expr("make_dt_interval(0, 0, 15 * _try)")).drop("_try")
+
+
+@query("brute_force_retries")
+def q_brute_force_retries(spark, sf):
+    """SEC-1 over the log with retried logins."""
+    return SEC.brute_force(_retried_logins(spark, sf))
+
+
+@query("exfiltration_p90")
+def q_exfiltration_p90(spark, sf):
+    """SEC-3 with a lower bound, the 90th percentile of the users' read volumes."""
+    return SEC.exfiltration(V.audit(spark, sf), p=0.9)
+
+
 @query("unusual_access")
 def q_unusual_access(spark, sf):
     return SEC.unusual_access(V.audit(spark, sf))
@@ -1134,6 +1196,23 @@ def q_transfer_leg_match(spark, sf):
     return access.transfer_leg_match(ledger.transfer_legs(_accepted_transfers(spark, sf)))
 
 
+@query("transfer_leg_faults")
+def q_transfer_leg_faults(spark, sf):
+    """ACC-7 over transfer requests booked leg by leg with faults, by the order's
+    key: multiples of 5 lose the credit, of 7 book it twice, of 9 a cent short."""
+    t = V.transfer_requests(spark, sf)
+    stem = F.concat_ws("-", F.lit("transfer"), *[F.col(c).cast("string") for c in (
+        "l_orderkey", "l_linenumber", "from_account_id", "to_account_id", "amount", "requested_at")])
+    o = F.col("l_orderkey")
+    credits = F.when(o % 5 == 0, 0).when(o % 7 == 0, 2).otherwise(1)
+    debit = t.select(F.concat(stem, F.lit("_from")).alias("transaction_id"), (-F.col("amount")).alias("amount"))
+    credit = t.withColumn("_n", credits).filter(F.col("_n") > 0).select(
+        F.concat(stem, F.lit("_to")).alias("transaction_id"),
+        F.when(o % 9 == 0, F.col("amount") - F.lit("0.01").cast(S.MONEY)).otherwise(F.col("amount"))
+        .cast(S.MONEY).alias("amount"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_x")).drop("_x")
+    return access.transfer_leg_match(debit.withColumn("amount", F.col("amount").cast(S.MONEY)).unionByName(credit))
+
+
 @query("audit_ticket_match")
 def q_audit_ticket_match(spark, sf):
     """Ticket events of the audit log linked to the user's newest ticket at

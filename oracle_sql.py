@@ -1118,7 +1118,17 @@ SELECT a.timestamp, a.event_type, a.user_id, a.action,
        CAST(NULL AS DECIMAL(18, 2)) AS amount, CAST(NULL AS VARCHAR) AS from_account,
        CAST(NULL AS VARCHAR) AS to_account,
        CASE WHEN NOT a.success THEN concat('failed: ', a.action) END AS error
-FROM audit a LEFT JOIN (""" + DECISION_SELECT + """) d ON d.request_id = a.event_id"""
+FROM audit a LEFT JOIN (""" + DECISION_SELECT + """) d ON d.request_id = a.event_id
+UNION ALL
+SELECT CAST('2024-01-01' AS TIMESTAMP) + to_days(CAST(l_orderkey % 30 AS INTEGER)) + to_hours(CAST(l_linenumber AS BIGINT)),
+       'transaction', requester_id, 'transfer_requested', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       CASE WHEN length(summary) <= 120 THEN summary ELSE concat(left(summary, 117), '...') END,
+       concat('transfer_', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)),
+       amount, from_account_id, to_account_id, NULL
+FROM (SELECT *, concat('Transfer of $', CAST(amount AS VARCHAR), ' from ', from_account_id, ' to ', to_account_id,
+                       ', requested by ', requester_id,
+                       ', waiting for the checks of its accounts, of its amount and of the caller') AS summary
+      FROM transfer_requests) t"""
 EXTRA["audit_verbose"] = [ROLES, DECISION_CTE]
 
 
@@ -1299,6 +1309,48 @@ SQL["bulk_append_tickets"] = _append(
     "UNION ALL SELECT id, user_id, input_text, created_at, status FROM escalations",
     "id", "created_at, user_id", "escalations", "user_id")
 
+SQL["weekly_costs"] = f"""
+SELECT week, section, item, cost, n_events, round(CAST(cost AS DOUBLE) / n_events, 8) AS cost_per_event,
+       round(CASE WHEN of_week = 0 THEN NULL ELSE CAST(cost AS DOUBLE) / CAST(of_week AS DOUBLE) END, 6) AS share,
+       prev_cost, round(CASE WHEN prev_cost = 0 THEN NULL ELSE
+         (CAST(cost AS DOUBLE) - CAST(prev_cost AS DOUBLE)) * 100 / CAST(prev_cost AS DOUBLE) END, 4) AS change_pct
+FROM (SELECT week, section, item, cost, n_events,
+             sum(cost) OVER (PARTITION BY week, section) AS of_week,
+             lag(cost) OVER (PARTITION BY section, item ORDER BY week) AS prev_cost
+      FROM (SELECT week, 'total' AS section, 'all' AS item, sum(cost) AS cost, count(*) AS n_events
+            FROM spent GROUP BY ALL
+            UNION ALL SELECT week, 'tool', tool, sum(cost), count(*) FROM spent GROUP BY ALL
+            UNION ALL SELECT week, 'model', model, sum(cost), count(*) FROM spent GROUP BY ALL) g) w"""
+EXTRA["weekly_costs"] = [f"""spent AS (
+  SELECT CAST(date_trunc('week', timestamp) AS TIMESTAMP) AS week, {TOOLX} AS tool, {MODELX} AS model,
+         {COSTX} AS cost FROM audit)"""]
+
+SQL["tool_counts_by_role"] = f"""
+SELECT v.role, v.n AS tools_visible, (SELECT count(*) FROM roles r WHERE r.role = v.role) AS users,
+       count(e.call_id) AS calls, count(e.call_id) FILTER (WHERE e.entitled) AS entitled_calls,
+       count(e.call_id) FILTER (WHERE NOT e.entitled) AS denied_calls, count(DISTINCT e.tool) AS tools_called
+FROM (SELECT role, count(*) AS n FROM role_tool GROUP BY role) v
+LEFT JOIN ({SQL['tool_call_entitlement']}) e ON e.role = v.role GROUP BY v.role, v.n"""
+EXTRA["tool_counts_by_role"] = EXTRA["tool_call_entitlement"]
+
+SQL["brute_force_retries"] = SQL["brute_force"].replace("FROM audit WHERE event_type = 'auth_failure'", """
+   FROM (SELECT event_id, user_id, timestamp + to_minutes(15 * k) AS timestamp
+         FROM audit, range(0, 5) r(k) WHERE event_type = 'auth_failure' AND k <= event_id % 5) t""")
+SQL["exfiltration_p90"] = SQL["exfiltration"].replace("0.99", "0.9")
+SQL["unlogged_access_gaps"] = """
+SELECT * FROM audit WHERE event_type IN ('account_access', 'transaction_query')
+  AND (NOT success OR event_id % 7 = 0 OR event_id % 11 = 0)"""
+
+_STEM = ("concat_ws('-', 'transfer', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), from_account_id, "
+         "to_account_id, CAST(amount AS VARCHAR), CAST(requested_at AS VARCHAR))")
+SQL["transfer_leg_faults"] = SQL["transfer_leg_match"].replace("FROM legs", "FROM faulty")
+EXTRA["transfer_leg_faults"] = [f"""faulty AS (
+  SELECT concat({_STEM}, '_from') AS transaction_id, -amount AS amount FROM transfer_requests
+  UNION ALL
+  SELECT concat({_STEM}, '_to'), CASE WHEN l_orderkey % 9 = 0 THEN amount - 0.01 ELSE amount END
+  FROM transfer_requests, range(0, 2) r(k)
+  WHERE k < CASE WHEN l_orderkey % 5 = 0 THEN 0 WHEN l_orderkey % 7 = 0 THEN 2 ELSE 1 END)"""]
+
 
 def oracle_sql() -> dict[str, str]:
     return {k: with_views(v, *EXTRA.get(k, [])) for k, v in SQL.items()}
