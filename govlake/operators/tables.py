@@ -8,6 +8,7 @@ joins and aggregations, and retention is computed per row age.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -273,29 +274,45 @@ def _leave_former_tiers(spark, path: str, as_of) -> None:
                     raise OSError(f"could not delete {folder}")
 
 
+#: Day folders moved at the same time (an object store copies a folder to rename it).
+MOVES_AT_ONCE = 16
+
+
+def pending_moves(spark, path: str, as_of) -> list[tuple[str, str, str]]:
+    """SNK-6, the mover's manifest: (event_date, from, to) of every stored day
+    whose tier by ``as_of`` is another one.  It is read off the folders, so after
+    a stop half-way it lists what is left."""
+    return [(value, name, _tier_of(value, as_of)) for value, stored in sorted(_day_folders(spark, path).items())
+            for name, _ in stored if name != _tier_of(value, as_of)]
+
+
 def move_tiers(spark, path: str, as_of) -> list[tuple[str, str, str]]:
-    """SNK-6, the mover: day folders of ``write_tiers`` are renamed into the
-    tier they have reached by ``as_of``, expired ones deleted; no row is read.
-    The loop is over days (at most seven years of them).  Returns (event_date, from, to);
-    stopped half-way it can be run again."""
+    """SNK-6, the mover: the day folders of ``pending_moves`` are renamed into
+    the tier they have reached by ``as_of``, expired ones deleted; no row is
+    read.  At most seven years of days are moved, MOVES_AT_ONCE together.  Returns the
+    manifest; stopped half-way it can be run again.  Where a day already stands in
+    its target too (a write stopped before it left the former tier, or a store whose
+    renames are copies), nothing is deleted: an error asks for that day to be
+    written again, which replaces both."""
     jvm = spark._jvm.org.apache.hadoop.fs
     root = jvm.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    moved = []
-    for value, stored in _day_folders(spark, path).items():
-        for name, day in stored:
-            tier = _tier_of(value, as_of)
-            if tier == name:
-                continue
-            if tier == "expired":
-                done = fs.delete(day, True)
-            else:
-                target = jvm.Path(root, f"tier={tier}")
-                done = fs.mkdirs(target) and fs.rename(day, jvm.Path(target, day.getName()))
-            if not done:
-                raise OSError(f"could not move {day} to {tier}")
-            moved.append((value, name, tier))
-    return moved
+    moves = pending_moves(spark, path, as_of)
+    for tier in {to for _, _, to in moves if to != "expired"}:
+        if not fs.mkdirs(jvm.Path(root, f"tier={tier}")):
+            raise OSError(f"could not make tier={tier} under {path}")
+
+    def move(value: str, name: str, tier: str) -> None:
+        day = jvm.Path(root, f"tier={name}/event_date={value}")
+        target = jvm.Path(root, f"tier={tier}/event_date={value}")
+        if tier != "expired" and fs.exists(target):
+            raise OSError(f"{value} stands in tier={name} and tier={tier}; write it again")
+        if not (fs.delete(day, True) if tier == "expired" else fs.rename(day, target)):
+            raise OSError(f"could not move {day} to {tier}")
+
+    with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+        list(pool.map(lambda m: move(*m), moves))
+    return moves
 
 
 def retention_events(tiers: DataFrame) -> DataFrame:

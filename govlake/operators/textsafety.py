@@ -86,6 +86,10 @@ def layer1_scores(texts: DataFrame, keys: list[str], text_col: str, lexicon: Dat
                  .otherwise(F.lit(". Proceeding to Layer 2."))).alias("message"))
 
 
+#: Weight of the squared standardised coefficients in the model's loss.
+REG_PARAM = 0.01
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame, seed: int = 42,
                    num_features: int = 1 << 16, train_fraction: float = 0.8):
     """SAF-4: logistic regression on hashed word counts of labelled documents.
@@ -104,20 +108,50 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, seed: int = 42,
         RegexTokenizer(inputCol="text", outputCol="tokens", pattern=WORD_SPLIT, toLowercase=True),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features, binary=True),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", maxIter=50, regParam=0.01,
+        LogisticRegression(featuresCol="features", labelCol="label", maxIter=200, tol=1e-9, regParam=REG_PARAM,
                            elasticNetParam=0.0),
     ])
     return pipe.fit(train), train, test
 
 
+def model_optimality(model, train: DataFrame, test: DataFrame) -> DataFrame:
+    """SAF-4's fit, checked from outside: one row with the sizes and toxic rows of
+    both sides of the split, ``expected_toxic`` (the sum of the probabilities
+    over the training rows: with a free intercept it equals the toxic rows), and
+    ``max_gradient``, the largest partial derivative of the regularised loss.
+
+    At the optimum mean((p - y) x_j) + REG_PARAM s_j^2 b_j is 0 for every feature j
+    (s_j: its standard deviation).  The three sums are weighted summaries of the
+    feature vectors, partially aggregated; a vector of ``num_features`` numbers
+    comes to the driver, whatever the number of documents."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+    lr = model.stages[-1]
+    scored = model.transform(train).select("features", "label", vector_to_array("probability")[1].alias("p"))
+    # the weighted sums of the vectors: mean times the sum of weights
+    row = scored.agg(
+        F.count("*").alias("n"), F.sum("label").alias("y"), F.sum("p").alias("p"),
+        Summarizer.mean(F.col("features"), F.col("label")).alias("toxic_mean"),
+        Summarizer.mean(F.col("features"), F.col("p")).alias("p_mean"),
+        Summarizer.std(F.col("features")).alias("std")).first()
+    gradient = (row.p_mean.toArray() * row.p - row.toxic_mean.toArray() * row.y) / row.n \
+        + REG_PARAM * row.std.toArray() ** 2 * lr.coefficients.toArray()
+    out = test.agg(F.count("*").alias("n_test"), F.count_if(F.col("label") == 1).alias("test_toxic"))
+    return out.select(F.lit(row.n).cast("bigint").alias("n_train"), F.lit(int(row.y)).cast("bigint").alias("train_toxic"),
+                      "n_test", "test_toxic", F.lit(float(row.p)).alias("expected_toxic"),
+                      F.lit(float(abs(gradient).max())).alias("max_gradient"))
+
+
 def text_safety_check(scored: DataFrame, threshold: float = S.OFFENSIVE_SCORE_MIN) -> DataFrame:
     """SAF-3: is_safe, risk_category, confidence from SAF-4 probabilities.
 
     The label is offensive when its probability is the larger one; a text is
     blocked only if that probability exceeds ``threshold``.  A missing score
     gives category Error and counts as safe (as the reference, flagged)."""
-    from pyspark.ml.functions import vector_to_array
-    p = vector_to_array(F.col("probability"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    # vectors cannot be taken apart where they are null, so those get a stand-in first
+    p = vector_to_array(F.coalesce("probability", array_to_vector(F.array(F.lit(1.0), F.lit(0.0)))))
+    p = F.when(F.col("probability").isNotNull(), p)
     p_off = p[1]
     offensive = p_off >= p[0]
     score = F.greatest(p[0], p[1])

@@ -639,6 +639,32 @@ def q_text_safety_check(spark, sf):
     return TS.text_safety_check(model.transform(_docs(spark, sf)))
 
 
+@query("toxicity_model_fit")
+def q_toxicity_model_fit(spark, sf):
+    """SAF-4: the split loses no labelled document, and the fitted model meets its
+    optimality conditions (the gap is the one of its intercept)."""
+    model, train, test = TS.toxicity_model(_docs(spark, sf), read_table(spark, sf, "labels"))
+    fit = TS.model_optimality(model, train, test)
+    n = F.col("n_train") + F.col("n_test")
+    return fit.select(n.alias("n_labelled"), (F.col("train_toxic") + F.col("test_toxic")).alias("n_toxic"),
+                      F.abs(F.col("n_train") / n - 0.8).between(0, 0.1).alias("is_split_near"),
+                      (F.abs(F.col("expected_toxic") - F.col("train_toxic")) < 0.05).alias("is_calibrated"),
+                      (F.col("max_gradient") < 1e-4).alias("is_optimal"))
+
+
+@query("text_safety_by_lexicon")
+def q_text_safety_by_lexicon(spark, sf):
+    """SAF-3 on every document with layer 1's lexicon score as probability;
+    a document without any word has no score."""
+    from pyspark.ml.functions import array_to_vector
+    docs = _docs(spark, sf)
+    scores = TS.layer1_scores(docs, ["doc_id"], "text", _lexicon(spark, sf)).select("doc_id", "toxicity")
+    wordless = F.coalesce(F.size(TS.words("text")), F.lit(0)) <= 0
+    p = F.when(~F.col("wordless"), array_to_vector(F.array(1 - F.col("toxicity"), F.col("toxicity"))))
+    return TS.text_safety_check(docs.select("doc_id", wordless.alias("wordless")).join(scores, "doc_id")
+                                .select("doc_id", p.alias("probability")))
+
+
 @query("mask_account_numbers")
 def q_mask_account_numbers(spark, sf):
     """Masked documents and web pages (whole texts)."""
@@ -1185,6 +1211,13 @@ def q_user_lookup(spark, sf):
                     F.array_join("account_ids", ",").alias("account_ids"))
 
 
+@query("user_account_pages")
+def q_user_account_pages(spark, sf):
+    """FLT-8 in pages of three account ids."""
+    return U.user_account_pages(V.users(spark, sf), V.accounts(spark, sf), page_ids=3) \
+        .withColumn("account_ids", F.array_join("account_ids", ","))
+
+
 @query("high_value_transfers")
 def q_high_value_transfers(spark, sf):
     t = V.transactions(spark, sf).filter(F.col("transaction_type") == "transfer")

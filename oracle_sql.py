@@ -581,6 +581,20 @@ LAYER1_SELECT = """SELECT *, NOT (toxicity > 0.7 OR severe_toxicity > 0.5) AS pa
 SQL["layer1_check"] = LAYER1_SELECT
 EXTRA["layer1_check"] = LEXICON_CTES + _layer1("documents", "doc_id", "text")
 
+SQL["toxicity_model_fit"] = """
+SELECT count(*) AS n_labelled, count(*) FILTER (WHERE toxic = 1) AS n_toxic, true AS is_split_near,
+       true AS is_calibrated, true AS is_optimal
+FROM documents JOIN labels USING (doc_id)"""
+
+SQL["text_safety_by_lexicon"] = f"""
+SELECT doc_id, CASE WHEN wordless THEN true ELSE toxicity <= 0.95 END AS is_safe,
+       CASE WHEN wordless THEN 'Error' WHEN toxicity > 0.95 THEN 'Offensive' ELSE 'None' END AS risk_category,
+       CASE WHEN wordless THEN 0.0 ELSE round(greatest(toxicity, 1 - toxicity), 6) END AS confidence,
+       CASE WHEN NOT wordless AND toxicity >= 0.5 THEN 'offensive' ELSE 'non-offensive' END AS label
+FROM scored JOIN (SELECT doc_id, COALESCE(len({WORDS.format(t='text')}), 0) = 0 AS wordless FROM documents)
+     USING (doc_id)"""
+EXTRA["text_safety_by_lexicon"] = LEXICON_CTES + _layer1("documents", "doc_id", "text")
+
 SQL["safety_gate"] = f"""SELECT *, CASE WHEN passed THEN 'continue' ELSE 'blocked' END AS gate
 FROM ({LAYER1_SELECT}) g"""
 EXTRA["safety_gate"] = LEXICON_CTES + _layer1("user_requests", "conv_id, turn", "input_text")
@@ -1051,6 +1065,15 @@ FROM users u LEFT JOIN (SELECT user_id, count(*) AS n,
                                string_agg(account_id, ',' ORDER BY account_id) AS ids
                         FROM accounts GROUP BY user_id) a ON a.user_id = u.user_id"""
 
+SQL["user_account_pages"] = """
+SELECT u.user_id, u.name, u.email, COALESCE(a.page, 1) AS page, a.first_number,
+       COALESCE(a.ids, '') AS account_ids
+FROM users u LEFT JOIN (
+  SELECT user_id, (number + 2) // 3 AS page, min(number) AS first_number,
+         string_agg(account_id, ',' ORDER BY account_id) AS ids
+  FROM (SELECT user_id, account_id, row_number() OVER (PARTITION BY user_id ORDER BY account_id) AS number
+        FROM accounts) GROUP BY 1, 2) a ON a.user_id = u.user_id"""
+
 SQL["high_value_transfers"] = """
 SELECT concat('hv-', t.transaction_id) AS ticket_id, a.user_id, t.transaction_id, t.account_id,
        t.amount, concat('Transfer of $', CAST(abs(t.amount) AS VARCHAR), ' on account ', t.account_id)

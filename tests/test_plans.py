@@ -14,7 +14,8 @@ ACTIVE = {"audit_jsonl_scan", "audit_sink", "audit_verbose", "compliance_sink",
           "bulk_append", "bulk_append_accounts", "bulk_append_users", "bulk_append_tickets",
           "retention_move", "unlogged_access", "audit_by_date", "audit_line_counts",
           "latency_sketch_percentiles", "latency_sketch_error",
-          "unlogged_access_gaps", "exfiltration_p90"}
+          "unlogged_access_gaps", "exfiltration_p90",
+          "toxicity_model_fit", "user_account_pages"}
 PYTHON_OK = {"transfer_apply", "final_balances", "transfer_legs", "transfer_leg_match"}   # the ordered fold
 KEYS = sorted(k for k in REGISTRY if k not in ACTIVE and not k.startswith("stream_"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from govlake.functions.quantiles import exact_percentiles
 from govlake.functions.scan import previous_value
-from govlake.operators import compliance, decisions, escalations, ledger, metrics, rules, tables
+from govlake.operators import compliance, decisions, escalations, ledger, metrics, rules, tables, textsafety, users
 from govlake.operators.security import brute_force
 from govlake.streaming import streams
 
@@ -158,3 +158,42 @@ def test_request_screening_end_to_end(spark):
     assert got == {1: ("blocked", "blocked"), 2: ("continue", "rewrite"), 3: ("continue", "approve"),
                    4: ("continue", "reject"), 5: ("continue", "approve"), 6: ("continue", "escalate"),
                    7: ("continue", "escalate")}
+
+
+def test_account_pages_of_a_busy_owner(spark):
+    people = spark.createDataFrame([("busy", "B", "b@x"), ("idle", "I", None), ("one", "O", "o@x")],
+                                   "user_id string, name string, email string")
+    owned = spark.range(5000).selectExpr("'busy' AS user_id", "format_string('a%05d', id) AS account_id") \
+        .unionByName(spark.createDataFrame([("a1", "one"), ("a2", "gone"), ("a3", None)],
+                                           "account_id string, user_id string"))
+    got = {(r.user_id, r.page): r for r in users.user_account_pages(people, owned, page_ids=700).collect()}
+    ids = [i for p in range(1, 9) for i in got["busy", p].account_ids]
+    assert ids == [f"a{n:05d}" for n in range(5000)] and [got["busy", p].first_number for p in (1, 2, 8)] == [1, 701, 4901]
+    assert got["one", 1].account_ids == ["a1"] and got["idle", 1].account_ids == [] and len(got) == 10
+    assert got["idle", 1].first_number is None
+
+
+def test_safety_rule_at_its_bounds(spark):
+    from pyspark.ml.functions import array_to_vector
+    rows = [(1, 0.5), (2, 0.95), (3, 0.950001), (4, 0.49), (5, None), (6, 1.0), (7, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id int, p double").select(
+        "doc_id", F.when(F.col("p").isNotNull(), array_to_vector(F.array(1 - F.col("p"), F.col("p")))).alias("probability"))
+    got = {r.doc_id: (r.is_safe, r.risk_category, r.confidence, r.label)
+           for r in textsafety.text_safety_check(df).collect()}
+    assert got == {1: (True, "None", 0.5, "offensive"), 2: (True, "None", 0.95, "offensive"),
+                   3: (False, "Offensive", 0.950001, "offensive"), 4: (True, "None", 0.51, "non-offensive"),
+                   5: (True, "Error", 0.0, "non-offensive"), 6: (False, "Offensive", 1.0, "offensive"),
+                   7: (True, "None", 1.0, "non-offensive")}
+
+
+def test_a_model_that_is_not_optimal_is_seen(spark):
+    texts = [(n, ("foul words here" if n % 3 == 0 else "kind words there") + f" {n % 7}", int(n % 3 == 0)) for n in range(90)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, toxic int")
+    model, train, test = textsafety.toxicity_model(df.select("doc_id", "text"), df.select("doc_id", "toxic"),
+                                                   num_features=256)
+    fit = textsafety.model_optimality(model, train, test).first()
+    assert fit.n_train + fit.n_test == 90 and fit.max_gradient < 1e-4
+    assert abs(fit.expected_toxic - fit.train_toxic) < 0.05
+    # the same model against labels it was not fitted to
+    turned = train.withColumn("label", 1 - F.col("label"))
+    assert textsafety.model_optimality(model, turned, test).first().max_gradient > 1e-2

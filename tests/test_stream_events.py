@@ -248,3 +248,33 @@ def test_day_written_again_leaves_its_former_tier(spark, tmp_path):
     assert os.listdir(f"{path}/tier=hot") == ["event_date=2024-03-01"]
     tables.write_tiers(rows, "timestamp", T0 + dt.timedelta(days=20), path)
     assert [(r.tier, r.event_id) for r in spark.read.parquet(path).collect()] == [("warm", 1)]
+
+
+def test_move_stopped_half_way_goes_on(spark, tmp_path):
+    path = str(tmp_path)
+    rows = audit(spark, [(n, "u", 1440 * n, "x", "x", True) for n in range(40)])
+    tables.write_tiers(rows, "timestamp", T0 + dt.timedelta(days=2), path)
+    later = T0 + dt.timedelta(days=45)
+    todo = tables.pending_moves(spark, path, later)
+    assert {m[1:] for m in todo} == {("hot", "warm"), ("hot", "cold")}
+    # a mover that died after five days
+    for day, name, tier in todo[:5]:
+        os.makedirs(f"{path}/tier={tier}", exist_ok=True)
+        os.rename(f"{path}/tier={name}/event_date={day}", f"{path}/tier={tier}/event_date={day}")
+    assert tables.pending_moves(spark, path, later) == todo[5:]
+    assert tables.move_tiers(spark, path, later) == todo[5:]
+    assert tables.pending_moves(spark, path, later) == [] == tables.move_tiers(spark, path, later)
+    got = {r.event_id: r.tier for r in spark.read.parquet(path).collect()}
+    assert len(got) == 40 and got == {n: "hot" if n >= 39 else "warm" if n >= 16 else "cold" for n in range(40)}
+
+
+def test_a_day_in_two_tiers_is_never_deleted(spark, tmp_path):
+    path = str(tmp_path)
+    rows = audit(spark, [(1, "u", 0, "x", "x", True)])
+    tables.write_tiers(rows, "timestamp", T0 + dt.timedelta(days=1), path)
+    os.makedirs(f"{path}/tier=warm/event_date=2024-03-01")
+    with pytest.raises(OSError, match="write it again"):
+        tables.move_tiers(spark, path, T0 + dt.timedelta(days=20))
+    assert os.listdir(f"{path}/tier=hot") == ["event_date=2024-03-01"]
+    tables.write_tiers(rows, "timestamp", T0 + dt.timedelta(days=20), path)
+    assert [(r.tier, r.event_id) for r in spark.read.parquet(path).collect()] == [("warm", 1)]
