@@ -198,7 +198,7 @@ def test_mixing_query_order_is_a_whole_schedule(spark):
 def test_oracle(spark, key):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "embeddings", "pages"):
+    for t in ("documents", "labels", "benchmark", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rel = con.sql(ORACLE_SQL[key])
     df = REGISTRY[key](spark, SF)
