@@ -148,6 +148,11 @@ def dedup(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["line_hash"])
 
 
+def bucket_of_key(key: str, buckets: int) -> Column:
+    """The bucket of a key in a stateful operator that holds many keys per state row."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 # --- STR-10: transfers as a stateful service ----------------------------------
 
 TRANSFER_OUT = ("l_orderkey long, l_linenumber int, requester_id string, "

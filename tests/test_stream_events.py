@@ -108,6 +108,27 @@ def test_sessions_equal_gaps_over_restarts(spark, tmp_path):
     assert got == sorted((u, at(s), at(e), n, b, "closed" if e + 60 <= mark else "active") for u, (s, e, n, b) in want)
 
 
+def test_session_state_is_kept_by_bucket(spark, tmp_path):
+    """However many users and sessions, the state is at most a row per bucket and what closes leaves it."""
+    users = [f"u{n}" for n in range(3 * 40)]
+    # two sessions of each user closed by the last part, one open after it
+    parts = [[(n, u, m, "x", "x", True) for n, u in enumerate(users) for m in (0, 100)],
+             [(n, u, 500, "safety_block", "x", True) for n, u in enumerate(users)]]
+    buckets, sessions.USER_BUCKETS = sessions.USER_BUCKETS, 4
+    try:
+        changes = drive(spark, str(tmp_path), parts, sessions.session_changes)
+    finally:
+        sessions.USER_BUCKETS = buckets
+    got = sorted((r.user_id, r.start_time, r.end_time, r.interactions, r.safety_blocks, r.state)
+                 for r in sessions.current_sessions(changes).collect())
+    assert got == sorted((u, at(m), at(m), 1, int(m == 500), "active" if m == 500 else "closed")
+                         for u in users for m in (0, 100, 500))
+    state = spark.read.format("statestore").option("stateVarName", "sessions").load(str(tmp_path / "ck"))
+    rows = [r.value for r in state.select("value").collect()]
+    assert 0 < len(rows) <= 4
+    assert sorted(u for r in rows for u in r.users) == sorted(users)
+
+
 def test_alert_is_raised_once_and_cleared_once(spark, tmp_path):
     quiet = [(n, "u", 5 * n, "x", "x", True) for n in range(60)]
     burst = [(100 + n, "u", 120 + n, "auth_failure", "login", False) for n in range(12)]
