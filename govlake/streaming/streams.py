@@ -10,8 +10,6 @@ how tests and batch back-fills use them.
 
 from __future__ import annotations
 
-import decimal
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,69 +153,88 @@ def bucket_of_key(key: str, buckets: int) -> Column:
 
 # --- STR-10: transfers as a stateful service ----------------------------------
 
+#: Buckets of owners; fixed for the life of a checkpoint.
+OWNER_BUCKETS = 1024
+
 TRANSFER_OUT = ("l_orderkey long, l_linenumber int, requester_id string, "
-                "from_account_id string, to_account_id string, amount decimal(18,2), "
-                "status string, src_balance_after decimal(18,2), "
-                "dst_balance_after decimal(18,2)")
+                "from_account_id string, to_account_id string, amount_cents long, "
+                "status string, src_cents_after long, dst_cents_after long")
 
 
 class TransferFold(StatefulProcessor):
-    """Balances of one owner's accounts as map state (cents), loaded from the
-    accounts before the first request.  The requests of a micro-batch are
-    applied in request order, micro-batches as they come; chunks of a batch are
-    read one by one into plain tuples, so a task holds one owner's requests of
-    one micro-batch (bounded by the source's files per trigger)."""
+    """Balances (cents) of the accounts of a bucket of owners as parallel arrays,
+    loaded from the accounts before the first request; an owner's balances are its
+    own.  The requests of a micro-batch are applied in request order, micro-batches
+    as they come; chunks of a batch are read one by one into plain tuples, so a task
+    holds one bucket's requests of one micro-batch (bounded by the source's files
+    per trigger) and makes a few state calls for them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.balances = handle.getMapState("balances", "account_id string", "cents long")
+        self.balances = handle.getValueState("balances", "owners array<string>, accounts array<string>, "
+                                             "cents array<long>")
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        for account, cents in zip(initialState["account_id"].tolist(), initialState["cents"].tolist()):
-            self.balances.updateValue((account,), (int(cents),))
+    def _held(self) -> dict[tuple, int]:
+        owners, accounts, cents = self.balances.get() if self.balances.exists() else ([], [], [])
+        return dict(zip(zip(owners, accounts), cents))
+
+    def _hold(self, held: dict[tuple, int]) -> None:
+        self.balances.update(([o for o, _ in held], [a for _, a in held], list(held.values())))
 
-    def _get(self, account: str) -> int:
-        return self.balances.getValue((account,))[0] if self.balances.containsKey((account,)) else 0
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        held = self._held()
+        held.update(zip(zip(initialState["requester_id"].tolist(), initialState["account_id"].tolist()),
+                        initialState["cents"].tolist()))
+        self._hold(held)
 
     def handleInputRows(self, key, rows, timerValues):
-        cols = ["requested_at", "l_orderkey", "l_linenumber", "from_account_id", "to_account_id", "amount"]
-        requests = sorted(r for chunk in rows for r in zip(*(chunk[c].tolist() for c in cols)))
-        held: dict[str, int] = {}
+        cols = ["l_orderkey", "l_linenumber", "from_account_id", "to_account_id", "amount_cents", "requester_id"]
+        requests = sorted(r for chunk in rows for r in zip(chunk["requested_at"].astype("int64").tolist(),
+                                                           *(chunk[c].tolist() for c in cols)))
+        if not requests:
+            return
+        held = self._held()
         out = []
-        for _, order, line, source, target, amount in requests:
-            s, d = (held[a] if a in held else self._get(a) for a in (source, target))
-            cents = int(round(decimal.Decimal(amount) * 100))
+        for _, order, line, source, target, cents, owner in requests:
+            s, d = held.get((owner, source), 0), held.get((owner, target), 0)
             status = "accepted" if s >= cents else "insufficient_funds"
             if s >= cents:
                 s, d = s - cents, d + cents
-            held[source], held[target] = s, d
-            out.append((order, line, key[0], source, target, amount, status,
-                        decimal.Decimal(s).scaleb(-2), decimal.Decimal(d).scaleb(-2)))
-        for account, cents in held.items():
-            self.balances.updateValue((account,), (cents,))
+            held[owner, source], held[owner, target] = s, d
+            out.append((order, line, owner, source, target, cents, status, s, d))
+        self._hold(held)
         yield pd.DataFrame(out, columns=[f.split()[0] for f in TRANSFER_OUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+def _money(cents: str) -> Column:
+    return (F.col(cents).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+
+
 def transfers(candidates: DataFrame, accounts: DataFrame) -> DataFrame:
-    """STR-10: the transfer fold of LED-4 keyed by owner.  ``accounts``
+    """STR-10: the transfer fold of LED-4 keyed by buckets of owners.  ``accounts``
     (account_id, user_id, balance) are the initial state; from then on the
     RocksDB state store keeps the balances between micro-batches."""
+    def by_bucket(df: DataFrame):
+        return df.withColumn("bucket", bucket_of_key("requester_id", OWNER_BUCKETS)).groupBy("bucket")
+
     opening = accounts.select(F.col("user_id").alias("requester_id"), "account_id",
-                              (F.col("balance") * 100).cast("bigint").alias("cents"))
-    return candidates.groupBy("requester_id").transformWithStateInPandas(
-        TransferFold(), TRANSFER_OUT, "Append", "None",
-        initialState=opening.groupBy("requester_id"))
+                              F.coalesce((F.col("balance") * 100).cast("bigint"), F.lit(0)).alias("cents"))
+    requests = candidates.select("l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
+                                 "to_account_id", (F.col("amount") * 100).cast("bigint").alias("amount_cents"))
+    return by_bucket(requests).transformWithStateInPandas(
+        TransferFold(), TRANSFER_OUT, "Append", "None", initialState=by_bucket(opening)).select(
+        "l_orderkey", "l_linenumber", "requester_id", "from_account_id", "to_account_id",
+        _money("amount_cents").alias("amount"), "status", _money("src_cents_after").alias("src_balance_after"),
+        _money("dst_cents_after").alias("dst_balance_after"))
 
 
 def balances_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The balances a transfer stream holds, read from its state store."""
     state = spark.read.format("statestore").option("stateVarName", "balances").load(checkpoint)
-    return state.select(F.col("key.requester_id").alias("user_id"),
-                        F.col("user_map_key.account_id").alias("account_id"),
-                        (F.col("user_map_value.cents").cast("decimal(20,0)") / 100)
-                        .cast("decimal(18,2)").alias("balance"))
+    return state.select(F.explode(F.arrays_zip("value.owners", "value.accounts", "value.cents")).alias("b")).select(
+        F.col("b.owners").alias("user_id"), F.col("b.accounts").alias("account_id"), _money("b.cents").alias("balance"))
 
 
 # --- STR-11: the ticket table kept current from events -------------------------

@@ -143,6 +143,46 @@ def test_alert_is_raised_once_and_cleared_once(spark, tmp_path):
 
 # ---- transfers -----------------------------------------------------------------
 
+def test_transfer_state_is_kept_by_bucket(spark, tmp_path):
+    """Two restarts against a plain fold; the state is at most a row per bucket."""
+    rng, path = random.Random(3), str(tmp_path)
+    owners = [f"o{n}" for n in range(60)]
+    opening = {(o, f"{o}-{n}"): Decimal(rng.choice(["0", "50.00", "900.10", "-3"])) for o in owners for n in range(3)}
+    accounts = spark.createDataFrame([(a, o, b) for (o, a), b in opening.items()],
+                                     "account_id string, user_id string, balance decimal(18,2)")
+    rows = []
+    for n in range(600):
+        o = rng.choice(owners)
+        source, target = rng.sample(range(3), 2)
+        rows.append((n, 1, T0 + dt.timedelta(minutes=n // 5), o, f"{o}-{source}", f"{o}-{target}",
+                     Decimal(rng.randint(1, 40000)) / 100))
+    schema = ("l_orderkey bigint, l_linenumber int, requested_at timestamp_ntz, requester_id string, "
+              "from_account_id string, to_account_id string, amount decimal(18,2)")
+    buckets, streams.OWNER_BUCKETS = streams.OWNER_BUCKETS, 4
+    try:
+        for part in (rows[:300], rows[300:]):
+            mixed = rng.sample(part, len(part))
+            spark.createDataFrame(mixed, schema).write.mode("append").parquet(path + "/requests")
+            stream = spark.readStream.schema(schema).parquet(path + "/requests")
+            streams.run_available_now(streams.transfers(stream, accounts), path + "/out", path + "/ck",
+                                      state_store=streams.ROCKSDB)
+    finally:
+        streams.OWNER_BUCKETS = buckets
+    held, want = dict(opening), []
+    for order, line, _, o, source, target, amount in rows:
+        ok = held[o, source] >= amount
+        if ok:
+            held[o, source] -= amount
+            held[o, target] += amount
+        want.append((order, line, o, source, target, amount, "accepted" if ok else "insufficient_funds",
+                     held[o, source], held[o, target]))
+    assert sorted(map(tuple, spark.read.parquet(path + "/out").collect())) == want
+    got = {(r.user_id, r.account_id): r.balance for r in streams.balances_in_state(spark, path + "/ck").collect()}
+    assert got == held
+    state = spark.read.format("statestore").option("stateVarName", "balances").load(path + "/ck")
+    assert 0 < state.count() <= 4
+
+
 REQUESTS = ("l_orderkey bigint, l_linenumber int, requested_at timestamp_ntz, requester_id string, "
             "from_account_id string, to_account_id string, amount decimal(18,2), src_balance decimal(18,2), "
             "dst_balance decimal(18,2), outcome string")
