@@ -1145,7 +1145,8 @@ def q_stream_final_balances(spark, sf):
     """Closing balances of all accounts, read back from the stream's state."""
     state = ST.balances_in_state(spark, _transfer_stream(spark, sf) + "/checkpoint")
     return V.accounts(spark, sf).select("account_id", "user_id", F.col("balance").alias("opening_balance")) \
-        .join(state.select("account_id", F.col("balance").alias("closing_balance")), "account_id", "left")
+        .join(state.select("account_id", F.col("balance").alias("closing_balance")), "account_id", "left") \
+        .withColumn("closing_balance", F.when(F.col("opening_balance").isNotNull(), F.col("closing_balance")))
 
 
 @query("stream_backlog")
