@@ -27,10 +27,14 @@ def audit_line(events: DataFrame, top_level=("timestamp", "event_type", "user_id
 
 
 def write_audit(events: DataFrame, path: str, fmt: str = "json") -> str:
-    """SNK-1: append events, one partition per day, as JSON lines or Parquet."""
+    """SNK-1: append events, one partition per day, as JSON lines (compressed: the
+    lines repeat their field names and phrases) or Parquet.
+
+    A compressed file is read by one task; ``rebalance`` cuts a large day into
+    several files."""
     if fmt == "json":
         audit_line(events).hint("rebalance", "event_date") \
-            .write.mode("append").partitionBy("event_date").text(path)
+            .write.mode("append").partitionBy("event_date").option("compression", "gzip").text(path)
     else:
         events.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date") \
             .write.mode("append").partitionBy("event_date").parquet(path)

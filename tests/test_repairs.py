@@ -10,6 +10,7 @@ from govlake.functions.quantiles import exact_percentiles
 from govlake.functions.scan import previous_value
 from govlake.operators import compliance, decisions, escalations, ledger, metrics, rules, tables, textsafety, users
 from govlake.operators.security import brute_force
+from govlake.sources import audit_log, sinks
 from govlake.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1, 12)
@@ -197,3 +198,19 @@ def test_a_model_that_is_not_optimal_is_seen(spark):
     # the same model against labels it was not fitted to
     turned = train.withColumn("label", 1 - F.col("label"))
     assert textsafety.model_optimality(model, turned, test).first().max_gradient > 1e-2
+
+
+
+def test_audit_lines_are_stored_compressed(spark, tmp_path):
+    path = tmp_path / "log"
+    events = spark.range(20_000).select(
+        F.timestamp_seconds(F.col("id") + 1_700_000_000).cast("timestamp_ntz").alias("timestamp"),
+        F.lit("transaction").alias("event_type"), F.concat(F.lit("u"), F.col("id") % 100).alias("user_id"),
+        F.lit("transfer_requested").alias("action"), F.lit(True).alias("success"),
+        F.concat(F.lit("Transfer requested, waiting for the checks of its accounts, number "), "id").alias("summary"))
+    raw = sinks.audit_line(events).agg(F.sum(F.octet_length("value") + 1)).first()[0]
+    sinks.write_audit(events, str(path))
+    stored = sum(f.stat().st_size for f in path.rglob("part-*"))
+    assert stored < raw / 3
+    read = audit_log.read_audit(spark, str(path))
+    assert read.count() == 20_000 and read.agg(F.max("timestamp")).first() == events.agg(F.max("timestamp")).first()
