@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ts_ntz
@@ -42,35 +42,69 @@ def bulk_append(existing: DataFrame, batch: DataFrame, key: str, order_cols: lis
     missing_<col> (foreign key without a parent).
 
     The batch is written once to the checkpoint folder (it is read several
-    times below, and its lineage may be long).  Counts, table keys and parents
-    are looked up on a narrow frame of one row per key; the batch's own columns
-    meet it in one join.  Only the copies of a new key that the batch holds more
-    than once are ordered (``_first_copies``), and rows without a key are
-    joined with nothing."""
+    times below, and its lineage may be long).  Only hashes of the keys are
+    counted over the whole batch and table: a row whose hash no other row and
+    no table key has is the only one of a new key (``_doubtful``).  The other
+    rows are looked up by the keys themselves: counts and table keys on a narrow
+    frame of one row per key, which the rows' own columns meet in one join.
+    Only the copies of a new key that the batch holds more than once are ordered
+    (``_first_copies``), and rows without a key are joined with nothing."""
     from ..session import materialize
     cols = batch.columns
     batch = materialize(batch, "append-batch")
+    absent = [(c, materialize(_absent(batch, c, parent, parent_col), "append-absent"))
+              for c, parent, parent_col in foreign_keys]
+    codes, code = _doubtful(existing, batch, key)
+    codes = materialize(codes, "append-codes")
+    keyed = batch.filter(F.col(key).isNotNull()).withColumn("_code", code)
+    clear = keyed.join(codes, "_code", "left_anti").select(*cols)
+    batch_rest = keyed.join(codes, "_code", "left_semi").select(*cols)
+    known = existing.select(key).withColumn("_code", code).join(codes, "_code", "left_semi").select(key).distinct()
+
     # a key with one row has one parent value, so any of an aggregate's will do
-    keys = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count("*").alias("_n"),
-        *[F.min(c).alias(f"_parent{i}") for i, (c, _, _) in enumerate(foreign_keys)])
-    keys = keys.join(existing.select(key).distinct().withColumn("_dup", F.lit(True)), key, "left")
+    parents = dict.fromkeys(c for c, _ in absent if c != key)
+    keys = batch_rest.groupBy(key).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in parents])
+    keys = keys.join(known.withColumn("_dup", F.lit(True)), key, "left")
     plain = keys.filter((F.col("_n") == 1) | F.col("_dup").isNotNull())
-    status = F.when(F.col("_dup").isNotNull(), "duplicate_key")
-    for i, (c, parent, parent_col) in enumerate(foreign_keys):
-        plain = plain.join(parent.select(F.col(parent_col).alias(f"_parent{i}")).distinct()
-                           .withColumn(f"_fk{i}", F.lit(True)), f"_parent{i}", "left")
-        status = status.when(F.col(f"_fk{i}").isNull(), f"missing_{c}")
-    plain = plain.select(key, status.otherwise("accepted").alias("append_status"))
+    plain = _with_parents(plain, absent, F.when(F.col("_dup").isNotNull(), "duplicate_key")).select(key, "append_status")
     repeated = keys.filter((F.col("_n") > 1) & F.col("_dup").isNull()).select(key)
-    return batch.join(plain, key).select(*cols, "append_status") \
-        .unionByName(_first_copies(batch.join(repeated, key, "left_semi").select(*cols), key, order_cols,
-                                   foreign_keys)) \
+    return _with_parents(clear, absent).select(*cols, "append_status") \
+        .unionByName(batch_rest.join(plain, key).select(*cols, "append_status")) \
+        .unionByName(_first_copies(batch_rest.join(repeated, key, "left_semi").select(*cols), key, order_cols, absent)) \
         .unionByName(batch.filter(F.col(key).isNull()).withColumn("append_status", F.lit("null_key")))
 
 
+def _doubtful(existing: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """(the hashes ``_code`` that several rows of the batch have, or one and a
+    key of the table, the hash of a key column)."""
+    keys = batch.select(key, F.lit(1).alias("_n")).union(existing.select(key, F.lit(0))) \
+        .filter(F.col(key).isNotNull())
+    code = F.xxhash64(F.col(key).cast(keys.schema[key].dataType))
+    n = F.sum("_n")
+    codes = keys.groupBy(code.alias("_code")).agg(n.alias("_n"), F.min("_n").alias("_least")) \
+        .filter((F.col("_n") > 1) | ((F.col("_n") == 1) & (F.col("_least") == 0)))
+    return codes.select("_code"), code
+
+
+def _absent(batch: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:
+    """The values of a foreign key in the batch that have no parent."""
+    return batch.select(col).filter(F.col(col).isNotNull()).distinct() \
+        .join(parent.select(F.col(parent_col).alias(col)), col, "left_anti")
+
+
+def _with_parents(rows: DataFrame, absent: list[tuple[str, DataFrame]], lead: Column | None = None) -> DataFrame:
+    """``append_status``: ``lead`` where it says something, else missing_<col>
+    for the first foreign key that is null or has no parent, else accepted."""
+    status = lead
+    for i, (c, values) in enumerate(absent):
+        rows = rows.join(values.withColumn(f"_gone{i}", F.lit(True)), c, "left")
+        missing = F.col(c).isNull() | F.col(f"_gone{i}").isNotNull()
+        status = (F if status is None else status).when(missing, f"missing_{c}")
+    return rows.withColumn("append_status", F.lit("accepted") if status is None else status.otherwise("accepted"))
+
+
 def _first_copies(batch: DataFrame, key: str, order_cols: list[str],
-                  foreign_keys: list[tuple[str, DataFrame, str]]) -> DataFrame:
+                  absent: list[tuple[str, DataFrame]]) -> DataFrame:
     """Status of the rows of keys that the table lacks and the batch repeats.
 
     The rows are reduced to distinct ones with their multiplicity (partial
@@ -84,13 +118,8 @@ def _first_copies(batch: DataFrame, key: str, order_cols: list[str],
                      *[F.col(c) for c in cols if c not in order_cols])
     first = g.groupBy(key).agg(F.min(order).alias("_first"))
     g = g.join(first, key).withColumn("_is_first", order.eqNullSafe(F.col("_first")))
-    lead = F.when(~F.col("_is_first"), "duplicate_in_batch")
-    for i, (col, parent, parent_col) in enumerate(foreign_keys):
-        flag = f"_fk{i}"
-        g = g.join(parent.select(F.col(parent_col).alias(col)).distinct()
-                   .withColumn(flag, F.lit(True)), col, "left")
-        lead = lead.when(F.col(flag).isNull(), f"missing_{col}")
-    g = g.withColumn("_lead", lead.otherwise("accepted"))
+    g = _with_parents(g, absent, F.when(~F.col("_is_first"), "duplicate_in_batch")) \
+        .withColumnRenamed("append_status", "_lead")
     # one copy of a first row carries the lead status, its other copies are
     # duplicates within the batch
     parts = F.when(F.col("_is_first"), F.array(

@@ -1,6 +1,7 @@
 """Null keys, negative balances, late and early events: nothing is lost."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 
@@ -201,6 +202,23 @@ def test_a_model_that_is_not_optimal_is_seen(spark):
 
 
 
+def test_bulk_append_looks_up_only_doubtful_keys(spark):
+    """Keys of one row that the table lacks are settled by hashes; equal hashes decide nothing by themselves."""
+    batch = spark.createDataFrame([(n, n % 3) for n in range(200)] + [(7, 1), (None, 0)], "id int, v int")
+    old = spark.createDataFrame([(11,), (11,), (999,), (None,)], "id bigint")
+    codes, code = tables._doubtful(old, batch, "id")
+    assert {r.id for r in batch.withColumn("_code", code).join(codes, "_code").collect()} == {7, 11}
+    want = sorted((str(r.id), r.append_status) for r in tables.bulk_append(old, batch, "id", ["v"]).collect())
+    assert Counter(s for _, s in want) == {"accepted": 199, "duplicate_key": 1, "duplicate_in_batch": 1, "null_key": 1}
+    whole = tables._doubtful
+    tables._doubtful = lambda *a: (whole(*a)[0].limit(0).union(spark.range(1)), F.col("id") * 0)  # all keys collide
+    try:
+        got = sorted((str(r.id), r.append_status) for r in tables.bulk_append(old, batch, "id", ["v"]).collect())
+    finally:
+        tables._doubtful = whole
+    assert got == want
+
+
 def test_audit_lines_are_stored_compressed(spark, tmp_path):
     path = tmp_path / "log"
     events = spark.range(20_000).select(
