@@ -144,15 +144,24 @@ def audit_ticket_match(audit_events: DataFrame, tickets: DataFrame) -> DataFrame
                     issue.alias("issue"))
 
 
+def is_leg(c: str | Column) -> Column:
+    """Whether an id ends like a leg's; the pattern is only asked where no plain ending decides."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.endswith(x, F.lit("_from")) | F.endswith(x, F.lit("_to")) | x.rlike("_(from|to)$")
+
+
 def leg_stem(c: str | Column) -> Column:
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, "_(from|to)$", "")
+    x = F.col(c) if isinstance(c, str) else c
+    return F.when(F.endswith(x, F.lit("_from")), F.left(x, F.char_length(x) - 5)) \
+        .when(F.endswith(x, F.lit("_to")), F.left(x, F.char_length(x) - 3)) \
+        .otherwise(F.regexp_replace(x, "_(from|to)$", ""))
 
 
 def transfer_leg_match(legs: DataFrame) -> DataFrame:
     """ACC-7: both legs of every transfer exist and sum to zero.
 
     One aggregation per id stem (no self-join, no pairs)."""
-    t = legs.filter(F.col("transaction_id").rlike("_(from|to)$"))
+    t = legs.filter(is_leg("transaction_id"))
     g = t.groupBy(leg_stem("transaction_id").alias("transfer_id")).agg(
         F.count_if(F.col("transaction_id").endswith("_from")).alias("n_from"),
         F.count_if(F.col("transaction_id").endswith("_to")).alias("n_to"),

@@ -62,8 +62,7 @@ def transfer_precheck(requests: DataFrame, roles: DataFrame, accounts: DataFrame
     spark = requests.sparkSession
     held = D.role_permission(spark).filter(F.col("permission") == "view_accounts") \
         .select(F.col("role").alias("requester_role"), F.lit(True).alias("has_perm"))
-    r = requests.join(roles.select(F.col("user_id").alias("requester_id"), "role"),
-                      "requester_id", "left") \
+    r = requests.join(_telling_roles(roles), "requester_id", "left") \
         .withColumn("requester_role", normalise_role("role")).drop("role") \
         .join(held, "requester_role", "left")
     j = transfer_pair_join(r, accounts)
@@ -83,6 +82,17 @@ def transfer_precheck(requests: DataFrame, roles: DataFrame, accounts: DataFrame
     return j.withColumn("outcome", outcome).drop("has_perm")
 
 
+def _telling_roles(roles: DataFrame) -> DataFrame:
+    """(requester_id, role) without the users that a left join need not meet: a
+    user without a row has the role ``user`` too, so one row saying so tells
+    nothing.  Written out: of a known size, it is mostly small beside the requests."""
+    r = roles.select(F.col("user_id").alias("requester_id"), "role").filter(F.col("user_id").isNotNull())
+    telling = r.groupBy("requester_id").agg(
+        F.count("*").alias("_n"), F.count_if(normalise_role("role") != "user").alias("_other")) \
+        .filter((F.col("_n") > 1) | (F.col("_other") > 0)).select("requester_id")
+    return materialize(r.join(telling, "requester_id", "left_semi"), "roles")
+
+
 def _fold_schema():
     return ("l_orderkey long, l_linenumber int, requested_at timestamp_ntz, "
             "requester_id string, from_account_id string, to_account_id string, "
@@ -94,35 +104,32 @@ def _fold_partition(batches):
 
     State is the balance (in cents) of each account of the current owner; it
     is reset when the owner changes, so memory is bounded by one owner's
-    accounts, and batches are streamed, so a busy owner is never held whole."""
-    import numpy as np
-    import pandas as pd
+    accounts, and batches are streamed, so a busy owner is never held whole.
+    The request's own columns pass through as they came (Arrow)."""
+    import pyarrow as pa
+    own = ["l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id", "to_account_id", "amount"]
     owner, bal = None, {}
-    for pdf in batches:
-        n = len(pdf)
-        status = np.empty(n, dtype=object)
-        src_after = np.zeros(n, dtype=np.int64)
-        dst_after = np.zeros(n, dtype=np.int64)
-        rows = zip(*(pdf[c].tolist() for c in ("requester_id", "from_account_id", "to_account_id", "src_cents",
-                                               "dst_cents", "amount_cents")))
-        for i, (who, frm, to, s0, d0, amt) in enumerate(rows):
+    for batch in batches:
+        status, src_after, dst_after = [], [], []
+        rows = zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in (
+            "requester_id", "from_account_id", "to_account_id", "src_cents", "dst_cents", "amount_cents")))
+        for who, frm, to, s0, d0, amt in rows:
             if who != owner:
                 owner, bal = who, {}
             s = bal.get(frm, s0)
             d = bal.get(to, d0)
             if s >= amt:
                 s, d = s - amt, d + amt
-                status[i] = "accepted"
+                status.append("accepted")
             else:
-                status[i] = "insufficient_funds"
+                status.append("insufficient_funds")
             bal[frm], bal[to] = s, d
-            src_after[i], dst_after[i] = s, d
-        yield pd.DataFrame({
-            "l_orderkey": pdf["l_orderkey"], "l_linenumber": pdf["l_linenumber"],
-            "requested_at": pdf["requested_at"], "requester_id": pdf["requester_id"],
-            "from_account_id": pdf["from_account_id"], "to_account_id": pdf["to_account_id"],
-            "amount": pdf["amount"], "status": status,
-            "src_cents_after": src_after, "dst_cents_after": dst_after})
+            src_after.append(s)
+            dst_after.append(d)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in own), pa.array(status, pa.string()),
+             pa.array(src_after, pa.int64()), pa.array(dst_after, pa.int64())],
+            names=[*own, "status", "src_cents_after", "dst_cents_after"])
 
 
 def _cents(c: str):
@@ -198,7 +205,7 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None,
     that day is accepted, and its balances are prefix sums: inside a day by a
     window, across days by the summaries, in balanced tasks however many
     requests an owner has.  From the owner's first day that may run short on,
-    requests are folded too (in REQUEST_ORDER), streamed through mapInPandas
+    requests are folded too (in REQUEST_ORDER), streamed through mapInArrow
     with the balances of that owner's accounts in memory.  Rows refused by a
     stateless test pass by with their outcome."""
     cols = ["l_orderkey", "l_linenumber", "requested_at", "requester_id", "from_account_id",
@@ -206,11 +213,11 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None,
     rows = prechecked.select(
         *cols, "outcome",
         F.coalesce(_cents("src_balance"), F.lit(0)).alias("src_cents"),
-        F.coalesce(_cents("dst_balance"), F.lit(0)).alias("dst_cents"),
-        F.coalesce(_cents("amount"), F.lit(0)).alias("amount_cents"),
-        F.coalesce(F.to_date("requested_at"), F.lit("0001-01-01").cast("date")).alias("_day"))
+        F.coalesce(_cents("dst_balance"), F.lit(0)).alias("dst_cents"))
     # the requests with a number each (identical ones stay apart), computed once
-    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "requests")
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "requests").withColumns({
+        "amount_cents": F.coalesce(_cents("amount"), F.lit(0)),
+        "_day": F.coalesce(F.to_date("requested_at"), F.lit("0001-01-01").cast("date"))})
     reached = F.col("outcome").isin("ok", "insufficient_funds")
     no_balance = F.lit(None).cast("bigint")
     refused = rows.filter(~reached).select(*cols, F.col("outcome").alias("status"),
@@ -226,7 +233,7 @@ def transfer_apply(prechecked: DataFrame, num_partitions: int | None = None,
         ordered = live.join(busy, "requester_id", "left_anti").select(*folding).unionByName(rest.select(*folding))
     ordered = ordered.repartition(*([num_partitions] if num_partitions else []), "requester_id") \
         .sortWithinPartitions("requester_id", *REQUEST_ORDER)
-    out = refused.unionByName(ordered.mapInPandas(_fold_partition, _fold_schema()))
+    out = refused.unionByName(ordered.mapInArrow(_fold_partition, _fold_schema()))
     if accepted is not None:
         out = out.unionByName(accepted)
 

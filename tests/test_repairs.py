@@ -219,6 +219,40 @@ def test_bulk_append_looks_up_only_doubtful_keys(spark):
     assert got == want
 
 
+def test_precheck_meets_only_telling_roles(spark):
+    """A user whose single row says ``user`` is as one without a row; repeated rows keep their number."""
+    roles = spark.createDataFrame([("a", "user"), ("b", "admin"), ("c", "user"), ("c", "user"), ("d", "odd"),
+                                   ("e", None), (None, "admin"), ("f", "staff"), ("f", "user")],
+                                  "user_id string, role string")
+    told = sorted((r.requester_id, r.role) for r in ledger._telling_roles(roles).collect())
+    assert told == [("b", "admin"), ("c", "user"), ("c", "user"), ("f", "staff"), ("f", "user")]
+    users = ["a", "b", "c", "d", "e", "f", "g", None]
+    accounts = spark.createDataFrame([(f"{u}{n}", u, "10.00") for u in users for n in (1, 2)],
+                                     "account_id string, user_id string, balance string") \
+        .withColumn("balance", F.col("balance").cast("decimal(18,2)"))
+    asked = spark.createDataFrame([(n, 1, at(n), u, f"{u}1", f"{u}2", "5.00") for n, u in enumerate(users)],
+                                  "l_orderkey bigint, l_linenumber int, requested_at timestamp_ntz, "
+                                  "requester_id string, from_account_id string, to_account_id string, amount string") \
+        .withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    got = sorted((str(r.requester_id), r.requester_role) for r in
+                 ledger.transfer_precheck(asked, roles, accounts).collect())
+    assert got == [("None", "user"), ("a", "user"), ("b", "admin"), ("c", "user"), ("c", "user"), ("d", "user"),
+                   ("e", "user"), ("f", "staff"), ("f", "user"), ("g", "user")]
+
+
+def test_transfer_fold_passes_arrow_columns(spark):
+    rows = [(1, 1, at(0), "u", "a", "b", "5.00", "ok", "7.00", "0.00")]
+    df = spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, requested_at timestamp_ntz, requester_id string, "
+                                     "from_account_id string, to_account_id string, amount string, outcome string, "
+                                     "src_balance string, dst_balance string") \
+        .withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("amount", "src_balance", "dst_balance")})
+    out = ledger.transfer_apply(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert [(r.status, str(r.src_balance_after), str(r.dst_balance_after)) for r in out.collect()] \
+        == [("accepted", "2.00", "5.00")]
+
+
 def test_audit_lines_are_stored_compressed(spark, tmp_path):
     path = tmp_path / "log"
     events = spark.range(20_000).select(
