@@ -1125,8 +1125,9 @@ def _transfer_stream(spark, sf):
     step = (hi - lo) / ARRIVALS if lo else None
     for n in range(ARRIVALS):
         at = F.col("requested_at")
-        span = F.lit(True) if step is None else (
-            (at < F.lit(lo + step) if n == 0 else at >= F.lit(lo + n * step))
+        # a request without a time comes first, as in REQUEST_ORDER
+        span = F.lit(n == 0) if step is None else (
+            (at.isNull() | (at < F.lit(lo + step)) if n == 0 else at >= F.lit(lo + n * step))
             & (F.lit(True) if n in (0, ARRIVALS - 1) else at < F.lit(lo + (n + 1) * step)))
         pre.filter(span).write.mode("append").parquet(base + "/requests")
         stream = spark.readStream.schema(pre.schema).parquet(base + "/requests")

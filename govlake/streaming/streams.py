@@ -188,7 +188,8 @@ class TransferFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         cols = ["l_orderkey", "l_linenumber", "from_account_id", "to_account_id", "amount_cents", "requester_id"]
-        requests = sorted(r for chunk in rows for r in zip(chunk["requested_at"].astype("int64").tolist(),
+        # times as integers: quick to compare, a missing one is the smallest
+        requests = sorted(r for chunk in rows for r in zip(chunk["requested_at"].to_numpy().astype("int64").tolist(),
                                                            *(chunk[c].tolist() for c in cols)))
         if not requests:
             return

@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from govlake.operators import ledger, metrics, tables
+from govlake.plans.queries import REGISTRY
 from govlake.sources import audit_log
 from govlake.sources.sinks import write_audit
 from govlake.streaming import alert_events, late, sessions, streams
+from paths import SF_SMALL
 
 T0 = dt.datetime(2024, 3, 1, 8)
 
@@ -143,6 +145,20 @@ def test_alert_is_raised_once_and_cleared_once(spark, tmp_path):
 
 # ---- transfers -----------------------------------------------------------------
 
+def test_transfer_stream_keeps_requests_without_a_time(spark, tmp_path):
+    for name in ("customer", "orders", "lineitem"):
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        if name == "lineitem":
+            df = df.withColumn("l_shipdate", F.when(F.col("l_orderkey") % 9 > 0, F.col("l_shipdate")))
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    cols = ["l_orderkey", "l_linenumber", "from_account_id", "to_account_id", "amount", "status", "src_balance_after",
+            "dst_balance_after"]
+    got = REGISTRY["stream_transfers"](spark, str(tmp_path)).select(*cols).collect()
+    batch = REGISTRY["transfer_apply"](spark, str(tmp_path)).filter(F.col("status").isin("accepted", "insufficient_funds"))
+    assert batch.filter("requested_at is null").count() > 0
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.select(*cols).collect()))
+
+
 def test_transfer_state_is_kept_by_bucket(spark, tmp_path):
     """Two restarts against a plain fold; the state is at most a row per bucket."""
     rng, path = random.Random(3), str(tmp_path)
